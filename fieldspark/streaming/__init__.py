@@ -1,0 +1,13 @@
+"""Incremental readers for persisted stage outputs.
+
+Every input of the analysis is a static table, and no operator of the
+analysis keeps state across batches.  What does arrive over time is the
+output of earlier stages (draw tables written per model, per level).  This
+package only offers a file-stream view of such a folder, so a later stage
+can pick up new Parquet files as they land; the stateless operators of
+``fieldspark.operators`` apply to it unchanged.
+"""
+
+from fieldspark.streaming.stage_files import stage_stream
+
+__all__ = ["stage_stream"]

@@ -1,0 +1,19 @@
+"""File-stream view of a stage output folder (S5 hand-off)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def stage_stream(spark: SparkSession, path: str, schema: T.StructType,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame over the Parquet files of a stage folder.
+
+    The schema is required (streams never infer).  Files are picked up in
+    the order they appear; ``max_files_per_trigger`` bounds a micro-batch.
+    """
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return r.parquet(path)
