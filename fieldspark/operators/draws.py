@@ -44,20 +44,26 @@ def draws_to_wide(long: DataFrame, terms: Sequence[str], draw: str = "draw", ter
 
 
 def cell_means_design(grid: DataFrame, cells: Sequence[str], n_terms: int,
-                      x: str = "x") -> DataFrame:
+                      x: str = "x", carry: Sequence[str] = ()) -> DataFrame:
     """One-hot design: cell ``i`` (in sorted key order) uses coefficient ``i``.
 
-    This is the full-factorial model in cell-means coding.  Fails at run
-    time if there are more cells than coefficients.
+    This is the full-factorial model in cell-means coding.  The sorted cell
+    list is one scalar subquery; the design rows (cell keys, index, one-hot
+    vector) are generated from it on a one-row relation, so nothing is
+    computed per input row.  Fails at run time if there are more cells
+    than coefficients.  ``carry`` columns (functions of the cell, e.g. an
+    abundance) are kept on the design rows.
     """
     from fieldspark.operators.joins import level_array
 
-    levels = level_array(grid, cells, n_terms)
-    idx = F.array_position(levels, F.struct(*[F.col(c) for c in cells])) - F.lit(1)
+    levels = level_array(grid, [*cells, *carry], n_terms)
+
+    spark = grid.sparkSession
+    rows = spark.range(1).select(F.posexplode(levels).alias("cell_index", "__s"))
     onehot = F.transform(F.sequence(F.lit(0), F.lit(n_terms - 1)),
                          lambda j: F.when(j == F.col("cell_index"), F.lit(1.0)).otherwise(F.lit(0.0)))
-    return grid.select(*cells).distinct().withColumn("cell_index", idx.cast("int")) \
-        .withColumn(x, onehot)
+    return rows.select(*[F.col("__s")[c].alias(c) for c in [*cells, *carry]],
+                       F.col("cell_index").cast("int").alias("cell_index"), onehot.alias(x))
 
 
 def treatment_design(grid: DataFrame, factors: Mapping[str, Sequence[str]],
@@ -92,24 +98,41 @@ def treatment_design(grid: DataFrame, factors: Mapping[str, Sequence[str]],
 def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw: str = "draw",
                 coef: str = "coef", x: str = "x", link: str = "log", out: str = "epred",
                 carry: Sequence[str] = (), max_cells: int = DEFAULT_MAX_CELLS,
-                linpred: str | None = None) -> DataFrame:
+                linpred: str | None = None, max_nonzero: int | None = None) -> DataFrame:
     """Expected value of every grid cell under every draw.
 
     ``eta = sum_j x_j * coef_j`` over the cell's design vector, then the
     inverse link (``log`` -> ``exp``, ``logit``, ``identity``).  Columns in
     ``carry`` (e.g. an abundance already attached to the grid) ride along.
     Output is partitioned by ``draw``.
+
+    The design vector is turned into its non-zero (index, value) pairs once
+    per cell, on the small grid.  Per (draw, cell) row only those terms are
+    evaluated: with ``max_nonzero`` (the most non-zeros any cell can have,
+    e.g. 1 for cell-means coding) the sum is unrolled into plain arithmetic
+    that whole-stage codegen compiles; otherwise a lambda runs over the
+    pairs.  A NULL coefficient in a used term makes the prediction NULL.
     """
     from fieldspark.operators.joins import level_array
 
-    cell_cols = [*cells, x, *carry]
-    cell_arr = level_array(design, cell_cols, max_cells)
-    d = draws.select(F.col(draw), F.col(coef).cast("array<double>").alias("__coef")) \
-        .repartition(draw)
+    nz = F.filter(F.transform(F.sequence(F.lit(0), F.size(F.col(x)) - F.lit(1)),
+                              lambda j: F.struct(j.alias("j"), F.col(x)[j].alias("v"))),
+                  lambda t: t["v"] != F.lit(0.0))
+    sparse = design.select(*cells, *carry, nz.alias("__nz"))
+    cell_arr = level_array(sparse, [*cells, "__nz", *carry], max_cells)
+    d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(draw)
     e = d.select(draw, "__coef", F.explode(cell_arr).alias("__c"))
-    xs = F.col("__c")[x]
-    co = F.slice(F.col("__coef"), 1, F.size(xs))
-    eta = F.aggregate(F.zip_with(xs, co, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    pairs = F.col("__c")["__nz"]
+    coefs = F.col("__coef")
+    if max_nonzero:
+        eta = F.lit(0.0)
+        for k in range(max_nonzero):
+            t = pairs[k]
+            eta = eta + F.when(F.size(pairs) > k, t["v"] * coefs[t["j"]].cast("double")) \
+                .otherwise(F.lit(0.0))
+    else:
+        eta = F.aggregate(pairs, F.lit(0.0),
+                          lambda acc, t: acc + t["v"] * coefs[t["j"]].cast("double"))
     inv = {"log": F.exp, "identity": lambda v: v,
            "logit": lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))}[link]
     cols = [F.col("__c")[c].alias(c) for c in cells] + [F.col(draw)]

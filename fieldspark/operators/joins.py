@@ -108,15 +108,18 @@ def level_array(df: DataFrame, cols: Sequence[str],
                 max_levels: int = DEFAULT_MAX_LEVELS) -> Column:
     """Distinct value combinations of ``cols`` as one array-of-struct scalar.
 
-    Evaluated once as a scalar subquery (partial ``collect_set`` per task,
-    merged in the final aggregate).  NULL is kept as a level.  Fails at run
+    Evaluated once as a scalar subquery (a distributed distinct, then one
+    small ``collect_list`` of the distinct rows).  NULL is kept as a level.  Fails at run
     time if there are more than ``max_levels`` combinations.
     """
     s = F.struct(*[F.col(c) for c in cols])
-    arr = F.array_sort(F.collect_set(s))
+    # collect_list over an explicit distinct: with collect_set the optimizer
+    # drops the distinct as redundant and evaluates the projection that
+    # defines the columns on every input row instead of once per level.
+    arr = F.array_sort(F.collect_list(s))
     guarded = F.when(F.size(arr) > max_levels, F.raise_error(
         F.lit(f"more than {max_levels} level combinations of {list(cols)}"))).otherwise(arr)
-    return df.agg(guarded.alias("levels")).scalar()
+    return df.select(*cols).distinct().agg(guarded.alias("levels")).scalar()
 
 
 def expand_with_levels(df: DataFrame, levels: Column, cols: Sequence[str]) -> DataFrame:

@@ -135,3 +135,30 @@ def relevel_key(df: DataFrame, col: str, first: Sequence[str], out: str,
     pos = F.array_position(named, F.col(col))
     code = F.when(pos > 0, pos).otherwise(F.lit(len(first)) + F.array_position(rest, F.col(col)))
     return df.withColumn(out, F.when(F.col(col).isNotNull(), code.cast("int")))
+
+
+def dense_rescale(df: DataFrame, specs: dict[str, tuple[str, float, float]],
+                  max_levels: int = DEFAULT_MAX_LEVELS) -> DataFrame:
+    """Level codes of several columns, rescaled to target ranges, in one pass.
+
+    ``specs`` maps a source column to ``(out, lo, hi)``.  Equivalent to
+    ``rescale(dense_code(df, c), ...)`` for each column: codes run 1..k, so
+    the rescaled value is ``lo + (code - 1) / (k - 1) * (hi - lo)`` (the
+    midpoint when k = 1).  All level arrays come from one scalar subquery,
+    so the input is evaluated once more, not once per column and statistic.
+    """
+    def guarded(c: str) -> Column:
+        arr = F.array_sort(F.collect_set(F.col(c)))
+        return F.when(F.size(arr) > max_levels, F.raise_error(
+            F.lit(f"more than {max_levels} levels in {c}"))).otherwise(arr)
+
+    lv = df.agg(F.struct(*[guarded(c).alias(c) for c in specs]).alias("s")).scalar()
+    out = df
+    for c, (name, lo, hi) in specs.items():
+        arr = lv[c]
+        code = F.array_position(arr, F.col(c)).cast("double")
+        k = F.size(arr).cast("double")
+        val = F.when(k == 1, F.lit((lo + hi) / 2.0)).otherwise(
+            (code - 1.0) / (k - 1.0) * F.lit(hi - lo) + F.lit(lo))
+        out = out.withColumn(name, F.when(F.col(c).isNotNull(), val))
+    return out

@@ -68,21 +68,22 @@ def lump_rare_prey(d: DataFrame, threshold: float = 0.001, keep: Sequence[str] =
     return lump_rare(d, "prey_taxon", "mg_diet_dm", keys, threshold, keep)
 
 
-def diet_posteriors(draws: DataFrame, design: DataFrame, abundance: DataFrame,
+def diet_posteriors(draws: DataFrame, design: DataFrame, abundance: DataFrame | None = None,
                     cells: Sequence[str] = ("species", "date2", "prey_stage"),
-                    species_names: Mapping[str, str] | None = None) -> DataFrame:
+                    species_names: Mapping[str, str] | None = None,
+                    max_nonzero: int | None = None) -> DataFrame:
     """Per-capita, per-population and per-community draw tables.
 
     ``design`` is the grid with a design vector ``x``; ``abundance`` has
-    ``date2``, ``species``, ``total_abund``.  Abundance is attached to the
-    small grid *before* the draw expansion, so the expanded table is never
-    joined.  Both per-fish levels come from one aggregate over
+    ``date2``, ``species``, ``total_abund`` (or ``design`` already carries
+    ``total_abund``).  Abundance is attached to the small grid *before* the
+    draw expansion, so the expanded table is never joined.  Both per-fish levels come from one aggregate over
     (date2, species, draw); the community level sums the population level
     over species.  Every aggregate keys on ``draw`` and reuses the draw
     partitioning, so the whole chain shuffles only the draw table.
     """
-    grid = design.join(abundance, ["date2", "species"], "left")
-    ep = epred_draws(draws, grid, list(cells), carry=["total_abund"])
+    grid = design if abundance is None else design.join(abundance, ["date2", "species"], "left")
+    ep = epred_draws(draws, grid, list(cells), carry=["total_abund"], max_nonzero=max_nonzero)
     ep = ep.withColumn("population_epred", F.col("epred") * F.col("total_abund"))
     wide = stage_levels(ep, ["date2", "species", "draw"], "prey_stage", ("pa", "not_pa"),
                         {"Per capita": "epred", "Per population": "population_epred"})

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators.draws import cell_means_design
@@ -59,10 +59,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round floating columns for engine-independent comparison."""
+def rounded(df: DataFrame, digits: int = DIGITS, **per_column: int) -> DataFrame:
+    """Round floating columns for engine-independent comparison.
+
+    Large sums of money-like values carry summation-order noise in their
+    last bits, so they are given fewer digits via ``per_column``.
+    """
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name)
+        F.round(F.col(f.name), per_column.get(f.name, digits)).alias(f.name)
         if f.dataType.typeName() in ("double", "float") else F.col(f.name)
         for f in df.schema.fields
     ])
@@ -130,13 +134,23 @@ def draws_table(spark: SparkSession, base: str) -> DataFrame:
                                                         F.col("embedding").alias("coef"))
 
 
+def draw_grid(spark: SparkSession, base: str) -> DataFrame:
+    """Distinct cells with the abundance of their (date, species), one aggregate.
+
+    Abundance (events per week and type) is summed from the per-cell
+    counts over the small cell table, so the events are scanned once.
+    """
+    per_cell = draw_cells(spark, base).groupBy("species", "date2", "prey_stage").agg(
+        F.count(F.lit(1)).alias("n"))
+    return per_cell.withColumn(
+        "total_abund", F.sum("n").over(Window.partitionBy("date2", "species")).cast("double"))
+
+
 def diet_posts(spark: SparkSession, base: str) -> DataFrame:
-    cells = draw_cells(spark, base)
-    design = cell_means_design(cells, ["species", "date2", "prey_stage"], N_TERMS)
-    abundance = cells.groupBy("date2", "species").agg(
-        F.count(F.lit(1)).cast("double").alias("total_abund"))
-    return diet_posteriors(draws_table(spark, base), design, abundance,
-                           species_names=SPECIES_NAMES)
+    design = cell_means_design(draw_grid(spark, base), ["species", "date2", "prey_stage"],
+                               N_TERMS, carry=["total_abund"])
+    return diet_posteriors(draws_table(spark, base), design, species_names=SPECIES_NAMES,
+                           max_nonzero=1)
 
 
 POSTS_SQL = """
@@ -256,3 +270,317 @@ FROM sc GROUP BY data_level, date2, species, name
 """)
 def q_summarize_draws_bydate(spark: SparkSession, base: str) -> DataFrame:
     return species_means_bydate(diet_posts(spark, base), scale={"total": 1000.0})
+
+
+# ---- diet family (D) -------------------------------------------------------
+
+# Resources left out of the food web, resources drawn at other
+# heights, the colour pattern and names, the label pattern and labels.
+WEB_EXCLUDE = ["blue_rod", "red_rod"]
+WEB_SPECIAL_Y = {"hot_gear": 1.5, "cold_gear": 0.5}
+WEB_COLOUR = ("blue", ("blue", "non-blue"))
+WEB_LABELS = {"blue-bolt": "blue bolts", "tiny-r": "tiny rings", "hot-gear": "hot gears"}
+LUMP_THRESHOLD = 0.016
+LUMP_KEEP = ["hot_rod"]
+SPECIES_FIRST = ["SMALL", "STANDARD"]
+
+WEB_SQL = CLEAN_SQL + """,
+sp AS (SELECT species, sum(mg_diet_dm) AS total_gdm FROM d GROUP BY species),
+st AS (SELECT species, prey_taxon, sum(mg_diet_dm) AS total_gdm_taxa FROM d GROUP BY species, prey_taxon),
+props AS (
+  SELECT st.species AS consumer, st.prey_taxon AS resource,
+         st.total_gdm_taxa / sp.total_gdm AS diet_post
+  FROM st JOIN sp USING (species)
+  WHERE st.prey_taxon NOT IN ('blue_rod', 'red_rod')
+),
+codes AS (
+  SELECT *, dense_rank() OVER (ORDER BY consumer) AS cc, dense_rank() OVER (ORDER BY resource) AS rc,
+         count(DISTINCT consumer) OVER () AS nc, count(DISTINCT resource) OVER () AS nr
+  FROM props
+),
+edges AS (
+  SELECT resource, consumer, diet_post,
+         CASE WHEN nc = 1 THEN 0.5 ELSE (cc - 1) / (nc - 1) * 0.5 + 0.25 END AS xend,
+         CASE WHEN nr = 1 THEN 0.5 ELSE (rc - 1) / (nr - 1) * 1.0 + 0.0 END AS x,
+         0.0 AS "offset",
+         CASE WHEN resource = 'hot_gear' THEN 1.5 WHEN resource = 'cold_gear' THEN 0.5 ELSE 1.0 END AS y,
+         2.0 AS yend,
+         CASE WHEN resource LIKE '%blue%' THEN 'blue' ELSE 'non-blue' END AS color
+  FROM codes
+),
+nodes AS (
+  SELECT regexp_replace(resource, '_', '-') AS taxon, 'resource' AS trophic, x, y FROM edges
+  UNION ALL
+  SELECT consumer, 'consumer', xend, yend FROM edges
+),
+nodes2 AS (
+  SELECT taxon, trophic, x, y,
+         CASE WHEN taxon LIKE '%blue%' THEN 'blue' ELSE 'non-blue' END AS color,
+         regexp_split_to_array(taxon, '[^A-Za-z0-9]+')[1] AS taxon_ungrouped,
+         coalesce(regexp_split_to_array(taxon, '[^A-Za-z0-9]+')[2], 'unknown') AS stage
+  FROM nodes
+)"""
+
+
+def food_web_props(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.foodweb import diet_proportions
+
+    return diet_proportions(clean_diet_table(spark, base), WEB_EXCLUDE)
+
+
+def food_web_edges(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.foodweb import edge_table
+
+    return edge_table(food_web_props(spark, base), WEB_SPECIAL_Y, WEB_COLOUR[0], WEB_COLOUR[1])
+
+
+@query("separate_stage", """
+WITH p AS (
+  SELECT p_partkey, CASE WHEN p_size > 40 THEN p_type ELSE p_name END AS prey_raw FROM part
+),
+s AS (
+  SELECT p_partkey, prey_raw, regexp_split_to_array(prey_raw, '[^A-Za-z0-9]+') AS parts FROM p
+)
+SELECT p_partkey, parts[1] AS prey_taxon,
+       trim(CASE WHEN parts[2] = 'ring' THEN 'r' WHEN parts[2] IS NULL THEN 'unknown'
+                 ELSE parts[2] END) AS prey_stage,
+       coalesce(parts[1], 'NA') || '_' ||
+         trim(CASE WHEN parts[2] = 'ring' THEN 'r' WHEN parts[2] IS NULL THEN 'unknown'
+                   ELSE parts[2] END) AS prey_united
+FROM s
+""")
+def q_separate_stage(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.conditionals import case_when
+    from fieldspark.functions.strings import separate_parts, unite_cols
+
+    p = read_table(spark, base, "part").select(
+        "p_partkey", F.when(F.col("p_size") > 40, F.col("p_type")).otherwise(F.col("p_name"))
+        .alias("prey_raw"))
+    taxon, stage = separate_parts("prey_raw", 2)
+    stage_n = F.trim(case_when([(stage == "ring", F.lit("r")), (stage.isNull(), F.lit("unknown"))],
+                               stage))
+    return p.select("p_partkey", taxon.alias("prey_taxon"), stage_n.alias("prey_stage"),
+                    unite_cols([taxon, stage_n]).alias("prey_united"))
+
+
+@query("string_recode", """
+SELECT p_partkey,
+       regexp_replace(p_name, 'o', '0') AS first_o,
+       regexp_replace(regexp_replace(regexp_replace(p_name, 'small', 'little', 'g'),
+                      'large', 'big', 'g'), 'little', 'tiny', 'g') AS recoded,
+       lower(regexp_replace(p_brand, 'Brand#', '')) AS brand_no,
+       trim('  ' || p_type || ' ') AS type_trim,
+       length(p_name) AS name_len,
+       p_type || '_' || CAST(p_size AS VARCHAR) AS type_size
+FROM part
+""")
+def q_string_recode(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.strings import remove_first, replace_all_ordered, replace_first
+
+    p = read_table(spark, base, "part")
+    return p.select(
+        "p_partkey",
+        replace_first("p_name", "o", "0").alias("first_o"),
+        replace_all_ordered("p_name", PREY_RULES).alias("recoded"),
+        F.lower(remove_first("p_brand", "Brand#")).alias("brand_no"),
+        F.trim(F.concat(F.lit("  "), F.col("p_type"), F.lit(" "))).alias("type_trim"),
+        F.length("p_name").cast("bigint").alias("name_len"),
+        F.concat(F.col("p_type"), F.lit("_"), F.col("p_size").cast("string")).alias("type_size"),
+    )
+
+
+@query("pivot_stage", "WITH " + CLEAN_SQL + """,
+t AS (
+  SELECT id, species, date2,
+         CASE WHEN split_part(prey_taxon, '_', 2) IN ('bolt', 'gear') THEN 'pa' ELSE 'not_pa' END
+           AS prey_stage, sum(mg_diet_dm) AS mg_dmtotal
+  FROM d GROUP BY ALL
+),
+w AS (
+  SELECT id, species, date2,
+         coalesce(sum(CASE WHEN prey_stage = 'pa' THEN mg_dmtotal END), 0) AS pa,
+         coalesce(sum(CASE WHEN prey_stage = 'not_pa' THEN mg_dmtotal END), 0) AS not_pa
+  FROM t GROUP BY id, species, date2
+)
+SELECT id, species, date2, round(pa, 6) AS pa, round(not_pa, 6) AS not_pa,
+       round(pa + not_pa, 6) AS total,
+       round(CASE WHEN pa + not_pa = 0 THEN NULL ELSE pa / (pa + not_pa) END, 6) AS prop_pa
+FROM w
+""")
+def q_pivot_stage(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.mathx import safe_divide
+    from fieldspark.operators.reshape import pivot_wider
+
+    t = diet_stage_totals(clean_diet_table(spark, base), PA_STAGES)
+    w = pivot_wider(t, ["id", "species", "date2"], "prey_stage", "mg_dmtotal", ["pa", "not_pa"],
+                    fill=0.0, agg="sum")
+    w = w.withColumn("total", F.col("pa") + F.col("not_pa")) \
+        .withColumn("prop_pa", safe_divide(F.col("pa"), F.col("total")))
+    return rounded(w)
+
+
+@query("bind_levels", "WITH " + CLEAN_SQL + """
+SELECT 'Per species' AS data_level, species, date2, round(sum(mg_diet_dm), 6) AS total
+FROM d GROUP BY species, date2
+UNION ALL
+SELECT 'Per community', NULL, date2, round(sum(mg_diet_dm), 6) FROM d GROUP BY date2
+""")
+def q_bind_levels(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.reshape import bind_rows
+
+    d = clean_diet_table(spark, base)
+    per_sp = d.groupBy("species", "date2").agg(F.sum("mg_diet_dm").alias("total")) \
+        .withColumn("data_level", F.lit("Per species"))
+    comm = d.groupBy("date2").agg(F.sum("mg_diet_dm").alias("total")) \
+        .withColumn("data_level", F.lit("Per community"))
+    return rounded(bind_rows(per_sp, comm).select("data_level", "species", "date2", "total"))
+
+
+@query("share_of_total", "WITH " + CLEAN_SQL + """,
+g AS (SELECT prey_taxon, sum(mg_diet_dm) AS total FROM d GROUP BY prey_taxon)
+SELECT prey_taxon, round(total, 2) AS total, round(sum(total) OVER (), 2) AS global,
+       round(total / sum(total) OVER (), 6) AS proportion
+FROM g
+""")
+def q_share_of_total(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.aggregate import share_of_total
+
+    return rounded(share_of_total(clean_diet_table(spark, base), ["prey_taxon"], "mg_diet_dm"),
+                   total=2, **{"global": 2})
+
+
+@query("lump_rare", "WITH " + CLEAN_SQL + """,
+g AS (SELECT prey_taxon, sum(mg_diet_dm) AS total FROM d GROUP BY prey_taxon),
+m AS (
+  SELECT prey_taxon,
+         CASE WHEN total / sum(total) OVER () >= 0.016 OR prey_taxon IN ('hot_rod') THEN prey_taxon
+              ELSE 'other_unknown' END AS prey_taxon_grouped
+  FROM g
+)
+SELECT date2, species, prey_taxon_grouped, id, round(sum(mg_diet_dm), 6) AS mg_diet_dm,
+       round(sum(mg_diet_dm) + 0.1, 6) AS mg_diet_dm01
+FROM d LEFT JOIN m USING (prey_taxon)
+GROUP BY date2, species, prey_taxon_grouped, id
+""")
+def q_lump_rare(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.diet import lump_rare_prey
+
+    return rounded(lump_rare_prey(clean_diet_table(spark, base), LUMP_THRESHOLD, LUMP_KEEP))
+
+
+@query("diet_proportion", "WITH " + CLEAN_SQL + """,
+sp AS (SELECT species, sum(mg_diet_dm) AS total_gdm FROM d GROUP BY species),
+st AS (SELECT species, prey_taxon, sum(mg_diet_dm) AS total_gdm_taxa FROM d GROUP BY species, prey_taxon)
+SELECT species, prey_taxon, round(total_gdm, 2) AS total_gdm,
+       round(total_gdm_taxa, 2) AS total_gdm_taxa,
+       round(total_gdm_taxa / total_gdm, 6) AS proportion
+FROM st JOIN sp USING (species)
+""")
+def q_diet_proportion(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.aggregate import proportion_within
+
+    return rounded(proportion_within(clean_diet_table(spark, base), ["species"], ["prey_taxon"],
+                                     "mg_diet_dm"), total_gdm=2, total_gdm_taxa=2)
+
+
+@query("rank_by_mean", "WITH " + CLEAN_SQL + """,
+m AS (SELECT prey_taxon, avg(mg_diet_dm) AS mean_value FROM d GROUP BY prey_taxon)
+SELECT prey_taxon, round(mean_value, 6) AS mean_value,
+       row_number() OVER (ORDER BY mean_value DESC NULLS LAST, prey_taxon) AS level
+FROM m
+""")
+def q_rank_by_mean(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.aggregate import rank_by_mean
+
+    return rounded(rank_by_mean(clean_diet_table(spark, base), "prey_taxon", "mg_diet_dm"))
+
+
+@query("relevel_sort", "WITH " + CLEAN_SQL + """,
+s AS (SELECT DISTINCT species FROM d)
+SELECT species,
+       CAST(CASE WHEN species = 'SMALL' THEN 1 WHEN species = 'STANDARD' THEN 2
+            ELSE 2 + row_number() OVER (PARTITION BY species IN ('SMALL', 'STANDARD') ORDER BY species)
+            END AS INTEGER) AS species_level
+FROM s
+""")
+def q_relevel_sort(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.window import relevel_key
+
+    s = clean_diet_table(spark, base).select("species").distinct()
+    return relevel_key(s, "species", SPECIES_FIRST, "species_level")
+
+
+@query("rescale_layout", "WITH " + WEB_SQL + """
+SELECT DISTINCT 'consumer' AS role, consumer AS name, round(xend, 6) AS pos FROM edges
+UNION ALL
+SELECT DISTINCT 'resource', resource, round(x, 6) FROM edges
+""")
+def q_rescale_layout(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.foodweb import layout
+
+    lay = layout(food_web_props(spark, base))
+    cons = lay.select(F.lit("consumer").alias("role"), F.col("consumer").alias("name"),
+                      F.col("xend").alias("pos")).distinct()
+    res = lay.select(F.lit("resource").alias("role"), F.col("resource").alias("name"),
+                     F.col("x").alias("pos")).distinct()
+    return rounded(cons.unionByName(res))
+
+
+@query("edge_table", "WITH " + WEB_SQL + """
+SELECT resource, consumer, round(diet_post, 6) AS diet_post, round(xend, 6) AS xend,
+       round(x, 6) AS x, round(x + "offset", 6) AS x1, round(xend + "offset", 6) AS xend1,
+       round(diet_post * 100, 6) AS repeats, y, yend, color
+FROM edges
+""")
+def q_edge_table(spark: SparkSession, base: str) -> DataFrame:
+    e = food_web_edges(spark, base)
+    return rounded(e.select("resource", "consumer", "diet_post", "xend", "x", "x1", "xend1",
+                            "repeats", "y", "yend", "color"))
+
+
+@query("node_table", "WITH " + WEB_SQL + """
+SELECT taxon, trophic, round(x, 6) AS x, round(y, 6) AS y, color, taxon_ungrouped, stage
+FROM nodes2
+""")
+def q_node_table(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.foodweb import node_table
+
+    return rounded(node_table(food_web_edges(spark, base), "blue", WEB_COLOUR[1]))
+
+
+@query("node_labels", "WITH " + WEB_SQL + """,
+f AS (
+  SELECT taxon, arg_min(trophic, (trophic, x, y)) AS trophic, arg_min(x, (trophic, x, y)) AS x,
+         arg_min(y, (trophic, x, y)) AS y, arg_min(color, (trophic, x, y)) AS color,
+         arg_min(taxon_ungrouped, (trophic, x, y)) AS taxon_ungrouped,
+         arg_min(stage, (trophic, x, y)) AS stage
+  FROM nodes2 GROUP BY taxon
+)
+SELECT taxon, trophic, round(x, 6) AS x, round(y, 6) AS y, color, taxon_ungrouped, stage,
+       CASE WHEN taxon LIKE '%blue%' THEN taxon END AS prey_label,
+       CASE WHEN taxon = 'blue-bolt' THEN 'blue bolts' WHEN taxon = 'tiny-r' THEN 'tiny rings'
+            WHEN taxon = 'hot-gear' THEN 'hot gears' END AS label
+FROM f
+""")
+def q_node_labels(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.foodweb import node_labels, node_table
+
+    nodes = node_table(food_web_edges(spark, base), "blue", WEB_COLOUR[1])
+    return rounded(node_labels(nodes, "blue", WEB_LABELS))
+
+
+@query("taxon_totals", "WITH " + CLEAN_SQL + """
+SELECT id, species, date2, round(sum(mg_diet_dm), 6) AS mg_dm, 'All prey' AS "group"
+FROM d GROUP BY id, species, date2
+UNION ALL
+SELECT id, species, date2, round(sum(mg_diet_dm), 6), 'Tiny prey'
+FROM d WHERE prey_taxon LIKE 'tiny\\_%' ESCAPE '\\' GROUP BY id, species, date2
+""")
+def q_taxon_totals(spark: SparkSession, base: str) -> DataFrame:
+    d = clean_diet_table(spark, base)
+    keys = ["id", "species", "date2"]
+    allp = d.groupBy(*keys).agg(F.sum("mg_diet_dm").alias("mg_dm")).withColumn("group",
+                                                                                 F.lit("All prey"))
+    tiny = d.where(F.col("prey_taxon").startswith("tiny_")).groupBy(*keys) \
+        .agg(F.sum("mg_diet_dm").alias("mg_dm")).withColumn("group", F.lit("Tiny prey"))
+    return rounded(allp.unionByName(tiny))
