@@ -10,25 +10,35 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def pivot_two_digit_year(d: Column) -> Column:
+    """Two-digit years 69-99 belong to the 1900s (POSIX ``%y``).
+
+    Spark's ``yy`` maps every two-digit year into 2000-2099.
+    """
+    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
+
+
 def parse_mdy(c: str | Column) -> Column:
     """Month/day/year with 4- or 2-digit years; unparseable -> NULL.
 
     ``M/d/yyyy`` rejects two-digit years and ``M/d/yy`` rejects four-digit
-    years, so the two patterns never both match.
+    years, so the two patterns never both match.  Two-digit years 00-68
+    are 2000-2068, 69-99 are 1969-1999.
     """
     col = _col(c)
-    return F.coalesce(F.try_to_date(col, F.lit("M/d/yyyy")), F.try_to_date(col, F.lit("M/d/yy")))
+    return F.coalesce(F.try_to_date(col, "M/d/yyyy"),
+                      pivot_two_digit_year(F.try_to_date(col, "M/d/yy")))
 
 
 def parse_dmy_mon(c: str | Column) -> Column:
     """``d-MMM-yy`` dates such as ``7-Jun-17``; unparseable -> NULL."""
-    return F.try_to_date(_col(c), F.lit("d-MMM-yy"))
+    return pivot_two_digit_year(F.try_to_date(_col(c), "d-MMM-yy"))
 
 
 def parse_date_any(c: str | Column) -> Column:
     """ISO, month/day/year or day-month-name-year, first that parses."""
     col = _col(c)
-    return F.coalesce(F.try_to_date(col, F.lit("yyyy-MM-dd")), parse_mdy(col), parse_dmy_mon(col))
+    return F.coalesce(F.try_to_date(col, "yyyy-MM-dd"), parse_mdy(col), parse_dmy_mon(col))
 
 
 def add_fractional_days(date_col: str | Column, days: str | Column | float) -> Column:

@@ -584,3 +584,340 @@ def q_taxon_totals(spark: SparkSession, base: str) -> DataFrame:
     tiny = d.where(F.col("prey_taxon").startswith("tiny_")).groupBy(*keys) \
         .agg(F.sum("mg_diet_dm").alias("mg_dm")).withColumn("group", F.lit("Tiny prey"))
     return rounded(allp.unionByName(tiny))
+
+
+# ---- events family (C, V) ---------------------------------------------------
+
+# Dodge per type (days), recodes, cut-offs and the two survey dates.
+DODGE = {"click": 0.5, "view": 0.25, "purchase": 0.0, "signup": -0.25}
+COMMUNITY_RENAME = {"view": "viewer", "signup": "signer"}
+SURVEY_DATES = ["2024-01-29", "2024-01-30"]
+HURDLE_CUT = 5.0
+
+
+def events(spark: SparkSession, base: str) -> DataFrame:
+    return read_table(spark, base, "events")
+
+
+@query("parse_dates", """
+WITH o AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderstatus FROM orders
+),
+t AS (
+  SELECT o_orderkey, d, o_orderstatus, strftime(d, '%-m/%-d/%Y') AS us_text,
+         strftime(d, '%m/%d/%y') AS short_text, strftime(d, '%-d-%b-%y') AS mon_text,
+         strftime(d, '%Y-%m-%d') AS iso_text
+  FROM o
+)
+SELECT o_orderkey, us_text, short_text, mon_text,
+       CAST(try_strptime(us_text, '%m/%d/%Y') AS DATE) AS parsed_us,
+       CAST(try_strptime(short_text, '%m/%d/%y') AS DATE) AS parsed_short,
+       CAST(try_strptime(mon_text, '%d-%b-%y') AS DATE) AS parsed_mon,
+       CAST(try_strptime(iso_text, '%Y-%m-%d') AS DATE) AS parsed_any,
+       CAST(NULL AS DATE) AS parsed_bad
+FROM t
+""")
+def q_parse_dates(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.dates import parse_date_any, parse_dmy_mon, parse_mdy
+
+    o = read_table(spark, base, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("d"), "o_orderstatus")
+    t = o.select("o_orderkey", "o_orderstatus",
+                 F.date_format("d", "M/d/yyyy").alias("us_text"),
+                 F.date_format("d", "MM/dd/yy").alias("short_text"),
+                 F.date_format("d", "d-MMM-yy").alias("mon_text"),
+                 F.date_format("d", "yyyy-MM-dd").alias("iso_text"))
+    return t.select("o_orderkey", "us_text", "short_text", "mon_text",
+                    parse_mdy("us_text").alias("parsed_us"),
+                    parse_mdy("short_text").alias("parsed_short"),
+                    parse_dmy_mon("mon_text").alias("parsed_mon"),
+                    parse_date_any("iso_text").alias("parsed_any"),
+                    parse_mdy("o_orderstatus").alias("parsed_bad"))
+
+
+@query("dodge_dates", """
+SELECT event_id, event_type, CAST(ts AS DATE) AS date,
+       CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_seconds(CAST(round(
+         CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.25 WHEN 'purchase' THEN 0.0
+                         WHEN 'signup' THEN -0.25 ELSE 0.0 END * 86400) AS BIGINT)) AS date_dodged
+FROM events
+""")
+def q_dodge_dates(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.conditionals import case_when
+    from fieldspark.functions.dates import add_fractional_days
+
+    ev = events(spark, base)
+    dodge = case_when([(F.col("event_type") == F.lit(k), F.lit(v)) for k, v in DODGE.items()],
+                      F.lit(0.0))
+    return ev.select("event_id", "event_type", F.to_date("ts").alias("date"),
+                     add_fractional_days(F.to_date("ts"), dodge).alias("date_dodged"))
+
+
+@query("clean_names", """
+SELECT c_custkey AS c_cust_key, c_name AS c_name, c_nationkey AS c_nation_key,
+       c_acctbal AS c_acct_bal, c_mktsegment AS c_mkt_segment
+FROM customer
+""")
+def q_clean_names(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.sources.readers import clean_names
+
+    c = read_table(spark, base, "customer")
+    messy = c.select(F.col("c_custkey").alias("C CustKey"), F.col("c_name").alias("c.Name"),
+                     F.col("c_nationkey").alias("C__NationKey "),
+                     F.col("c_acctbal").alias("cAcctBal"),
+                     F.col("c_mktsegment").alias("C-MKTSegment"))
+    return clean_names(messy)
+
+
+@query("filter_predicates", """
+WITH e AS (SELECT event_id, nullif(event_type, 'error') AS et, value FROM events)
+SELECT event_id, et, value FROM e
+WHERE (et <> 'view' AND value > 10) OR (et = 'click' AND value <= 1)
+""")
+def q_filter_predicates(spark: SparkSession, base: str) -> DataFrame:
+    e = events(spark, base).select("event_id", F.nullif(F.col("event_type"), F.lit("error"))
+                                   .alias("et"), "value")
+    return e.where(((F.col("et") != "view") & (F.col("value") > 10))
+                   | ((F.col("et") == "click") & (F.col("value") <= 1)))
+
+
+@query("recode_treatment", """
+WITH e AS (
+  SELECT event_id, CAST(ts AS DATE) AS date, user_id, value,
+         CASE WHEN event_type IN ('click', 'view') THEN 'fish' ELSE 'no fish' END AS treatment
+  FROM events WHERE event_type <> 'error'
+)
+SELECT event_id, date, user_id, CASE WHEN treatment = 'fish' THEN 'ctrl' ELSE 'exc' END AS trt,
+       value, round(value + 0.01, 6) AS value01
+FROM e
+""")
+def q_recode_treatment(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.spiders import recode_treatment
+
+    ev = events(spark, base).select(
+        "event_id", F.to_date("ts").alias("date"), "user_id", F.col("value").alias("spid"),
+        F.when(F.col("event_type").isin("click", "view"), F.lit("fish"))
+        .otherwise(F.lit("no fish")).alias("treatment"), F.col("event_type").alias("trt"))
+    out = recode_treatment(ev, drop_trt="error", count_col="spid")
+    return rounded(out.select("event_id", "date", "user_id", "trt",
+                              F.col("spid").alias("value"), F.col("spid01").alias("value01")))
+
+
+@query("drop_na", """
+WITH e AS (
+  SELECT event_id, nullif(event_type, 'signup') AS et, nullif(props, '{"k": 1}') AS pr, value
+  FROM events
+)
+SELECT * FROM e WHERE et IS NOT NULL AND pr IS NOT NULL
+""")
+def q_drop_na(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.project import drop_na
+
+    e = events(spark, base).select(
+        "event_id", F.nullif(F.col("event_type"), F.lit("signup")).alias("et"),
+        F.nullif(F.col("props"), F.lit('{"k": 1}')).alias("pr"), "value")
+    return drop_na(e)
+
+
+@query("strict_sum", """
+WITH e AS (SELECT user_id, event_type, CASE WHEN value > 450 THEN NULL ELSE value END AS v FROM events)
+SELECT user_id, event_type, count(*) AS n, count(v) AS n_obs,
+       round(CASE WHEN count(*) = count(v) THEN sum(v) END, 6) AS strict_total,
+       round(CASE WHEN count(*) = count(v) THEN avg(v) END, 6) AS strict_mean,
+       round(sum(v), 6) AS total_narm
+FROM e GROUP BY user_id, event_type
+""")
+def q_strict_sum(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.aggregate import strict_mean, strict_sum
+
+    e = events(spark, base).select("user_id", "event_type",
+                                   F.when(F.col("value") <= 450, F.col("value")).alias("v"))
+    out = e.groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count("v").alias("n_obs"),
+        strict_sum("v").alias("strict_total"), strict_mean("v").alias("strict_mean"),
+        F.sum("v").alias("total_narm"))
+    return rounded(out)
+
+
+@query("locf_fill", """
+WITH e AS (
+  SELECT event_id, user_id, ts,
+         nullif(trim(CASE WHEN value < 50 THEN '' ELSE event_type END), '') AS prior
+  FROM events
+)
+SELECT event_id, user_id, prior AS prior_raw,
+       last_value(prior IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prior
+FROM e
+""")
+def q_locf_fill(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.strings import blank_to_null
+    from fieldspark.operators.window import locf
+
+    e = events(spark, base).select(
+        "event_id", "user_id", "ts",
+        blank_to_null(F.when(F.col("value") < 50, F.lit("")).otherwise(F.col("event_type")))
+        .alias("prior"))
+    e = e.withColumn("prior_raw", F.col("prior"))
+    filled = locf(e, ["user_id"], ["ts", "event_id"], ["prior"], chunk=F.to_date("ts"))
+    return filled.select("event_id", "user_id", "prior_raw", "prior")
+
+
+@query("first_per_key", """
+SELECT user_id, event_id, ts, event_type, value, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+""")
+def q_first_per_key(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.window import first_per_key
+
+    ev = events(spark, base)
+    return first_per_key(ev, ["user_id"], ["ts", "event_id"]).select(
+        "user_id", "event_id", "ts", "event_type", "value", "props")
+
+
+@query("impute_zero_mean", """
+WITH o AS (SELECT CAST(ts AS DATE) AS date2, event_type AS species,
+                  CASE WHEN value >= 400 THEN 1 ELSE 0 END AS abund FROM events),
+grid AS (SELECT * FROM (SELECT DISTINCT date2 FROM o) CROSS JOIN (SELECT DISTINCT species FROM o)),
+raw AS (SELECT date2, species, sum(abund) AS s FROM o GROUP BY date2, species),
+f AS (SELECT g.date2, g.species, CAST(coalesce(r.s, 0) AS BIGINT) AS total_abund_raw
+      FROM grid g LEFT JOIN raw r USING (date2, species)),
+a AS (SELECT *, avg(total_abund_raw) OVER (PARTITION BY species) AS average FROM f)
+SELECT date2,
+       CASE species WHEN 'view' THEN 'viewer' WHEN 'signup' THEN 'signer' ELSE species END AS species,
+       total_abund_raw, round(average, 6) AS average,
+       round(CASE WHEN total_abund_raw = 0 THEN average ELSE total_abund_raw END, 6) AS total_abund
+FROM a WHERE date2 <> DATE '2024-01-01'
+""")
+def q_impute_zero_mean(spark: SparkSession, base: str) -> DataFrame:
+    import datetime
+
+    from fieldspark.plans.community import community_totals
+
+    o = events(spark, base).select(F.to_date("ts").alias("date"), F.col("event_type")
+                                   .alias("species"),
+                                   F.when(F.col("value") >= 400, 1).otherwise(0).alias("abund"))
+    out = community_totals(o, drop_date=datetime.date(2024, 1, 1), rename=COMMUNITY_RENAME)
+    return rounded(out.select("date2", "species", F.col("total_abund_raw").cast("bigint"),
+                              "average", "total_abund"))
+
+
+@query("nearest_survey_join", """
+WITH l AS (SELECT event_id, user_id, CAST(ts AS DATE) AS date, value FROM events
+           WHERE event_type <> 'view'),
+r AS (SELECT user_id, CAST(ts AS DATE) AS date, sum(value) AS value, count(*) AS n FROM events
+      WHERE CAST(ts AS DATE) = DATE '2024-01-29' OR CAST(ts AS DATE) = DATE '2024-01-30'
+      GROUP BY user_id, CAST(ts AS DATE))
+SELECT l.event_id, l.user_id, l.date AS date_x, round(l.value, 6) AS value_x,
+       r.date AS date_y, round(r.value, 6) AS value_y, r.n
+FROM l LEFT JOIN r ON l.user_id = r.user_id
+""")
+def q_nearest_survey_join(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.joins import left_join_suffixed
+
+    ev = events(spark, base).withColumn("date", F.to_date("ts"))
+    left = ev.where(F.col("event_type") != "view").select("event_id", "user_id", "date", "value")
+    d1, d2 = [F.lit(x).cast("date") for x in SURVEY_DATES]
+    right = (ev.where((F.col("date") == d1) | (F.col("date") == d2))
+             .groupBy("user_id", "date").agg(F.sum("value").alias("value"),
+                                             F.count(F.lit(1)).alias("n")))
+    out = left_join_suffixed(left, right, ["user_id"], max_multiplicity=len(SURVEY_DATES))
+    return rounded(out.select("event_id", "user_id", "date_x", "value_x", "date_y", "value_y", "n"))
+
+
+@query("poisson_cells", """
+WITH o AS (SELECT CAST(ts AS DATE) AS day, event_type FROM events),
+grid AS (SELECT * FROM (SELECT DISTINCT day FROM o) CROSS JOIN (SELECT DISTINCT event_type FROM o)),
+c AS (SELECT day, event_type, count(*) AS cnt FROM o GROUP BY day, event_type),
+f AS (SELECT g.day, g.event_type, coalesce(c.cnt, 0) AS cnt, dayname(g.day) AS weekday
+      FROM grid g LEFT JOIN c USING (day, event_type))
+SELECT event_type, weekday, count(*) AS n, round(avg(cnt), 6) AS mean, round(ln(avg(cnt)), 6) AS b,
+       round(1 / sqrt(count(*) * avg(cnt)), 6) AS se
+FROM f GROUP BY event_type, weekday
+""")
+def q_poisson_cells(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.joins import complete_grid
+    from fieldspark.operators.models import cell_means
+
+    o = events(spark, base).select(F.to_date("ts").alias("day"), "event_type")
+    counts = o.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("cnt"))
+    full = complete_grid(o, ["day", "event_type"]).join(counts, ["day", "event_type"], "left") \
+        .withColumn("cnt", F.coalesce(F.col("cnt"), F.lit(0)).cast("double")) \
+        .withColumn("weekday", F.date_format("day", "EEEE"))
+    fit = cell_means(full, ["event_type", "weekday"], "cnt", family="poisson")
+    return rounded(fit.select("event_type", "weekday", "n", "mean", "b", "se"))
+
+
+@query("hurdle_means", """
+WITH e AS (SELECT event_type AS species, CAST(date_trunc('week', ts) AS DATE) AS date2,
+                  CASE WHEN value < 5 THEN 0 ELSE value END AS y FROM events),
+mu AS (SELECT species, date2, avg(CASE WHEN y > 0 THEN y END) AS mu, count(CASE WHEN y > 0 THEN 1 END) AS n_pos
+       FROM e GROUP BY species, date2),
+hu AS (SELECT species, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS hu, count(*) AS n_hu FROM e GROUP BY species)
+SELECT species, date2, round(mu, 6) AS mu, n_pos, round(hu, 6) AS hu, n_hu,
+       round(mu * (1 - hu), 6) AS epred
+FROM mu LEFT JOIN hu USING (species)
+""")
+def q_hurdle_means(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import hurdle_means
+
+    e = events(spark, base).select(
+        F.col("event_type").alias("species"), F.date_trunc("week", "ts").cast("date").alias("date2"),
+        F.when(F.col("value") < HURDLE_CUT, F.lit(0.0)).otherwise(F.col("value")).alias("y"))
+    out = hurdle_means(e, "y", ["species", "date2"], ["species"])
+    return rounded(out.select("species", "date2", "mu", "n_pos", "hu", "n_hu", "epred"))
+
+
+@query("shrunken_means", """
+WITH e AS (SELECT user_id, ln(value) AS v FROM events WHERE value > 0),
+g AS (SELECT user_id, count(*) AS n, avg(v) AS ybar, sum(v * v) - sum(v) * sum(v) / count(*) AS ss
+      FROM e GROUP BY user_id),
+s AS (SELECT sum(ss) / (sum(n) - count(*)) AS s2, var_samp(ybar) AS vb, avg(1.0 / n) AS inv_n,
+             avg(ybar) AS m FROM g),
+t AS (SELECT *, greatest(vb - s2 * inv_n, 0.0) AS t2 FROM s)
+SELECT g.user_id, g.n, round(g.ybar, 6) AS ybar,
+       round(CASE WHEN t.t2 > 0 THEN t.t2 / (t.t2 + t.s2 / g.n) ELSE 0.0 END, 6) AS w,
+       round(t.m + CASE WHEN t.t2 > 0 THEN t.t2 / (t.t2 + t.s2 / g.n) ELSE 0.0 END * (g.ybar - t.m), 6)
+         AS shrunk,
+       round(exp(t.m + CASE WHEN t.t2 > 0 THEN t.t2 / (t.t2 + t.s2 / g.n) ELSE 0.0 END * (g.ybar - t.m)), 6)
+         AS shrunk_exp
+FROM g CROSS JOIN t
+""")
+def q_shrunken_means(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import shrunken_means
+
+    out = shrunken_means(events(spark, base).where(F.col("value") > 0), "user_id", "value")
+    return rounded(out.select("user_id", "n", "ybar", "w", "shrunk", "shrunk_exp"))
+
+
+@query("distribution_bins", """
+WITH e AS (SELECT event_type, value, log10(value) AS x FROM events WHERE value > 0),
+b AS (SELECT event_type, CAST(least(greatest(floor((x - (-2.0)) / 0.25), 0), 19) AS INTEGER) AS bin,
+             count(*) AS n FROM e GROUP BY ALL),
+q AS (SELECT event_type, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
+             quantile_cont(value, 0.75) AS q75 FROM e GROUP BY event_type)
+SELECT b.event_type, b.bin, b.n, round(-2.0 + b.bin * 0.25, 6) AS bin_lo,
+       round(q.q25, 6) AS q25, round(q.q50, 6) AS q50, round(q.q75, 6) AS q75
+FROM b LEFT JOIN q USING (event_type)
+""")
+def q_distribution_bins(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.aggregate import distribution_bins
+
+    out = distribution_bins(events(spark, base), ["event_type"], "value", -2.0, 3.0, 20)
+    return rounded(out.select("event_type", "bin", "n", "bin_lo", "q25", "q50", "q75"))
+
+
+@query("group_means_model", """
+WITH e AS (SELECT regexp_replace(event_type, 'signup', 'sign_up') AS taxon, value FROM events
+           WHERE value > 0)
+SELECT taxon, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd,
+       round(ln(avg(value)), 6) AS b, round(stddev_samp(value) / (avg(value) * sqrt(count(value))), 6) AS se
+FROM e GROUP BY taxon
+""")
+def q_group_means_model(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.strings import replace_first
+    from fieldspark.operators.models import cell_means
+
+    e = events(spark, base).where(F.col("value") > 0).select(
+        replace_first("event_type", "signup", "sign_up").alias("taxon"), "value")
+    return rounded(cell_means(e, ["taxon"], "value").select("taxon", "n", "mean", "sd", "b", "se"))
