@@ -66,6 +66,20 @@ def cell_means_design(grid: DataFrame, cells: Sequence[str], n_terms: int,
                        F.col("cell_index").cast("int").alias("cell_index"), onehot.alias(x))
 
 
+def factor_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
+    """Sorted distinct values of a factor column, for building a design.
+
+    The design's dummy columns are expressions written per level, so the
+    levels are needed when the plan is built (as for ``pivot`` without
+    explicit values).  Only up to ``max_levels + 1`` distinct values reach
+    the driver; more is an error (not a factor).
+    """
+    rows = df.select(col).distinct().orderBy(col).limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} levels")
+    return [r[0] for r in rows]
+
+
 def treatment_design(grid: DataFrame, factors: Mapping[str, Sequence[str]],
                      x: str = "x") -> tuple[DataFrame, list[str]]:
     """Full-factorial treatment-coded design for factors with known levels.
@@ -143,6 +157,22 @@ def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw:
     return e.select(*cols)
 
 
+def scale_by_abundance(epred: DataFrame, abundance: DataFrame, value: str = "epred",
+                       abund: str = "total_abund", out: str = "population_epred",
+                       by: Sequence[str] | None = None) -> DataFrame:
+    """Left join an abundance table on shared keys and multiply.
+
+    The abundance side has one row per key; it is broadcast after a
+    checked row bound, so the (large) draw table is not shuffled.  When
+    the grid is at hand, attaching abundance to the grid before expansion
+    (``carry``) avoids the join entirely.
+    """
+    from fieldspark.operators.joins import natural_left_join
+
+    j = natural_left_join(epred, abundance, by, y_small=True)
+    return j.withColumn(out, F.col(value) * F.col(abund))
+
+
 def thin_draws(df: DataFrame, n: int, draw: str = "draw") -> DataFrame:
     """Keep draws numbered up to ``n`` (deterministic thinning for plots)."""
     return df.where(F.col(draw) <= F.lit(n))
@@ -282,6 +312,7 @@ def cumulative_draws(df: DataFrame, keys: Sequence[str], draw: str, value: str,
 
 __all__ = [
     "DEFAULT_MAX_CELLS", "DEFAULT_MAX_LEVELS", "cell_means_design", "community_rollup",
-    "cumulative_draws", "draws_to_wide", "epred_draws", "point_interval", "species_average",
+    "cumulative_draws", "draws_to_wide", "epred_draws", "point_interval", "scale_by_abundance",
+    "species_average",
     "stage_levels", "summarize_draws", "thin_draws", "to_long", "treatment_design",
 ]

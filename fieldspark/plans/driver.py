@@ -921,3 +921,408 @@ def q_group_means_model(spark: SparkSession, base: str) -> DataFrame:
     e = events(spark, base).where(F.col("value") > 0).select(
         replace_first("event_type", "signup", "sign_up").alias("taxon"), "value")
     return rounded(cell_means(e, ["taxon"], "value").select("taxon", "n", "mean", "sd", "b", "se"))
+
+
+# ---- wide counts (E), draws (X) and models ---------------------------------
+
+def events_draw_epred(spark: SparkSession, base: str, carry_abundance: bool = False) -> DataFrame:
+    """Expected value per (draw-model cell, draw)."""
+    from fieldspark.operators.draws import epred_draws
+
+    grid = draw_grid(spark, base)
+    design = cell_means_design(grid, ["species", "date2", "prey_stage"], N_TERMS,
+                               carry=["total_abund"] if carry_abundance else [])
+    return epred_draws(draws_table(spark, base), design, ["species", "date2", "prey_stage"],
+                       carry=["total_abund"] if carry_abundance else [], max_nonzero=1)
+
+
+EPRED_SQL = """
+ev AS (
+  SELECT event_type AS species, CAST(date_trunc('week', ts) AS DATE) AS date2,
+         CASE WHEN value >= 50 THEN 'pa' ELSE 'not_pa' END AS prey_stage
+  FROM events
+),
+cells AS (
+  SELECT species, date2, prey_stage,
+         row_number() OVER (ORDER BY species, date2, prey_stage) - 1 AS cell_index
+  FROM (SELECT DISTINCT species, date2, prey_stage FROM ev)
+),
+ab AS (SELECT date2, species, CAST(count(*) AS DOUBLE) AS total_abund FROM ev GROUP BY date2, species),
+ep AS (
+  SELECT c.species, c.date2, c.prey_stage, e.vec_id AS draw,
+         exp(CAST(e.embedding[c.cell_index + 1] AS DOUBLE)) AS epred
+  FROM cells c CROSS JOIN embeddings e
+)"""
+
+
+@query("fill_zero_biomass", """
+WITH r AS (
+  SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS chir, sum(l_tax) AS tax, sum(l_discount) AS disc
+  FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey
+)
+SELECT o.o_orderkey, round(coalesce(r.chir, 0), 6) AS chir, round(coalesce(r.tax, 0), 6) AS tax,
+       round(coalesce(r.disc, 0), 6) AS disc
+FROM orders o LEFT JOIN r USING (o_orderkey)
+""")
+def q_fill_zero_biomass(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.project import fill_zero
+
+    li = read_table(spark, base, "lineitem").where(F.col("l_returnflag") == "R")
+    r = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum("l_quantity").alias("chir"), F.sum("l_tax").alias("tax"),
+        F.sum("l_discount").alias("disc"))
+    o = read_table(spark, base, "orders").select("o_orderkey")
+    return rounded(fill_zero(o.join(r, ["o_orderkey"], "left")))
+
+
+E_SQL = """
+e AS (
+  SELECT l_orderkey AS stat, l_returnflag AS loc, CAST(l_quantity AS DOUBLE) AS chir,
+         CAST(round(l_tax * 100) AS INTEGER) AS doli, CAST(round(l_discount * 100) AS INTEGER) AS tric,
+         l_linenumber AS odo, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_linenumber END AS ephe,
+         0.36 AS area, CASE WHEN l_linestatus = 'O' THEN 4 ELSE 3 END AS days
+  FROM lineitem
+)"""
+
+
+@query("biomass_convert", "WITH " + E_SQL + """,
+m AS (
+  SELECT stat, loc, coalesce(chir, 0) * 0.99 AS chiro_mg_dm,
+         CAST(coalesce(doli, 0) AS DOUBLE) * 0.65 AS doli_mg_dm,
+         CAST(coalesce(tric, 0) AS DOUBLE) * 0.8 AS tric_mg_dm,
+         CAST(coalesce(odo, 0) AS DOUBLE) * 6.2 AS odo_mg_dm,
+         CAST(coalesce(ephe, 0) AS DOUBLE) * 1.1 AS ephem_mg_dm, area, days
+  FROM e
+)
+SELECT stat, loc, round(chiro_mg_dm, 6) AS chiro_mg_dm, round(doli_mg_dm, 6) AS doli_mg_dm,
+       round(tric_mg_dm, 6) AS tric_mg_dm, round(odo_mg_dm, 6) AS odo_mg_dm,
+       round(ephem_mg_dm, 6) AS ephem_mg_dm,
+       round(chiro_mg_dm + doli_mg_dm + tric_mg_dm + odo_mg_dm + ephem_mg_dm, 6) AS tot_mg_dm,
+       round((chiro_mg_dm + doli_mg_dm + tric_mg_dm + odo_mg_dm + ephem_mg_dm) / area / days, 6)
+         AS tot_mg_dm_m2_d,
+       CAST(stat AS VARCHAR) || '_' || loc AS id
+FROM m
+""")
+def q_biomass_convert(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.biomass import emergence_biomass
+
+    li = read_table(spark, base, "lineitem")
+    e = li.select(F.col("l_orderkey").alias("stat"), F.col("l_returnflag").alias("loc"),
+                  F.col("l_quantity").alias("chir"),
+                  F.round(F.col("l_tax") * 100).cast("int").alias("doli"),
+                  F.round(F.col("l_discount") * 100).cast("int").alias("tric"),
+                  F.col("l_linenumber").alias("odo"),
+                  F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")).alias("ephe"),
+                  F.lit(0.36).alias("area"),
+                  F.when(F.col("l_linestatus") == "O", 4).otherwise(3).alias("days"))
+    out = emergence_biomass(e)
+    return rounded(out.select("stat", "loc", "chiro_mg_dm", "doli_mg_dm", "tric_mg_dm",
+                              "odo_mg_dm", "ephem_mg_dm", "tot_mg_dm", "tot_mg_dm_m2_d", "id"))
+
+
+@query("length_mass", """
+WITH m AS (SELECT 0.1 * pow(l_quantity, 1.57) AS mg_dm FROM lineitem)
+SELECT count(mg_dm) AS n, round(avg(mg_dm), 6) AS mean, round(stddev_samp(mg_dm), 6) AS sd,
+       round(ln(avg(mg_dm)), 6) AS b, round(stddev_samp(mg_dm) / (avg(mg_dm) * sqrt(count(mg_dm))), 6) AS se
+FROM m
+""")
+def q_length_mass(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.mathx import power_law
+    from fieldspark.operators.models import cell_means
+
+    li = read_table(spark, base, "lineitem").select(
+        F.lit(0.1).alias("a"), F.lit(1.57).alias("b"), "l_quantity")
+    mg = li.withColumn("mg_dm", power_law("l_quantity", F.col("a"), F.col("b")))
+    return rounded(cell_means(mg, [], "mg_dm").select("n", "mean", "sd", "b", "se"))
+
+
+@query("backtransform_mean", """
+WITH u AS (
+  SELECT unnest(embedding) AS coef, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings
+)
+SELECT lower(regexp_replace('b_Term' || CAST(pos AS VARCHAR), 'b_', '')) AS taxon,
+       round(avg(exp(CAST(coef AS DOUBLE))), 6) AS mean_mgdm
+FROM u GROUP BY pos
+""")
+def q_backtransform_mean(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.strings import remove_first
+
+    emb = read_table(spark, base, "embeddings").select(F.posexplode("embedding").alias("pos", "coef"))
+    long = emb.select(F.concat(F.lit("b_Term"), F.col("pos").cast("string")).alias("key"),
+                      F.col("coef").cast("double").alias("value"))
+    out = long.groupBy("key").agg(F.avg(F.exp("value")).alias("mean_mgdm"))
+    return rounded(out.select(F.lower(remove_first("key", "b_")).alias("taxon"), "mean_mgdm"))
+
+
+@query("biomass_unpivot", """
+WITH w AS (
+  SELECT l_orderkey AS id, l_linenumber AS stat, l_returnflag AS location, l_quantity, l_discount, l_tax
+  FROM lineitem
+),
+long AS (
+  SELECT id, stat, location, 'l_quantity' AS taxon, l_quantity AS abundance FROM w
+  UNION ALL SELECT id, stat, location, 'l_discount', l_discount FROM w
+  UNION ALL SELECT id, stat, location, 'l_tax', l_tax FROM w
+),
+mass AS (
+  SELECT CASE p_type WHEN 'STANDARD' THEN 'l_quantity' WHEN 'SMALL' THEN 'l_discount'
+                     WHEN 'LARGE' THEN 'l_tax' ELSE lower(p_type) END AS taxon,
+         avg(p_retailprice) / 1000 AS mean_mgdm
+  FROM part WHERE p_retailprice > 0 GROUP BY p_type
+)
+SELECT taxon, id, stat, location, round(abundance, 6) AS abundance, round(mean_mgdm, 6) AS mean_mgdm,
+       round(0.76 * 0.3, 6) AS sample_m2,
+       round(abundance * mean_mgdm / (0.76 * 0.3), 6) AS benthic_mg_dm_m2,
+       round(0.01 + abundance * mean_mgdm / (0.76 * 0.3), 6) AS benthic_mg01,
+       round(abundance * mean_mgdm / (0.76 * 0.3) / 1000 + 0.001, 6) AS benthic_g01
+FROM long JOIN mass USING (taxon)
+""")
+def q_biomass_unpivot(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.strings import replace_first
+    from fieldspark.plans.biomass import benthic_biomass
+
+    li = read_table(spark, base, "lineitem")
+    wide = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("stat"),
+                     F.col("l_returnflag").alias("location"), "l_quantity", "l_discount", "l_tax")
+    part = read_table(spark, base, "part").where(F.col("p_retailprice") > 0)
+    taxon = F.lower(F.col("p_type"))
+    for pat, rep in [("standard", "l_quantity"), ("small", "l_discount"), ("large", "l_tax")]:
+        taxon = replace_first(taxon, f"^{pat}$", rep)
+    mass = part.groupBy(taxon.alias("taxon")).agg(
+        (F.avg("p_retailprice") / F.lit(1000.0)).alias("mean_mgdm"))
+    return rounded(benthic_biomass(wide, mass, "l_quantity", "l_tax"))
+
+
+@query("unpivot_all", """
+SELECT 's_suppkey' AS key, CAST(s_suppkey AS DOUBLE) AS value FROM supplier
+UNION ALL SELECT 's_nationkey', CAST(s_nationkey AS DOUBLE) FROM supplier
+UNION ALL SELECT 's_acctbal', round(s_acctbal, 6) FROM supplier
+""")
+def q_unpivot_all(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.project import select_prefix
+    from fieldspark.operators.reshape import unpivot_all
+
+    s = select_prefix(read_table(spark, base, "supplier"), "s_", numeric_only=True)
+    return rounded(unpivot_all(s, "key", "value"))
+
+
+@query("add_row", """
+SELECT r_regionkey, r_name FROM region
+UNION ALL SELECT CAST(5 AS INTEGER), 'ANTARCTICA'
+""")
+def q_add_row(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.sources.readers import add_row
+
+    return add_row(read_table(spark, base, "region"), r_regionkey=5, r_name="ANTARCTICA")
+
+
+@query("complete_grid", """
+SELECT f.l_returnflag, s.l_linestatus, y.ship_year
+FROM (SELECT DISTINCT l_returnflag FROM lineitem) f
+CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) s
+CROSS JOIN (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM lineitem) y
+""")
+def q_complete_grid(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.joins import complete_grid
+
+    li = read_table(spark, base, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("ship_year"))
+    return complete_grid(li, ["l_returnflag", "l_linestatus", "ship_year"])
+
+
+@query("epred_draws", """
+WITH g AS (
+  SELECT * FROM (SELECT DISTINCT l_returnflag FROM lineitem)
+  CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem)
+)
+SELECT g.l_returnflag, g.l_linestatus, e.vec_id AS draw,
+       round(exp(CAST(e.embedding[1] AS DOUBLE)
+         + CAST(e.embedding[2] AS DOUBLE) * CAST(g.l_returnflag = 'N' AS DOUBLE)
+         + CAST(e.embedding[3] AS DOUBLE) * CAST(g.l_returnflag = 'R' AS DOUBLE)
+         + CAST(e.embedding[4] AS DOUBLE) * CAST(g.l_linestatus = 'O' AS DOUBLE)
+         + CAST(e.embedding[5] AS DOUBLE) * CAST(g.l_returnflag = 'N' AND g.l_linestatus = 'O' AS DOUBLE)
+         + CAST(e.embedding[6] AS DOUBLE) * CAST(g.l_returnflag = 'R' AND g.l_linestatus = 'O' AS DOUBLE)
+       ), 6) AS epred
+FROM g CROSS JOIN embeddings e
+""")
+def q_epred_draws(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.draws import epred_draws, factor_levels, treatment_design
+    from fieldspark.operators.joins import complete_grid
+
+    li = read_table(spark, base, "lineitem").select("l_returnflag", "l_linestatus")
+    factors = {c: factor_levels(li, c) for c in ["l_returnflag", "l_linestatus"]}
+    grid = complete_grid(li, list(factors))
+    design, terms = treatment_design(grid, factors)
+    max_nz = 2 ** len(factors)
+    out = epred_draws(draws_table(spark, base), design, list(factors), max_nonzero=max_nz)
+    return rounded(out)
+
+
+@query("scale_by_abundance", "WITH " + EPRED_SQL + """
+SELECT ep.species, ep.date2, ep.prey_stage, ep.draw, round(ep.epred, 6) AS epred,
+       ab.total_abund, round(ep.epred * ab.total_abund, 6) AS population_epred
+FROM ep LEFT JOIN ab ON ep.date2 = ab.date2 AND ep.species = ab.species
+""")
+def q_scale_by_abundance(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.draws import scale_by_abundance
+
+    ep = events_draw_epred(spark, base)
+    ab = draw_cells(spark, base).groupBy("date2", "species").agg(
+        F.count(F.lit(1)).cast("double").alias("total_abund"))
+    out = scale_by_abundance(ep, ab, by=["date2", "species"])
+    return rounded(out.select("species", "date2", "prey_stage", "draw", "epred", "total_abund",
+                              "population_epred"))
+
+
+# Plot order of species, dodge (days) and panel titles.
+PLOT_SPECIES_FIRST = ["Community", "Click", "View"]
+PLOT_DODGE = {"Click": 0.5, "View": 0.25, "Community": 0.0, "Purchase": -0.25}
+PLOT_PANELS = {"community": "d) Per Community", "population": "e) Per Population",
+               "capita": "f) Per capita"}
+
+
+@query("thin_draws", "WITH " + POSTS_SQL + """,
+t AS (SELECT * FROM posts WHERE draw <= 300),
+lvl AS (
+  SELECT species, CASE WHEN species = 'Community' THEN 1 WHEN species = 'Click' THEN 2
+                       WHEN species = 'View' THEN 3
+                       ELSE 3 + row_number() OVER (PARTITION BY species IN ('Community', 'Click', 'View')
+                                                   ORDER BY species) END AS species_level
+  FROM (SELECT DISTINCT species FROM t)
+)
+SELECT t.data_level, t.species, t.date2, t.draw, round(t.prop_pa, 6) AS prop_pa,
+       round(t.total, 6) AS total, CAST(lvl.species_level AS INTEGER) AS species_level,
+       CAST(t.date2 AS TIMESTAMP) + to_seconds(CAST(round(
+         CASE t.species WHEN 'Click' THEN 0.5 WHEN 'View' THEN 0.25 WHEN 'Community' THEN 0.0
+                        WHEN 'Purchase' THEN -0.25 ELSE 0.0 END * 86400) AS BIGINT)) AS date_dodged,
+       CASE WHEN t.data_level LIKE '%community%' THEN 'd) Per Community'
+            WHEN t.data_level LIKE '%population%' THEN 'e) Per Population'
+            ELSE 'f) Per capita' END AS panel
+FROM t JOIN lvl USING (species)
+""")
+def q_thin_draws(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.summaries import plot_ready_draws
+
+    out = plot_ready_draws(diet_posts(spark, base), 300, PLOT_SPECIES_FIRST, PLOT_DODGE, PLOT_PANELS)
+    return rounded(out.select("data_level", "species", "date2", "draw", "prop_pa", "total",
+                              "species_level", "date_dodged", "panel"))
+
+
+@query("community_rollup", "WITH " + POSTS_SQL + """
+SELECT date2, draw, round(pa, 6) AS pa, round(not_pa, 6) AS not_pa, round(total, 6) AS total,
+       round(prop_pa, 6) AS prop_pa
+FROM posts WHERE data_level = 'Per community'
+""")
+def q_community_rollup(spark: SparkSession, base: str) -> DataFrame:
+    p = diet_posts(spark, base).where(F.col("data_level") == "Per community")
+    return rounded(p.select("date2", "draw", "pa", "not_pa", "total", "prop_pa"))
+
+
+@query("species_average", "WITH " + POSTS_SQL + """,
+lng AS (
+  SELECT data_level, species, date2, draw, 'prop_pa' AS name, prop_pa AS value FROM posts
+  UNION ALL
+  SELECT data_level, species, date2, draw, 'total', total FROM posts
+)
+SELECT data_level, 'All Species' AS species, draw, name, round(avg(value), 6) AS value
+FROM lng GROUP BY data_level, draw, name
+UNION ALL
+SELECT data_level, species, draw, name, round(avg(value), 6) FROM lng
+GROUP BY data_level, species, draw, name
+""")
+def q_species_average(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.draws import species_average, to_long
+
+    long = to_long(diet_posts(spark, base), ["data_level", "species", "date2", "draw"],
+                   ["prop_pa", "total"])
+    out = species_average(long, "data_level", "draw", "species")
+    return rounded(out.select("data_level", "species", "draw", "name", "value"))
+
+
+@query("point_interval", "WITH " + EPRED_SQL + """
+SELECT species, date2, prey_stage,
+       round(quantile_cont(epred, 0.025), 6) AS q025, round(quantile_cont(epred, 0.17), 6) AS q170,
+       round(quantile_cont(epred, 0.5), 6) AS q500, round(quantile_cont(epred, 0.83), 6) AS q830,
+       round(quantile_cont(epred, 0.975), 6) AS q975
+FROM ep GROUP BY species, date2, prey_stage
+""")
+def q_point_interval(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.draws import point_interval
+
+    ep = events_draw_epred(spark, base)
+    return rounded(point_interval(ep, ["species", "date2", "prey_stage"], "epred"))
+
+
+@query("cumulative_draws", "WITH " + POSTS_SQL + """,
+c AS (SELECT data_level, species, draw, sum(total) AS cum FROM posts GROUP BY data_level, species, draw),
+s AS (
+  SELECT data_level, species,
+         CAST(CAST(round(avg(cum)) AS BIGINT) AS VARCHAR) || ' (' ||
+         CAST(CAST(round(stddev_samp(cum)) AS BIGINT) AS VARCHAR) || ')' AS cell
+  FROM c GROUP BY data_level, species
+)
+SELECT species,
+       max(CASE WHEN data_level = 'Per capita' THEN cell END) AS per_capita,
+       max(CASE WHEN data_level = 'Per population' THEN cell END) AS per_population,
+       max(CASE WHEN data_level = 'Per community' THEN cell END) AS per_community
+FROM s GROUP BY species
+""")
+def q_cumulative_draws(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.draws import cumulative_draws
+    from fieldspark.operators.reshape import pivot_wider
+
+    cum = cumulative_draws(diet_posts(spark, base), ["data_level", "species"], "draw", "total")
+    wide = pivot_wider(cum, ["species"], "data_level", "cell",
+                       ["Per capita", "Per population", "Per community"])
+    return wide.select("species", F.col("Per capita").alias("per_capita"),
+                       F.col("Per population").alias("per_population"),
+                       F.col("Per community").alias("per_community"))
+
+
+@query("cell_means_model", """
+SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, round(avg(l_extendedprice), 6) AS mean,
+       round(stddev_samp(l_extendedprice), 6) AS sd, round(ln(avg(l_extendedprice)), 6) AS b,
+       round(stddev_samp(l_extendedprice) / (avg(l_extendedprice) * sqrt(count(l_extendedprice))), 6) AS se
+FROM lineitem GROUP BY l_returnflag, l_linestatus
+""")
+def q_cell_means_model(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import cell_means
+
+    li = read_table(spark, base, "lineitem")
+    return rounded(cell_means(li, ["l_returnflag", "l_linestatus"], "l_extendedprice")
+                   .select("l_returnflag", "l_linestatus", "n", "mean", "sd", "b", "se"))
+
+
+@query("draws_from_fit")
+def q_draws_from_fit(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import cell_means, draws_from_cells
+
+    li = read_table(spark, base, "lineitem")
+    fit = cell_means(li, ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return draws_from_cells(fit.select("l_returnflag", "l_linestatus", "b", "se"),
+                            ["l_returnflag", "l_linestatus"], 1000)
+
+
+@query("predicted_draws")
+def q_predicted_draws(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import predicted_draws
+
+    ep = events_draw_epred(spark, base)
+    return predicted_draws(ep, ["species", "date2", "prey_stage", "draw"], 2.0)
+
+
+@query("prior_grid")
+def q_prior_grid(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import prior_grid
+
+    cells = draw_cells(spark, base)
+    first = cells.agg(F.min("date2")).scalar()
+    return prior_grid(spark, 100, cells.select("date2", "prey_stage"), ["date2", "prey_stage"],
+                      cells.select("species"), "species", first, "not_pa")
+
+
+@query("ppc_bins")
+def q_ppc_bins(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import ppc_bins
+
+    return ppc_bins(events(spark, base), "event_type", "value", "event_id", 20, -2.0, 3.0, 20)
