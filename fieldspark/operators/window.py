@@ -162,3 +162,24 @@ def dense_rescale(df: DataFrame, specs: dict[str, tuple[str, float, float]],
             (code - 1.0) / (k - 1.0) * F.lit(hi - lo) + F.lit(lo))
         out = out.withColumn(name, F.when(F.col(c).isNotNull(), val))
     return out
+
+
+def dense_rescale_small(df: DataFrame, specs: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """``dense_rescale`` for a table already aggregated to categories.
+
+    Uses ``dense_rank`` and a distinct count over an unpartitioned window,
+    i.e. one task sorts the table.  That is only right when ``df`` has one
+    row per category combination (a few thousand rows at most), and it
+    then saves the second evaluation of ``df`` that the scalar-subquery
+    version needs.
+    """
+    out = df
+    for c, (name, lo, hi) in specs.items():
+        w = Window.orderBy(F.col(c))
+        code = F.dense_rank().over(w).cast("double")
+        out = out.withColumn(f"__code_{c}", F.when(F.col(c).isNotNull(), code))
+        k = F.max(F.col(f"__code_{c}")).over(Window.partitionBy())
+        val = F.when(k == 1, F.lit((lo + hi) / 2.0)).otherwise(
+            (F.col(f"__code_{c}") - 1.0) / (k - 1.0) * F.lit(hi - lo) + F.lit(lo))
+        out = out.withColumn(name, F.when(F.col(c).isNotNull(), val)).drop(f"__code_{c}")
+    return out

@@ -19,22 +19,29 @@ from fieldspark.operators.aggregate import lump_rare
 from fieldspark.operators.draws import community_rollup, epred_draws, stage_levels
 
 
-def clean_diet(d: DataFrame, drop_species: Sequence[str] = (),
-               species_rules: Sequence[tuple[str, str]] = (),
-               prey_rules: Sequence[tuple[str, str]] = (),
-               stage_rules: Mapping[str, str] | None = None,
-               missing_stage: str = "unknown", offset: float = 0.01) -> DataFrame:
-    """Offset response, drop species, recode names, normalise the stage.
+def clean_prey_names(dim: DataFrame, drop_species: Sequence[str] = (),
+                     species_rules: Sequence[tuple[str, str]] = (),
+                     prey_rules: Sequence[tuple[str, str]] = (),
+                     stage_rules: Mapping[str, str] | None = None,
+                     missing_stage: str = "unknown") -> DataFrame:
+    """Name part of D1: drop species, recode species and prey, normalise stage.
+
+    Works on any table with ``species`` and ``prey_taxon``.  When those
+    come from a dimension table, apply it to the dimension *before* joining
+    the observations: the regular expressions then run once per dimension
+    row instead of once per observation.
 
     ``species_rules`` replace the first match each; ``prey_rules`` are
     replace-all rules applied in order.  ``prey_taxon`` is split on
     non-alphanumerics into taxon and stage; ``stage_rules`` recode stages,
     a missing stage becomes ``missing_stage``, and the two are united again
-    with ``_``.  Map-only: one projection over the scan.
+    with ``_``.
     """
-    out = d.withColumn("mgdm01", F.lit(offset) + F.col("mg_diet_dm"))
+    out = dim
     if drop_species:
-        out = out.where(~in_set("species", drop_species))
+        # NOT IN: a NULL species drops the row, as R's filter does; the
+        # predicate also reaches the Parquet scan.
+        out = out.where(~F.col("species").isin(list(drop_species)))
     sp = F.col("species")
     for pat, rep in species_rules:
         sp = replace_first(sp, pat, rep)
@@ -42,12 +49,27 @@ def clean_diet(d: DataFrame, drop_species: Sequence[str] = (),
     taxon, stage = separate_parts(prey, 2)
     rules = [(stage == F.lit(k), F.lit(v)) for k, v in (stage_rules or {}).items()]
     stage_n = F.trim(case_when(rules + [(stage.isNull(), F.lit(missing_stage))], stage))
-    out = out.withColumn("species", sp).withColumn("prey_taxon", unite_cols([taxon, stage_n]))
+    return out.withColumn("species", sp).withColumn("prey_taxon", unite_cols([taxon, stage_n]))
+
+
+def add_diet_measures(d: DataFrame, offset: float = 0.01) -> DataFrame:
+    """Observation part of D1: offset response and inverse prey mass."""
+    out = d.withColumn("mgdm01", F.lit(offset) + F.col("mg_diet_dm"))
     if "prey_mg_dm" in d.columns:
         out = out.withColumn("prey_mg_inverse", safe_divide(F.lit(1.0), F.col("prey_mg_dm")))
     return out
 
 
+def clean_diet(d: DataFrame, drop_species: Sequence[str] = (),
+               species_rules: Sequence[tuple[str, str]] = (),
+               prey_rules: Sequence[tuple[str, str]] = (),
+               stage_rules: Mapping[str, str] | None = None,
+               missing_stage: str = "unknown", offset: float = 0.01) -> DataFrame:
+    """D1 on an already joined diet table (names and measures in one projection)."""
+    named = clean_prey_names(d, drop_species, species_rules, prey_rules, stage_rules, missing_stage)
+    return add_diet_measures(named, offset)
+
+
 def diet_stage_totals(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
                       keys: Sequence[str] = ("id", "species", "date2"),
                       value: str = "mg_diet_dm", out: str = "mg_dmtotal") -> DataFrame:
@@ -62,6 +84,24 @@ def diet_stage_totals(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
             .groupBy(*keys, "prey_stage").agg(F.sum(value).alias(out)))
 
 
+def diet_stage_wide(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
+                    keys: Sequence[str] = ("id", "species", "date2"),
+                    value: str = "mg_diet_dm") -> DataFrame:
+    """D2 followed by the stage pivot, as one conditional aggregate.
+
+    ``pa``/``not_pa`` sums per key (0 when a fish has no prey of that
+    class), ``total`` and ``prop_pa``.  Equal to pivoting
+    ``diet_stage_totals`` but with a single shuffle.
+    """
+    _, stage = separate_parts("prey_taxon", 2)
+    is_pa = in_set(stage, pa_stages)
+    w = d.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(is_pa, F.col(value))), F.lit(0.0)).alias("pa"),
+        F.coalesce(F.sum(F.when(~is_pa, F.col(value))), F.lit(0.0)).alias("not_pa"))
+    return (w.withColumn("total", F.col("pa") + F.col("not_pa"))
+            .withColumn("prop_pa", safe_divide(F.col("pa"), F.col("total"))))
+
+
 def lump_rare_prey(d: DataFrame, threshold: float = 0.001, keep: Sequence[str] = ("coleo_a",),
                    keys: Sequence[str] = ("date2", "species", "id")) -> DataFrame:
     """D3: prey taxa under ``threshold`` of all diet mass become ``other_unknown``."""

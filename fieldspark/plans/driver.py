@@ -27,7 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators.draws import cell_means_design
-from fieldspark.plans.diet import clean_diet, diet_posteriors, diet_stage_totals
+from fieldspark.plans.diet import (
+    add_diet_measures,
+    clean_prey_names,
+    diet_posteriors,
+    diet_stage_totals,
+)
 from fieldspark.plans.summaries import species_means_bydate, species_means_global
 from fieldspark.sources.readers import read_table
 
@@ -74,17 +79,28 @@ def rounded(df: DataFrame, digits: int = DIGITS, **per_column: int) -> DataFrame
 
 # ---- stand-in tables -------------------------------------------------------
 
+def prey_dimension(spark: SparkSession, base: str) -> DataFrame:
+    """Per-part attributes under diet names (species, prey, prey mass)."""
+    pt = read_table(spark, base, "part")
+    return pt.select("p_partkey", F.col("p_type").alias("species"),
+                     F.col("p_name").alias("prey_taxon"), F.col("p_retailprice").alias("prey_mg_dm"))
+
+
+def observations(spark: SparkSession, base: str) -> DataFrame:
+    li = read_table(spark, base, "lineitem")
+    return li.select(F.col("l_orderkey").alias("id"), "l_partkey",
+                     F.date_trunc("quarter", "l_shipdate").cast("date").alias("date2"),
+                     F.col("l_extendedprice").alias("mg_diet_dm"))
+
+
+def join_prey(obs: DataFrame, dim: DataFrame) -> DataFrame:
+    j = obs.join(dim, obs.l_partkey == dim.p_partkey)
+    return j.select("id", "species", "date2", "prey_taxon", "mg_diet_dm", "prey_mg_dm")
+
+
 def diet_table(spark: SparkSession, base: str) -> DataFrame:
     """Diet observations from lineitem x part (join on the part key)."""
-    li = read_table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice",
-                                                     "l_shipdate")
-    pt = read_table(spark, base, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-    j = li.join(pt, li.l_partkey == pt.p_partkey)
-    return j.select(F.col("l_orderkey").alias("id"), F.col("p_type").alias("species"),
-                    F.date_trunc("quarter", "l_shipdate").cast("date").alias("date2"),
-                    F.col("p_name").alias("prey_taxon"),
-                    F.col("l_extendedprice").alias("mg_diet_dm"),
-                    F.col("p_retailprice").alias("prey_mg_dm"))
+    return join_prey(observations(spark, base), prey_dimension(spark, base))
 
 
 DIET_SQL = """
@@ -117,7 +133,15 @@ d AS (
 
 
 def clean_diet_table(spark: SparkSession, base: str) -> DataFrame:
-    return clean_diet(diet_table(spark, base), DROP_SPECIES, SPECIES_RULES, PREY_RULES, STAGE_RULES)
+    """D1 with the name cleaning pushed to the part side of the join.
+
+    Same result as ``clean_diet`` on the joined table; the regular
+    expressions run per part instead of per line item, and dropped
+    species never reach the join.
+    """
+    dim = clean_prey_names(prey_dimension(spark, base), DROP_SPECIES, SPECIES_RULES, PREY_RULES,
+                           STAGE_RULES)
+    return add_diet_measures(join_prey(observations(spark, base), dim))
 
 
 def draw_cells(spark: SparkSession, base: str) -> DataFrame:
@@ -408,15 +432,9 @@ SELECT id, species, date2, round(pa, 6) AS pa, round(not_pa, 6) AS not_pa,
 FROM w
 """)
 def q_pivot_stage(spark: SparkSession, base: str) -> DataFrame:
-    from fieldspark.functions.mathx import safe_divide
-    from fieldspark.operators.reshape import pivot_wider
+    from fieldspark.plans.diet import diet_stage_wide
 
-    t = diet_stage_totals(clean_diet_table(spark, base), PA_STAGES)
-    w = pivot_wider(t, ["id", "species", "date2"], "prey_stage", "mg_dmtotal", ["pa", "not_pa"],
-                    fill=0.0, agg="sum")
-    w = w.withColumn("total", F.col("pa") + F.col("not_pa")) \
-        .withColumn("prop_pa", safe_divide(F.col("pa"), F.col("total")))
-    return rounded(w)
+    return rounded(diet_stage_wide(clean_diet_table(spark, base), PA_STAGES))
 
 
 @query("bind_levels", "WITH " + CLEAN_SQL + """
@@ -519,11 +537,11 @@ def q_rescale_layout(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.plans.foodweb import layout
 
     lay = layout(food_web_props(spark, base))
-    cons = lay.select(F.lit("consumer").alias("role"), F.col("consumer").alias("name"),
-                      F.col("xend").alias("pos")).distinct()
-    res = lay.select(F.lit("resource").alias("role"), F.col("resource").alias("name"),
-                     F.col("x").alias("pos")).distinct()
-    return rounded(cons.unionByName(res))
+    both = F.array(F.struct(F.lit("consumer").alias("role"), F.col("consumer").alias("name"),
+                            F.col("xend").alias("pos")),
+                   F.struct(F.lit("resource").alias("role"), F.col("resource").alias("name"),
+                            F.col("x").alias("pos")))
+    return rounded(lay.select(F.explode(both).alias("r")).select("r.*").distinct())
 
 
 @query("edge_table", "WITH " + WEB_SQL + """

@@ -19,7 +19,7 @@ from fieldspark.functions.strings import replace_first, separate_parts, unite_co
 from fieldspark.operators.aggregate import proportion_within
 from fieldspark.operators.project import drop_na
 from fieldspark.operators.reshape import stack_roles
-from fieldspark.operators.window import dense_rescale, first_per_key
+from fieldspark.operators.window import dense_rescale_small, first_per_key
 
 
 def diet_proportions(d: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +41,9 @@ def layout(props: DataFrame, consumer_range: tuple[float, float] = (0.25, 0.75),
     the resource name (reproducible on any partitioning).
     """
     out = drop_na(props, ["consumer"])
-    out = dense_rescale(out, {"consumer": ("xend", *consumer_range),
-                              "resource": ("x", *resource_range)})
+    # props has one row per (consumer, resource): a small, category-sized table
+    out = dense_rescale_small(out, {"consumer": ("xend", *consumer_range),
+                                    "resource": ("x", *resource_range)})
     off = hashed_normal(["resource"], seed, 0.0, jitter_sd) if jitter_sd else F.lit(0.0)
     return out.withColumn("offset", off).withColumn("x1", F.col("x") + F.col("offset"))
 
