@@ -85,10 +85,16 @@ def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
     xs = x.select(*[F.col(c).alias(c + suffixes[0]) if c in clash else F.col(c) for c in x.columns])
     ys = y.select(*[F.col(c).alias(c + suffixes[1]) if c in clash else F.col(c) for c in y.columns])
     if max_multiplicity is not None:
+        # The per-key count is a partial aggregate (safe for hot keys).  The
+        # check is folded into the first join key so the optimizer cannot
+        # prune it: every right row passes through it before the join.
         counts = ys.groupBy(*by).agg(F.count(F.lit(1)).alias("__mult"))
-        guard = F.when(F.col("__mult") > max_multiplicity, F.raise_error(
-            F.lit(f"join key repeats more than {max_multiplicity} times on the right side")))
-        ys = ys.join(counts.select(*by, guard.alias("__guard")), by, "left").drop("__guard")
+        k0 = by[0]
+        guarded = F.when(F.col("__mult") > max_multiplicity, F.raise_error(
+            F.lit(f"join key repeats more than {max_multiplicity} times on the right side"))) \
+            .otherwise(F.col(k0))
+        ys = ys.join(counts, by, "left").withColumn(k0, guarded.cast(ys.schema[k0].dataType)) \
+            .drop("__mult")
     return xs.join(ys, by, "left")
 
 

@@ -50,18 +50,40 @@ def glm_fit(df: DataFrame, formula: str, family: str = "gamma", link: str = "log
     """Fit a fixed-effect GLM with Spark ML (IRLS); returns the fitted model.
 
     Factors are coded with the alphabetically first level as reference,
-    as in R's default contrasts.
+    as in R's default contrasts (RFormula drops the *last* indexed level,
+    so levels are indexed in descending order).
     """
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    rf = RFormula(formula=formula, stringIndexerOrderType="alphabetAsc")
+    rf = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc")
     prepared = rf.fit(df).transform(df)
     glr = GeneralizedLinearRegression(family=family, link=link, maxIter=max_iter,
                                       solver="irls")
     return glr.fit(prepared)
 
 
+def glm_fit_design(df: DataFrame, x: str, y: str, family: str = "gamma", link: str = "log",
+                   max_iter: int = 50):
+    """Fit a GLM on an explicit design-vector column (e.g. ``treatment_design``).
+
+    The design's first column is the intercept, as in R's model matrix, so
+    interactions are treatment-coded exactly like R (RFormula encodes
+    interactions over every level combination).  Spark fits the
+    intercept itself (a constant feature column would be zeroed), so the
+    first column is dropped from the features.  Returns the coefficient
+    list in design order, intercept first.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    feats = F.slice(F.col(x), 2, F.size(F.col(x)) - 1)
+    prepared = df.select(array_to_vector(feats).alias("features"), F.col(y).alias("label"))
+    glr = GeneralizedLinearRegression(family=family, link=link, maxIter=max_iter, solver="irls")
+    model = glr.fit(prepared)
+    return [float(model.intercept)] + [float(v) for v in model.coefficients]
+
+
 def hurdle_means(df: DataFrame, y: str, mu_keys: Sequence[str], hu_keys: Sequence[str]) -> DataFrame:
     """Hurdle-Gamma expectation per cell: ``epred = mu * (1 - hu)``.
 
@@ -302,7 +324,7 @@ def prior_table(priors: DataFrame, model_col: str = "model", order_col: str = "r
 
 
 __all__ = [
-    "cell_means", "draws_from_cells", "draws_from_glm", "gamma_from_keys", "glm_fit",
+    "cell_means", "draws_from_cells", "draws_from_glm", "gamma_from_keys", "glm_fit", "glm_fit_design",
     "hurdle_means", "ppc_bins", "predicted_draws", "prior_grid", "prior_table", "shrunken_means",
 ]
 _ = pd  # pandas is used through mapInPandas batches
