@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.mathx import safe_divide
@@ -223,8 +223,16 @@ def community_rollup(wide: DataFrame, keys: Sequence[str], stages: tuple[str, st
 
 def to_long(df: DataFrame, ids: Sequence[str], measures: Sequence[str], name: str = "name",
             value: str = "value") -> DataFrame:
-    return df.select(*ids, *[F.col(m).cast("double").alias(m) for m in measures]) \
-        .unpivot(list(ids), list(measures), name, value)
+    """Wide measures -> (name, value) rows.
+
+    Written as an ``explode`` of (name, value) structs rather than
+    ``unpivot``: a Generate keeps the input's hash partitioning (by draw),
+    an Expand does not, and the aggregates after it would shuffle again.
+    """
+    pairs = F.array(*[F.struct(F.lit(m).alias(name), F.col(m).cast("double").alias(value))
+                      for m in measures])
+    e = df.select(*ids, F.explode(pairs).alias("__p"))
+    return e.select(*ids, F.col(f"__p.{name}").alias(name), F.col(f"__p.{value}").alias(value))
 
 
 def species_average(long: DataFrame, level: str, draw: str, species: str, extra: Sequence[str] = (),
@@ -233,16 +241,31 @@ def species_average(long: DataFrame, level: str, draw: str, species: str, extra:
     """Average over species per (level, draw, extra..., name), labelled ``label``.
 
     NULLs are skipped (``na.rm``).  With ``per_species`` the per-species
-    means over the remaining keys are appended (``extra`` is averaged away
-    there too when it is not a key).  Groups contain ``draw``, so the
-    aggregate reuses the draw partitioning.
+    means over the remaining keys (``extra`` is averaged away unless it is
+    a key) are returned as well.
+
+    One aggregate gives sum and count per (level, species, draw, extra,
+    name); the all-species mean is the ratio of their sums over a window
+    partitioned by the group without species, so it is exact for unequal
+    group sizes.  Aggregate and window both key on ``draw`` and reuse the
+    draw partitioning; no shuffle and no second pass over the input.
     """
-    allsp = (long.groupBy(level, draw, *extra, name).agg(F.avg(value).alias(value))
-             .withColumn(species, F.lit(label)))
     if not per_species:
-        return allsp
-    persp = long.groupBy(level, species, draw, *extra, name).agg(F.avg(value).alias(value))
-    return allsp.unionByName(persp)
+        return (long.groupBy(level, draw, *extra, name).agg(F.avg(value).alias(value))
+                .withColumn(species, F.lit(label)))
+    keys = [level, draw, *extra, name]
+    per = long.groupBy(level, species, draw, *extra, name).agg(
+        F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    w = Window.partitionBy(*keys)
+    per = (per.withColumn("__as", F.sum("__s").over(w)).withColumn("__an", F.sum("__n").over(w))
+           .withColumn("__rn", F.row_number().over(w.orderBy(F.col(species).asc_nulls_first()))))
+    out = F.array(
+        F.struct(F.col(species).alias(species), F.try_divide(F.col("__s"), F.col("__n")).alias(value)),
+        F.when(F.col("__rn") == 1, F.struct(F.lit(label).alias(species),
+                                            F.try_divide(F.col("__as"), F.col("__an")).alias(value))))
+    e = per.select(*keys, F.explode(out).alias("__o")).where(F.col("__o").isNotNull())
+    return e.select(level, F.col(f"__o.{species}").alias(species), draw, *extra, name,
+                    F.col(f"__o.{value}").alias(value))
 
 
 def summarize_draws(long: DataFrame, keys: Sequence[str], value: str = "value",

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.conditionals import case_when, in_set
 from fieldspark.functions.mathx import safe_divide
 from fieldspark.functions.strings import replace_all_ordered, replace_first, separate_parts, unite_cols
 from fieldspark.operators.aggregate import lump_rare
-from fieldspark.operators.draws import community_rollup, epred_draws, stage_levels
+from fieldspark.operators.draws import epred_draws
 
 
 def clean_prey_names(dim: DataFrame, drop_species: Sequence[str] = (),
@@ -102,6 +102,42 @@ def diet_stage_wide(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
             .withColumn("prop_pa", safe_divide(F.col("pa"), F.col("total"))))
 
 
+def _levels_with_community(ep: DataFrame) -> DataFrame:
+    """Per capita, per population and community rows from one aggregate.
+
+    The stage pivot is a conditional aggregate per (date2, species, draw).
+    Community sums over species come from a window over (date2, draw)
+    (a handful of species rows each) and are emitted once per group by
+    the first species row.  Everything keys on ``draw``, so the chain
+    reuses the draw partitioning and the expansion is evaluated once.
+    Equivalent to ``stage_levels`` + ``community_rollup`` + union.
+    """
+    def ssum(stage: str, col: str):
+        return F.coalesce(F.sum(F.when(F.col("prey_stage") == stage, F.col(col))), F.lit(0.0))
+
+    wide = ep.groupBy("date2", "species", "draw").agg(
+        ssum("pa", "epred").alias("pa_c"), ssum("not_pa", "epred").alias("np_c"),
+        ssum("pa", "population_epred").alias("pa_p"), ssum("not_pa", "population_epred").alias("np_p"))
+    w = Window.partitionBy("date2", "draw")
+    wide = (wide.withColumn("pa_k", F.sum("pa_p").over(w)).withColumn("np_k", F.sum("np_p").over(w))
+            .withColumn("__rn", F.row_number().over(w.orderBy("species"))))
+
+    def level(label, species, pa, npa):
+        return F.struct(F.lit(label).alias("data_level"), species.alias("species"),
+                        F.col(pa).alias("pa"), F.col(npa).alias("not_pa"))
+
+    levels = F.array(level("Per capita", F.col("species"), "pa_c", "np_c"),
+                     level("Per population", F.col("species"), "pa_p", "np_p"),
+                     F.when(F.col("__rn") == 1,
+                            level("Per community", F.lit("Community"), "pa_k", "np_k")))
+    e = wide.select("date2", "draw", F.explode(levels).alias("__l")).where(F.col("__l").isNotNull())
+    return (e.select("date2", F.col("__l.species").alias("species"), "draw",
+                     F.col("__l.data_level").alias("data_level"), F.col("__l.pa").alias("pa"),
+                     F.col("__l.not_pa").alias("not_pa"))
+            .withColumn("total", F.col("pa") + F.col("not_pa"))
+            .withColumn("prop_pa", safe_divide(F.col("pa"), F.col("total"))))
+
+
 def lump_rare_prey(d: DataFrame, threshold: float = 0.001, keep: Sequence[str] = ("coleo_a",),
                    keys: Sequence[str] = ("date2", "species", "id")) -> DataFrame:
     """D3: prey taxa under ``threshold`` of all diet mass become ``other_unknown``."""
@@ -125,11 +161,7 @@ def diet_posteriors(draws: DataFrame, design: DataFrame, abundance: DataFrame |
     grid = design if abundance is None else design.join(abundance, ["date2", "species"], "left")
     ep = epred_draws(draws, grid, list(cells), carry=["total_abund"], max_nonzero=max_nonzero)
     ep = ep.withColumn("population_epred", F.col("epred") * F.col("total_abund"))
-    wide = stage_levels(ep, ["date2", "species", "draw"], "prey_stage", ("pa", "not_pa"),
-                        {"Per capita": "epred", "Per population": "population_epred"})
-    community = community_rollup(wide.where(F.col("data_level") == "Per population"),
-                                 ["date2", "draw"])
-    posts = wide.unionByName(community)
+    posts = _levels_with_community(ep)
     if species_names:
         posts = posts.withColumn("species", case_when(
             [(F.col("species") == F.lit(k), F.lit(v)) for k, v in species_names.items()],
