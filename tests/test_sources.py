@@ -18,8 +18,8 @@ def test_csv_sink_header_and_quotes(spark, tmp_path):
     df = spark.createDataFrame([("a", None)], "s string, v double")
     out = str(tmp_path / "t")
     write_csv(df, out, quote_all=True)
-    text = "".join(p.read_text() for p in (tmp_path / "t").glob("part-*.csv"))
-    assert text.splitlines()[0] == '"s","v"' and text.splitlines()[1] == '"a","NA"'
+    lines = [ln for p in (tmp_path / "t").glob("part-*.csv") for ln in p.read_text().splitlines()]
+    assert lines[0] == '"s","v"' and '"a","NA"' in lines
 
 
 def test_stage_stream_picks_up_files(spark, tmp_path):
