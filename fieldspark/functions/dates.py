@@ -26,19 +26,26 @@ def parse_mdy(c: str | Column) -> Column:
     are 2000-2068, 69-99 are 1969-1999.
     """
     col = _col(c)
-    return F.coalesce(F.try_to_date(col, "M/d/yyyy"),
-                      pivot_two_digit_year(F.try_to_date(col, "M/d/yy")))
+    # Cheap shape checks first: a failed parse costs an exception inside
+    # the JVM, a regex test does not.
+    four = F.when(col.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(col, "M/d/yyyy"))
+    two = F.when(col.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"),
+                 pivot_two_digit_year(F.try_to_date(col, "M/d/yy")))
+    return F.coalesce(four, two)
 
 
 def parse_dmy_mon(c: str | Column) -> Column:
     """``d-MMM-yy`` dates such as ``7-Jun-17``; unparseable -> NULL."""
-    return pivot_two_digit_year(F.try_to_date(_col(c), "d-MMM-yy"))
+    col = _col(c)
+    return F.when(col.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
+                  pivot_two_digit_year(F.try_to_date(col, "d-MMM-yy")))
 
 
 def parse_date_any(c: str | Column) -> Column:
     """ISO, month/day/year or day-month-name-year, first that parses."""
     col = _col(c)
-    return F.coalesce(F.try_to_date(col, "yyyy-MM-dd"), parse_mdy(col), parse_dmy_mon(col))
+    iso = F.when(col.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(col, "yyyy-MM-dd"))
+    return F.coalesce(iso, parse_mdy(col), parse_dmy_mon(col))
 
 
 def add_fractional_days(date_col: str | Column, days: str | Column | float) -> Column:

@@ -11,9 +11,23 @@ from pyspark.sql import types as T
 from fieldspark.functions.strings import snake_case, unique_names
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Parquet table ``{base}/{name}.parquet`` (the default storage format)."""
-    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, base: str, name: str,
+               min_partitions: int | None = None) -> DataFrame:
+    """Parquet table ``{base}/{name}.parquet`` (the default storage format).
+
+    Parquet splits at row-group boundaries, so a small table written as one
+    row group is scanned by a single task and every map-side operator
+    after it runs on one core.  When the scan has fewer splits than
+    ``min_partitions`` (default: the session's default parallelism) it is
+    spread round-robin to that many.  Large inputs already have far more
+    splits, so nothing changes for them; filters and column pruning still
+    reach the scan through the repartition.
+    """
+    df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    want = min_partitions if min_partitions is not None else spark.sparkContext.defaultParallelism
+    if want and want > 1 and df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType,
