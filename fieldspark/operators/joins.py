@@ -145,11 +145,18 @@ def complete_grid(df: DataFrame, cols: Sequence[str],
                   max_levels: int = DEFAULT_MAX_LEVELS) -> DataFrame:
     """All combinations of the distinct values of each column, seen or not.
 
-    Level sets are computed from ``df`` (one scalar subquery per column,
-    evaluated together) and multiplied out from a one-row relation.
+    The level sets of all columns come from one aggregate over ``df`` (one
+    scan, evaluated once as a scalar subquery; NULL kept as a level) and
+    are multiplied out from a one-row relation.
     """
-    spark = df.sparkSession
-    out = spark.range(1).select()
+    def guarded(c: str) -> Column:
+        arr = F.collect_set(F.struct(F.col(c).alias("v")))
+        return F.when(F.size(arr) > max_levels, F.raise_error(
+            F.lit(f"more than {max_levels} levels in {c}"))).otherwise(arr)
+
+    levels = df.agg(F.struct(*[guarded(c).alias(c) for c in cols]).alias("s")).scalar()
+    out = df.sparkSession.range(1).select()
     for c in cols:
-        out = expand_with_levels(out, level_array(df, [c], max_levels), [c])
+        out = out.select("*", F.explode(levels[c]).alias("__lv")) \
+            .select(*out.columns, F.col("__lv.v").alias(c))
     return out

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,15 +89,21 @@ def hurdle_means(df: DataFrame, y: str, mu_keys: Sequence[str], hu_keys: Sequenc
 
     The likelihood factorises: ``hu`` is the share of zeros at the grain
     of the zero part (``hu_keys``), ``mu`` the mean of positive values at
-    the grain of the positive part (``mu_keys``, containing ``hu_keys``).
-    Two aggregates over the same input and a join of the two small results.
+    the grain of the positive part (``mu_keys``, which must contain
+    ``hu_keys``).  One aggregate at the finer grain carries the counts; the
+    zero share is summed over the small aggregated table with a window, so
+    the input is scanned once.
     """
-    mu = (df.groupBy(*mu_keys)
-          .agg(F.avg(F.when(F.col(y) > 0, F.col(y))).alias("mu"),
-               F.count(F.when(F.col(y) > 0, F.lit(1))).alias("n_pos")))
-    hu = df.groupBy(*hu_keys).agg(F.avg((F.col(y) == 0).cast("double")).alias("hu"),
-                                  F.count(F.lit(1)).alias("n_hu"))
-    out = mu.join(hu, list(hu_keys), "left")
+    if not set(hu_keys) <= set(mu_keys):
+        raise ValueError("hu_keys must be a subset of mu_keys")
+    pos = F.col(y) > 0
+    g = df.groupBy(*mu_keys).agg(
+        F.avg(F.when(pos, F.col(y))).alias("mu"), F.count(F.when(pos, F.lit(1))).alias("n_pos"),
+        F.count(F.when(F.col(y) == 0, F.lit(1))).alias("__z"), F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*hu_keys)
+    out = (g.withColumn("n_hu", F.sum("__n").over(w))
+           .withColumn("hu", F.sum("__z").over(w) / F.col("n_hu"))
+           .drop("__z", "__n"))
     return out.withColumn("epred", F.col("mu") * (F.lit(1.0) - F.col("hu")))
 
 

@@ -1344,3 +1344,72 @@ def q_ppc_bins(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.models import ppc_bins
 
     return ppc_bins(events(spark, base), "event_type", "value", "event_id", 20, -2.0, 3.0, 20)
+
+
+# ---- comparison rows (D7) and treatment-labelled draws (D10) --------------
+
+# Treatment names given to the return flags.
+FLAG_TREATMENT = {"A": "Ambient", "N": "Cage Control", "R": "Exclusion"}
+
+
+@query("cage_comparison", """
+WITH e AS (
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS date,
+         CASE l_returnflag WHEN 'A' THEN 'Ambient' WHEN 'N' THEN 'Cage Control'
+                           WHEN 'R' THEN 'Exclusion' END AS trt,
+         l_quantity AS chir, l_tax * 100 AS doli, l_discount * 100 AS tric
+  FROM lineitem
+),
+f AS (SELECT * FROM e WHERE trt <> 'Exclusion' AND date <> 1995),
+long AS (
+  SELECT date, trt, 'chir' AS taxon, chir AS abund FROM f
+  UNION ALL SELECT date, trt, 'doli', doli FROM f
+  UNION ALL SELECT date, trt, 'tric', tric FROM f
+),
+o AS (
+  SELECT taxon, row_number() OVER (ORDER BY avg(abund) DESC NULLS LAST, taxon) AS taxon_order
+  FROM long GROUP BY taxon
+)
+SELECT long.taxon, date, trt, round(abund, 6) AS abund, taxon_order FROM long JOIN o USING (taxon)
+""")
+def q_cage_comparison(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.conditionals import case_when
+    from fieldspark.plans.biomass import cage_comparison
+
+    li = read_table(spark, base, "lineitem")
+    trt = case_when([(F.col("l_returnflag") == F.lit(k), F.lit(v)) for k, v in FLAG_TREATMENT.items()])
+    e = li.select(F.year("l_shipdate").alias("date"), trt.alias("trt"),
+                  F.col("l_quantity").alias("chir"), (F.col("l_tax") * 100).alias("doli"),
+                  (F.col("l_discount") * 100).alias("tric"))
+    out = cage_comparison(e, ["date", "trt"], exclude_date=1995)
+    return rounded(out.select("taxon", "date", "trt", "abund", "taxon_order"))
+
+
+@query("treatment_draws", """
+WITH ev AS (
+  SELECT strftime(CAST(date_trunc('week', ts) AS DATE), '%-m/%-d/%Y') AS date,
+         CASE WHEN event_type IN ('click', 'view') THEN 'ctrl' ELSE 'exc' END AS trt2
+  FROM events
+),
+g AS (SELECT d.date, t.trt2 FROM (SELECT DISTINCT date FROM ev) d CROSS JOIN (SELECT DISTINCT trt2 FROM ev) t),
+c AS (SELECT *, row_number() OVER (ORDER BY date, trt2) - 1 AS cell_index FROM g)
+SELECT CAST(strptime(c.date, '%m/%d/%Y') AS DATE) AS date, c.trt2, e.vec_id AS draw,
+       round(exp(CAST(e.embedding[c.cell_index + 1] AS DOUBLE)), 6) AS epred,
+       CASE WHEN c.trt2 = 'ctrl' THEN 'fish' ELSE 'no fish' END AS trt
+FROM c CROSS JOIN embeddings e
+""")
+def q_treatment_draws(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.dates import parse_mdy
+    from fieldspark.operators.draws import epred_draws
+    from fieldspark.operators.joins import complete_grid
+    from fieldspark.plans.spiders import label_treatment
+
+    ev = events(spark, base).select(
+        F.date_format(F.date_trunc("week", "ts"), "M/d/yyyy").alias("date"),
+        F.when(F.col("event_type").isin("click", "view"), F.lit("ctrl")).otherwise(F.lit("exc"))
+        .alias("trt2"))
+    grid = complete_grid(ev, ["date", "trt2"])
+    design = cell_means_design(grid, ["date", "trt2"], N_TERMS)
+    ep = epred_draws(draws_table(spark, base), design, ["date", "trt2"], max_nonzero=1)
+    out = label_treatment(ep.withColumn("date", parse_mdy("date")).withColumn("trt", F.col("trt2")))
+    return rounded(out.select("date", "trt2", "draw", "epred", "trt"))
