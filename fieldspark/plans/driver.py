@@ -86,8 +86,8 @@ def prey_dimension(spark: SparkSession, base: str) -> DataFrame:
                      F.col("p_name").alias("prey_taxon"), F.col("p_retailprice").alias("prey_mg_dm"))
 
 
-def observations(spark: SparkSession, base: str) -> DataFrame:
-    li = read_table(spark, base, "lineitem")
+def observations(spark: SparkSession, base: str, spread: bool = False) -> DataFrame:
+    li = read_table(spark, base, "lineitem", min_partitions=0 if spread else None)
     return li.select(F.col("l_orderkey").alias("id"), "l_partkey",
                      F.date_trunc("quarter", "l_shipdate").cast("date").alias("date2"),
                      F.col("l_extendedprice").alias("mg_diet_dm"))
@@ -132,7 +132,7 @@ d AS (
 )"""
 
 
-def clean_diet_table(spark: SparkSession, base: str) -> DataFrame:
+def clean_diet_table(spark: SparkSession, base: str, spread: bool = False) -> DataFrame:
     """D1 with the name cleaning pushed to the part side of the join.
 
     Same result as ``clean_diet`` on the joined table; the regular
@@ -141,7 +141,7 @@ def clean_diet_table(spark: SparkSession, base: str) -> DataFrame:
     """
     dim = clean_prey_names(prey_dimension(spark, base), DROP_SPECIES, SPECIES_RULES, PREY_RULES,
                            STAGE_RULES)
-    return add_diet_measures(join_prey(observations(spark, base), dim))
+    return add_diet_measures(join_prey(observations(spark, base, spread), dim))
 
 
 def draw_cells(spark: SparkSession, base: str) -> DataFrame:
@@ -243,7 +243,7 @@ SELECT id, species, date2,
 FROM d GROUP BY ALL
 """)
 def q_stage_totals(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(diet_stage_totals(clean_diet_table(spark, base), PA_STAGES))
+    return rounded(diet_stage_totals(clean_diet_table(spark, base, spread=True), PA_STAGES))
 
 
 @query("summarize_draws", "WITH " + POSTS_SQL + """,
@@ -638,7 +638,7 @@ FROM t
 def q_parse_dates(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.functions.dates import parse_date_any, parse_dmy_mon, parse_mdy
 
-    o = read_table(spark, base, "orders").select(
+    o = read_table(spark, base, "orders", min_partitions=0).select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("d"), "o_orderstatus")
     t = o.select("o_orderkey", "o_orderstatus",
                  F.date_format("d", "M/d/yyyy").alias("us_text"),
@@ -1099,7 +1099,7 @@ def q_biomass_unpivot(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.functions.strings import replace_first
     from fieldspark.plans.biomass import benthic_biomass
 
-    li = read_table(spark, base, "lineitem")
+    li = read_table(spark, base, "lineitem", min_partitions=0)
     wide = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("stat"),
                      F.col("l_returnflag").alias("location"), "l_quantity", "l_discount", "l_tax")
     part = read_table(spark, base, "part").where(F.col("p_retailprice") > 0)
@@ -1343,7 +1343,8 @@ def q_prior_grid(spark: SparkSession, base: str) -> DataFrame:
 def q_ppc_bins(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.models import ppc_bins
 
-    return ppc_bins(events(spark, base), "event_type", "value", "event_id", 20, -2.0, 3.0, 20)
+    ev = read_table(spark, base, "events", min_partitions=0)
+    return ppc_bins(ev, "event_type", "value", "event_id", 20, -2.0, 3.0, 20)
 
 
 # ---- comparison rows (D7) and treatment-labelled draws (D10) --------------
