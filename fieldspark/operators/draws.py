@@ -80,6 +80,17 @@ def factor_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
     return [r[0] for r in rows]
 
 
+def factor_levels_all(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict:
+    """``factor_levels`` for several columns from one aggregate (one scan)."""
+    def guarded(c: str) -> Column:
+        arr = F.array_sort(F.collect_set(F.col(c)))
+        return F.when(F.size(arr) > max_levels, F.raise_error(
+            F.lit(f"more than {max_levels} levels in {c}"))).otherwise(arr)
+
+    row = df.agg(*[guarded(c).alias(c) for c in cols]).first()
+    return {c: list(row[c]) for c in cols}
+
+
 def treatment_design(grid: DataFrame, factors: Mapping[str, Sequence[str]],
                      x: str = "x") -> tuple[DataFrame, list[str]]:
     """Full-factorial treatment-coded design for factors with known levels.
@@ -112,7 +123,8 @@ def treatment_design(grid: DataFrame, factors: Mapping[str, Sequence[str]],
 def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw: str = "draw",
                 coef: str = "coef", x: str = "x", link: str = "log", out: str = "epred",
                 carry: Sequence[str] = (), max_cells: int = DEFAULT_MAX_CELLS,
-                linpred: str | None = None, max_nonzero: int | None = None) -> DataFrame:
+                linpred: str | None = None, max_nonzero: int | None = None,
+                exclude_terms: Sequence[int] = ()) -> DataFrame:
     """Expected value of every grid cell under every draw.
 
     ``eta = sum_j x_j * coef_j`` over the cell's design vector, then the
@@ -126,12 +138,17 @@ def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw:
     e.g. 1 for cell-means coding) the sum is unrolled into plain arithmetic
     that whole-stage codegen compiles; otherwise a lambda runs over the
     pairs.  A NULL coefficient in a used term makes the prediction NULL.
+    ``exclude_terms`` (0-based positions) drops terms from every cell,
+    e.g. group-level effects for predictions without them
+    (``re_formula = NA``).
     """
     from fieldspark.operators.joins import level_array
 
+    excluded = F.array(*[F.lit(int(t)) for t in exclude_terms]) if exclude_terms else None
     nz = F.filter(F.transform(F.sequence(F.lit(0), F.size(F.col(x)) - F.lit(1)),
                               lambda j: F.struct(j.alias("j"), F.col(x)[j].alias("v"))),
-                  lambda t: t["v"] != F.lit(0.0))
+                  (lambda t: (t["v"] != F.lit(0.0)) & ~F.array_contains(excluded, t["j"]))
+                  if excluded is not None else (lambda t: t["v"] != F.lit(0.0)))
     sparse = design.select(*cells, *carry, nz.alias("__nz"))
     cell_arr = level_array(sparse, [*cells, "__nz", *carry], max_cells)
     d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(draw)

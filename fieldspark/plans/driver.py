@@ -1164,11 +1164,11 @@ SELECT g.l_returnflag, g.l_linestatus, e.vec_id AS draw,
 FROM g CROSS JOIN embeddings e
 """)
 def q_epred_draws(spark: SparkSession, base: str) -> DataFrame:
-    from fieldspark.operators.draws import epred_draws, factor_levels, treatment_design
+    from fieldspark.operators.draws import epred_draws, factor_levels_all, treatment_design
     from fieldspark.operators.joins import complete_grid
 
     li = read_table(spark, base, "lineitem").select("l_returnflag", "l_linestatus")
-    factors = {c: factor_levels(li, c) for c in ["l_returnflag", "l_linestatus"]}
+    factors = factor_levels_all(li, ["l_returnflag", "l_linestatus"])
     grid = complete_grid(li, list(factors))
     design, terms = treatment_design(grid, factors)
     max_nz = 2 ** len(factors)
@@ -1313,12 +1313,20 @@ def q_cell_means_model(spark: SparkSession, base: str) -> DataFrame:
 
 @query("draws_from_fit")
 def q_draws_from_fit(spark: SparkSession, base: str) -> DataFrame:
-    from fieldspark.operators.models import cell_means, draws_from_cells
-
-    li = read_table(spark, base, "lineitem")
-    fit = cell_means(li, ["l_returnflag", "l_linestatus"], "l_extendedprice")
-    return draws_from_cells(fit.select("l_returnflag", "l_linestatus", "b", "se"),
-                            ["l_returnflag", "l_linestatus"], 1000)
+    """Coefficient draws of the flag x status Gamma model (full covariance)."""
+    from fieldspark.operators.draws import factor_levels_all, treatment_design
+    from fieldspark.operators.models import beta_from_cells, cell_means, glm_draws
+
+    li = read_table(spark, base, "lineitem").select("l_returnflag", "l_linestatus",
+                                                     "l_extendedprice")
+    factors = factor_levels_all(li, ["l_returnflag", "l_linestatus"])
+    cells, terms = treatment_design(cell_means(li, list(factors), "l_extendedprice"), factors)
+    beta = beta_from_cells(cells)
+    data, _ = treatment_design(li, factors)
+    draws = glm_draws(data, "x", "l_extendedprice", 1000, "gamma", beta=beta)
+    names = F.array(*[F.lit(t) for t in terms])
+    return draws.select("draw", F.posexplode("coef").alias("pos", "coef")) \
+        .select("draw", F.element_at(names, F.col("pos") + 1).alias("term"), "coef")
 
 
 @query("predicted_draws")

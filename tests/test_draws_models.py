@@ -11,7 +11,9 @@ from fieldspark.operators.draws import (
     thin_draws, to_long, treatment_design,
 )
 from fieldspark.operators.models import (
-    cell_means, draws_from_cells, gamma_from_keys, glm_fit, glm_fit_design, hurdle_means,
+    beta_from_cells, cell_means, draws_from_cells, gamma_from_keys, glm_draws, glm_fit,
+    glm_fit_design,
+    hurdle_means,
     predicted_draws,
     prior_grid, prior_table, shrunken_means,
 )
@@ -219,3 +221,29 @@ def test_prior_table_fill(spark):
     assert [r["prior"] for r in out] == ["normal(0, 2)", "normal(0, 2)", "normal(0, 2)", None,
                                          "gamma(1, 0.1)"]
     assert [r["coef"] for r in out] == [None, "x", None, None, None]
+
+
+def test_glm_draws_full_covariance(spark):
+    df = _gamma_data(spark)
+    design, _ = treatment_design(df, {"f": ["A", "B"], "s": ["x", "y"]})
+    beta = glm_fit_design(design, "x", "y", "gamma", "log")
+    cells, _ = treatment_design(cell_means(df, ["f", "s"], "y"), {"f": ["A", "B"], "s": ["x", "y"]})
+    assert np.allclose(beta_from_cells(cells), beta, atol=1e-6)   # saturated: solve = IRLS
+    d = glm_draws(design, "x", "y", 4000, "gamma", beta=beta)
+    coefs = np.array([r["coef"] for r in d.collect()])
+    assert coefs.shape == (4000, 4)
+    assert np.allclose(coefs.mean(axis=0), beta, atol=0.02)
+    # cell (A, x) is the intercept alone: its sd is the cell's log-mean se, sd/(mean*sqrt(n))
+    cm = {(r["f"], r["s"]): r for r in cell_means(df, ["f", "s"], "y").collect()}
+    se_ax = coefs[:, 0].std(ddof=1)
+    assert 0.5 < se_ax / cm[("A", "x")]["se"] < 2.0
+    # intercept and the main effect of f are negatively correlated, as in the exact covariance
+    assert np.corrcoef(coefs[:, 0], coefs[:, 1])[0, 1] < -0.5
+    # draws feed the expansion directly; dropping a term changes only cells that use it
+    grid = spark.createDataFrame([("A", "x"), ("B", "y")], "f string, s string")
+    gd, _ = treatment_design(grid, {"f": ["A", "B"], "s": ["x", "y"]})
+    full = {(r["f"], r["draw"]): r["epred"] for r in epred_draws(d, gd, ["f", "s"]).collect()}
+    part = {(r["f"], r["draw"]): r["epred"]
+            for r in epred_draws(d, gd, ["f", "s"], exclude_terms=[3]).collect()}
+    assert all(full[k] == part[k] for k in full if k[0] == "A")
+    assert any(full[k] != part[k] for k in full if k[0] == "B")
