@@ -138,6 +138,20 @@ def rank_by_mean(df: DataFrame, category: str, value: str, descending: bool = Tr
 
 # ---- quantiles and distributions (A7-A10, A19, X10) ------------------------
 
+EXACT_MAX_ROWS = 2_000_000
+
+
+def exact_is_feasible(df: DataFrame, by: Sequence[str], max_rows: int = EXACT_MAX_ROWS) -> bool:
+    """True when the largest group has at most ``max_rows`` rows.
+
+    Exact percentiles keep a group's values in one aggregation buffer; this
+    one cheap count aggregate (partial, map-side) decides whether that is
+    safe or a sketch must be used.
+    """
+    biggest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return biggest is None or biggest <= max_rows
+
+
 def quantile_agg(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                  names: Sequence[str], exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Linear-interpolation quantiles (R type 7) per group, exact or sketched.
@@ -153,14 +167,16 @@ def quantile_agg(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[f
 
 
 def distribution_bins(df: DataFrame, by: Sequence[str], value: str, lo: float, hi: float,
-                      n_bins: int, log10: bool = True, exact: bool = True) -> DataFrame:
+                      n_bins: int, log10: bool = True, exact: bool | str = "auto") -> DataFrame:
     """Histogram (optionally of log10 values) plus quartiles, per group.
 
     Bin ``i`` covers ``[lo + i*w, lo + (i+1)*w)``; values outside
     ``[lo, hi)`` go to the first or last bin.  Non-positive values are
     dropped on the log scale.  Both the counts and the quartiles are group
     aggregates with partial (map-side) aggregation; they are joined on the
-    group keys, one row per group on the quartile side.
+    group keys, one row per group on the quartile side.  ``exact="auto"``
+    uses exact quartiles unless a group exceeds ``EXACT_MAX_ROWS`` rows,
+    then the bounded-memory sketch.
     """
     x = log10_pos(value) if log10 else F.col(value)
     w = (hi - lo) / n_bins
@@ -169,5 +185,7 @@ def distribution_bins(df: DataFrame, by: Sequence[str], value: str, lo: float, h
                 F.lit(n_bins - 1)).cast("int")
     counts = base.withColumn("bin", b).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("bin_lo", F.lit(lo) + F.col("bin") * F.lit(w))
-    quart = quantile_agg(base, by, "__v", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], exact)
+    if exact == "auto":
+        exact = exact_is_feasible(base, by)
+    quart = quantile_agg(base, by, "__v", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], bool(exact))
     return counts.join(quart, list(by), "left")

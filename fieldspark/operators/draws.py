@@ -151,7 +151,11 @@ def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw:
                   if excluded is not None else (lambda t: t["v"] != F.lit(0.0)))
     sparse = design.select(*cells, *carry, nz.alias("__nz"))
     cell_arr = level_array(sparse, [*cells, "__nz", *carry], max_cells)
-    d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(draw)
+    # An explicit partition count: AQE sizes an unnumbered repartition by its
+    # input bytes, and the draw table is tiny next to the expansion it feeds,
+    # so it could be coalesced into a single task.
+    n_parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(n_parts, draw)
     e = d.select(draw, "__coef", F.explode(cell_arr).alias("__c"))
     pairs = F.col("__c")["__nz"]
     coefs = F.col("__coef")

@@ -170,6 +170,17 @@ def draw_grid(spark: SparkSession, base: str) -> DataFrame:
         "total_abund", F.sum("n").over(Window.partitionBy("date2", "species")).cast("double"))
 
 
+def exact_quantiles(spark: SparkSession, base: str) -> bool:
+    """Exact draw summaries while a group (one value per draw) stays small.
+
+    Every summary group of the draw tables holds one value per draw, so the
+    group size is the draw count (a metadata-cheap Parquet count).
+    """
+    from fieldspark.operators.aggregate import EXACT_MAX_ROWS
+
+    return draws_table(spark, base).count() <= EXACT_MAX_ROWS
+
+
 def diet_posts(spark: SparkSession, base: str) -> DataFrame:
     design = cell_means_design(draw_grid(spark, base), ["species", "date2", "prey_stage"],
                                N_TERMS, carry=["total_abund"])
@@ -268,7 +279,8 @@ SELECT data_level, species, name,
 FROM sc GROUP BY data_level, species, name
 """)
 def q_summarize_draws(spark: SparkSession, base: str) -> DataFrame:
-    return species_means_global(diet_posts(spark, base), scale={"total": 1000.0})
+    return species_means_global(diet_posts(spark, base), scale={"total": 1000.0},
+                                exact=exact_quantiles(spark, base))
 
 
 @query("summarize_draws_bydate", "WITH " + POSTS_SQL + """,
@@ -293,7 +305,8 @@ SELECT data_level, date2, species, name,
 FROM sc GROUP BY data_level, date2, species, name
 """)
 def q_summarize_draws_bydate(spark: SparkSession, base: str) -> DataFrame:
-    return species_means_bydate(diet_posts(spark, base), scale={"total": 1000.0})
+    return species_means_bydate(diet_posts(spark, base), scale={"total": 1000.0},
+                                exact=exact_quantiles(spark, base))
 
 
 # ---- diet family (D) -------------------------------------------------------
@@ -1268,7 +1281,8 @@ def q_point_interval(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.draws import point_interval
 
     ep = events_draw_epred(spark, base)
-    return rounded(point_interval(ep, ["species", "date2", "prey_stage"], "epred"))
+    return rounded(point_interval(ep, ["species", "date2", "prey_stage"], "epred",
+                                  exact=exact_quantiles(spark, base)))
 
 
 @query("cumulative_draws", "WITH " + POSTS_SQL + """,
