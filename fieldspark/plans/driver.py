@@ -1436,3 +1436,42 @@ def q_treatment_draws(spark: SparkSession, base: str) -> DataFrame:
     ep = epred_draws(draws_table(spark, base), design, ["date", "trt2"], max_nonzero=1)
     out = label_treatment(ep.withColumn("date", parse_mdy("date")).withColumn("trt", F.col("trt2")))
     return rounded(out.select("date", "trt2", "draw", "epred", "trt"))
+
+
+# ---- food web without stages (D13) -------------------------------------------
+
+# Excluded resources and resources drawn at other heights.
+WEB_NOSTAGE_EXCLUDE = ["blue", "red"]
+WEB_NOSTAGE_SPECIAL_Y = {"hot": 1.5, "cold": 0.5}
+
+
+@query("edge_table_nostage", "WITH " + CLEAN_SQL + """,
+d2 AS (SELECT species, split_part(prey_taxon, '_', 1) AS prey_taxon, mg_diet_dm FROM d),
+sp AS (SELECT species, sum(mg_diet_dm) AS total_gdm FROM d2 GROUP BY species),
+st AS (SELECT species, prey_taxon, sum(mg_diet_dm) AS t FROM d2 GROUP BY species, prey_taxon),
+props AS (
+  SELECT st.species AS consumer, st.prey_taxon AS resource, st.t / sp.total_gdm AS diet_post
+  FROM st JOIN sp USING (species) WHERE st.prey_taxon NOT IN ('blue', 'red')
+),
+codes AS (
+  SELECT *, dense_rank() OVER (ORDER BY consumer) AS cc, dense_rank() OVER (ORDER BY resource) AS rc,
+         count(DISTINCT consumer) OVER () AS nc, count(DISTINCT resource) OVER () AS nr
+  FROM props
+)
+SELECT resource, consumer, round(diet_post, 6) AS diet_post,
+       round(CASE WHEN nc = 1 THEN 0.5 ELSE (cc - 1) / (nc - 1) * 0.5 + 0.25 END, 6) AS xend,
+       round(CASE WHEN nr = 1 THEN 0.5 ELSE (rc - 1) / (nr - 1) END, 6) AS x,
+       CASE WHEN resource = 'hot' THEN 1.5 WHEN resource = 'cold' THEN 0.5 ELSE 1.0 END AS y,
+       2.0 AS yend,
+       CASE WHEN resource LIKE '%blue%' THEN 'blue' ELSE 'non-blue' END AS color
+FROM codes
+""")
+def q_edge_table_nostage(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.strings import separate_parts
+    from fieldspark.plans.foodweb import diet_proportions, edge_table
+
+    d = clean_diet_table(spark, base)
+    d = d.withColumn("prey_taxon", separate_parts("prey_taxon", 1)[0])
+    props = diet_proportions(d, WEB_NOSTAGE_EXCLUDE)
+    e = edge_table(props, WEB_NOSTAGE_SPECIAL_Y, WEB_COLOUR[0], WEB_COLOUR[1])
+    return rounded(e.select("resource", "consumer", "diet_post", "xend", "x", "y", "yend", "color"))

@@ -247,3 +247,16 @@ def test_glm_draws_full_covariance(spark):
             for r in epred_draws(d, gd, ["f", "s"], exclude_terms=[3]).collect()}
     assert all(full[k] == part[k] for k in full if k[0] == "A")
     assert any(full[k] != part[k] for k in full if k[0] == "B")
+
+
+def test_sketch_quantiles_close_to_exact(spark):
+    from fieldspark.operators.aggregate import exact_is_feasible
+
+    rng = np.random.default_rng(9)
+    vals = rng.normal(10, 2, 20000)
+    df = spark.createDataFrame([("g", "x", float(v)) for v in vals], "k string, name string, value double")
+    ex = summarize_draws(df, ["k", "name"], digits=None).first()
+    ap = summarize_draws(df, ["k", "name"], digits=None, exact=False).first()
+    assert abs(ex["median"] - ap["median"]) < 0.01 and abs(ex["lower"] - ap["lower"]) < 0.02
+    assert ex["mean"] == ap["mean"]
+    assert exact_is_feasible(df, ["k"], 20000) and not exact_is_feasible(df, ["k"], 19999)
