@@ -114,8 +114,8 @@ def level_array(df: DataFrame, cols: Sequence[str],
                 max_levels: int = DEFAULT_MAX_LEVELS) -> Column:
     """Distinct value combinations of ``cols`` as one array-of-struct scalar.
 
-    Evaluated once as a scalar subquery (a distributed distinct, then one
-    small ``collect_list`` of the distinct rows).  NULL is kept as a level.  Fails at run
+    Evaluated once as a scalar subquery (a distributed distinct, cut at
+    ``max_levels + 1`` rows, then one small ``collect_list``).  NULL is kept as a level.  Fails at run
     time if there are more than ``max_levels`` combinations.
     """
     s = F.struct(*[F.col(c) for c in cols])
@@ -125,7 +125,10 @@ def level_array(df: DataFrame, cols: Sequence[str],
     arr = F.array_sort(F.collect_list(s))
     guarded = F.when(F.size(arr) > max_levels, F.raise_error(
         F.lit(f"more than {max_levels} level combinations of {list(cols)}"))).otherwise(arr)
-    return df.select(*cols).distinct().agg(guarded.alias("levels")).scalar()
+    # limit before collecting: the final task never holds more than
+    # max_levels + 1 rows, so the guard fires before memory runs out.
+    distinct = df.select(*cols).distinct().limit(max_levels + 1)
+    return distinct.agg(guarded.alias("levels")).scalar()
 
 
 def expand_with_levels(df: DataFrame, levels: Column, cols: Sequence[str]) -> DataFrame:
@@ -145,18 +148,11 @@ def complete_grid(df: DataFrame, cols: Sequence[str],
                   max_levels: int = DEFAULT_MAX_LEVELS) -> DataFrame:
     """All combinations of the distinct values of each column, seen or not.
 
-    The level sets of all columns come from one aggregate over ``df`` (one
-    scan, evaluated once as a scalar subquery; NULL kept as a level) and
-    are multiplied out from a one-row relation.
+    Each column's level set (NULL kept as a level) is a bounded scalar
+    subquery that reads only that column; the sets are multiplied out from
+    a one-row relation.
     """
-    def guarded(c: str) -> Column:
-        arr = F.collect_set(F.struct(F.col(c).alias("v")))
-        return F.when(F.size(arr) > max_levels, F.raise_error(
-            F.lit(f"more than {max_levels} levels in {c}"))).otherwise(arr)
-
-    levels = df.agg(F.struct(*[guarded(c).alias(c) for c in cols]).alias("s")).scalar()
     out = df.sparkSession.range(1).select()
     for c in cols:
-        out = out.select("*", F.explode(levels[c]).alias("__lv")) \
-            .select(*out.columns, F.col("__lv.v").alias(c))
+        out = expand_with_levels(out, level_array(df, [c], max_levels), [c])
     return out

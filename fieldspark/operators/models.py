@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,9 +242,6 @@ def glm_draws(df: DataFrame, x: str, y: str, n_draws: int, family: str = "gamma"
     return draws.select("draw", F.array(*coefs).alias("coef"))
 
 
-_GAMMA_SCHEMA_EXTRA = T.StructField("prediction", T.DoubleType())
-
-
 def _splitmix(x: np.ndarray) -> np.ndarray:
     """Vectorised splitmix64 mixing of uint64 counters (wrapping arithmetic)."""
     with np.errstate(over="ignore"):
@@ -404,4 +400,3 @@ __all__ = [
     "glm_fit_design",
     "hurdle_means", "ppc_bins", "predicted_draws", "prior_grid", "prior_table", "shrunken_means",
 ]
-_ = pd  # pandas is used through mapInPandas batches

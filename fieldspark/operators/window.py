@@ -93,10 +93,11 @@ def locf(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
 
 def sorted_levels(df: DataFrame, col: str, max_levels: int = DEFAULT_MAX_LEVELS) -> Column:
     """Sorted distinct non-NULL values of ``col`` as a scalar array."""
-    arr = F.array_sort(F.collect_set(F.col(col)))
+    arr = F.array_sort(F.collect_list(F.col(col)))
     guarded = F.when(F.size(arr) > max_levels, F.raise_error(
         F.lit(f"more than {max_levels} levels in {col}"))).otherwise(arr)
-    return df.agg(guarded.alias("levels")).scalar()
+    distinct = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1)
+    return distinct.agg(guarded.alias("levels")).scalar()
 
 
 def dense_code(df: DataFrame, col: str, out: str, max_levels: int = DEFAULT_MAX_LEVELS) -> DataFrame:
@@ -147,15 +148,9 @@ def dense_rescale(df: DataFrame, specs: dict[str, tuple[str, float, float]],
     midpoint when k = 1).  All level arrays come from one scalar subquery,
     so the input is evaluated once more, not once per column and statistic.
     """
-    def guarded(c: str) -> Column:
-        arr = F.array_sort(F.collect_set(F.col(c)))
-        return F.when(F.size(arr) > max_levels, F.raise_error(
-            F.lit(f"more than {max_levels} levels in {c}"))).otherwise(arr)
-
-    lv = df.agg(F.struct(*[guarded(c).alias(c) for c in specs]).alias("s")).scalar()
     out = df
     for c, (name, lo, hi) in specs.items():
-        arr = lv[c]
+        arr = sorted_levels(df, c, max_levels)
         code = F.array_position(arr, F.col(c)).cast("double")
         k = F.size(arr).cast("double")
         val = F.when(k == 1, F.lit((lo + hi) / 2.0)).otherwise(
