@@ -188,6 +188,29 @@ def scale_by_abundance(epred: DataFrame, abundance: DataFrame, value: str = "epr
     return j.withColumn(out, F.col(value) * F.col(abund))
 
 
+def epred_cell_means(draws: DataFrame, grid: DataFrame, cells: Sequence[str], n_terms: int,
+                     draw: str = "draw", coef: str = "coef", link: str = "log",
+                     out: str = "epred", carry: Sequence[str] = ()) -> DataFrame:
+    """``epred_draws`` for the cell-means design, in one scalar subquery.
+
+    With one coefficient per cell (cells in sorted key order) the linear
+    predictor of cell ``i`` is ``coef[i]``, so the sorted cell list itself
+    is exploded with its position: no design table, no second level pass.
+    Same result as ``epred_draws(draws, cell_means_design(grid, ...))``.
+    """
+    from fieldspark.operators.joins import level_array
+
+    levels = level_array(grid, [*cells, *carry], n_terms)
+    n_parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(n_parts, draw)
+    e = d.select(draw, "__coef", F.posexplode(levels).alias("__i", "__c"))
+    eta = F.col("__coef")[F.col("__i")].cast("double")
+    inv = {"log": F.exp, "identity": lambda v: v,
+           "logit": lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))}[link]
+    return e.select(*[F.col("__c")[c].alias(c) for c in cells], F.col(draw), inv(eta).alias(out),
+                    *[F.col("__c")[c].alias(c) for c in carry])
+
+
 def thin_draws(df: DataFrame, n: int, draw: str = "draw") -> DataFrame:
     """Keep draws numbered up to ``n`` (deterministic thinning for plots)."""
     return df.where(F.col(draw) <= F.lit(n))
@@ -350,7 +373,8 @@ def cumulative_draws(df: DataFrame, keys: Sequence[str], draw: str, value: str,
 
 __all__ = [
     "DEFAULT_MAX_CELLS", "DEFAULT_MAX_LEVELS", "cell_means_design", "community_rollup",
-    "cumulative_draws", "draws_to_wide", "epred_draws", "point_interval", "scale_by_abundance",
+    "cumulative_draws", "draws_to_wide", "epred_cell_means", "epred_draws", "point_interval",
+    "scale_by_abundance",
     "species_average",
     "stage_levels", "summarize_draws", "thin_draws", "to_long", "treatment_design",
 ]

@@ -16,7 +16,7 @@ from fieldspark.functions.conditionals import case_when, in_set
 from fieldspark.functions.mathx import safe_divide
 from fieldspark.functions.strings import replace_all_ordered, replace_first, separate_parts, unite_cols
 from fieldspark.operators.aggregate import lump_rare
-from fieldspark.operators.draws import epred_draws
+from fieldspark.operators.draws import epred_cell_means, epred_draws
 
 
 def clean_prey_names(dim: DataFrame, drop_species: Sequence[str] = (),
@@ -144,10 +144,12 @@ def lump_rare_prey(d: DataFrame, threshold: float = 0.001, keep: Sequence[str] =
     return lump_rare(d, "prey_taxon", "mg_diet_dm", keys, threshold, keep)
 
 
-def diet_posteriors(draws: DataFrame, design: DataFrame, abundance: DataFrame | None = None,
+def diet_posteriors(draws: DataFrame, design: DataFrame | None = None,
+                    abundance: DataFrame | None = None,
                     cells: Sequence[str] = ("species", "date2", "prey_stage"),
                     species_names: Mapping[str, str] | None = None,
-                    max_nonzero: int | None = None) -> DataFrame:
+                    max_nonzero: int | None = None, grid: DataFrame | None = None,
+                    n_terms: int | None = None) -> DataFrame:
     """Per-capita, per-population and per-community draw tables.
 
     ``design`` is the grid with a design vector ``x``; ``abundance`` has
@@ -157,9 +159,15 @@ def diet_posteriors(draws: DataFrame, design: DataFrame, abundance: DataFrame |
     (date2, species, draw); the community level sums the population level
     over species.  Every aggregate keys on ``draw`` and reuses the draw
     partitioning, so the whole chain shuffles only the draw table.
+    With ``grid`` and ``n_terms`` instead of ``design`` the model is the
+    cell-means one (one coefficient per cell) and expands in one pass.
     """
-    grid = design if abundance is None else design.join(abundance, ["date2", "species"], "left")
-    ep = epred_draws(draws, grid, list(cells), carry=["total_abund"], max_nonzero=max_nonzero)
+    if grid is not None:
+        # cell-means model: the grid (with total_abund) is the design
+        ep = epred_cell_means(draws, grid, list(cells), n_terms, carry=["total_abund"])
+    else:
+        g = design if abundance is None else design.join(abundance, ["date2", "species"], "left")
+        ep = epred_draws(draws, g, list(cells), carry=["total_abund"], max_nonzero=max_nonzero)
     ep = ep.withColumn("population_epred", F.col("epred") * F.col("total_abund"))
     posts = _levels_with_community(ep)
     if species_names:

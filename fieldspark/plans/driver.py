@@ -182,10 +182,8 @@ def exact_quantiles(spark: SparkSession, base: str) -> bool:
 
 
 def diet_posts(spark: SparkSession, base: str) -> DataFrame:
-    design = cell_means_design(draw_grid(spark, base), ["species", "date2", "prey_stage"],
-                               N_TERMS, carry=["total_abund"])
-    return diet_posteriors(draws_table(spark, base), design, species_names=SPECIES_NAMES,
-                           max_nonzero=1)
+    return diet_posteriors(draws_table(spark, base), grid=draw_grid(spark, base),
+                           n_terms=N_TERMS, species_names=SPECIES_NAMES)
 
 
 POSTS_SQL = """
@@ -958,13 +956,11 @@ def q_group_means_model(spark: SparkSession, base: str) -> DataFrame:
 
 def events_draw_epred(spark: SparkSession, base: str, carry_abundance: bool = False) -> DataFrame:
     """Expected value per (draw-model cell, draw)."""
-    from fieldspark.operators.draws import epred_draws
+    from fieldspark.operators.draws import epred_cell_means
 
-    grid = draw_grid(spark, base)
-    design = cell_means_design(grid, ["species", "date2", "prey_stage"], N_TERMS,
-                               carry=["total_abund"] if carry_abundance else [])
-    return epred_draws(draws_table(spark, base), design, ["species", "date2", "prey_stage"],
-                       carry=["total_abund"] if carry_abundance else [], max_nonzero=1)
+    return epred_cell_means(draws_table(spark, base), draw_grid(spark, base),
+                            ["species", "date2", "prey_stage"], N_TERMS,
+                            carry=["total_abund"] if carry_abundance else [])
 
 
 EPRED_SQL = """

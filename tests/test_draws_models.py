@@ -6,7 +6,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from fieldspark.operators.draws import (
-    cell_means_design, community_rollup, cumulative_draws, draws_to_wide, epred_draws,
+    cell_means_design, community_rollup, cumulative_draws, draws_to_wide, epred_cell_means,
+    epred_draws,
     point_interval, scale_by_abundance, species_average, stage_levels, summarize_draws,
     thin_draws, to_long, treatment_design,
 )
@@ -48,6 +49,9 @@ def test_cell_means_design_one_hot(spark):
            for r in epred_draws(draws, design, ["sp", "d"], max_nonzero=1).collect()}
     for d, c in data:
         assert math.isclose(out[("b", 1, d)], math.exp(c[2]), rel_tol=1e-14)
+    fast = {(r["sp"], r["d"], r["draw"]): r["epred"]
+            for r in epred_cell_means(draws, grid, ["sp", "d"], 8).collect()}
+    assert fast == out
     with pytest.raises(Exception):
         cell_means_design(grid, ["sp", "d"], 2).collect()
 
