@@ -228,3 +228,19 @@ def test_relevel_key(spark):
     df = spark.createDataFrame([("spotfin",), ("bluegill",), ("gar",), ("ash",)], "s string")
     out = {r["s"]: r["lv"] for r in relevel_key(df, "s", ["bluegill", "spotfin"], "lv").collect()}
     assert out == {"bluegill": 1, "spotfin": 2, "ash": 3, "gar": 4}
+
+
+def test_hot_key_operators_exact(spark):
+    """One key holds a third of the rows: chunked LOCF and first-per-key stay exact."""
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500 + 1).alias("u"),
+        F.col("id").alias("t"), (F.col("id") / 1000).cast("int").alias("day"),
+        F.when(F.col("id") % 7 == 0, F.concat(F.lit("v"), F.col("id").cast("string"))).alias("p"),
+    ).repartition(16)
+    plain = {(r["u"], r["t"]): r["p"] for r in locf(df, ["u"], ["t"], ["p"]).collect()}
+    chunk = {(r["u"], r["t"]): r["p"] for r in locf(df, ["u"], ["t"], ["p"], chunk="day").collect()}
+    assert plain == chunk
+    first = {r["u"]: r["t"] for r in first_per_key(df, ["u"], ["t"]).collect()}
+    assert first[0] == 0 and len(first) == 501
+    assert first == {r["u"]: r["m"] for r in df.groupBy("u").agg(F.min("t").alias("m")).collect()}
