@@ -337,9 +337,10 @@ edges AS (
   SELECT resource, consumer, diet_post,
          CASE WHEN nc = 1 THEN 0.5 ELSE (cc - 1) / (nc - 1) * 0.5 + 0.25 END AS xend,
          CASE WHEN nr = 1 THEN 0.5 ELSE (rc - 1) / (nr - 1) * 1.0 + 0.0 END AS x,
-         0.0 AS "offset",
-         CASE WHEN resource = 'hot_gear' THEN 1.5 WHEN resource = 'cold_gear' THEN 0.5 ELSE 1.0 END AS y,
-         2.0 AS yend,
+         CAST(0.0 AS DOUBLE) AS "offset",
+         CAST(CASE WHEN resource = 'hot_gear' THEN 1.5 WHEN resource = 'cold_gear' THEN 0.5
+                   ELSE 1.0 END AS DOUBLE) AS y,
+         CAST(2.0 AS DOUBLE) AS yend,
          CASE WHEN resource LIKE '%blue%' THEN 'blue' ELSE 'non-blue' END AS color
   FROM codes
 ),
@@ -925,7 +926,7 @@ b AS (SELECT event_type, CAST(least(greatest(floor((x - (-2.0)) / 0.25), 0), 19)
              count(*) AS n FROM e GROUP BY ALL),
 q AS (SELECT event_type, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
              quantile_cont(value, 0.75) AS q75 FROM e GROUP BY event_type)
-SELECT b.event_type, b.bin, b.n, round(-2.0 + b.bin * 0.25, 6) AS bin_lo,
+SELECT b.event_type, b.bin, b.n, round(CAST(-2.0 + b.bin * 0.25 AS DOUBLE), 6) AS bin_lo,
        round(q.q25, 6) AS q25, round(q.q50, 6) AS q50, round(q.q75, 6) AS q75
 FROM b LEFT JOIN q USING (event_type)
 """)
@@ -1098,7 +1099,7 @@ mass AS (
   FROM part WHERE p_retailprice > 0 GROUP BY p_type
 )
 SELECT taxon, id, stat, location, round(abundance, 6) AS abundance, round(mean_mgdm, 6) AS mean_mgdm,
-       round(0.76 * 0.3, 6) AS sample_m2,
+       round(CAST(0.76 * 0.3 AS DOUBLE), 6) AS sample_m2,
        round(abundance * mean_mgdm / (0.76 * 0.3), 6) AS benthic_mg_dm_m2,
        round(0.01 + abundance * mean_mgdm / (0.76 * 0.3), 6) AS benthic_mg01,
        round(abundance * mean_mgdm / (0.76 * 0.3) / 1000 + 0.001, 6) AS benthic_g01
@@ -1457,8 +1458,8 @@ codes AS (
 SELECT resource, consumer, round(diet_post, 6) AS diet_post,
        round(CASE WHEN nc = 1 THEN 0.5 ELSE (cc - 1) / (nc - 1) * 0.5 + 0.25 END, 6) AS xend,
        round(CASE WHEN nr = 1 THEN 0.5 ELSE (rc - 1) / (nr - 1) END, 6) AS x,
-       CASE WHEN resource = 'hot' THEN 1.5 WHEN resource = 'cold' THEN 0.5 ELSE 1.0 END AS y,
-       2.0 AS yend,
+       CAST(CASE WHEN resource = 'hot' THEN 1.5 WHEN resource = 'cold' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS y,
+       CAST(2.0 AS DOUBLE) AS yend,
        CASE WHEN resource LIKE '%blue%' THEN 'blue' ELSE 'non-blue' END AS color
 FROM codes
 """)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tools.check_oracle import TABLES, canon, close
+from tools.check_oracle import TABLES, canon, close, type_diffs
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -41,7 +41,9 @@ def test_query_matches_oracle(spark, con, name):
     if sql is None:
         assert len(sp) > 0
         return
-    dd = con.execute(sql).df()
+    rel = con.sql(sql)
+    assert not type_diffs(sdf, rel)
+    dd = rel.df()
     sc, sr = canon(sp)
     dc, dr = canon(dd)
     assert sc == dc
