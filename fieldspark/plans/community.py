@@ -15,22 +15,27 @@ from fieldspark.operators.joins import complete_grid
 def community_totals(obs: DataFrame, date: str = "date", species: str = "species",
                      abund: str = "abund", snap: Mapping[object, object] | None = None,
                      drop_date: object | None = None,
-                     rename: Mapping[str, str] | None = None) -> DataFrame:
+                     rename: Mapping[str, str] | None = None,
+                     complete: bool = False) -> DataFrame:
     """Total abundance per (date, species) with zeros replaced by the species mean.
 
-    ``snap`` moves sampling dates onto others before totalling.  The totals
-    are completed to every (date, species) combination (missing -> 0).  The
-    species mean is taken over *all* dates, and only afterwards is
-    ``drop_date`` removed.  Species names are recoded last.
+    ``snap`` moves sampling dates onto others before totalling.  With
+    ``complete`` the totals are completed to every (date, species)
+    combination (missing -> 0, counted in the mean); by default only the
+    observed combinations are kept, as in the source analysis.  The species
+    mean is taken over *all* dates, and only afterwards is ``drop_date``
+    removed.  Species names are recoded last.
     """
     d2 = F.col(date)
     if snap:
         d2 = case_when([(F.col(date) == F.lit(k), F.lit(v)) for k, v in snap.items()], F.col(date))
     o = obs.withColumn("date2", d2)
     raw = o.groupBy("date2", species).agg(F.sum(abund).alias("total_abund_raw"))
-    grid = complete_grid(o, ["date2", species])
-    full = grid.join(raw, ["date2", species], "left") \
-        .withColumn("total_abund_raw", F.coalesce(F.col("total_abund_raw"), F.lit(0)))
+    full = raw
+    if complete:
+        grid = complete_grid(o, ["date2", species])
+        full = grid.join(raw, ["date2", species], "left") \
+            .withColumn("total_abund_raw", F.coalesce(F.col("total_abund_raw"), F.lit(0)))
     out = impute_zero_by_group_mean(full, [species], "total_abund_raw")
     if drop_date is not None:
         out = out.where(F.col("date2") != F.lit(drop_date))

@@ -827,7 +827,8 @@ def q_impute_zero_mean(spark: SparkSession, base: str) -> DataFrame:
     o = events(spark, base).select(F.to_date("ts").alias("date"), F.col("event_type")
                                    .alias("species"),
                                    F.when(F.col("value") >= 400, 1).otherwise(0).alias("abund"))
-    out = community_totals(o, drop_date=datetime.date(2024, 1, 1), rename=COMMUNITY_RENAME)
+    out = community_totals(o, drop_date=datetime.date(2024, 1, 1), rename=COMMUNITY_RENAME,
+                           complete=True)
     return rounded(out.select("date2", "species", F.col("total_abund_raw").cast("bigint"),
                               "average", "total_abund"))
 

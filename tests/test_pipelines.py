@@ -91,8 +91,10 @@ def test_community_totals_hidden_date(spark):
         [(d(2017, 5, 31), "bluegill", 5), (d(2017, 6, 12), "bluegill", 16), (d(2017, 6, 23), "bluegill", 6),
          (d(2017, 6, 30), "bluegill", 1), (d(2017, 6, 30), "bluegill", 0), (d(2017, 6, 12), "gar", 1),
          (d(2017, 6, 23), "river_shiner", 0)], "date date, species string, abund int")
+    observed = community_totals(obs, drop_date=d(2017, 5, 31))
+    assert observed.where("species = 'gar'").count() == 1    # only observed combinations by default
     out = community_totals(obs, snap={d(2017, 6, 12): d(2017, 6, 13)}, drop_date=d(2017, 5, 31),
-                           rename={"river_shiner": "rivershiner"})
+                           rename={"river_shiner": "rivershiner"}, complete=True)
     got = {(r["date2"], r["species"]): (r["total_abund_raw"], r["average"], r["total_abund"])
            for r in out.collect()}
     assert got[(d(2017, 6, 13), "bluegill")] == (16, 7.0, 16.0)
