@@ -190,7 +190,8 @@ def scale_by_abundance(epred: DataFrame, abundance: DataFrame, value: str = "epr
 
 def epred_cell_means(draws: DataFrame, grid: DataFrame, cells: Sequence[str], n_terms: int,
                      draw: str = "draw", coef: str = "coef", link: str = "log",
-                     out: str = "epred", carry: Sequence[str] = ()) -> DataFrame:
+                     out: str = "epred", carry: Sequence[str] = (),
+                     grid_is_distinct: bool = False) -> DataFrame:
     """``epred_draws`` for the cell-means design, in one scalar subquery.
 
     With one coefficient per cell (cells in sorted key order) the linear
@@ -200,7 +201,7 @@ def epred_cell_means(draws: DataFrame, grid: DataFrame, cells: Sequence[str], n_
     """
     from fieldspark.operators.joins import level_array
 
-    levels = level_array(grid, [*cells, *carry], n_terms)
+    levels = level_array(grid, [*cells, *carry], n_terms, assume_distinct=grid_is_distinct)
     n_parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(n_parts, draw)
     e = d.select(draw, "__coef", F.posexplode(levels).alias("__i", "__c"))

@@ -111,12 +111,14 @@ def inner_join_sorted(x: DataFrame, y: DataFrame, by: Sequence[str] | None = Non
 
 
 def level_array(df: DataFrame, cols: Sequence[str],
-                max_levels: int = DEFAULT_MAX_LEVELS) -> Column:
+                max_levels: int = DEFAULT_MAX_LEVELS, assume_distinct: bool = False) -> Column:
     """Distinct value combinations of ``cols`` as one array-of-struct scalar.
 
     Evaluated once as a scalar subquery (a distributed distinct, cut at
     ``max_levels + 1`` rows, then one small ``collect_list``).  NULL is kept as a level.  Fails at run
     time if there are more than ``max_levels`` combinations.
+    ``assume_distinct`` skips the distinct for inputs that are unique by
+    construction (e.g. the output of a group-by on ``cols``).
     """
     s = F.struct(*[F.col(c) for c in cols])
     # collect_list over an explicit distinct: with collect_set the optimizer
@@ -127,7 +129,8 @@ def level_array(df: DataFrame, cols: Sequence[str],
         F.lit(f"more than {max_levels} level combinations of {list(cols)}"))).otherwise(arr)
     # limit before collecting: the final task never holds more than
     # max_levels + 1 rows, so the guard fires before memory runs out.
-    distinct = df.select(*cols).distinct().limit(max_levels + 1)
+    rows = df.select(*cols) if assume_distinct else df.select(*cols).distinct()
+    distinct = rows.limit(max_levels + 1)
     return distinct.agg(guarded.alias("levels")).scalar()
 
 

@@ -149,7 +149,7 @@ def diet_posteriors(draws: DataFrame, design: DataFrame | None = None,
                     cells: Sequence[str] = ("species", "date2", "prey_stage"),
                     species_names: Mapping[str, str] | None = None,
                     max_nonzero: int | None = None, grid: DataFrame | None = None,
-                    n_terms: int | None = None) -> DataFrame:
+                    n_terms: int | None = None, grid_is_distinct: bool = False) -> DataFrame:
     """Per-capita, per-population and per-community draw tables.
 
     ``design`` is the grid with a design vector ``x``; ``abundance`` has
@@ -164,7 +164,8 @@ def diet_posteriors(draws: DataFrame, design: DataFrame | None = None,
     """
     if grid is not None:
         # cell-means model: the grid (with total_abund) is the design
-        ep = epred_cell_means(draws, grid, list(cells), n_terms, carry=["total_abund"])
+        ep = epred_cell_means(draws, grid, list(cells), n_terms, carry=["total_abund"],
+                              grid_is_distinct=grid_is_distinct)
     else:
         g = design if abundance is None else design.join(abundance, ["date2", "species"], "left")
         ep = epred_draws(draws, g, list(cells), carry=["total_abund"], max_nonzero=max_nonzero)

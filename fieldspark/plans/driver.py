@@ -159,15 +159,23 @@ def draws_table(spark: SparkSession, base: str) -> DataFrame:
 
 
 def draw_grid(spark: SparkSession, base: str) -> DataFrame:
-    """Distinct cells with the abundance of their (date, species), one aggregate.
+    """Observed cells with the abundance of their (date, species), one aggregate.
 
-    Abundance (events per week and type) is summed from the per-cell
-    counts over the small cell table, so the events are scanned once.
+    Per (date, species): events of each stage class and in total.  The two
+    stage cells are exploded from that row and kept where observed, so
+    cells and abundance come from one group-by (one shuffle) and are
+    distinct by construction.
     """
-    per_cell = draw_cells(spark, base).groupBy("species", "date2", "prey_stage").agg(
-        F.count(F.lit(1)).alias("n"))
-    return per_cell.withColumn(
-        "total_abund", F.sum("n").over(Window.partitionBy("date2", "species")).cast("double"))
+    c = draw_cells(spark, base)
+    g = c.groupBy("date2", "species").agg(
+        F.count(F.when(F.col("prey_stage") == "pa", F.lit(1))).alias("n_pa"),
+        F.count(F.when(F.col("prey_stage") == "not_pa", F.lit(1))).alias("n_np"),
+        F.count(F.lit(1)).cast("double").alias("total_abund"))
+    stages = F.array(F.struct(F.lit("pa").alias("prey_stage"), F.col("n_pa").alias("n")),
+                     F.struct(F.lit("not_pa").alias("prey_stage"), F.col("n_np").alias("n")))
+    e = g.select("species", "date2", "total_abund", F.explode(stages).alias("__s"))
+    return e.where(F.col("__s.n") > 0).select("species", "date2", F.col("__s.prey_stage")
+                                               .alias("prey_stage"), "total_abund")
 
 
 def exact_quantiles(spark: SparkSession, base: str) -> bool:
@@ -183,7 +191,7 @@ def exact_quantiles(spark: SparkSession, base: str) -> bool:
 
 def diet_posts(spark: SparkSession, base: str) -> DataFrame:
     return diet_posteriors(draws_table(spark, base), grid=draw_grid(spark, base),
-                           n_terms=N_TERMS, species_names=SPECIES_NAMES)
+                           n_terms=N_TERMS, species_names=SPECIES_NAMES, grid_is_distinct=True)
 
 
 POSTS_SQL = """
@@ -962,7 +970,8 @@ def events_draw_epred(spark: SparkSession, base: str, carry_abundance: bool = Fa
 
     return epred_cell_means(draws_table(spark, base), draw_grid(spark, base),
                             ["species", "date2", "prey_stage"], N_TERMS,
-                            carry=["total_abund"] if carry_abundance else [])
+                            carry=["total_abund"] if carry_abundance else [],
+                            grid_is_distinct=True)
 
 
 EPRED_SQL = """
