@@ -75,3 +75,13 @@ def round_numeric(df: DataFrame, digits: int = 2, half_even: bool = False) -> Da
         if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)) else F.col(f.name)
         for f in df.schema.fields
     ])
+
+
+def arrange(df: DataFrame, *cols: str) -> DataFrame:
+    """Sort with NULLs last; a leading ``-`` sorts that column descending.
+
+    A global sort is a range shuffle, so it belongs at a sink (a written
+    report), not between operators.
+    """
+    order = [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in cols]
+    return df.orderBy(*order)

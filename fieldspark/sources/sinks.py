@@ -12,8 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> None:
-    """CSV with a header; ``quote_all`` quotes every string field."""
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite",
+              order_by: Sequence[str] = ()) -> None:
+    """CSV with a header; ``quote_all`` quotes every string field.
+
+    ``order_by`` sorts the report (``-col`` descending, NULLs last).
+    """
+    if order_by:
+        from fieldspark.operators.project import arrange
+
+        df = arrange(df, *order_by)
     (df.write.mode(mode)
        .option("header", True)
        .option("quoteAll", quote_all)

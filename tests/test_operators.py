@@ -9,7 +9,7 @@ from fieldspark.operators.aggregate import (
 from fieldspark.operators.joins import (
     complete_grid, expand_grid, inner_join_sorted, left_join_suffixed, natural_left_join,
 )
-from fieldspark.operators.project import fill_zero, round_numeric, select_range
+from fieldspark.operators.project import arrange, fill_zero, round_numeric, select_range
 from fieldspark.operators.reshape import (
     bind_rows, pivot_wider, unpivot, unpivot_all, unpivot_except, unpivot_range,
 )
@@ -244,3 +244,9 @@ def test_hot_key_operators_exact(spark):
     first = {r["u"]: r["t"] for r in first_per_key(df, ["u"], ["t"]).collect()}
     assert first[0] == 0 and len(first) == 501
     assert first == {r["u"]: r["m"] for r in df.groupBy("u").agg(F.min("t").alias("m")).collect()}
+
+
+def test_arrange_nulls_last(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0)], "k int, v double")
+    assert [r["k"] for r in arrange(df, "-v").collect()] == [3, 1, 2]
+    assert [r["k"] for r in arrange(df, "v").collect()] == [1, 3, 2]
