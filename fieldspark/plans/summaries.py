@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.conditionals import case_when
 from fieldspark.functions.dates import add_fractional_days
-from fieldspark.operators.draws import species_average, summarize_draws, thin_draws, to_long
+from fieldspark.operators.draws import (
+    epred_draws,
+    point_interval,
+    species_average,
+    summarize_draws,
+    thin_draws,
+    to_long,
+    treatment_design,
+)
+from fieldspark.operators.joins import complete_grid
 from fieldspark.operators.window import relevel_key
 
 POST_IDS = ("data_level", "species", "date2", "draw")
@@ -61,3 +70,23 @@ def plot_ready_draws(posts: DataFrame, n_draws: int = 300, species_first: Sequen
                           F.lit(items[-1][1]))
         out = out.withColumn("panel", label)
     return out
+
+
+def conditional_effects(draws: DataFrame, data: DataFrame, factors: Mapping[str, Sequence[str]],
+                        conditions: Mapping[str, object] | None = None,
+                        exclude_terms: Sequence[int] = ()) -> DataFrame:
+    """Expected value with 66 % and 95 % intervals over a factor grid.
+
+    The grid is every combination of the factors' values in ``data``
+    (optionally pinned by ``conditions``, e.g. one taxon); each cell gets
+    the treatment-coded design of ``factors``, is expanded over the draws
+    (group-level terms can be left out with ``exclude_terms``), and is
+    summarised per cell.
+    """
+    grid = complete_grid(data, list(factors))
+    for k, v in (conditions or {}).items():
+        grid = grid.where(F.col(k) == F.lit(v))
+    design, _ = treatment_design(grid, factors)
+    ep = epred_draws(draws, design, list(factors), max_nonzero=2 ** len(factors),
+                     exclude_terms=exclude_terms)
+    return point_interval(ep, list(factors), "epred")

@@ -264,3 +264,18 @@ def test_sketch_quantiles_close_to_exact(spark):
     assert abs(ex["median"] - ap["median"]) < 0.01 and abs(ex["lower"] - ap["lower"]) < 0.02
     assert ex["mean"] == ap["mean"]
     assert exact_is_feasible(df, ["k"], 20000) and not exact_is_feasible(df, ["k"], 19999)
+
+
+def test_conditional_effects(spark):
+    from fieldspark.plans.summaries import conditional_effects
+
+    draws, data = _draws(spark, n=200, p=4)
+    obs = spark.createDataFrame([("d1", "ctrl"), ("d2", "exc"), ("d1", "exc")], "date string, trt string")
+    ce = conditional_effects(draws, obs, {"date": ["d1", "d2"], "trt": ["ctrl", "exc"]})
+    out = {(r["date"], r["trt"]): r for r in ce.collect()}
+    assert len(out) == 4                                   # (d2, ctrl) unobserved but in the grid
+    vals = np.exp([c[0] + c[1] + c[2] + c[3] for _, c in data])
+    assert math.isclose(out[("d2", "exc")]["q500"], float(np.median(vals)), rel_tol=1e-12)
+    pinned = conditional_effects(draws, obs, {"date": ["d1", "d2"], "trt": ["ctrl", "exc"]},
+                                 conditions={"trt": "exc"})
+    assert pinned.count() == 2
