@@ -75,7 +75,7 @@ def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
                        max_multiplicity: int | None = None) -> DataFrame:
     """Left join on ``by``; other colliding names get suffixes.
 
-    Many-to-many keys multiply rows.  With ``max_multiplicity`` the right
+    NULL keys match NULL keys.  Many-to-many keys multiply rows.  With ``max_multiplicity`` the right
     side is checked per key at run time (a partial aggregate, no extra
     job) and the query fails if a key repeats more often, so a join can
     never emit an unbounded number of pairs per key.
@@ -95,7 +95,8 @@ def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
             .otherwise(F.col(k0))
         ys = ys.join(counts, by, "left").withColumn(k0, guarded.cast(ys.schema[k0].dataType)) \
             .drop("__mult")
-    return xs.join(ys, by, "left")
+    # NULL keys match NULL keys, as in dplyr joins; keys appear once.
+    return _join_keys_null_safe(xs, ys, by, "left", False)
 
 
 def inner_join_sorted(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None) -> DataFrame:

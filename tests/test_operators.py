@@ -162,6 +162,9 @@ def test_left_join_suffixed_and_guard(spark):
     assert set(out.columns) == {"stat2", "date_x", "spid", "date_y", "tot"} and out.count() == 2
     with pytest.raises(Exception):
         left_join_suffixed(x, y, ["stat2"], max_multiplicity=1).collect()
+    xn = spark.createDataFrame([(None, "s", 1)], "stat2 int, date string, spid int")
+    yn = spark.createDataFrame([(None, "e", 2.0)], "stat2 int, date string, tot double")
+    assert left_join_suffixed(xn, yn, ["stat2"]).first()["tot"] == 2.0
 
 
 def test_complete_grid_includes_unseen(spark):
