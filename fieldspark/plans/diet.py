@@ -70,18 +70,30 @@ def clean_diet(d: DataFrame, drop_species: Sequence[str] = (),
     return add_diet_measures(named, offset)
 
 
+def classify_stage(df: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
+                   col: str = "prey_taxon", out: str = "prey_stage") -> DataFrame:
+    """Stage class of a ``taxon_stage`` name: ``pa`` if the stage is listed, else ``not_pa``.
+
+    A function of the prey name only: when the names come from a dimension
+    table, classify the dimension before the join so the split runs once
+    per prey name instead of once per observation.
+    """
+    _, stage = separate_parts(col, 2)
+    return df.withColumn(out, F.when(in_set(stage, pa_stages), F.lit("pa")).otherwise(F.lit("not_pa")))
+
+
 def diet_stage_totals(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
                       keys: Sequence[str] = ("id", "species", "date2"),
                       value: str = "mg_diet_dm", out: str = "mg_dmtotal") -> DataFrame:
     """Diet total per fish and stage class (``pa`` or ``not_pa``).
 
-    The stage is the second piece of ``prey_taxon``; a sum per key plus
-    stage class (partial aggregation, one shuffle).
+    The stage is the second piece of ``prey_taxon`` (or an existing
+    ``prey_stage`` column from ``classify_stage``); a sum per key plus stage
+    class (partial aggregation, one shuffle).
     """
-    _, stage = separate_parts("prey_taxon", 2)
-    cls = F.when(in_set(stage, pa_stages), F.lit("pa")).otherwise(F.lit("not_pa"))
-    return (d.withColumn("prey_stage", cls)
-            .groupBy(*keys, "prey_stage").agg(F.sum(value).alias(out)))
+    if "prey_stage" not in d.columns:
+        d = classify_stage(d, pa_stages)
+    return d.groupBy(*keys, "prey_stage").agg(F.sum(value).alias(out))
 
 
 def diet_stage_wide(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
@@ -93,8 +105,9 @@ def diet_stage_wide(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
     class), ``total`` and ``prop_pa``.  Equal to pivoting
     ``diet_stage_totals`` but with a single shuffle.
     """
-    _, stage = separate_parts("prey_taxon", 2)
-    is_pa = in_set(stage, pa_stages)
+    if "prey_stage" not in d.columns:
+        d = classify_stage(d, pa_stages)
+    is_pa = F.col("prey_stage") == F.lit("pa")
     w = d.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(is_pa, F.col(value))), F.lit(0.0)).alias("pa"),
         F.coalesce(F.sum(F.when(~is_pa, F.col(value))), F.lit(0.0)).alias("not_pa"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from fieldspark.operators.draws import cell_means_design
 from fieldspark.plans.diet import (
     add_diet_measures,
+    classify_stage,
     clean_prey_names,
     diet_posteriors,
     diet_stage_totals,
@@ -95,7 +96,8 @@ def observations(spark: SparkSession, base: str, spread: bool = False) -> DataFr
 
 def join_prey(obs: DataFrame, dim: DataFrame) -> DataFrame:
     j = obs.join(dim, obs.l_partkey == dim.p_partkey)
-    return j.select("id", "species", "date2", "prey_taxon", "mg_diet_dm", "prey_mg_dm")
+    extra = ["prey_stage"] if "prey_stage" in dim.columns else []
+    return j.select("id", "species", "date2", "prey_taxon", "mg_diet_dm", "prey_mg_dm", *extra)
 
 
 def diet_table(spark: SparkSession, base: str) -> DataFrame:
@@ -132,7 +134,8 @@ d AS (
 )"""
 
 
-def clean_diet_table(spark: SparkSession, base: str, spread: bool = False) -> DataFrame:
+def clean_diet_table(spark: SparkSession, base: str, spread: bool = False,
+                     classify: bool = False) -> DataFrame:
     """D1 with the name cleaning pushed to the part side of the join.
 
     Same result as ``clean_diet`` on the joined table; the regular
@@ -141,6 +144,8 @@ def clean_diet_table(spark: SparkSession, base: str, spread: bool = False) -> Da
     """
     dim = clean_prey_names(prey_dimension(spark, base), DROP_SPECIES, SPECIES_RULES, PREY_RULES,
                            STAGE_RULES)
+    if classify:
+        dim = classify_stage(dim, PA_STAGES)
     return add_diet_measures(join_prey(observations(spark, base, spread), dim))
 
 
@@ -260,7 +265,8 @@ SELECT id, species, date2,
 FROM d GROUP BY ALL
 """)
 def q_stage_totals(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(diet_stage_totals(clean_diet_table(spark, base, spread=True), PA_STAGES))
+    return rounded(diet_stage_totals(clean_diet_table(spark, base, spread=True, classify=True),
+                                     PA_STAGES))
 
 
 @query("summarize_draws", "WITH " + POSTS_SQL + """,
@@ -454,7 +460,7 @@ FROM w
 def q_pivot_stage(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.plans.diet import diet_stage_wide
 
-    return rounded(diet_stage_wide(clean_diet_table(spark, base), PA_STAGES))
+    return rounded(diet_stage_wide(clean_diet_table(spark, base, classify=True), PA_STAGES))
 
 
 @query("bind_levels", "WITH " + CLEAN_SQL + """
