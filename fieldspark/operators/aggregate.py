@@ -62,7 +62,7 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str =
 def lump_rare(df: DataFrame, category: str, value: str, group_keys: Sequence[str],
               threshold: float, keep: Sequence[str] = (), other: str = "other_unknown",
               out_col: str | None = None, out_value: str | None = None,
-              offset: float = 0.1) -> DataFrame:
+              offset: float = 0.1, shares_from: DataFrame | None = None) -> DataFrame:
     """Lump categories whose share of ``value`` is below ``threshold``.
 
     Categories in ``keep`` are never lumped.  Rows are then re-aggregated
@@ -75,7 +75,9 @@ def lump_rare(df: DataFrame, category: str, value: str, group_keys: Sequence[str
 
     out_col = out_col or f"{category}_grouped"
     out_value = out_value or value
-    shares = share_of_total(df, [category], value)
+    # shares_from: a smaller table with the same per-category sums (e.g. the
+    # observations pre-aggregated before a join) to compute the shares from.
+    shares = share_of_total(shares_from if shares_from is not None else df, [category], value)
     cat_map = shares.select(
         category,
         F.when((F.col("proportion") >= F.lit(threshold)) | F.col(category).isin(list(keep)),

@@ -152,9 +152,13 @@ def _levels_with_community(ep: DataFrame) -> DataFrame:
 
 
 def lump_rare_prey(d: DataFrame, threshold: float = 0.001, keep: Sequence[str] = ("coleo_a",),
-                   keys: Sequence[str] = ("date2", "species", "id")) -> DataFrame:
-    """D3: prey taxa under ``threshold`` of all diet mass become ``other_unknown``."""
-    return lump_rare(d, "prey_taxon", "mg_diet_dm", keys, threshold, keep)
+                   keys: Sequence[str] = ("date2", "species", "id"),
+                   shares_from: DataFrame | None = None) -> DataFrame:
+    """D3: prey taxa under ``threshold`` of all diet mass become ``other_unknown``.
+
+    ``shares_from`` may give the per-prey mass from a pre-aggregated table.
+    """
+    return lump_rare(d, "prey_taxon", "mg_diet_dm", keys, threshold, keep, shares_from=shares_from)
 
 
 def diet_posteriors(draws: DataFrame, design: DataFrame | None = None,

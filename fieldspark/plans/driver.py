@@ -149,6 +149,25 @@ def clean_diet_table(spark: SparkSession, base: str, spread: bool = False,
     return add_diet_measures(join_prey(observations(spark, base, spread), dim))
 
 
+def diet_by_part(spark: SparkSession, base: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Diet mass summed per part (and ``extra`` observation keys), then named.
+
+    For results that only need sums per prey and species, the line items
+    are aggregated by part key *before* the join (partial aggregation, one
+    shuffle of part-level sums), so the join sees one row per part instead
+    of one per line item; Catalyst does not move aggregates below joins by
+    itself.  Sums of these sums equal the sums over the joined
+    observations.  (Measured at sf0.1 this is also faster than joining
+    first with a broadcast of the part table.)
+    """
+    obs = observations(spark, base)
+    per_part = obs.groupBy("l_partkey", *extra).agg(F.sum("mg_diet_dm").alias("mg_diet_dm"))
+    dim = clean_prey_names(prey_dimension(spark, base), DROP_SPECIES, SPECIES_RULES, PREY_RULES,
+                           STAGE_RULES)
+    j = per_part.join(dim, per_part.l_partkey == dim.p_partkey)
+    return j.select("species", "prey_taxon", *extra, "mg_diet_dm")
+
+
 def draw_cells(spark: SparkSession, base: str) -> DataFrame:
     """Observation cells of the draw model: species x week x stage class."""
     ev = read_table(spark, base, "events")
@@ -375,7 +394,7 @@ nodes2 AS (
 def food_web_props(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.plans.foodweb import diet_proportions
 
-    return diet_proportions(clean_diet_table(spark, base), WEB_EXCLUDE)
+    return diet_proportions(diet_by_part(spark, base), WEB_EXCLUDE)
 
 
 def food_web_edges(spark: SparkSession, base: str) -> DataFrame:
@@ -489,7 +508,7 @@ FROM g
 def q_share_of_total(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.aggregate import share_of_total
 
-    return rounded(share_of_total(clean_diet_table(spark, base), ["prey_taxon"], "mg_diet_dm"),
+    return rounded(share_of_total(diet_by_part(spark, base), ["prey_taxon"], "mg_diet_dm"),
                    total=2, **{"global": 2})
 
 
@@ -509,7 +528,8 @@ GROUP BY date2, species, prey_taxon_grouped, id
 def q_lump_rare(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.plans.diet import lump_rare_prey
 
-    return rounded(lump_rare_prey(clean_diet_table(spark, base), LUMP_THRESHOLD, LUMP_KEEP))
+    return rounded(lump_rare_prey(clean_diet_table(spark, base), LUMP_THRESHOLD, LUMP_KEEP,
+                                  shares_from=diet_by_part(spark, base)))
 
 
 @query("diet_proportion", "WITH " + CLEAN_SQL + """,
@@ -523,7 +543,7 @@ FROM st JOIN sp USING (species)
 def q_diet_proportion(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.aggregate import proportion_within
 
-    return rounded(proportion_within(clean_diet_table(spark, base), ["species"], ["prey_taxon"],
+    return rounded(proportion_within(diet_by_part(spark, base), ["species"], ["prey_taxon"],
                                      "mg_diet_dm"), total_gdm=2, total_gdm_taxa=2)
 
 
@@ -1483,7 +1503,7 @@ def q_edge_table_nostage(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.functions.strings import separate_parts
     from fieldspark.plans.foodweb import diet_proportions, edge_table
 
-    d = clean_diet_table(spark, base)
+    d = diet_by_part(spark, base)
     d = d.withColumn("prey_taxon", separate_parts("prey_taxon", 1)[0])
     props = diet_proportions(d, WEB_NOSTAGE_EXCLUDE)
     e = edge_table(props, WEB_NOSTAGE_SPECIAL_Y, WEB_COLOUR[0], WEB_COLOUR[1])
