@@ -28,13 +28,20 @@ def cell_means(df: DataFrame, keys: Sequence[str], y: str, family: str = "gamma"
     """Per-cell log-link GLM fit of a fully crossed design.
 
     Returns n, mean, sd, the coefficient ``b = ln(mean)`` and its standard
-    error.  For Gamma the dispersion is the cell's squared coefficient of
+    error.  A Gamma response with a zero or negative value is rejected at
+    run time.  For Gamma the dispersion is the cell's squared coefficient of
     variation (``se = sd / (mean * sqrt(n))``); for Poisson ``se =
     1 / sqrt(n * mean)``.  One aggregate with partial aggregation.
     """
     g = df.groupBy(*keys).agg(F.count(F.col(y)).alias("n"), F.avg(y).alias("mean"),
-                              F.stddev_samp(y).alias("sd"))
-    g = g.withColumn("b", F.when(F.col("mean") > 0, F.log(F.col("mean"))))
+                              F.stddev_samp(y).alias("sd"), F.min(y).alias("__min"))
+    b = F.when(F.col("mean") > 0, F.log(F.col("mean")))
+    if family == "gamma":
+        # A Gamma response must be positive: fail in the same aggregate rather
+        # than fit a non-positive cell (offset the response first, e.g. +0.01).
+        b = F.when(F.col("__min") <= 0, F.raise_error(
+            F.lit("Gamma response must be positive; add an offset"))).otherwise(b)
+    g = g.withColumn("b", b).drop("__min")
     if family == "gamma":
         se = F.col("sd") / (F.col("mean") * F.sqrt(F.col("n")))
     elif family == "poisson":

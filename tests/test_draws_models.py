@@ -279,3 +279,12 @@ def test_conditional_effects(spark):
     pinned = conditional_effects(draws, obs, {"date": ["d1", "d2"], "trt": ["ctrl", "exc"]},
                                  conditions={"trt": "exc"})
     assert pinned.count() == 2
+
+
+def test_gamma_rejects_nonpositive(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 0.0)], "k string, y double")
+    with pytest.raises(Exception, match="positive"):
+        cell_means(df, ["k"], "y").collect()
+    offset = df.withColumn("y", F.col("y") + 0.01)
+    assert cell_means(offset, ["k"], "y").first()["b"] == pytest.approx(math.log(0.51))
+    assert cell_means(df, ["k"], "y", "poisson").first()["mean"] == 0.5
