@@ -36,12 +36,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """Broadcast-hint ``df`` only after checking it has at most ``max_rows``.
 
     The side is cached first so the check and the join read it once.  Above
-    the bound the plain DataFrame is returned and Spark shuffles both sides
-    (sort-merge join, with AQE skew handling).
+    the bound the cache is released and the plain DataFrame is returned:
+    Spark shuffles both sides (sort-merge join, with AQE skew handling)
+    instead of holding a large table in executor memory.
     """
     cached = df.cache()
     n = cached.limit(max_rows + 1).count()
-    return F.broadcast(cached) if n <= max_rows else cached
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def _join_keys_null_safe(x: DataFrame, y: DataFrame, keys: Sequence[str], how: str,

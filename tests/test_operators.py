@@ -253,3 +253,15 @@ def test_arrange_nulls_last(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0)], "k int, v double")
     assert [r["k"] for r in arrange(df, "-v").collect()] == [3, 1, 2]
     assert [r["k"] for r in arrange(df, "v").collect()] == [1, 3, 2]
+
+
+def test_broadcast_if_small_bound(spark):
+    from fieldspark.operators.joins import broadcast_if_small
+
+    small = spark.range(10)
+    big = spark.range(50)
+    x = spark.range(100)
+    hinted = broadcast_if_small(small, 20)
+    assert hinted.is_cached and x.join(hinted, "id").count() == 10
+    out = broadcast_if_small(big, 20)
+    assert out.count() == 50 and not out.is_cached
