@@ -38,7 +38,7 @@ def read_table(spark: SparkSession, base: str, name: str,
     return df
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType,
+def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | None,
                    blank_strings_to_null: bool = True) -> DataFrame:
     """CSV with header and an explicit schema; ``NA`` and empty fields are NULL.
 
@@ -46,8 +46,12 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType,
     such as ``...1`` is read under the schema's name, e.g. ``row_id``).
     Quoted empty strings survive the CSV reader as ``''``; with
     ``blank_strings_to_null`` every string column maps blank to NULL too.
+    ``schema=None`` infers types (an extra pass over the file; a helper for
+    exploring new files, not for production reads).
     """
-    df = (spark.read.schema(schema)
+    reader = spark.read.schema(schema) if schema is not None else \
+        spark.read.option("inferSchema", True)
+    df = (reader
           .option("header", True)
           .option("nullValue", "NA")
           .option("emptyValue", None)
@@ -55,9 +59,9 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType,
           .csv(path))
     if blank_strings_to_null:
         df = df.select(*[
-            F.when(F.length(F.trim(F.col(f.name))) > 0, F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType) else F.col(f.name)
-            for f in schema.fields
+            F.when(F.length(F.trim(F.col(f"`{f.name}`"))) > 0, F.col(f"`{f.name}`")).alias(f.name)
+            if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+            for f in df.schema.fields
         ])
     return df
 

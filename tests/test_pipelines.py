@@ -166,6 +166,11 @@ def test_csv_reader_nulls_and_clean_names(spark, tmp_path):
     assert all(v is None for v in out[1].values())
     assert clean_names(df).columns == ["date", "id", "location", "trt", "p_h", "cond_u_s", "temp_c",
                                        "depth_cm", "do_mg_l"]
+    g = tmp_path / "raw.csv"
+    g.write_text('...1,mm,date\n1,2.5,5/28/2017\n2,NA,\n')
+    inferred = read_csv_typed(spark, str(g), None)
+    assert inferred.columns == ["...1", "mm", "date"]
+    assert dict(inferred.dtypes)["mm"] == "double" and inferred.where("mm IS NULL").count() == 1
     cc = cage_comparison(spark.createDataFrame([("d1", "Ambient", 3, 1), ("d1", "Exclusion", 9, 9)],
                                                "date string, trt string, chir int, doli int"),
                          ["date", "trt"])
