@@ -653,6 +653,7 @@ def q_taxon_totals(spark: SparkSession, base: str) -> DataFrame:
 # ---- events family (C, V) ---------------------------------------------------
 
 # Dodge per type (days), recodes, cut-offs and the two survey dates.
+# impute_zero_mean also moves the 2024-01-12 sampling day onto 2024-01-13.
 DODGE = {"click": 0.5, "view": 0.25, "purchase": 0.0, "signup": -0.25}
 COMMUNITY_RENAME = {"view": "viewer", "signup": "signer"}
 SURVEY_DATES = ["2024-01-29", "2024-01-30"]
@@ -840,7 +841,8 @@ def q_first_per_key(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("impute_zero_mean", """
-WITH o AS (SELECT CAST(ts AS DATE) AS date2, event_type AS species,
+WITH o AS (SELECT CASE WHEN CAST(ts AS DATE) = DATE '2024-01-12' THEN DATE '2024-01-13'
+                       ELSE CAST(ts AS DATE) END AS date2, event_type AS species,
                   CASE WHEN value >= 400 THEN 1 ELSE 0 END AS abund FROM events),
 grid AS (SELECT * FROM (SELECT DISTINCT date2 FROM o) CROSS JOIN (SELECT DISTINCT species FROM o)),
 raw AS (SELECT date2, species, sum(abund) AS s FROM o GROUP BY date2, species),
@@ -861,7 +863,8 @@ def q_impute_zero_mean(spark: SparkSession, base: str) -> DataFrame:
     o = events(spark, base).select(F.to_date("ts").alias("date"), F.col("event_type")
                                    .alias("species"),
                                    F.when(F.col("value") >= 400, 1).otherwise(0).alias("abund"))
-    out = community_totals(o, drop_date=datetime.date(2024, 1, 1), rename=COMMUNITY_RENAME,
+    out = community_totals(o, snap={datetime.date(2024, 1, 12): datetime.date(2024, 1, 13)},
+                           drop_date=datetime.date(2024, 1, 1), rename=COMMUNITY_RENAME,
                            complete=True)
     return rounded(out.select("date2", "species", F.col("total_abund_raw").cast("bigint"),
                               "average", "total_abund"))
