@@ -13,17 +13,18 @@ How the benchmark tables stand in for the field data
 * Response (V): ``events.value``.
 
 Every query reads whole tables; the only row cut is ``thin_draws`` (the
-operator itself keeps the first draws).  Each query has an equivalent
-DuckDB SQL text in ``ORACLE_SQL``; floating outputs are rounded to 6
-decimals on both sides so engine-specific last-bit differences do not
-change the comparison.
+operator itself keeps the first draws).  Each query except the four that
+draw random numbers has an equivalent DuckDB SQL text in ``ORACLE_SQL``;
+floating outputs are rounded to 6 decimals (2 for large money-like sums)
+on both sides so engine-specific last-bit differences do not change the
+comparison.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.operators.draws import cell_means_design
