@@ -12,7 +12,8 @@ same three Spark phases and differ in the units and in how seeds are chosen:
    not unique.  Unique names are discarded: no repeated window touches them.
 2. *Remaining windows.*  The windows around surviving seeds are named over
    their whole length, sorted by name, and each window is compared with the
-   adjacent one.  All but the first of equal windows are reported.
+   adjacent one.  All but the first of equal windows are reported.  This is
+   done in a few turns over ranges of the names, to bound the disk in use.
 3. *Removal.*  Reported windows are merged into maximal runs per document
    and cut out of the texts.
 
@@ -38,9 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import (Block, Rolling, Words, byte_values, merge_spans, pack, pack_sorted, unpack,
-                      unpack_sorted)
-from .session import cut, partitions
+from .kernels import (Block, Rolling, Words, byte_values, merge_spans, mix, pack, pack_sorted,
+                      unpack, unpack_sorted)
+from .session import cut, partitions, release
 
 SEED_BYTES = 6
 NAME_BYTES = 8
@@ -239,39 +240,41 @@ def seed_packets(scheme: Scheme, buckets: int, limit: int):
     return run
 
 
-def window_packets(scheme: Scheme, buckets: int, limit: int):
-    """Rows come sorted by part, doc_id; a block never spans two parts."""
+def window_packets(scheme: Scheme, buckets: int, limit: int, turn: int, turns: int):
+    """Names of the windows around surviving seeds whose name belongs to this
+    turn.  Rows come sorted by document; a row with spans precedes its text."""
 
     def run(batches):
         packer = Packer(scheme, buckets, NAME_BYTES, False, limit)
-        part, serial, last = None, 0, None
+        part, serial = TaskContext.get().partitionId() << 24, 0
+        wanted = None
         for table in _chunks(batches):
-            cuts = np.flatnonzero(np.diff(table["part"].to_numpy())) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(table)]):
-                piece = table.slice(i, j - i)
-                if part != piece["part"][0].as_py():
-                    if packer.docs:
-                        yield from packer.flush((part << 24) + serial)
-                    part, serial = piece["part"][0].as_py(), 0
-                keys = list(zip(piece["_k"].to_pylist(), piece["_h"].to_pylist()))
-                new = [a != b for a, b in zip(keys, [last, *keys])]  # repeated rows count once
-                last = keys[-1]
-                piece = piece.filter(pa.array(new))
-                if not len(piece):
-                    continue
-                values, offsets = scheme.units(Block(piece["_text"]))
-                starts, ends = piece["starts"].combine_chunks(), piece["ends"].combine_chunks()
-                n = np.diff(starts.offsets.to_numpy())
-                s = starts.flatten().to_numpy() + np.repeat(offsets[:-1], n)
-                size = ends.flatten().to_numpy() + np.repeat(offsets[:-1], n) - s
-                pos = np.arange(size.sum()) + np.repeat(s - np.cumsum(size) + size, size)
-                names = Rolling(values).windows(pos, scheme.window)
-                packer.add(names, pos, _doc_arrays(piece, np.diff(offsets)), len(values))
-                if packer.full():
-                    yield from packer.flush((part << 24) + serial)
-                    serial += 1
+            rows, spans = [], []
+            for r, (k, h, kind, s, e) in enumerate(zip(*(table[c].to_pylist() for c in (
+                    "_k", "_h", "kind", "starts", "ends")))):
+                if kind == 0:
+                    wanted = (k, h, s, e)
+                elif wanted and wanted[:2] == (k, h):
+                    rows.append(r)
+                    spans.append((np.array(wanted[2]), np.array(wanted[3])))
+                    wanted = None  # a repeated row counts once
+            if not rows:
+                continue
+            piece = table.take(rows)
+            values, offsets = scheme.units(Block(piece["_text"]))
+            s = np.concatenate([x[0] + o for x, o in zip(spans, offsets)])
+            size = np.concatenate([x[1] - x[0] for x in spans])
+            pos = np.arange(size.sum()) + np.repeat(s - np.cumsum(size) + size, size)
+            names = Rolling(values).windows(pos, scheme.window)
+            if turns > 1:
+                now = mix(names) % np.uint64(turns) == turn
+                names, pos = names[now], pos[now]
+            packer.add(names, pos, _doc_arrays(piece, np.diff(offsets)), len(values))
+            if packer.full():
+                yield from packer.flush(part + serial)
+                serial += 1
         if packer.docs:
-            yield from packer.flush((part << 24) + serial)
+            yield from packer.flush(part + serial)
 
     return run
 
@@ -370,35 +373,59 @@ def _spans(packets: DataFrame, width: int, keep_first: bool, before: int, after:
             .mapInArrow(block_spans(before, after, shorter), SPANS))
 
 
-def repeated_spans(docs: DataFrame, scheme: Scheme, block_names: int) -> DataFrame:
-    """Unit spans to remove: ``_k, _h, n_units, starts, ends`` per document.
+def repeated_spans(docs: DataFrame, scheme: Scheme, block_names: int, turns: int) -> DataFrame:
+    """Unit spans to remove: ``_k, _h, starts, ends``, lists of span lists.
 
     ``docs`` has ``_k`` (doc_id, NULL as the smallest), ``_h`` and ``_m``
     (hashes of the text) and ``_text``.  Documents with nothing to remove
-    are left out.
+    are left out.  The windows are compared in ``turns`` ranges of their
+    names, one after the other, so only a part of them is on disk at a time.
     """
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = partitions(spark)
     reach = scheme.window - scheme.seed
     seeded = cut(_spans(docs.mapInArrow(seed_packets(scheme, 2 * n, block_names), PACKETS),
                         SEED_BYTES, False, reach, 1, scheme.window - 1))
+    release(spark)
     # A copy of a whole text loses every unit to the copy with the smallest doc_id.
     first = seeded.groupBy("_m").agg(F.min("_k").alias("_first"))
-    marked = seeded.join(first, "_m").select("_k", "_h", "n_units", "starts", "ends",
-                                             (F.col("_k") > F.col("_first")).alias("copy"))
-    marked = cut(marked.groupBy("_k", "_h").agg(*(
-        F.first(c).alias(c) for c in ("n_units", "starts", "ends", "copy")))
-        .repartitionByRange(n, "_k", "_h").withColumn("part", F.spark_partition_id()))
-    around = marked.where(~F.col("copy") & (F.size("starts") > 0)).select(
-        "_k", "_h", "part", "starts", "ends")
-    windows = (docs.select("_k", "_h", "_text").join(around, ["_k", "_h"])
-               .repartition(n, "part").sortWithinPartitions("part", "_k", "_h")
-               .mapInArrow(window_packets(scheme, 2 * n, block_names), PACKETS))
-    later = _spans(windows, NAME_BYTES, True, 0, scheme.window, 0)
-    later = later.where(F.size("starts") > 0).select("_k", "_h", "n_units", "starts", "ends")
-    copies = marked.where(F.col("copy") & (F.col("n_units") >= scheme.window)).select(
-        "_k", "_h", "n_units", F.array(F.lit(0).cast("long")).alias("starts"),
-        F.array("n_units").alias("ends"))
-    return cut(later.unionByName(copies))
+    marked = cut(seeded.join(first, "_m").select(
+        "_k", "_h", "n_units", "starts", "ends", (F.col("_k") > F.col("_first")).alias("copy"))
+        .where(F.col("copy") | (F.size("starts") > 0)).dropDuplicates(["_k", "_h"]))
+    text, spans = F.lit(None).cast("string"), F.lit(None).cast("array<long>")
+    around = marked.where(~F.col("copy")).select(
+        "_k", "_h", F.lit(0).alias("kind"), text.alias("_text"), "starts", "ends")
+    both = around.unionByName(docs.select(
+        "_k", "_h", F.lit(1).alias("kind"), "_text", spans.alias("starts"), spans.alias("ends")))
+    found = marked.where(F.col("copy") & (F.col("n_units") >= scheme.window)).select(
+        "_k", "_h", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_units").alias("ends"))
+    for turn in range(turns):
+        windows = (both.repartitionByRange(n, "_k", "_h").sortWithinPartitions("_k", "_h", "kind")
+                   .mapInArrow(window_packets(scheme, 2 * n, block_names, turn, turns), PACKETS))
+        later = cut(_spans(windows, NAME_BYTES, True, 0, scheme.window, 0)
+                    .where(F.size("starts") > 0).select("_k", "_h", "starts", "ends"))
+        del windows
+        release(spark)
+        found = found.unionByName(later)
+    return cut(found.groupBy("_k", "_h").agg(F.collect_list("starts").alias("starts"),
+                                             F.collect_list("ends").alias("ends"))
+               .select("_k", "_h", F.flatten("starts").alias("starts"),
+                       F.flatten("ends").alias("ends")))
+
+
+def union_of_spans(start, end, doc):
+    """Sorted, disjoint spans of each document from spans in any order."""
+    order = np.lexsort((start, doc))
+    start, end, doc = start[order], end[order], doc[order]
+    if not len(start):
+        return start, end, doc
+    shift = doc * (np.int64(end.max()) + 1)  # documents apart, so one running maximum will do
+    reach = np.maximum.accumulate(end + shift)
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (start[1:] + shift[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    last = np.concatenate([at[1:] - 1, [len(start) - 1]])
+    return start[at], (reach - shift)[last], doc[at]
 
 
 def keep_rest(scheme: Scheme, columns: list[str]):
@@ -409,16 +436,18 @@ def keep_rest(scheme: Scheme, columns: list[str]):
             starts, ends = (table[c].combine_chunks() for c in ("starts", "ends"))
             n = np.diff(starts.offsets.to_numpy())
             doc = np.repeat(np.arange(len(n)), n)
-            s = starts.flatten().to_numpy() + offsets[doc]
-            e = ends.flatten().to_numpy() + offsets[doc]
-            bounds, data = scheme.keep(block, s, e, doc)
+            s, e, doc = union_of_spans(starts.flatten().to_numpy(), ends.flatten().to_numpy(), doc)
+            lists = np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32)
+            removed = np.bincount(doc, weights=e - s, minlength=len(n)).astype(np.int64)
+            bounds, data = scheme.keep(block, s + offsets[doc], e + offsets[doc], doc)
             kept = pa.Array.from_buffers(pa.large_binary(), len(n), [
                 None, pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int64)),
                 pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
-            removed = np.bincount(doc, weights=e - s, minlength=len(n)).astype(np.int64)
             cols = [table[c].combine_chunks() for c in columns] + [
-                pa.array(np.diff(offsets)), pa.array(removed), pa.array(n.astype(np.int64)),
-                starts, ends, kept]
+                pa.array(np.diff(offsets)), pa.array(removed),
+                pa.array(np.diff(lists).astype(np.int64)),
+                pa.ListArray.from_arrays(lists, pa.array(s)),
+                pa.ListArray.from_arrays(lists, pa.array(e)), kept]
             out = pa.Table.from_arrays(cols, names=[
                 *columns, "n_units", "n_removed", "n_spans", "starts", "ends", "kept"])
             yield from out.to_batches()
@@ -427,7 +456,7 @@ def keep_rest(scheme: Scheme, columns: list[str]):
 
 
 def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str,
-                   block_names: int) -> DataFrame:
+                   block_names: int, turns: int) -> DataFrame:
     """Rows ``_row`` (the input row), ``n_units``, ``n_removed``, ``n_spans``,
     ``starts``, ``ends`` (removed unit spans) and ``kept`` (bytes left)."""
     base = docs.select(
@@ -436,9 +465,9 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str,
         F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_m"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
         F.struct(*(c for c in docs.columns if c != text_col)).alias("_row"))
-    spans = repeated_spans(base.drop("_row"), scheme, block_names)
+    spans = repeated_spans(base.drop("_row"), scheme, block_names, turns)
     empty = F.array().cast("array<long>")
-    rows = (base.drop("_m").join(spans.drop("n_units"), ["_k", "_h"], "left")
+    rows = (base.drop("_m").join(spans, ["_k", "_h"], "left")
             .select("_row", "_text", F.coalesce("starts", empty).alias("starts"),
                     F.coalesce("ends", empty).alias("ends")))
     kind = rows.schema["_row"].dataType.simpleString()

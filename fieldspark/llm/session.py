@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write a result several later steps read to the shared checkpoint folder.
 
-    Survives the loss of the executors that made it.  Shuffle files of the
-    steps before are no longer needed, so the driver is asked to drop them.
+    Survives the loss of the executors that made it.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files of steps that nothing refers to any
+    more (they are cleaned when their plans are garbage-collected)."""
+    for _ in range(2):  # the first only detaches the plans from their jobs
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ from .repeats import WordRuns, remove_repeats
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     min_words: int = 20, seed_words: int = 8,
-                    block_names: int = 2_000_000) -> DataFrame:
+                    block_names: int = 2_000_000, turns: int = 1) -> DataFrame:
     """Cut every word covered by a run of ``min_words`` words that starts earlier.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Returns one row per input
@@ -35,7 +35,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 1 <= seed_words <= min_words:
         raise ValueError("seed_words must lie between 1 and min_words")
     scheme = WordRuns(window=min_words, seed=seed_words)
-    return remove_repeats(docs, scheme, id_col, text_col, block_names)
+    return remove_repeats(docs, scheme, id_col, text_col, block_names, turns)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

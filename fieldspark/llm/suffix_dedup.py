@@ -42,7 +42,7 @@ DIFFERENCE_COVERS = {
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        min_bytes: int = 100, period: int = 57,
-                       block_names: int = 2_000_000) -> DataFrame:
+                       block_names: int = 2_000_000, turns: int = 2) -> DataFrame:
     """Cut every byte covered by a ``min_bytes`` string that starts earlier.
 
     Returns one row per input row: ``_row`` (the other input columns),
@@ -59,7 +59,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("period must be a known cover and leave at least 8 bytes to a name")
     scheme = Bytes(window=min_bytes, seed=min_bytes - period + 1,
                    cover=DIFFERENCE_COVERS[period], period=period)
-    return remove_repeats(docs, scheme, id_col, text_col, block_names)
+    return remove_repeats(docs, scheme, id_col, text_col, block_names, turns)
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

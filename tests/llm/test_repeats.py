@@ -65,7 +65,7 @@ def corpus(seed=3):
 def test_suffix_dedup_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = {r["_row"]["doc_id"]: r for r in suffix_array_dedup(df, block_names=500).collect()}
+    got = {r["_row"]["doc_id"]: r for r in suffix_array_dedup(df, block_names=500, turns=3).collect()}
     texts = {r[0]: (r[1] or "").encode() for r in rows}
     want = brute(texts, 100)
     assert set(got) == set(want)
