@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from .ann import op4_collision_ann
+from .minhash_dedup import op3_minhash_dedup
+from .mixing import op9_cube_mixing
+from .oracles import OP6_SQL
+from .packing import op5_bin_completion
+from .quality import op7_ordinal_quality
+from .quality_rules import op6_divergence_rules
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op1_suffix_array_dedup
+from .toxicity import op8_counterfactual_toxicity
+from .url_filter import op10_boosted_urls
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_collision_ann": op4_collision_ann,
+    "op5_bin_completion": op5_bin_completion,
+    "op6_divergence_rules": op6_divergence_rules,
+    "op7_ordinal_quality": op7_ordinal_quality,
+    "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
+    "op9_cube_mixing": op9_cube_mixing,
+    "op10_boosted_urls": op10_boosted_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_divergence_rules": OP6_SQL}
