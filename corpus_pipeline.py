@@ -1,10 +1,80 @@
-"""Corpus pipeline: documents in, packed training sequences out."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+Each stage applies one operator of ``fieldspark.llm`` to what the stage before
+kept; its result is written as Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldspark.llm.minhash_dedup import near_duplicates
+from fieldspark.llm.mixing import mix_sources
+from fieldspark.llm.packing import pack_documents
+from fieldspark.llm.quality import train_quality, with_quality
+from fieldspark.llm.session import ensure_checkpoint_dir
+from fieldspark.llm.suffix_dedup import suffix_array_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_quality(docs, model).where("_tail_probability >= 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates stays."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occurred earlier are cut out of the texts.
+
+    A character of which a byte was cut goes whole; a text that is cut
+    entirely stays as an empty one.
+    """
+    text = F.col("kept").cast("string")
+    whole = F.when(F.is_valid_utf8(text), text).otherwise(
+        F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
+    out = suffix_array_dedup(docs).withColumn("_text", whole)
+    fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.{c}").alias(c)
+                        for c in docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the number of copies that the mix takes of them."""
+    copies = mix_sources(docs).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list("copies")).alias("_copies"))
+    # Rows that share a doc_id take the copies of that doc_id in turn.
+    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = docs.withColumn("_nth", F.row_number().over(same)).join(
+        copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    times = F.element_at("_copies", F.col("_nth"))
+    return (rows.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+            .select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup),
+          ("mix", mix), ("pack", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
