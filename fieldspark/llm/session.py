@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -29,19 +28,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write a result several later steps read to the shared checkpoint folder.
 
-    Survives the loss of the executors that made it.
+    Survives the loss of the executors that made it.  The shuffle files of
+    the steps before serve nothing else, so Spark is told to remove them as
+    soon as the result is written.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files of steps that nothing refers to any
-    more (they are cleaned when their plans are garbage-collected)."""
-    for _ in range(2):  # the first only detaches the plans from their jobs
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
 
 
 def partitions(spark: SparkSession) -> int:
