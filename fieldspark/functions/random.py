@@ -1,9 +1,10 @@
 """Reproducible random columns (X11).
 
 ``F.rand(seed)`` depends on how rows are split into partitions.  Here every
-uniform is a function of a seed, a salt and the row's key columns only:
-``xxhash64`` of those, top 53 bits, shifted half a step off zero.  The same
-keys give the same draws on any partitioning and any cluster size.
+uniform is a function of a seed, a salt and the row's key columns only: the
+MD5 digest of their texts, of which hexadecimal digits become a number.  The
+same keys give the same draws on any partitioning and any cluster size, and
+any SQL engine with MD5 can repeat them.
 """
 
 from __future__ import annotations
@@ -14,34 +15,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO_POW_53 = float(2**53)
+PROPOSALS = 8
 
 
-def _cols(keys: Sequence[str | Column]) -> list[Column]:
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
+def _text(key: str | Column) -> Column:
+    c = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(c.cast("string"), F.lit("NA"))
 
 
-def row_key(keys: Sequence[str | Column], seed: int, salt: int = 0) -> Column:
-    """64-bit hash of (seed, salt, keys...) as a signed BIGINT."""
-    return F.xxhash64(F.lit(int(seed)), F.lit(int(salt)), *_cols(keys))
+def row_digest(keys: Sequence[str | Column], seed: int, salt: int = 0) -> Column:
+    """MD5 of ``seed|salt|key|...`` as 32 hexadecimal digits (NULL keys: NA)."""
+    return F.md5(F.concat_ws("|", F.lit(f"{int(seed)}|{int(salt)}"), *map(_text, keys)))
+
+
+def _unit(digest: Column, start: int, digits: int) -> Column:
+    number = F.conv(F.substring(digest, start, digits), 16, 10).cast("double")
+    return (number + F.lit(0.5)) / F.lit(float(16**digits))
 
 
 def hashed_uniform(keys: Sequence[str | Column], seed: int, salt: int = 0) -> Column:
     """Uniform on the open interval (0, 1)."""
-    bits = F.shiftrightunsigned(row_key(keys, seed, salt), 11).cast("double")
-    return (bits + F.lit(0.5)) / F.lit(_TWO_POW_53)
+    return _unit(row_digest(keys, seed, salt), 1, 13)
+
+
+def _box_muller(u1: Column, u2: Column) -> Column:
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
 def hashed_normal(keys: Sequence[str | Column], seed: int, mean: float = 0.0, sd: float = 1.0,
                   salt: int = 0) -> Column:
-    """Normal draw by Box-Muller from two independent hashed uniforms."""
-    u1 = hashed_uniform(keys, seed, 2 * salt + 1)
-    u2 = hashed_uniform(keys, seed, 2 * salt + 2)
-    z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-    return F.lit(float(mean)) + F.lit(float(sd)) * z
+    """Normal draw by Box-Muller from two uniforms of one digest."""
+    d = row_digest(keys, seed, salt)
+    return F.lit(float(mean)) + F.lit(float(sd)) * _box_muller(_unit(d, 1, 13), _unit(d, 14, 13))
 
 
 def hashed_exponential(keys: Sequence[str | Column], seed: int, rate: float = 1.0,
                        salt: int = 0) -> Column:
     """Exponential draw by inversion: ``-ln(u) / rate``."""
     return -F.log(hashed_uniform(keys, seed, salt)) / F.lit(float(rate))
+
+
+def hashed_gamma(keys: Sequence[str | Column], seed: int, shape: Column, scale: Column,
+                 salt: int = 0) -> Column:
+    """Gamma draw by Marsaglia and Tsang's method, as one column expression.
+
+    Proposal ``k`` takes a normal and a uniform from the digest with salt
+    ``salt + k``; the first accepted one counts.  Over 95 % of proposals are
+    accepted; if all of ``PROPOSALS`` fail (probability below 1e-10) the mode
+    of the proposal is taken, so the expression always ends.  Shapes below 1
+    use ``G(a) = G(a + 1) * U^(1/a)``.  A NULL, NaN or non-positive shape
+    gives NULL.
+    """
+    valid = F.when((shape > 0) & ~F.isnan(shape), shape.cast("double"))
+    d = F.when(valid < 1, valid + 1.0).otherwise(valid) - F.lit(1.0 / 3.0)
+    c = F.lit(1.0) / F.sqrt(F.lit(9.0) * d)
+    tries = []
+    for k in range(1, PROPOSALS + 1):
+        digest = row_digest(keys, seed, salt + k)
+        z = _box_muller(_unit(digest, 1, 10), _unit(digest, 11, 10))
+        v = F.pow(F.lit(1.0) + c * z, F.lit(3.0))
+        accept = F.log(_unit(digest, 21, 10)) < F.lit(0.5) * z * z + d - d * v + d * F.log(v)
+        tries.append(F.when((v > 0) & accept, d * v))
+    boost = F.when(valid < 1, F.pow(hashed_uniform(keys, seed, salt), F.lit(1.0) / valid)) \
+        .otherwise(F.lit(1.0))
+    return F.coalesce(*tries, d) * boost * scale

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.mathx import log10_pos, safe_divide
+from fieldspark.operators.ranking import group_statistics, number_rows, value_range
 
 
 def _col(c):
@@ -39,11 +40,6 @@ def strict_stddev(c: str | Column) -> Column:
     return F.when(F.count(F.lit(1)) == F.count(col), F.stddev_samp(col))
 
 
-def strict_median(c: str | Column) -> Column:
-    col = _col(c)
-    return F.when(F.count(F.lit(1)) == F.count(col), F.median(col))
-
-
 # ---- shares and lumping (A11, A12, W1) --------------------------------------
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str = "total",
@@ -53,8 +49,8 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str =
     The grand sum is a scalar subquery over the (small) per-key table, so
     the only shuffle is the partial + final group aggregate.
     """
-    per_key = df.groupBy(*keys).agg(F.sum(value).alias(total))
-    grand = per_key.agg(F.sum(total)).scalar()
+    per_key = df.groupBy(*keys).agg(strict_sum(value).alias(total))
+    grand = per_key.agg(strict_sum(total)).scalar()
     return (per_key.withColumn(global_total, grand)
             .withColumn(proportion, safe_divide(F.col(total), F.col(global_total))))
 
@@ -62,29 +58,26 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str =
 def lump_rare(df: DataFrame, category: str, value: str, group_keys: Sequence[str],
               threshold: float, keep: Sequence[str] = (), other: str = "other_unknown",
               out_col: str | None = None, out_value: str | None = None,
-              offset: float = 0.1, shares_from: DataFrame | None = None) -> DataFrame:
+              offset: float = 0.1) -> DataFrame:
     """Lump categories whose share of ``value`` is below ``threshold``.
 
-    Categories in ``keep`` are never lumped.  Rows are then re-aggregated
-    by ``group_keys`` plus the lumped category, with ``value`` summed and an
-    offset copy (``value + offset``) for log-scale models.  The category
-    map has one row per category and is joined back with a checked
-    broadcast.
+    Categories in ``keep`` are never lumped.  The rows are summed once to
+    ``group_keys`` plus category; shares and the lumped result both come from
+    that table, so the input is read once.  ``value`` is summed strictly (a
+    NULL makes its sums NULL), and an offset copy (``value + offset``) is
+    added for log-scale models.
     """
-    from fieldspark.operators.joins import broadcast_if_small
-
     out_col = out_col or f"{category}_grouped"
     out_value = out_value or value
-    # shares_from: a smaller table with the same per-category sums (e.g. the
-    # observations pre-aggregated before a join) to compute the shares from.
-    shares = share_of_total(shares_from if shares_from is not None else df, [category], value)
+    fine = df.groupBy(*group_keys, category).agg(strict_sum(value).alias(value))
+    shares = share_of_total(fine, [category], value)
     cat_map = shares.select(
-        category,
+        F.col(category).alias("__cat"),
         F.when((F.col("proportion") >= F.lit(threshold)) | F.col(category).isin(list(keep)),
                F.col(category)).otherwise(F.lit(other)).alias(out_col))
-    joined = df.join(broadcast_if_small(cat_map), [category], "left")
+    joined = fine.join(cat_map, F.col(category).eqNullSafe(F.col("__cat")), "left")
     return (joined.groupBy(*group_keys, out_col)
-            .agg(F.sum(value).alias(out_value))
+            .agg(strict_sum(value).alias(out_value))
             .withColumn(f"{out_value}01", F.col(out_value) + F.lit(offset)))
 
 
@@ -99,7 +92,11 @@ def attach_group_stat(df: DataFrame, by: Sequence[str], value: str, out: str,
     shuffle when ``df`` is already partitioned by those keys.
     """
     f = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[fn]
-    return df.withColumn(out, f(F.col(value)).over(Window.partitionBy(*by)))
+    w = Window.partitionBy(*by)
+    stat = f(F.col(value)).over(w)
+    if fn in ("avg", "sum"):  # NULL when any value of the group is
+        stat = F.when(F.count(F.lit(1)).over(w) == F.count(F.col(value)).over(w), stat)
+    return df.withColumn(out, stat)
 
 
 def proportion_within(df: DataFrame, group: Sequence[str], sub: Sequence[str], value: str,
@@ -110,7 +107,7 @@ def proportion_within(df: DataFrame, group: Sequence[str], sub: Sequence[str], v
     One group-by to the (group, sub) grain, then the group total over that
     small table; no window over raw rows.
     """
-    per_sub = df.groupBy(*group, *sub).agg(F.sum(value).alias(sub_total))
+    per_sub = df.groupBy(*group, *sub).agg(strict_sum(value).alias(sub_total))
     per_sub = attach_group_stat(per_sub, group, sub_total, group_total, "sum")
     return (per_sub.select(*group, *sub, group_total, sub_total)
             .withColumn(proportion, safe_divide(F.col(sub_total), F.col(group_total))))
@@ -130,55 +127,33 @@ def rank_by_mean(df: DataFrame, category: str, value: str, descending: bool = Tr
                  mean_col: str = "mean_value", rank_col: str = "level") -> DataFrame:
     """Order categories by the mean of ``value`` (``reorder(x, -v)``).
 
-    The window runs over the per-category table (one row per category).
+    The table of means is cut into ranges of the mean that are sorted apart,
+    so any number of categories may be ranked.
     """
     means = df.groupBy(category).agg(F.avg(value).alias(mean_col))
+    place = value_range(means, mean_col)
+    chunk = F.coalesce(-place if descending else place, F.lit(2**30))  # NULLs last
     order = F.desc_nulls_last(mean_col) if descending else F.asc_nulls_last(mean_col)
-    w = Window.orderBy(order, F.asc_nulls_last(category))
-    return means.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
+    return number_rows(means, chunk, [order, F.asc_nulls_last(category)], rank_col)
 
 
 # ---- quantiles and distributions (A7-A10, A19, X10) ------------------------
 
-EXACT_MAX_ROWS = 2_000_000
-
-
-def exact_is_feasible(df: DataFrame, by: Sequence[str], max_rows: int = EXACT_MAX_ROWS) -> bool:
-    """True when the largest group has at most ``max_rows`` rows.
-
-    Exact percentiles keep a group's values in one aggregation buffer; this
-    one cheap count aggregate (partial, map-side) decides whether that is
-    safe or a sketch must be used.
-    """
-    biggest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return biggest is None or biggest <= max_rows
-
-
 def quantile_agg(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                 names: Sequence[str], exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """Linear-interpolation quantiles (R type 7) per group, exact or sketched.
-
-    Exact ``percentile`` keeps each group's values in the aggregation
-    buffer; for groups beyond millions of values use ``exact=False``
-    (``percentile_approx``, a bounded-memory sketch).
-    """
-    col = F.col(value)
-    qs = F.percentile(col, list(probs)) if exact else F.percentile_approx(col, list(probs), accuracy)
-    agg = df.groupBy(*by).agg(qs.alias("__q"))
-    return agg.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+                 names: Sequence[str]) -> DataFrame:
+    """Exact linear-interpolation quantiles (R type 7) per group, NULLs skipped."""
+    stats = group_statistics(df, by, value, probs)
+    return stats.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def distribution_bins(df: DataFrame, by: Sequence[str], value: str, lo: float, hi: float,
-                      n_bins: int, log10: bool = True, exact: bool | str = "auto") -> DataFrame:
-    """Histogram (optionally of log10 values) plus quartiles, per group.
+                      n_bins: int, log10: bool = True) -> DataFrame:
+    """Histogram (optionally of log10 values) plus exact quartiles, per group.
 
     Bin ``i`` covers ``[lo + i*w, lo + (i+1)*w)``; values outside
     ``[lo, hi)`` go to the first or last bin.  Non-positive values are
-    dropped on the log scale.  Both the counts and the quartiles are group
-    aggregates with partial (map-side) aggregation; they are joined on the
-    group keys, one row per group on the quartile side.  ``exact="auto"``
-    uses exact quartiles unless a group exceeds ``EXACT_MAX_ROWS`` rows,
-    then the bounded-memory sketch.
+    dropped on the log scale.  Counts are a group aggregate; the quartile
+    side has one row per group.
     """
     x = log10_pos(value) if log10 else F.col(value)
     w = (hi - lo) / n_bins
@@ -187,7 +162,5 @@ def distribution_bins(df: DataFrame, by: Sequence[str], value: str, lo: float, h
                 F.lit(n_bins - 1)).cast("int")
     counts = base.withColumn("bin", b).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("bin_lo", F.lit(lo) + F.col("bin") * F.lit(w))
-    if exact == "auto":
-        exact = exact_is_feasible(base, by)
-    quart = quantile_agg(base, by, "__v", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], bool(exact))
+    quart = quantile_agg(base, by, "__v", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
     return counts.join(quart, list(by), "left")

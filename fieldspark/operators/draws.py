@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.mathx import safe_divide
-from fieldspark.operators.aggregate import strict_mean, strict_median, strict_stddev
+from fieldspark.operators.aggregate import quantile_agg
 from fieldspark.operators.joins import DEFAULT_MAX_LEVELS
+from fieldspark.operators.ranking import group_statistics
 
 DEFAULT_MAX_CELLS = 100_000
 
@@ -114,11 +115,16 @@ def treatment_design(grid: DataFrame, factors: Mapping[str, Sequence[str]],
 
 # ---- expansion ---------------------------------------------------------------
 
+def _inverse_link(link: str):
+    return {"log": F.exp, "identity": lambda v: v,
+            "logit": lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))}[link]
+
+
 def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw: str = "draw",
                 coef: str = "coef", x: str = "x", link: str = "log", out: str = "epred",
                 carry: Sequence[str] = (), max_cells: int = DEFAULT_MAX_CELLS,
-                linpred: str | None = None, max_nonzero: int | None = None,
-                exclude_terms: Sequence[int] = ()) -> DataFrame:
+                linpred: str | None = None, exclude_terms: Sequence[int] = (),
+                hurdle_coef: str | None = None) -> DataFrame:
     """Expected value of every grid cell under every draw.
 
     ``eta = sum_j x_j * coef_j`` over the cell's design vector, then the
@@ -127,14 +133,14 @@ def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw:
     Output is partitioned by ``draw``.
 
     The design vector is turned into its non-zero (index, value) pairs once
-    per cell, on the small grid.  Per (draw, cell) row only those terms are
-    evaluated: with ``max_nonzero`` (the most non-zeros any cell can have,
-    e.g. 1 for cell-means coding) the sum is unrolled into plain arithmetic
-    that whole-stage codegen compiles; otherwise a lambda runs over the
-    pairs.  A NULL coefficient in a used term makes the prediction NULL.
-    ``exclude_terms`` (0-based positions) drops terms from every cell,
-    e.g. group-level effects for predictions without them
-    (``re_formula = NA``).
+    per cell, on the small grid, and every one of them is summed per (draw,
+    cell).  A NULL or missing coefficient in a used term makes the prediction
+    NULL.  ``exclude_terms`` (0-based positions) drops terms from every cell,
+    e.g. group-level effects for predictions without them (``re_formula = NA``).
+
+    With ``hurdle_coef`` (a second coefficient array) the model is a hurdle
+    one: ``mu`` and ``hu`` (inverse logit of the zero part) are kept as
+    columns and the expected value is ``mu * (1 - hu)``.
     """
     from fieldspark.operators.joins import level_array
 
@@ -149,25 +155,25 @@ def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw:
     # input bytes, and the draw table is tiny next to the expansion it feeds,
     # so it could be coalesced into a single task.
     n_parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(n_parts, draw)
-    e = d.select(draw, "__coef", F.explode(cell_arr).alias("__c"))
+    arrays = [coef, hurdle_coef] if hurdle_coef else [coef]
+    d = draws.select(F.col(draw), *[F.col(c).alias(f"__c_{c}") for c in arrays]).repartition(
+        n_parts, draw)
+    e = d.select(draw, *[f"__c_{c}" for c in arrays], F.explode(cell_arr).alias("__c"))
     pairs = F.col("__c")["__nz"]
-    coefs = F.col("__coef")
-    if max_nonzero:
-        eta = F.lit(0.0)
-        for k in range(max_nonzero):
-            t = pairs[k]
-            eta = eta + F.when(F.size(pairs) > k, t["v"] * coefs[t["j"]].cast("double")) \
-                .otherwise(F.lit(0.0))
-    else:
-        eta = F.aggregate(pairs, F.lit(0.0),
-                          lambda acc, t: acc + t["v"] * coefs[t["j"]].cast("double"))
-    inv = {"log": F.exp, "identity": lambda v: v,
-           "logit": lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))}[link]
+
+    def eta(column: str) -> Column:
+        coefs = F.col(f"__c_{column}")
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, t: acc + t["v"] * F.get(
+            coefs, t["j"]).cast("double"))
+
     cols = [F.col("__c")[c].alias(c) for c in cells] + [F.col(draw)]
     if linpred:
-        cols.append(eta.alias(linpred))
-    cols.append(inv(eta).alias(out))
+        cols.append(eta(coef).alias(linpred))
+    if hurdle_coef:
+        cols += [F.exp(eta(coef)).alias("mu"), _inverse_link("logit")(eta(hurdle_coef)).alias("hu")]
+        cols += [F.col("__c")[c].alias(c) for c in carry]
+        return e.select(*cols).withColumn(out, F.col("mu") * (F.lit(1.0) - F.col("hu")))
+    cols.append(_inverse_link(link)(eta(coef)).alias(out))
     cols += [F.col("__c")[c].alias(c) for c in carry]
     return e.select(*cols)
 
@@ -177,38 +183,37 @@ def scale_by_abundance(epred: DataFrame, abundance: DataFrame, value: str = "epr
                        by: Sequence[str] | None = None) -> DataFrame:
     """Left join an abundance table on shared keys and multiply.
 
-    The abundance side has one row per key; it is broadcast after a
-    checked row bound, so the (large) draw table is not shuffled.  When
-    the grid is at hand, attaching abundance to the grid before expansion
-    (``carry``) avoids the join entirely.
+    The abundance side has one row per key; Spark broadcasts it when its
+    size allows.  When the grid is at hand, attaching abundance to the grid
+    before expansion (``carry``) avoids the join entirely.
     """
     from fieldspark.operators.joins import natural_left_join
 
-    j = natural_left_join(epred, abundance, by, y_small=True)
+    j = natural_left_join(epred, abundance, by)
     return j.withColumn(out, F.col(value) * F.col(abund))
 
 
-def epred_cell_means(draws: DataFrame, grid: DataFrame, cells: Sequence[str], n_terms: int,
+def epred_cell_means(draws: DataFrame, grid: DataFrame, cells: Sequence[str],
                      draw: str = "draw", coef: str = "coef", link: str = "log",
                      out: str = "epred", carry: Sequence[str] = (),
-                     grid_is_distinct: bool = False) -> DataFrame:
+                     grid_is_distinct: bool = False,
+                     max_cells: int = DEFAULT_MAX_CELLS) -> DataFrame:
     """``epred_draws`` for the cell-means design, in one scalar subquery.
 
     With one coefficient per cell (cells in sorted key order) the linear
     predictor of cell ``i`` is ``coef[i]``, so the sorted cell list itself
     is exploded with its position: no design table, no second level pass.
-    Same result as ``epred_draws(draws, cell_means_design(grid, ...))``.
+    A cell for which a draw has no coefficient is predicted as NULL.
     """
     from fieldspark.operators.joins import level_array
 
-    levels = level_array(grid, [*cells, *carry], n_terms, assume_distinct=grid_is_distinct)
+    levels = level_array(grid, [*cells, *carry], max_cells, assume_distinct=grid_is_distinct)
     n_parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = draws.select(F.col(draw), F.col(coef).alias("__coef")).repartition(n_parts, draw)
     e = d.select(draw, "__coef", F.posexplode(levels).alias("__i", "__c"))
-    eta = F.col("__coef")[F.col("__i")].cast("double")
-    inv = {"log": F.exp, "identity": lambda v: v,
-           "logit": lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))}[link]
-    return e.select(*[F.col("__c")[c].alias(c) for c in cells], F.col(draw), inv(eta).alias(out),
+    eta = F.get("__coef", F.col("__i")).cast("double")
+    return e.select(*[F.col("__c")[c].alias(c) for c in cells], F.col(draw),
+                    _inverse_link(link)(eta).alias(out),
                     *[F.col("__c")[c].alias(c) for c in carry])
 
 
@@ -275,13 +280,12 @@ def to_long(df: DataFrame, ids: Sequence[str], measures: Sequence[str], name: st
 
 
 def species_average(long: DataFrame, level: str, draw: str, species: str, extra: Sequence[str] = (),
-                    label: str = "All Species", name: str = "name", value: str = "value",
-                    per_species: bool = True) -> DataFrame:
+                    label: str = "All Species", name: str = "name", value: str = "value") -> DataFrame:
     """Average over species per (level, draw, extra..., name), labelled ``label``.
 
-    NULLs are skipped (``na.rm``).  With ``per_species`` the per-species
-    means over the remaining keys (``extra`` is averaged away unless it is
-    a key) are returned as well.
+    NULLs are skipped (``na.rm``).  The per-species means over the remaining
+    keys are returned as well (each species' own value where ``extra`` holds
+    all of them).
 
     One aggregate gives sum and count per (level, species, draw, extra,
     name); the all-species mean is the ratio of their sums over a window
@@ -289,9 +293,6 @@ def species_average(long: DataFrame, level: str, draw: str, species: str, extra:
     group sizes.  Aggregate and window both key on ``draw`` and reuse the
     draw partitioning; no shuffle and no second pass over the input.
     """
-    if not per_species:
-        return (long.groupBy(level, draw, *extra, name).agg(F.avg(value).alias(value))
-                .withColumn(species, F.lit(label)))
     keys = [level, draw, *extra, name]
     per = long.groupBy(level, species, draw, *extra, name).agg(
         F.sum(value).alias("__s"), F.count(value).alias("__n"))
@@ -310,14 +311,12 @@ def species_average(long: DataFrame, level: str, draw: str, species: str, extra:
 def summarize_draws(long: DataFrame, keys: Sequence[str], value: str = "value",
                     scale: Mapping[str, float] | None = None, name: str = "name",
                     probs: tuple[float, float] = (0.025, 0.975), digits: int | None = 2,
-                    exact: bool = True, strict: bool = True) -> DataFrame:
-    """Median, mean, sd and an interval per group of draws.
+                    strict: bool = True) -> DataFrame:
+    """Median, mean, sd and an interval per group of draws, exact at any size.
 
     ``scale`` multiplies selected measures (by ``name``) before summarising.
     With ``strict`` (R's default) median, mean and sd are NULL when a group
     has a NULL value; the interval bounds skip NULLs (``na.rm = TRUE``).
-    ``exact=False`` swaps the exact percentile for a bounded-memory sketch
-    for groups of many millions of draws.
     """
     v = F.col(value)
     if scale:
@@ -326,17 +325,12 @@ def summarize_draws(long: DataFrame, keys: Sequence[str], value: str = "value",
             expr = (F.when(F.col(name) == F.lit(k), v * F.lit(float(f))) if expr is None
                     else expr.when(F.col(name) == F.lit(k), v * F.lit(float(f))))
         v = expr.otherwise(v)
-    df = long.withColumn("__v", v)
-    qs = (F.percentile("__v", list(probs)) if exact
-          else F.percentile_approx("__v", list(probs), 100_000))
-    med = (strict_median("__v") if strict else F.median("__v")) if exact else \
-        F.percentile_approx("__v", 0.5, 100_000)
-    mean = strict_mean("__v") if strict else F.avg("__v")
-    sd = strict_stddev("__v") if strict else F.stddev_samp("__v")
-    out = df.groupBy(*keys).agg(med.alias("median"), mean.alias("mean"), sd.alias("sd"),
-                                qs.alias("__q"))
-    out = out.select(*keys, "median", "mean", "sd", F.col("__q")[0].alias("lower"),
-                     F.col("__q")[1].alias("upper"))
+    stats = group_statistics(long.withColumn("__value", v), keys, "__value", [0.5, *probs])
+    whole = F.col("n") == F.col("n_obs") if strict else F.lit(True)
+    out = stats.select(*keys, F.when(whole, F.col("q")[0]).alias("median"),
+                       F.when(whole, F.col("mean")).alias("mean"),
+                       F.when(whole, F.col("sd")).alias("sd"), F.col("q")[1].alias("lower"),
+                       F.col("q")[2].alias("upper"))
     if digits is not None:
         out = out.select(*keys, *[F.round(c, digits).alias(c)
                                   for c in ("median", "mean", "sd", "lower", "upper")])
@@ -345,13 +339,10 @@ def summarize_draws(long: DataFrame, keys: Sequence[str], value: str = "value",
 
 def point_interval(df: DataFrame, keys: Sequence[str], value: str,
                    probs: Sequence[float] = (0.025, 0.17, 0.5, 0.83, 0.975),
-                   names: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+                   names: Sequence[str] | None = None) -> DataFrame:
     """Median with 66 % and 95 % intervals per cell (``stat_pointinterval``)."""
     names = list(names) if names else [f"q{str(p).split('.')[1].ljust(3, '0')}" for p in probs]
-    qs = (F.percentile(value, list(probs)) if exact
-          else F.percentile_approx(value, list(probs), 100_000))
-    agg = df.groupBy(*keys).agg(qs.alias("__q"))
-    return agg.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    return quantile_agg(df, keys, value, probs, names)
 
 
 def cumulative_draws(df: DataFrame, keys: Sequence[str], draw: str, value: str,

@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_LEVELS = 100_000
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def shared_columns(x: DataFrame, y: DataFrame) -> list[str]:
@@ -24,36 +23,12 @@ def shared_columns(x: DataFrame, y: DataFrame) -> list[str]:
     return [c for c in x.columns if c in ys]
 
 
-def null_safe_condition(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = x[k].eqNullSafe(y[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only after checking it has at most ``max_rows``.
+def _join_keys_null_safe(x: DataFrame, y: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys`` where NULL matches NULL; keys appear once.
 
-    The side is cached first so the check and the join read it once.  Above
-    the bound the cache is released and the plain DataFrame is returned:
-    Spark shuffles both sides (sort-merge join, with AQE skew handling)
-    instead of holding a large table in executor memory.
+    Whether a side is broadcast is left to Spark, which goes by its bytes.
     """
-    cached = df.cache()
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
-
-
-def _join_keys_null_safe(x: DataFrame, y: DataFrame, keys: Sequence[str], how: str,
-                         y_small: bool) -> DataFrame:
-    """Join on ``keys`` where NULL matches NULL; keys appear once."""
     yy = y.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in y.columns])
-    if y_small:
-        yy = broadcast_if_small(yy)
     cond = None
     for k in keys:
         c = x[k].eqNullSafe(yy[f"__k_{k}"])
@@ -62,16 +37,12 @@ def _join_keys_null_safe(x: DataFrame, y: DataFrame, keys: Sequence[str], how: s
     return out.drop(*[f"__k_{k}" for k in keys])
 
 
-def natural_left_join(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
-                      y_small: bool = False) -> DataFrame:
-    """Left join on all shared columns (or ``by``), NULL keys matching.
-
-    ``y_small`` broadcasts ``y`` after a checked row bound.
-    """
+def natural_left_join(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Left join on all shared columns (or ``by``), NULL keys matching."""
     keys = list(by) if by else shared_columns(x, y)
     if not keys:
         raise ValueError("no shared columns to join on")
-    return _join_keys_null_safe(x, y, keys, "left", y_small)
+    return _join_keys_null_safe(x, y, keys, "left")
 
 
 def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
@@ -80,27 +51,26 @@ def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
     """Left join on ``by``; other colliding names get suffixes.
 
     NULL keys match NULL keys.  Many-to-many keys multiply rows.  With ``max_multiplicity`` the right
-    side is checked per key at run time (a partial aggregate, no extra
-    job) and the query fails if a key repeats more often, so a join can
-    never emit an unbounded number of pairs per key.
+    side is checked per key at run time (no extra job) and the query fails
+    if a key repeats more often, so a join can never emit an unbounded number
+    of pairs per key.
     """
     by = list(by)
     clash = (set(x.columns) & set(y.columns)) - set(by)
     xs = x.select(*[F.col(c).alias(c + suffixes[0]) if c in clash else F.col(c) for c in x.columns])
     ys = y.select(*[F.col(c).alias(c + suffixes[1]) if c in clash else F.col(c) for c in y.columns])
     if max_multiplicity is not None:
-        # The per-key count is a partial aggregate (safe for hot keys).  The
-        # check is folded into the first join key so the optimizer cannot
-        # prune it: every right row passes through it before the join.
-        counts = ys.groupBy(*by).agg(F.count(F.lit(1)).alias("__mult"))
+        # Counted per key where the join needs the rows anyway.  The check is
+        # folded into the first join key so the optimizer cannot prune it.
+        counts = F.count(F.lit(1)).over(Window.partitionBy(*by))
         k0 = by[0]
         guarded = F.when(F.col("__mult") > max_multiplicity, F.raise_error(
             F.lit(f"join key repeats more than {max_multiplicity} times on the right side"))) \
             .otherwise(F.col(k0))
-        ys = ys.join(counts, by, "left").withColumn(k0, guarded.cast(ys.schema[k0].dataType)) \
-            .drop("__mult")
+        ys = ys.withColumn("__mult", counts).withColumn(
+            k0, guarded.cast(ys.schema[k0].dataType)).drop("__mult")
     # NULL keys match NULL keys, as in dplyr joins; keys appear once.
-    return _join_keys_null_safe(xs, ys, by, "left", False)
+    return _join_keys_null_safe(xs, ys, by, "left")
 
 
 def inner_join_sorted(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
@@ -110,7 +80,7 @@ def inner_join_sorted(x: DataFrame, y: DataFrame, by: Sequence[str] | None = Non
     global sort is a full range shuffle.
     """
     keys = list(by) if by else shared_columns(x, y)
-    out = _join_keys_null_safe(x, y, keys, "inner", False)
+    out = _join_keys_null_safe(x, y, keys, "inner")
     rest = [c for c in out.columns if c not in keys]
     return out.select(*keys, *rest)
 
@@ -156,11 +126,26 @@ def complete_grid(df: DataFrame, cols: Sequence[str],
                   max_levels: int = DEFAULT_MAX_LEVELS) -> DataFrame:
     """All combinations of the distinct values of each column, seen or not.
 
-    Each column's level set (NULL kept as a level) is a bounded scalar
-    subquery that reads only that column; the sets are multiplied out from
-    a one-row relation.
+    The level sets of all columns (NULL kept as a level) come from one pass:
+    each row gives one tagged value per column, and the distinct ones are
+    collected per column in a scalar subquery with a guard on their number.
+    The first column's levels are spread over the tasks, which multiply the
+    others out.
     """
-    out = df.sparkSession.range(1).select()
-    for c in cols:
-        out = expand_with_levels(out, level_array(df, [c], max_levels), [c])
-    return out
+    spark = df.sparkSession
+    tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[
+        (F.col(c) if c == d else F.lit(None).cast(df.schema[d].dataType)).alias(f"v{j}")
+        for j, d in enumerate(cols)]) for i, c in enumerate(cols)]))
+    values = df.select(tagged.alias("t")).select("t.*").distinct().limit(
+        max_levels * len(cols) + 1)
+    lists = []
+    for i in range(len(cols)):
+        one = F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct(F.col(f"v{i}").alias("v")))))
+        lists.append(F.when(F.size(one) > max_levels, F.raise_error(F.lit(
+            f"more than {max_levels} levels of {cols[i]}"))).otherwise(one).alias(f"l{i}"))
+    levels = values.agg(F.struct(*lists).alias("levels")).scalar()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = spark.range(1).select(F.explode(levels["l0"]).alias("__x0")).repartition(n, "__x0")
+    for i in range(1, len(cols)):
+        out = out.select("*", F.explode(levels[f"l{i}"]).alias(f"__x{i}"))
+    return out.select(*[F.col(f"__x{i}.v").alias(c) for i, c in enumerate(cols)])

@@ -16,9 +16,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fieldspark.functions.random import hashed_exponential, hashed_normal, row_key
+from fieldspark.functions.mathx import inv_logit
+from fieldspark.functions.random import hashed_exponential, hashed_gamma, hashed_normal
 from fieldspark.operators.joins import expand_with_levels, level_array
 
 
@@ -43,9 +43,9 @@ def cell_means(df: DataFrame, keys: Sequence[str], y: str, family: str = "gamma"
             F.lit("Gamma response must be positive; add an offset"))).otherwise(b)
     g = g.withColumn("b", b).drop("__min")
     if family == "gamma":
-        se = F.col("sd") / (F.col("mean") * F.sqrt(F.col("n")))
+        se = F.try_divide(F.col("sd"), F.col("mean") * F.sqrt(F.col("n")))
     elif family == "poisson":
-        se = F.lit(1.0) / F.sqrt(F.col("n") * F.col("mean"))
+        se = F.try_divide(F.lit(1.0), F.sqrt(F.col("n") * F.col("mean")))  # NULL for all zeros
     else:
         raise ValueError(f"unknown family {family}")
     return g.withColumn("se", se)
@@ -116,26 +116,30 @@ def hurdle_means(df: DataFrame, y: str, mu_keys: Sequence[str], hu_keys: Sequenc
 def shrunken_means(df: DataFrame, group: str, y: str, log_scale: bool = True) -> DataFrame:
     """Empirical-Bayes group means (partial pooling of ``(1 | group)``).
 
-    On ``ln(y)`` (or ``y``): per group n, mean and sum of squares; pooled
-    within-group variance ``s2``; between-group variance ``t2 =
+    On ``ln(y)`` (or ``y``): per group n, mean and sum of squared deviations;
+    pooled within-group variance ``s2``; between-group variance ``t2 =
     max(var(means) - s2 * mean(1/n), 0)``; grand mean ``m`` of the group
     means.  The shrunken mean is ``m + w * (mean - m)`` with ``w = t2 /
-    (t2 + s2 / n)`` (0 when ``t2 = 0``: full pooling).  The global
-    statistics are one 1-row aggregate over the per-group table.
+    (t2 + s2 / n)`` (0 when ``t2 = 0``: full pooling).  If every group has one
+    row there is no within-group variance to estimate and ``w`` and the
+    shrunken means are NULL.  ``n_left_out`` counts the group's rows that have
+    no value on this scale (NULL, or not positive with ``log_scale``).  The
+    global statistics are one 1-row aggregate over the per-group table.
     """
-    v = F.log(F.col(y)) if log_scale else F.col(y)
-    base = df.select(F.col(group), v.alias("__v")).where(F.col("__v").isNotNull())
-    g = base.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("ybar"),
-                                (F.sum(F.col("__v") * F.col("__v"))
-                                 - F.sum("__v") * F.sum("__v") / F.count(F.lit(1))).alias("ss"))
+    v = F.when(F.col(y) > 0, F.log(F.col(y))) if log_scale else F.col(y).cast("double")
+    base = df.select(F.col(group), v.alias("__v"))
+    g = base.groupBy(group).agg(F.count("__v").alias("n"), F.avg("__v").alias("ybar"),
+                                (F.var_pop("__v") * F.count("__v")).alias("ss"),
+                                (F.count(F.lit(1)) - F.count("__v")).alias("n_left_out"))
+    used = F.when(F.col("n") > 0, F.col("n"))
     stats = g.agg(F.struct(
-        (F.sum("ss") / (F.sum("n") - F.count(F.lit(1)))).alias("s2"),
+        F.try_divide(F.sum("ss"), F.sum("n") - F.count(used)).alias("s2"),
         F.var_samp("ybar").alias("vb"),
-        F.avg(F.lit(1.0) / F.col("n")).alias("inv_n"),
+        F.avg(F.lit(1.0) / used).alias("inv_n"),
         F.avg("ybar").alias("m"),
     ).alias("s")).scalar()
-    t2 = F.greatest(stats["vb"] - stats["s2"] * stats["inv_n"], F.lit(0.0))
-    w = F.when(t2 > 0, t2 / (t2 + stats["s2"] / F.col("n"))).otherwise(F.lit(0.0))
+    t2 = stats["vb"] - stats["s2"] * stats["inv_n"]
+    w = F.when(t2 > 0, t2 / (t2 + stats["s2"] / used)).when(t2 <= 0, F.lit(0.0))
     out = g.withColumn("w", w).withColumn("shrunk", stats["m"] + F.col("w") * (F.col("ybar") - stats["m"]))
     if log_scale:
         out = out.withColumn("shrunk_exp", F.exp(F.col("shrunk")))
@@ -162,22 +166,49 @@ def draws_from_cells(fit: DataFrame, keys: Sequence[str], n_draws: int, seed: in
         .withColumn("mean", F.exp(F.col("coef"))).drop(b, se)
 
 
-def draws_from_glm(spark: SparkSession, model, terms: Sequence[str], n_draws: int,
-                   seed: int = 2020) -> DataFrame:
-    """Coefficient draws ``N(beta, diag(se^2))`` from a Spark ML GLM fit.
+def pooled_gamma_se(cells: DataFrame) -> DataFrame:
+    """Standard errors of ``cell_means`` (Gamma) from one dispersion for all
+    cells: Pearson's statistic over the residual degrees of freedom."""
+    spread = (F.col("n") - 1) * F.col("sd") * F.col("sd") / (F.col("mean") * F.col("mean"))
+    phi = cells.agg(F.try_divide(F.sum(spread), F.sum("n") - F.count(F.lit(1)))).scalar()
+    return cells.withColumn("se", F.sqrt(phi / F.col("n")))
 
-    The coefficient vector (p values) is the only thing taken to the
-    driver; draws are generated by ``spark.range``.  Correlations between
-    coefficients are not modelled.
+
+def saturated_draws(cells: DataFrame, factors: tuple[str, str], n_draws: int,
+                    seed: int = 2020) -> DataFrame:
+    """Coefficient draws of a two-factor saturated log-link fit (M7).
+
+    ``cells`` is ``cell_means`` of two fully crossed factors.  In a saturated
+    design the cell log-means are independent with standard error ``se`` and
+    the coefficients are contrasts of them, so draws of the cells give draws
+    with the full covariance of the coefficients: intercept, main effects and
+    interactions against the first level of each factor.  Returns ``draw,
+    term, coef``; only the cells (design-sized) meet the draws.
     """
-    summ = model.summary
-    betas = [float(model.intercept)] + [float(v) for v in model.coefficients] \
-        if model.getFitIntercept() else [float(v) for v in model.coefficients]
-    ses = list(summ.coefficientStandardErrors)
-    ses = ses[-1:] + ses[:-1] if model.getFitIntercept() else ses
-    rows = [(t, b, s) for t, b, s in zip(terms, betas, ses)]
-    coefs = spark.createDataFrame(rows, "term string, b double, se double")
-    return draws_from_cells(coefs, ["term"], n_draws, seed)
+    f, s = factors
+    drawn = draws_from_cells(cells, [f, s], n_draws, seed).select(
+        "draw", F.col(f).cast("string").alias("f"), F.col(s).cast("string").alias("s"),
+        F.col("coef").alias("eta"))
+    first = drawn.agg(F.struct(F.min("f").alias("f"), F.min("s").alias("s")).alias("x")).scalar()
+    w = Window.partitionBy("draw")
+
+    def cell(fc, sc):
+        return F.max(F.when((F.col("f") == fc) & (F.col("s") == sc), F.col("eta")))
+
+    base = cell(first["f"], first["s"]).over(w)
+    row = F.max(F.when(F.col("s") == first["s"], F.col("eta"))).over(
+        Window.partitionBy("draw", "f"))
+    col = F.max(F.when(F.col("f") == first["f"], F.col("eta"))).over(
+        Window.partitionBy("draw", "s"))
+    main_f, main_s = F.col("f") == first["f"], F.col("s") == first["s"]
+    term = F.when(main_f & main_s, F.lit("(Intercept)")).when(
+        main_s, F.concat(F.lit(f), F.col("f"))).when(main_f, F.concat(F.lit(s), F.col("s"))).otherwise(
+        F.concat(F.lit(f), F.col("f"), F.lit(":"), F.lit(s), F.col("s")))
+    placed = drawn.withColumns({"__b": base, "__r": row, "__c": col})
+    coef = F.when(main_f & main_s, F.col("eta")).when(
+        main_f | main_s, F.col("eta") - F.col("__b")).otherwise(
+        F.col("eta") - F.col("__r") - F.col("__c") + F.col("__b"))
+    return placed.select("draw", term.alias("term"), coef.alias("coef"))
 
 
 def beta_from_cells(cells: DataFrame, x: str = "x", b: str = "b", max_terms: int = 1000) -> list[float]:
@@ -249,75 +280,16 @@ def glm_draws(df: DataFrame, x: str, y: str, n_draws: int, family: str = "gamma"
     return draws.select("draw", F.array(*coefs).alias("coef"))
 
 
-def _splitmix(x: np.ndarray) -> np.ndarray:
-    """Vectorised splitmix64 mixing of uint64 counters (wrapping arithmetic)."""
-    with np.errstate(over="ignore"):
-        z = x + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def _uniform(key: np.ndarray, counter: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        bits = _splitmix(key + np.uint64(counter) * np.uint64(0xD1B54A32D192ED03))
-    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(2 ** 53)
-
-
-def gamma_from_keys(key: np.ndarray, shape: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Gamma draws, one per key, by Marsaglia-Tsang with keyed uniforms.
-
-    Each row's random stream is a function of its key only, so the result
-    does not depend on batching or partitioning.  Rejected proposals retry
-    with the next counter until every row is accepted (exact sampling).
-    Shapes below 1 use the boost ``G(a) = G(a + 1) * U^(1/a)``.
-    """
-    key = key.astype(np.uint64)
-    a = np.asarray(shape, dtype=np.float64)
-    boost = a < 1
-    a_eff = np.where(boost, a + 1.0, a)
-    d = a_eff - 1.0 / 3.0
-    c = 1.0 / np.sqrt(9.0 * d)
-    out = np.full(len(key), np.nan)
-    todo = np.arange(len(key))
-    counter = 1
-    while todo.size:
-        u1 = _uniform(key[todo], counter)
-        u2 = _uniform(key[todo], counter + 1)
-        u3 = _uniform(key[todo], counter + 2)
-        counter += 3
-        z = np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)
-        v = (1.0 + c[todo] * z) ** 3
-        ok = (v > 0) & (np.log(u3) < 0.5 * z * z + d[todo] - d[todo] * v
-                        + d[todo] * np.log(np.where(v > 0, v, 1.0)))
-        out[todo[ok]] = d[todo[ok]] * v[ok]
-        todo = todo[~ok]
-    ub = _uniform(key, 0)
-    out = np.where(boost, out * ub ** (1.0 / np.where(boost, a, 1.0)), out)
-    return out * np.asarray(scale, dtype=np.float64)
-
-
 def predicted_draws(epred: DataFrame, keys: Sequence[str], shape: float | str, seed: int = 2020,
                     mean_col: str = "epred", out: str = "prediction") -> DataFrame:
     """Gamma-distributed predictions around each expected value.
 
-    ``shape`` is a number or a column; the scale is ``mean / shape``.  The
-    row key (seed + ``keys``) is hashed in Spark; the sampling runs in
-    Arrow batches (``mapInPandas``) with no per-row Python calls.
+    ``shape`` is a number or a column; the scale is ``mean / shape``.  Draws
+    are column expressions of seed and ``keys``; a NULL, NaN or non-positive
+    shape gives NULL.
     """
-    sh = F.lit(float(shape)) if not isinstance(shape, str) else F.col(shape)
-    prep = epred.withColumn("__key", row_key(list(keys), seed)).withColumn("__shape", sh)
-    schema = T.StructType(prep.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def sample(batches):
-        for pdf in batches:
-            k = pdf["__key"].to_numpy(dtype=np.int64).view(np.uint64)
-            a = pdf["__shape"].to_numpy(dtype=np.float64)
-            m = pdf[mean_col].to_numpy(dtype=np.float64)
-            pdf[out] = gamma_from_keys(k, a, m / a)
-            yield pdf
-
-    return prep.mapInPandas(sample, schema).drop("__key", "__shape")
+    sh = F.col(shape) if isinstance(shape, str) else F.lit(float(shape))
+    return epred.withColumn(out, hashed_gamma(keys, seed, sh, F.try_divide(F.col(mean_col), sh)))
 
 
 def prior_grid(spark: SparkSession, n: int, grid: DataFrame, grid_cols: Sequence[str],
@@ -325,34 +297,45 @@ def prior_grid(spark: SparkSession, n: int, grid: DataFrame, grid_cols: Sequence
                seed: int = 2020, sd: float = 2.0, rate: float = 2.0) -> DataFrame:
     """Prior-predictive simulation of the hurdle diet model (M9).
 
-    ``n`` prior draws of (int, b1, int_hu, b1_hu) ~ N(0, sd) are expanded
-    by the distinct (date, stage) cells and the distinct species (level
-    arrays, map-side).  Per row, random intercept and slopes ~ Exp(rate)
-    give the species-level curve; the hurdle probability is the inverse
-    logit of the zero part.
+    A draw has an intercept and one slope for the positive part and the same
+    for the zero part, all N(0, sd); species differ by Exp(rate) shifts of the
+    intercept and of the three slopes.  The linear predictor is evaluated on
+    the indicators of a later date, of the other stage and of both, once for
+    each part: ``y`` from the positive part, ``hu`` (inverse logit) from the
+    zero part, and their product ``y * (1 - hu)``.
     """
     date_c, stage_c = grid_cols
-    pri = spark.range(1, n + 1).withColumnRenamed("id", "iter")
-    for i, name in enumerate(["int", "b1", "int_hu", "b1_hu"]):
-        pri = pri.withColumn(name, hashed_normal(["iter"], seed, 0.0, sd, salt=i))
-    g = expand_with_levels(pri, level_array(grid, list(grid_cols)), list(grid_cols))
-    g = g.withColumn("date_no", F.when(F.col(date_c) == F.lit(first_date), 0).otherwise(1)) \
-        .withColumn("prey_stage_no", F.when(F.col(stage_c) == F.lit(base_stage), 0).otherwise(1)) \
-        .withColumn("date_prey_no", F.col("date_no") * F.col("prey_stage_no"))
-    g = expand_with_levels(g, level_array(species, [species_col]), [species_col])
+    names = ("int", "b1", "int_hu", "b1_hu")
+    pri = spark.range(1, n + 1).select(F.col("id").alias("iter"), *[
+        hashed_normal(["id"], seed, 0.0, sd, salt=i).alias(c) for i, c in enumerate(names)])
+    cells = expand_with_levels(pri, level_array(grid, list(grid_cols)), list(grid_cols))
+    cells = expand_with_levels(cells, level_array(species, [species_col]), [species_col])
+    late = (F.col(date_c) != F.lit(first_date)).cast("int")
+    other = (F.col(stage_c) != F.lit(base_stage)).cast("int")
+    cells = cells.withColumns({"date_no": F.coalesce(late, F.lit(1)),
+                               "prey_stage_no": F.coalesce(other, F.lit(1))})
+    cells = cells.withColumn("date_prey_no", F.col("date_no") * F.col("prey_stage_no"))
     keys = ["iter", date_c, stage_c, species_col]
-    for i, name in enumerate(["r_int", "r_slopes1", "r_slopes2", "r_slopes3"]):
-        g = g.withColumn(name, hashed_exponential(keys, seed, rate, salt=10 + i))
-    dn, sn, dp = F.col("date_no"), F.col("prey_stage_no"), F.col("date_prey_no")
+    shifts = ("r_int", "r_slopes1", "r_slopes2", "r_slopes3")
+    cells = cells.withColumns({c: hashed_exponential(keys, seed, rate, salt=10 + i)
+                               for i, c in enumerate(shifts)})
+    indicators = [F.col(c) for c in ("date_no", "prey_stage_no", "date_prey_no")]
+
+    def predictor(intercept, slopes):
+        eta = intercept
+        for slope, indicator in zip(slopes, indicators):
+            eta = eta + slope * indicator
+        return eta
+
     b1 = F.col("b1")
-    y_sim = F.exp(F.col("int") + b1 * dn + b1 * sn + b1 * dp)
-    y_sp = F.exp(F.col("int") + F.col("r_int") + (b1 + F.col("r_slopes1")) * dn
-                 + (b1 + F.col("r_slopes2")) * sn + (b1 + F.col("r_slopes3")) * dp)
-    hu = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("int") + F.col("b1_hu") * (dn + sn + dp))))
-    return (g.withColumn("y_sim", y_sim).withColumn("y_species_sim", y_sp)
-            .withColumn("hu_sim", hu)
-            .withColumn("y_hu_sim", F.col("y_sim") * (F.lit(1.0) - F.col("hu_sim")))
-            .withColumn("y_hu_sim_species", F.col("y_species_sim") * (F.lit(1.0) - F.col("hu_sim"))))
+    hu = inv_logit(predictor(F.col("int_hu"), [F.col("b1_hu")] * 3))
+    out = cells.withColumns({
+        "y_sim": F.exp(predictor(F.col("int"), [b1] * 3)),
+        "y_species_sim": F.exp(predictor(F.col("int") + F.col("r_int"),
+                                         [b1 + F.col(c) for c in shifts[1:]])),
+        "hu_sim": hu})
+    return out.withColumns({"y_hu_sim": F.col("y_sim") * (F.lit(1.0) - F.col("hu_sim")),
+                            "y_hu_sim_species": F.col("y_species_sim") * (F.lit(1.0) - F.col("hu_sim"))})
 
 
 def ppc_bins(observed: DataFrame, group: str, y: str, obs_id: str, n_rep: int, lo: float,
@@ -361,49 +344,53 @@ def ppc_bins(observed: DataFrame, group: str, y: str, obs_id: str, n_rep: int, l
 
     Each group's Gamma fit (mean and moment shape) generates ``n_rep``
     replicated values per observation; both sides are binned the same way
-    and joined by (group, bin).  The replicated side is averaged per
-    replicate, so counts are on the observed scale.
+    and counted together.  The replicated side is averaged per replicate, so
+    counts are on the observed scale.  A replicated value too small for a
+    double falls into the first bin.
     """
-    from fieldspark.operators.joins import broadcast_if_small
-
     pos = observed.where(F.col(y) > 0).select(group, y, F.col(obs_id).alias("__obs"))
-    fit = pos.groupBy(group).agg(F.avg(y).alias("__m"), F.var_samp(y).alias("__var"))
+    fit = pos.groupBy(F.col(group).alias("__g")).agg(F.avg(y).alias("__m"),
+                                                    F.var_samp(y).alias("__var"))
     fit = fit.withColumn("__shape", F.when(F.col("__var") > 0,
                                            F.col("__m") * F.col("__m") / F.col("__var"))
                          .otherwise(F.lit(1.0)))
     w = (hi - lo) / n_bins
 
     def binned(c):
-        x = F.log10(c)
+        x = F.when(c > 0, F.log10(c)).otherwise(F.lit(float(lo)))
         return F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(0)),
                        F.lit(n_bins - 1)).cast("int")
 
-    obs = pos.groupBy(group, binned(F.col(y)).alias("bin")).agg(F.count(F.lit(1)).alias("n_obs"))
-    reps = pos.join(broadcast_if_small(fit), group)
-    reps = reps.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep))))
-    reps = reps.withColumn("epred", F.col("__m"))
-    rep = predicted_draws(reps, [group, "__obs", "rep"], "__shape", seed)
-    rep = rep.where(F.col("prediction") > 0).groupBy(group, binned(F.col("prediction")).alias("bin")) \
-        .agg((F.count(F.lit(1)) / F.lit(float(n_rep))).alias("n_rep_mean"))
-    return obs.join(rep, [group, "bin"], "full").fillna(0, subset=["n_obs", "n_rep_mean"])
-
-
-def prior_table(priors: DataFrame, model_col: str = "model", order_col: str = "row_id") -> DataFrame:
+    rows = pos.join(fit, F.col(group).eqNullSafe(F.col("__g"))).select(
+        group, y, "__obs", "__m", "__shape",
+        F.explode(F.sequence(F.lit(0), F.lit(n_rep))).alias("rep"))  # 0 is the observed value
+    draw = hashed_gamma([group, "__obs", "rep"], seed, F.col("__shape"),
+                        F.try_divide(F.col("__m"), F.col("__shape")))
+    seen = F.col("rep") == 0
+    binned_rows = rows.select(group, seen.alias("__seen"),
+                              binned(F.when(seen, F.col(y)).otherwise(draw)).alias("bin"))
+    return binned_rows.groupBy(group, "bin").agg(
+        F.count(F.when(F.col("__seen"), F.lit(1))).alias("n_obs"),
+        (F.count(F.when(~F.col("__seen"), F.lit(1))) / F.lit(float(n_rep))).alias("n_rep_mean"))
+
+
+def prior_table(priors: DataFrame, model_col: str = "model", order_col: str = "row_id",
+                chunk_rows: int = 4096) -> DataFrame:
     """Clean a stacked prior-specification table.
 
     Blank ``prior``/``coef`` become NULL and ``prior`` is carried down
-    within each model in file order.
+    within each model in file order, in chunks of ``chunk_rows`` numbers.
     """
     from fieldspark.functions.strings import blank_to_null
     from fieldspark.operators.window import locf
 
     out = priors.withColumn("prior", blank_to_null("prior")).withColumn("coef", blank_to_null("coef"))
-    return locf(out, [model_col], [order_col], ["prior"])
+    return locf(out, [model_col], [order_col], ["prior"],
+                chunk=F.floor(F.col(order_col) / F.lit(chunk_rows)))
 
 
 __all__ = [
-    "beta_from_cells", "cell_means", "draws_from_cells", "draws_from_glm", "gamma_from_keys",
-    "glm_draws", "glm_fit",
-    "glm_fit_design",
-    "hurdle_means", "ppc_bins", "predicted_draws", "prior_grid", "prior_table", "shrunken_means",
+    "beta_from_cells", "cell_means", "draws_from_cells", "glm_draws", "glm_fit", "glm_fit_design",
+    "hurdle_means", "pooled_gamma_se", "ppc_bins", "predicted_draws", "prior_grid", "prior_table", "saturated_draws",
+    "shrunken_means",
 ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,17 +16,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
 
-def mutate(df: DataFrame, *steps: tuple[str, Column]) -> DataFrame:
-    """Add or replace columns in order; each step sees the previous ones.
-
-    Steps are folded into one projection by Catalyst (CollapseProject), so
-    chaining costs nothing at run time.
-    """
-    for name, expr in steps:
-        df = df.withColumn(name, expr)
-    return df
-
-
 def fill_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Replace NULL with 0 in numeric columns (all numeric ones by default).
 
@@ -36,11 +25,6 @@ def fill_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.fillna(0, subset=cols) if cols else df
 
 
-def fill_values(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    """Replace NULL in named columns with given values."""
-    return df.fillna(dict(values))
-
-
 def drop_na(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Drop rows with a NULL in any column (or in ``subset``)."""
     return df.dropna(how="any", subset=list(subset) if subset else None)
@@ -63,11 +47,10 @@ def select_range(df: DataFrame, first: str, last: str) -> list[str]:
     return cols[i:j + 1]
 
 
-def round_numeric(df: DataFrame, digits: int = 2, half_even: bool = False) -> DataFrame:
-    """Round every floating-point column.
+def round_numeric(df: DataFrame, digits: int = 2, half_even: bool = True) -> DataFrame:
+    """Round every floating-point column, half to even as R does (``bround``).
 
-    ``half_even`` uses banker's rounding (``bround``); the default rounds
-    half up, which is what SQL engines do.
+    ``half_even=False`` rounds half up, which is what SQL engines do.
     """
     rnd = F.bround if half_even else F.round
     return df.select(*[

@@ -85,5 +85,10 @@ def bind_rows(*dfs: DataFrame, fill_missing: bool = True) -> DataFrame:
 
 def stack_roles(df: DataFrame, columns: Sequence[str], key: str = "key",
                 value: str = "value") -> DataFrame:
-    """Two (or more) role columns stacked into one (``gather`` of a pair)."""
-    return unpivot(df.select(*columns), [], list(columns), key, value)
+    """Two (or more) role columns stacked into one (``gather`` of a pair).
+
+    The columns may be structs, so a role's name and coordinates move
+    together without a detour through text.
+    """
+    rows = F.array(*[F.struct(F.lit(c).alias(key), F.col(c).alias(value)) for c in columns])
+    return df.select(F.explode(rows).alias("__r")).select("__r.*")

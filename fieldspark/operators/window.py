@@ -21,15 +21,6 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Attach a unique BIGINT per row (not consecutive; stable for a given input).
-
-    Source order is meaningful in files such as prior tables; call this
-    right after the scan so later operators can order by it.
-    """
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """First row per key by ``order`` (``distinct(k, .keep_all = TRUE)``).
 
@@ -124,14 +115,16 @@ def rescale(df: DataFrame, col: str, out: str, lo: float = 0.0, hi: float = 1.0)
 
 
 def relevel_key(df: DataFrame, col: str, first: Sequence[str], out: str,
-                max_levels: int = DEFAULT_MAX_LEVELS) -> DataFrame:
+                max_levels: int = DEFAULT_MAX_LEVELS,
+                levels_from: DataFrame | None = None) -> DataFrame:
     """Level number after moving ``first`` to the front (``fct_relevel``).
 
     Named levels get 1..k in the given order; the remaining values follow
-    in sorted order.  NULL stays NULL.
+    in sorted order.  NULL stays NULL.  ``levels_from`` may give the values of
+    ``col`` from a smaller table.
     """
     named = F.array(*[F.lit(v) for v in first])
-    others = df.where(~F.col(col).isin(list(first)))
+    others = (levels_from if levels_from is not None else df).where(~F.col(col).isin(list(first)))
     rest = sorted_levels(others, col, max_levels)
     pos = F.array_position(named, F.col(col))
     code = F.when(pos > 0, pos).otherwise(F.lit(len(first)) + F.array_position(rest, F.col(col)))
@@ -157,24 +150,3 @@ def dense_rescale(df: DataFrame, specs: dict[str, tuple[str, float, float]],
             (code - 1.0) / (k - 1.0) * F.lit(hi - lo) + F.lit(lo))
         out = out.withColumn(name, F.when(F.col(c).isNotNull(), val))
     return out
-
-
-def dense_rescale_small(df: DataFrame, specs: dict[str, tuple[str, float, float]]) -> DataFrame:
-    """``dense_rescale`` for a table already aggregated to categories.
-
-    Uses ``dense_rank`` and a distinct count over an unpartitioned window,
-    i.e. one task sorts the table.  That is only right when ``df`` has one
-    row per category combination (a few thousand rows at most), and it
-    then saves the second evaluation of ``df`` that the scalar-subquery
-    version needs.
-    """
-    out = df
-    for c, (name, lo, hi) in specs.items():
-        w = Window.orderBy(F.col(c))
-        code = F.dense_rank().over(w).cast("double")
-        out = out.withColumn(f"__code_{c}", F.when(F.col(c).isNotNull(), code))
-        k = F.max(F.col(f"__code_{c}")).over(Window.partitionBy())
-        val = F.when(k == 1, F.lit((lo + hi) / 2.0)).otherwise(
-            (F.col(f"__code_{c}") - 1.0) / (k - 1.0) * F.lit(hi - lo) + F.lit(lo))
-        out = out.withColumn(name, F.when(F.col(c).isNotNull(), val)).drop(f"__code_{c}")
-    return out

@@ -14,7 +14,7 @@ from fieldspark.operators.reshape import (
     bind_rows, pivot_wider, unpivot, unpivot_all, unpivot_except, unpivot_range,
 )
 from fieldspark.operators.window import (
-    dense_code, dense_rescale, dense_rescale_small, first_per_key, locf, relevel_key, rescale,
+    dense_code, dense_rescale, first_per_key, locf, relevel_key, rescale,
 )
 
 
@@ -62,7 +62,9 @@ def test_fill_zero_numeric_only_and_round(spark):
     r = fill_zero(df).first()
     assert r["a"] == 0 and r["s"] is None
     assert round_numeric(df, 2).first()["d"] == 1.23
-    assert round_numeric(spark.createDataFrame([(0.125,)], "d double"), 2, half_even=True).first()["d"] == 0.12
+    half = spark.createDataFrame([(0.125,)], "d double")
+    assert round_numeric(half, 2).first()["d"] == 0.12
+    assert round_numeric(half, 2, half_even=False).first()["d"] == 0.13
 
 
 # ---- aggregate --------------------------------------------------------------------
@@ -145,7 +147,7 @@ def test_empty_table_aggregates(spark):
 def test_natural_left_join_null_keys_match(spark):
     x = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
     y = spark.createDataFrame([("a", 10.0), (None, 20.0)], "k string, w double")
-    out = rows(natural_left_join(x, y, y_small=True), ["v"])
+    out = rows(natural_left_join(x, y), ["v"])
     assert out == [{"k": "a", "v": 1, "w": 10.0}, {"k": None, "v": 2, "w": 20.0}]
 
 
@@ -222,9 +224,12 @@ def test_dense_rescale_variants_agree(spark):
                                "consumer string, resource string")
     spec = {"consumer": ("xend", 0.25, 0.75), "resource": ("x", 0.0, 1.0)}
     a = {(r["consumer"], r["resource"]): (r["xend"], r["x"]) for r in dense_rescale(df, spec).collect()}
-    b = {(r["consumer"], r["resource"]): (r["xend"], r["x"])
-         for r in dense_rescale_small(df, spec).collect()}
+    from fieldspark.plans.foodweb import layout
+
+    b = {(r["consumer"], r["resource"]): (r["xend"], r["x"]) for r in layout(df).collect()}
     assert a == b and a[("c2", "r3")] == (0.5, 1.0)
+    named = {r["resource"]: r["x"] for r in layout(df, resource_first=["r3", "zz"]).collect()}
+    assert named == {"r3": 0.0, "r1": 0.5, "r2": 1.0}
 
 
 def test_relevel_key(spark):
@@ -255,13 +260,41 @@ def test_arrange_nulls_last(spark):
     assert [r["k"] for r in arrange(df, "v").collect()] == [1, 3, 2]
 
 
-def test_broadcast_if_small_bound(spark):
-    from fieldspark.operators.joins import broadcast_if_small
-
-    small = spark.range(10)
-    big = spark.range(50)
-    x = spark.range(100)
-    hinted = broadcast_if_small(small, 20)
-    assert x.join(hinted, "id").count() == 10
-    out = broadcast_if_small(big, 20)
-    assert out.count() == 50 and not out.is_cached
+def test_number_rows_and_dense_names(spark):
+    import random
+
+    from fieldspark.operators.ranking import dense_names, number_rows
+
+    rng = random.Random(1)
+    names = [rng.choice("abcé") + str(rng.randrange(40)) for _ in range(300)] + [None]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(7)
+    want = {n: i + 1 for i, n in enumerate(sorted({n for n in names if n}, key=str.encode))}
+    got = dense_names(df, "name", "code").collect()
+    assert {r["name"]: r["code"] for r in got} == want and {r["levels"] for r in got} == {len(want)}
+    x = spark.range(1000).select(((F.col("id") * 37) % 101).alias("v"), "id")
+    out = number_rows(x, F.floor(F.col("v") / 10), [F.col("v"), F.col("id")], "n").collect()
+    assert [(r["v"], r["id"]) for r in sorted(out, key=lambda r: r["n"])] == sorted(
+        (r["v"], r["id"]) for r in out)
+
+
+def test_group_statistics_hot_values_and_nulls(spark):
+    """Exact at any size: ties, a group of one value, NULL values and keys."""
+    import numpy as np
+
+    from fieldspark.operators.ranking import group_statistics
+
+    rng = np.random.default_rng(4)
+    groups = {"ties": rng.integers(0, 3, 900).astype(float), "wide": rng.lognormal(0, 4, 1201),
+              "one": np.full(500, 7.0), "single": np.array([2.5]), None: rng.normal(0, 1, 50)}
+    data = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    data += [("ties", None), ("none", None), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    probs = [0.0, 0.025, 0.31, 0.5, 0.975, 1.0]
+    got = {r["g"]: r for r in group_statistics(df, ["g"], "v", probs).collect()}
+    for g, vs in groups.items():
+        r = got[g]
+        assert np.allclose(r["q"], np.quantile(vs, probs), rtol=1e-12)
+        assert np.isclose(r["mean"], vs.mean()) and r["n_obs"] == len(vs)
+        assert r["sd"] is None if len(vs) == 1 else np.isclose(r["sd"], vs.std(ddof=1))
+    assert got["ties"]["n"] == 901
+    assert got["none"]["n"] == 2 and got["none"]["n_obs"] == 0 and got["none"]["q"] == [None] * 6
