@@ -8,7 +8,7 @@ operators  DataFrame -> DataFrame operators (reshape, aggregate, window,
            joins and grids, posterior-draw algebra, model aggregations)
 plans      domain pipelines composed from the operators, plus the driver
            queries over the benchmark tables
-streaming  incremental readers for persisted stage outputs
+llm        corpus operators for language-model training (self-contained)
 """
 
 __version__ = "0.1.0"

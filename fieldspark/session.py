@@ -6,11 +6,7 @@ handed.  ``local_session`` exists for tests and the bench only.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -29,35 +25,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster checkpoint folder, setting a local one only if unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (tests, local bench) a fresh
-    temporary folder is created.
-    """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                f"{CHECKPOINT_CONF} is not set; on a cluster it must name a shared folder"
-            )
-        configured = tempfile.mkdtemp(prefix="fieldspark-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a DataFrame that several later stages re-read.
-
-    Uses a reliable checkpoint into the configured shared folder, so the
-    result survives the loss of the executors that computed it.
-    """
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,44 +12,31 @@ from pyspark.sql import types as T
 from fieldspark.functions.strings import snake_case, unique_names
 
 
-def read_table(spark: SparkSession, base: str, name: str,
-               min_partitions: int | None = None) -> DataFrame:
-    """Parquet table ``{base}/{name}.parquet`` (the default storage format).
-
-    Parquet splits at row-group boundaries, so a small table written as one
-    row group is scanned by a single task and every map-side operator
-    after it runs on one core.  With ``min_partitions`` (0 = the session's
-    default parallelism) a scan with fewer splits is spread round-robin to
-    that many.  That extra exchange only pays for heavy per-row work
-    (parsing, regular expressions, row expansion, Python batches); plain
-    aggregations are faster on the single split.  Large inputs already
-    have far more splits, so nothing changes for them; filters and column
-    pruning still reach the scan through the repartition.
-    """
-    df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
-    if min_partitions is None:
-        return df
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a Spark Connect session)
-        return df
-    if want > 1 and have < want:
-        df = df.repartition(want)
-    return df
+def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """Parquet table ``{base}/{name}.parquet`` (the default storage format)."""
+    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | None,
                    blank_strings_to_null: bool = True) -> DataFrame:
     """CSV with header and an explicit schema; ``NA`` and empty fields are NULL.
 
-    The file's header is matched by position to ``schema`` (so a raw header
-    such as ``...1`` is read under the schema's name, e.g. ``row_id``).
+    The file's header must name the columns of ``schema`` in order, letter
+    case aside; only an unnamed row-number column (``...1`` or blank) may be
+    read under another name, e.g. ``row_id``.  Anything else is an error, as
+    columns would be read under wrong names.
     Quoted empty strings survive the CSV reader as ``''``; with
     ``blank_strings_to_null`` every string column maps blank to NULL too.
     ``schema=None`` infers types (an extra pass over the file; a helper for
     exploring new files, not for production reads).
     """
+    if schema is not None:
+        header = spark.read.option("header", True).csv(path).columns
+        named = [h.strip().lower() for h in header]
+        wrong = [(h, f) for h, f in zip(named, schema.names)
+                 if h != f.lower() and not re.fullmatch(r"(\.\.\.\d+|_c\d+|)", h)]
+        if wrong or len(header) != len(schema.names):
+            raise ValueError(f"header {header} does not match the schema {schema.names}")
     reader = spark.read.schema(schema) if schema is not None else \
         spark.read.option("inferSchema", True)
     df = (reader

@@ -14,6 +14,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 S, I, D, L = T.StringType(), T.IntegerType(), T.DoubleType(), T.LongType()
 
+# The column names of the raw CSV headers (normalised).
 EMERGENCE = _struct(
     ("row_id", I), ("date", S), ("stat", I), ("stat2", I), ("before", S), ("loc", S),
     ("trt", S), ("trt2", S), ("days", I), ("area", D), ("totm2d", I), ("total", I),
