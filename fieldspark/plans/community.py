@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.conditionals import case_when
-from fieldspark.operators.aggregate import impute_zero_by_group_mean
-from fieldspark.operators.joins import complete_grid
+from fieldspark.operators.aggregate import impute_zero_by_group_mean, strict_sum
+from fieldspark.operators.joins import complete_grid, natural_left_join
 
 
 def community_totals(obs: DataFrame, date: str = "date", species: str = "species",
@@ -30,12 +30,15 @@ def community_totals(obs: DataFrame, date: str = "date", species: str = "species
     if snap:
         d2 = case_when([(F.col(date) == F.lit(k), F.lit(v)) for k, v in snap.items()], F.col(date))
     o = obs.withColumn("date2", d2)
-    raw = o.groupBy("date2", species).agg(F.sum(abund).alias("total_abund_raw"))
+    raw = o.groupBy("date2", species).agg(strict_sum(abund).alias("total_abund_raw"))
     full = raw
     if complete:
-        grid = complete_grid(o, ["date2", species])
-        full = grid.join(raw, ["date2", species], "left") \
-            .withColumn("total_abund_raw", F.coalesce(F.col("total_abund_raw"), F.lit(0)))
+        # levels from the totals, not the observations: the table is read once
+        grid = complete_grid(raw, ["date2", species])
+        seen = raw.withColumn("__seen", F.lit(True))
+        full = natural_left_join(grid, seen, ["date2", species]).withColumn(
+            "total_abund_raw", F.when(F.col("__seen"), F.col("total_abund_raw"))
+            .otherwise(F.lit(0))).drop("__seen")
     out = impute_zero_by_group_mean(full, [species], "total_abund_raw")
     if drop_date is not None:
         out = out.where(F.col("date2") != F.lit(drop_date))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.conditionals import case_when, in_set
 from fieldspark.functions.mathx import safe_divide
 from fieldspark.functions.strings import replace_all_ordered, replace_first, separate_parts, unite_cols
-from fieldspark.operators.aggregate import lump_rare
+from fieldspark.operators.aggregate import lump_rare, strict_sum
 from fieldspark.operators.draws import epred_cell_means, epred_draws
 
 
@@ -88,12 +88,12 @@ def diet_stage_totals(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
     """Diet total per fish and stage class (``pa`` or ``not_pa``).
 
     The stage is the second piece of ``prey_taxon`` (or an existing
-    ``prey_stage`` column from ``classify_stage``); a sum per key plus stage
-    class (partial aggregation, one shuffle).
+    ``prey_stage`` column from ``classify_stage``); a strict sum (NULL if any
+    mass is) per key plus stage class (partial aggregation, one shuffle).
     """
     if "prey_stage" not in d.columns:
         d = classify_stage(d, pa_stages)
-    return d.groupBy(*keys, "prey_stage").agg(F.sum(value).alias(out))
+    return d.groupBy(*keys, "prey_stage").agg(strict_sum(value).alias(out))
 
 
 def diet_stage_wide(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
@@ -108,9 +108,12 @@ def diet_stage_wide(d: DataFrame, pa_stages: Sequence[str] = ("a", "p"),
     if "prey_stage" not in d.columns:
         d = classify_stage(d, pa_stages)
     is_pa = F.col("prey_stage") == F.lit("pa")
-    w = d.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(is_pa, F.col(value))), F.lit(0.0)).alias("pa"),
-        F.coalesce(F.sum(F.when(~is_pa, F.col(value))), F.lit(0.0)).alias("not_pa"))
+
+    def class_sum(test):  # 0 without rows of the class, NULL if one of them has no mass
+        rows, seen = F.count(F.when(test, F.lit(1))), F.count(F.when(test, F.col(value)))
+        return F.when(rows == 0, F.lit(0.0)).when(rows == seen, F.sum(F.when(test, F.col(value))))
+
+    w = d.groupBy(*keys).agg(class_sum(is_pa).alias("pa"), class_sum(~is_pa).alias("not_pa"))
     return (w.withColumn("total", F.col("pa") + F.col("not_pa"))
             .withColumn("prop_pa", safe_divide(F.col("pa"), F.col("total"))))
 
@@ -152,21 +155,17 @@ def _levels_with_community(ep: DataFrame) -> DataFrame:
 
 
 def lump_rare_prey(d: DataFrame, threshold: float = 0.001, keep: Sequence[str] = ("coleo_a",),
-                   keys: Sequence[str] = ("date2", "species", "id"),
-                   shares_from: DataFrame | None = None) -> DataFrame:
-    """D3: prey taxa under ``threshold`` of all diet mass become ``other_unknown``.
-
-    ``shares_from`` may give the per-prey mass from a pre-aggregated table.
-    """
-    return lump_rare(d, "prey_taxon", "mg_diet_dm", keys, threshold, keep, shares_from=shares_from)
+                   keys: Sequence[str] = ("date2", "species", "id")) -> DataFrame:
+    """D3: prey taxa under ``threshold`` of all diet mass become ``other_unknown``."""
+    return lump_rare(d, "prey_taxon", "mg_diet_dm", keys, threshold, keep)
 
 
 def diet_posteriors(draws: DataFrame, design: DataFrame | None = None,
                     abundance: DataFrame | None = None,
                     cells: Sequence[str] = ("species", "date2", "prey_stage"),
                     species_names: Mapping[str, str] | None = None,
-                    max_nonzero: int | None = None, grid: DataFrame | None = None,
-                    n_terms: int | None = None, grid_is_distinct: bool = False) -> DataFrame:
+                    grid: DataFrame | None = None, grid_is_distinct: bool = False,
+                    hurdle_coef: str | None = None) -> DataFrame:
     """Per-capita, per-population and per-community draw tables.
 
     ``design`` is the grid with a design vector ``x``; ``abundance`` has
@@ -176,16 +175,18 @@ def diet_posteriors(draws: DataFrame, design: DataFrame | None = None,
     (date2, species, draw); the community level sums the population level
     over species.  Every aggregate keys on ``draw`` and reuses the draw
     partitioning, so the whole chain shuffles only the draw table.
-    With ``grid`` and ``n_terms`` instead of ``design`` the model is the
-    cell-means one (one coefficient per cell) and expands in one pass.
+    With ``grid`` instead of ``design`` the model is the cell-means one (one
+    coefficient per cell) and expands in one pass.  With ``hurdle_coef`` (and
+    ``design``) the expected value is the hurdle one, ``mu * (1 - hu)``.
     """
     if grid is not None:
         # cell-means model: the grid (with total_abund) is the design
-        ep = epred_cell_means(draws, grid, list(cells), n_terms, carry=["total_abund"],
+        ep = epred_cell_means(draws, grid, list(cells), carry=["total_abund"],
                               grid_is_distinct=grid_is_distinct)
     else:
         g = design if abundance is None else design.join(abundance, ["date2", "species"], "left")
-        ep = epred_draws(draws, g, list(cells), carry=["total_abund"], max_nonzero=max_nonzero)
+        ep = epred_draws(draws, g, list(cells), carry=["total_abund"],
+                         hurdle_coef=hurdle_coef)
     ep = ep.withColumn("population_epred", F.col("epred") * F.col("total_abund"))
     posts = _levels_with_community(ep)
     if species_names:

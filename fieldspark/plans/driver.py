@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.operators.draws import cell_means_design
+from fieldspark.operators.aggregate import strict_sum
 from fieldspark.plans.diet import (
     add_diet_measures,
     classify_stage,
@@ -39,7 +39,7 @@ from fieldspark.plans.summaries import species_means_bydate, species_means_globa
 from fieldspark.sources.readers import read_table
 
 DIGITS = 6
-N_TERMS = 64
+SEED = 2020
 
 # ---- fixed parameters of the stand-in analysis ---------------------------
 # Species dropped, species renamed (first match), prey renames
@@ -88,8 +88,8 @@ def prey_dimension(spark: SparkSession, base: str) -> DataFrame:
                      F.col("p_name").alias("prey_taxon"), F.col("p_retailprice").alias("prey_mg_dm"))
 
 
-def observations(spark: SparkSession, base: str, spread: bool = False) -> DataFrame:
-    li = read_table(spark, base, "lineitem", min_partitions=0 if spread else None)
+def observations(spark: SparkSession, base: str) -> DataFrame:
+    li = read_table(spark, base, "lineitem")
     return li.select(F.col("l_orderkey").alias("id"), "l_partkey",
                      F.date_trunc("quarter", "l_shipdate").cast("date").alias("date2"),
                      F.col("l_extendedprice").alias("mg_diet_dm"))
@@ -135,8 +135,7 @@ d AS (
 )"""
 
 
-def clean_diet_table(spark: SparkSession, base: str, spread: bool = False,
-                     classify: bool = False) -> DataFrame:
+def clean_diet_table(spark: SparkSession, base: str, classify: bool = False) -> DataFrame:
     """D1 with the name cleaning pushed to the part side of the join.
 
     Same result as ``clean_diet`` on the joined table; the regular
@@ -147,7 +146,7 @@ def clean_diet_table(spark: SparkSession, base: str, spread: bool = False,
                            STAGE_RULES)
     if classify:
         dim = classify_stage(dim, PA_STAGES)
-    return add_diet_measures(join_prey(observations(spark, base, spread), dim))
+    return add_diet_measures(join_prey(observations(spark, base), dim))
 
 
 def diet_by_part(spark: SparkSession, base: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -162,7 +161,7 @@ def diet_by_part(spark: SparkSession, base: str, extra: tuple[str, ...] = ()) ->
     first with a broadcast of the part table.)
     """
     obs = observations(spark, base)
-    per_part = obs.groupBy("l_partkey", *extra).agg(F.sum("mg_diet_dm").alias("mg_diet_dm"))
+    per_part = obs.groupBy("l_partkey", *extra).agg(strict_sum("mg_diet_dm").alias("mg_diet_dm"))
     dim = clean_prey_names(prey_dimension(spark, base), DROP_SPECIES, SPECIES_RULES, PREY_RULES,
                            STAGE_RULES)
     j = per_part.join(dim, per_part.l_partkey == dim.p_partkey)
@@ -203,20 +202,9 @@ def draw_grid(spark: SparkSession, base: str) -> DataFrame:
                                                .alias("prey_stage"), "total_abund")
 
 
-def exact_quantiles(spark: SparkSession, base: str) -> bool:
-    """Exact draw summaries while a group (one value per draw) stays small.
-
-    Every summary group of the draw tables holds one value per draw, so the
-    group size is the draw count (a metadata-cheap Parquet count).
-    """
-    from fieldspark.operators.aggregate import EXACT_MAX_ROWS
-
-    return draws_table(spark, base).count() <= EXACT_MAX_ROWS
-
-
 def diet_posts(spark: SparkSession, base: str) -> DataFrame:
     return diet_posteriors(draws_table(spark, base), grid=draw_grid(spark, base),
-                           n_terms=N_TERMS, species_names=SPECIES_NAMES, grid_is_distinct=True)
+                           species_names=SPECIES_NAMES, grid_is_distinct=True)
 
 
 POSTS_SQL = """
@@ -285,7 +273,7 @@ SELECT id, species, date2,
 FROM d GROUP BY ALL
 """)
 def q_stage_totals(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(diet_stage_totals(clean_diet_table(spark, base, spread=True, classify=True),
+    return rounded(diet_stage_totals(clean_diet_table(spark, base, classify=True),
                                      PA_STAGES))
 
 
@@ -311,8 +299,7 @@ SELECT data_level, species, name,
 FROM sc GROUP BY data_level, species, name
 """)
 def q_summarize_draws(spark: SparkSession, base: str) -> DataFrame:
-    return species_means_global(diet_posts(spark, base), scale={"total": 1000.0},
-                                exact=exact_quantiles(spark, base))
+    return species_means_global(diet_posts(spark, base), scale={"total": 1000.0})
 
 
 @query("summarize_draws_bydate", "WITH " + POSTS_SQL + """,
@@ -337,8 +324,7 @@ SELECT data_level, date2, species, name,
 FROM sc GROUP BY data_level, date2, species, name
 """)
 def q_summarize_draws_bydate(spark: SparkSession, base: str) -> DataFrame:
-    return species_means_bydate(diet_posts(spark, base), scale={"total": 1000.0},
-                                exact=exact_quantiles(spark, base))
+    return species_means_bydate(diet_posts(spark, base), scale={"total": 1000.0})
 
 
 # ---- diet family (D) -------------------------------------------------------
@@ -348,6 +334,7 @@ def q_summarize_draws_bydate(spark: SparkSession, base: str) -> DataFrame:
 WEB_EXCLUDE = ["blue_rod", "red_rod"]
 WEB_SPECIAL_Y = {"hot_gear": 1.5, "cold_gear": 0.5}
 WEB_COLOUR = ("blue", ("blue", "non-blue"))
+WEB_RESOURCE_FIRST = ["tiny_r", "hot_gear"]
 WEB_LABELS = {"blue-bolt": "blue bolts", "tiny-r": "tiny rings", "hot-gear": "hot gears"}
 LUMP_THRESHOLD = 0.016
 LUMP_KEEP = ["hot_rod"]
@@ -363,7 +350,9 @@ props AS (
   WHERE st.prey_taxon NOT IN ('blue_rod', 'red_rod')
 ),
 codes AS (
-  SELECT *, dense_rank() OVER (ORDER BY consumer) AS cc, dense_rank() OVER (ORDER BY resource) AS rc,
+  SELECT *, dense_rank() OVER (ORDER BY consumer) AS cc,
+         dense_rank() OVER (ORDER BY CASE resource WHEN 'tiny_r' THEN 0 WHEN 'hot_gear' THEN 1
+                                     ELSE 2 END, resource) AS rc,
          count(DISTINCT consumer) OVER () AS nc, count(DISTINCT resource) OVER () AS nr
   FROM props
 ),
@@ -401,7 +390,8 @@ def food_web_props(spark: SparkSession, base: str) -> DataFrame:
 def food_web_edges(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.plans.foodweb import edge_table
 
-    return edge_table(food_web_props(spark, base), WEB_SPECIAL_Y, WEB_COLOUR[0], WEB_COLOUR[1])
+    return edge_table(food_web_props(spark, base), WEB_SPECIAL_Y, WEB_COLOUR[0], WEB_COLOUR[1],
+                      resource_first=WEB_RESOURCE_FIRST)
 
 
 @query("separate_stage", """
@@ -484,20 +474,21 @@ def q_pivot_stage(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("bind_levels", "WITH " + CLEAN_SQL + """
-SELECT 'Per species' AS data_level, species, date2, round(sum(mg_diet_dm), 6) AS total
+SELECT 'Per species' AS data_level, species, date2, round(sum(mg_diet_dm), 2) AS total
 FROM d GROUP BY species, date2
 UNION ALL
-SELECT 'Per community', NULL, date2, round(sum(mg_diet_dm), 6) FROM d GROUP BY date2
+SELECT 'Per community', NULL, date2, round(sum(mg_diet_dm), 2) FROM d GROUP BY date2
 """)
 def q_bind_levels(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.reshape import bind_rows
 
-    d = clean_diet_table(spark, base)
-    per_sp = d.groupBy("species", "date2").agg(F.sum("mg_diet_dm").alias("total")) \
-        .withColumn("data_level", F.lit("Per species"))
-    comm = d.groupBy("date2").agg(F.sum("mg_diet_dm").alias("total")) \
+    # the community totals are sums of the species totals: one scan, one join
+    per_sp = diet_by_part(spark, base, ("date2",)).groupBy("species", "date2").agg(
+        strict_sum("mg_diet_dm").alias("total"))
+    comm = per_sp.groupBy("date2").agg(strict_sum("total").alias("total")) \
         .withColumn("data_level", F.lit("Per community"))
-    return rounded(bind_rows(per_sp, comm).select("data_level", "species", "date2", "total"))
+    per_sp = per_sp.withColumn("data_level", F.lit("Per species"))
+    return rounded(bind_rows(per_sp, comm).select("data_level", "species", "date2", "total"), 2)
 
 
 @query("share_of_total", "WITH " + CLEAN_SQL + """,
@@ -529,8 +520,7 @@ GROUP BY date2, species, prey_taxon_grouped, id
 def q_lump_rare(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.plans.diet import lump_rare_prey
 
-    return rounded(lump_rare_prey(clean_diet_table(spark, base), LUMP_THRESHOLD, LUMP_KEEP,
-                                  shares_from=diet_by_part(spark, base)))
+    return rounded(lump_rare_prey(clean_diet_table(spark, base), LUMP_THRESHOLD, LUMP_KEEP))
 
 
 @query("diet_proportion", "WITH " + CLEAN_SQL + """,
@@ -583,7 +573,7 @@ SELECT DISTINCT 'resource', resource, round(x, 6) FROM edges
 def q_rescale_layout(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.plans.foodweb import layout
 
-    lay = layout(food_web_props(spark, base))
+    lay = layout(food_web_props(spark, base), resource_first=WEB_RESOURCE_FIRST)
     both = F.array(F.struct(F.lit("consumer").alias("role"), F.col("consumer").alias("name"),
                             F.col("xend").alias("pos")),
                    F.struct(F.lit("resource").alias("role"), F.col("resource").alias("name"),
@@ -615,11 +605,8 @@ def q_node_table(spark: SparkSession, base: str) -> DataFrame:
 
 @query("node_labels", "WITH " + WEB_SQL + """,
 f AS (
-  SELECT taxon, arg_min(trophic, (trophic, x, y)) AS trophic, arg_min(x, (trophic, x, y)) AS x,
-         arg_min(y, (trophic, x, y)) AS y, arg_min(color, (trophic, x, y)) AS color,
-         arg_min(taxon_ungrouped, (trophic, x, y)) AS taxon_ungrouped,
-         arg_min(stage, (trophic, x, y)) AS stage
-  FROM nodes2 GROUP BY taxon
+  SELECT * FROM nodes2
+  QUALIFY row_number() OVER (PARTITION BY taxon ORDER BY trophic <> 'resource', x, y) = 1
 )
 SELECT taxon, trophic, round(x, 6) AS x, round(y, 6) AS y, color, taxon_ungrouped, stage,
        CASE WHEN taxon LIKE '%blue%' THEN taxon END AS prey_label,
@@ -642,13 +629,18 @@ SELECT id, species, date2, round(sum(mg_diet_dm), 6), 'Tiny prey'
 FROM d WHERE prey_taxon LIKE 'tiny\\_%' ESCAPE '\\' GROUP BY id, species, date2
 """)
 def q_taxon_totals(spark: SparkSession, base: str) -> DataFrame:
+    # both groups from one conditional aggregate
     d = clean_diet_table(spark, base)
-    keys = ["id", "species", "date2"]
-    allp = d.groupBy(*keys).agg(F.sum("mg_diet_dm").alias("mg_dm")).withColumn("group",
-                                                                                 F.lit("All prey"))
-    tiny = d.where(F.col("prey_taxon").startswith("tiny_")).groupBy(*keys) \
-        .agg(F.sum("mg_diet_dm").alias("mg_dm")).withColumn("group", F.lit("Tiny prey"))
-    return rounded(allp.unionByName(tiny))
+    tiny = F.col("prey_taxon").startswith("tiny_")
+    sums = d.groupBy("id", "species", "date2").agg(
+        strict_sum("mg_diet_dm").alias("all"), F.count(F.when(tiny, F.lit(1))).alias("n"),
+        F.sum(F.when(tiny, F.col("mg_diet_dm"))).alias("tiny"))
+    groups = F.array(F.struct(F.lit("All prey").alias("group"), F.col("all").alias("mg_dm")),
+                     F.when(F.col("n") > 0, F.struct(F.lit("Tiny prey").alias("group"),
+                                                     F.col("tiny").alias("mg_dm"))))
+    e = sums.select("id", "species", "date2", F.explode(groups).alias("__g"))
+    return rounded(e.where(F.col("__g").isNotNull()).select(
+        "id", "species", "date2", F.col("__g.mg_dm").alias("mg_dm"), F.col("__g.group").alias("group")))
 
 
 # ---- events family (C, V) ---------------------------------------------------
@@ -686,7 +678,7 @@ FROM t
 def q_parse_dates(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.functions.dates import parse_date_any, parse_dmy_mon, parse_mdy
 
-    o = read_table(spark, base, "orders", min_partitions=0).select(
+    o = read_table(spark, base, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("d"), "o_orderstatus")
     t = o.select("o_orderkey", "o_orderstatus",
                  F.date_format("d", "M/d/yyyy").alias("us_text"),
@@ -910,7 +902,7 @@ def q_poisson_cells(spark: SparkSession, base: str) -> DataFrame:
 
     o = events(spark, base).select(F.to_date("ts").alias("day"), "event_type")
     counts = o.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("cnt"))
-    full = complete_grid(o, ["day", "event_type"]).join(counts, ["day", "event_type"], "left") \
+    full = complete_grid(counts, ["day", "event_type"]).join(counts, ["day", "event_type"], "left") \
         .withColumn("cnt", F.coalesce(F.col("cnt"), F.lit(0)).cast("double")) \
         .withColumn("weekday", F.date_format("day", "EEEE"))
     fit = cell_means(full, ["event_type", "weekday"], "cnt", family="poisson")
@@ -939,7 +931,7 @@ def q_hurdle_means(spark: SparkSession, base: str) -> DataFrame:
 
 @query("shrunken_means", """
 WITH e AS (SELECT user_id, ln(value) AS v FROM events WHERE value > 0),
-g AS (SELECT user_id, count(*) AS n, avg(v) AS ybar, sum(v * v) - sum(v) * sum(v) / count(*) AS ss
+g AS (SELECT user_id, count(*) AS n, avg(v) AS ybar, var_pop(v) * count(*) AS ss
       FROM e GROUP BY user_id),
 s AS (SELECT sum(ss) / (sum(n) - count(*)) AS s2, var_samp(ybar) AS vb, avg(1.0 / n) AS inv_n,
              avg(ybar) AS m FROM g),
@@ -999,7 +991,7 @@ def events_draw_epred(spark: SparkSession, base: str, carry_abundance: bool = Fa
     from fieldspark.operators.draws import epred_cell_means
 
     return epred_cell_means(draws_table(spark, base), draw_grid(spark, base),
-                            ["species", "date2", "prey_stage"], N_TERMS,
+                            ["species", "date2", "prey_stage"],
                             carry=["total_abund"] if carry_abundance else [],
                             grid_is_distinct=True)
 
@@ -1149,7 +1141,7 @@ def q_biomass_unpivot(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.functions.strings import replace_first
     from fieldspark.plans.biomass import benthic_biomass
 
-    li = read_table(spark, base, "lineitem", min_partitions=0)
+    li = read_table(spark, base, "lineitem")
     wide = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("stat"),
                      F.col("l_returnflag").alias("location"), "l_quantity", "l_discount", "l_tax")
     part = read_table(spark, base, "part").where(F.col("p_retailprice") > 0)
@@ -1221,9 +1213,7 @@ def q_epred_draws(spark: SparkSession, base: str) -> DataFrame:
     factors = factor_levels_all(li, ["l_returnflag", "l_linestatus"])
     grid = complete_grid(li, list(factors))
     design, terms = treatment_design(grid, factors)
-    max_nz = 2 ** len(factors)
-    out = epred_draws(draws_table(spark, base), design, list(factors), max_nonzero=max_nz)
-    return rounded(out)
+    return rounded(epred_draws(draws_table(spark, base), design, list(factors)))
 
 
 @query("scale_by_abundance", "WITH " + EPRED_SQL + """
@@ -1269,9 +1259,14 @@ SELECT t.data_level, t.species, t.date2, t.draw, round(t.prop_pa, 6) AS prop_pa,
 FROM t JOIN lvl USING (species)
 """)
 def q_thin_draws(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.conditionals import case_when
     from fieldspark.plans.summaries import plot_ready_draws
 
-    out = plot_ready_draws(diet_posts(spark, base), 300, PLOT_SPECIES_FIRST, PLOT_DODGE, PLOT_PANELS)
+    named = case_when([(F.col("species") == F.lit(k), F.lit(v)) for k, v in SPECIES_NAMES.items()],
+                      F.col("species"))
+    species = draw_grid(spark, base).select(named.alias("species"))
+    out = plot_ready_draws(diet_posts(spark, base), 300, PLOT_SPECIES_FIRST, PLOT_DODGE, PLOT_PANELS,
+                           species)
     return rounded(out.select("data_level", "species", "date2", "draw", "prop_pa", "total",
                               "species_level", "date_dodged", "panel"))
 
@@ -1318,8 +1313,7 @@ def q_point_interval(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.draws import point_interval
 
     ep = events_draw_epred(spark, base)
-    return rounded(point_interval(ep, ["species", "date2", "prey_stage"], "epred",
-                                  exact=exact_quantiles(spark, base)))
+    return rounded(point_interval(ep, ["species", "date2", "prey_stage"], "epred"))
 
 
 @query("cumulative_draws", "WITH " + POSTS_SQL + """,
@@ -1362,48 +1356,172 @@ def q_cell_means_model(spark: SparkSession, base: str) -> DataFrame:
                    .select("l_returnflag", "l_linestatus", "n", "mean", "sd", "b", "se"))
 
 
-@query("draws_from_fit")
+def sql_digest(salt: str, *keys: str) -> str:
+    """MD5 text of ``functions.random.row_digest`` in DuckDB SQL."""
+    return f"md5('{SEED}|' || {salt} || '|' || " + " || '|' || ".join(
+        f"CAST({k} AS VARCHAR)" for k in keys) + ")"
+
+
+def sql_unit(digest: str, start: int, digits: int) -> str:
+    return f"((('0x' || substr({digest}, {start}, {digits}))::BIGINT + 0.5) / {float(16**digits)!r})"
+
+
+def sql_normal(digest: str, digits: int = 13) -> str:
+    u1, u2 = sql_unit(digest, 1, digits), sql_unit(digest, digits + 1, digits)
+    return f"(sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2}))"
+
+
+def sql_gamma(rows: str, keys: list[str], shape: str, scale: str, columns: str) -> str:
+    """Accepted Marsaglia-Tsang proposal of each row of ``rows`` (shape >= 1)."""
+    return f"""
+proposals AS (SELECT *, {shape} - 1 / 3.0 AS d, {sql_digest("k", *keys)} AS h
+              FROM {rows} CROSS JOIN range(1, 9) AS r(k)),
+steps AS (SELECT *, {sql_normal("h", 10)} AS z, {sql_unit("h", 21, 10)} AS u FROM proposals),
+cubes AS (SELECT *, pow(1 + z / sqrt(9 * d), 3) AS v FROM steps),
+accepted AS (SELECT * FROM cubes WHERE v > 0 AND ln(u) < 0.5 * z * z + d - d * v + d * ln(
+               CASE WHEN v > 0 THEN v ELSE 1 END)
+             QUALIFY row_number() OVER (PARTITION BY {", ".join(keys)} ORDER BY k) = 1),
+gamma_draws AS (SELECT {columns}, d * v * {scale} AS draw_value FROM accepted)"""
+
+
+@query("draws_from_fit", f"""
+WITH c AS (
+  SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n, avg(l_extendedprice) AS m,
+         stddev_samp(l_extendedprice) AS sd
+  FROM lineitem GROUP BY ALL
+),
+phi AS (SELECT sum((n - 1) * sd * sd / (m * m)) / (sum(n) - count(*)) AS phi FROM c),
+dr AS (
+  SELECT f, s, draw, ln(m) + sqrt(phi / n) * {sql_normal(sql_digest("0", "f", "s", "draw"))} AS eta
+  FROM c CROSS JOIN phi CROSS JOIN range(1, 1001) AS r(draw)
+),
+lo AS (SELECT min(f) AS f0, min(s) AS s0 FROM c),
+w AS (
+  SELECT dr.*, f0, s0,
+         max(CASE WHEN f = f0 AND s = s0 THEN eta END) OVER (PARTITION BY draw) AS base,
+         max(CASE WHEN s = s0 THEN eta END) OVER (PARTITION BY draw, f) AS row_eta,
+         max(CASE WHEN f = f0 THEN eta END) OVER (PARTITION BY draw, s) AS col_eta
+  FROM dr CROSS JOIN lo
+)
+SELECT draw,
+       CASE WHEN f = f0 AND s = s0 THEN '(Intercept)' WHEN s = s0 THEN 'l_returnflag' || f
+            WHEN f = f0 THEN 'l_linestatus' || s
+            ELSE 'l_returnflag' || f || ':l_linestatus' || s END AS term,
+       round(CASE WHEN f = f0 AND s = s0 THEN eta WHEN s = s0 OR f = f0 THEN eta - base
+                  ELSE eta - row_eta - col_eta + base END, 6) AS coef
+FROM w
+""")
 def q_draws_from_fit(spark: SparkSession, base: str) -> DataFrame:
     """Coefficient draws of the flag x status Gamma model (full covariance)."""
-    from fieldspark.operators.draws import factor_levels_all, treatment_design
-    from fieldspark.operators.models import beta_from_cells, cell_means, glm_draws
+    from fieldspark.operators.models import cell_means, pooled_gamma_se, saturated_draws
 
-    li = read_table(spark, base, "lineitem").select("l_returnflag", "l_linestatus",
-                                                     "l_extendedprice")
-    factors = factor_levels_all(li, ["l_returnflag", "l_linestatus"])
-    cells, terms = treatment_design(cell_means(li, list(factors), "l_extendedprice"), factors)
-    beta = beta_from_cells(cells)
-    data, _ = treatment_design(li, factors)
-    draws = glm_draws(data, "x", "l_extendedprice", 1000, "gamma", beta=beta)
-    names = F.array(*[F.lit(t) for t in terms])
-    return draws.select("draw", F.posexplode("coef").alias("pos", "coef")) \
-        .select("draw", F.element_at(names, F.col("pos") + 1).alias("term"), "coef")
+    li = read_table(spark, base, "lineitem")
+    factors = ("l_returnflag", "l_linestatus")
+    cells = pooled_gamma_se(cell_means(li, list(factors), "l_extendedprice"))
+    return rounded(saturated_draws(cells, factors, 1000, SEED))
 
 
-@query("predicted_draws")
+@query("predicted_draws", "WITH " + EPRED_SQL + "," + sql_gamma(
+    "ep", ["species", "date2", "prey_stage", "draw"], "2.0", "epred / 2.0",
+    "species, date2, prey_stage, draw, epred") + """
+SELECT species, date2, prey_stage, draw, round(epred, 6) AS epred,
+       round(draw_value, 6) AS prediction
+FROM gamma_draws
+""")
 def q_predicted_draws(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.models import predicted_draws
 
     ep = events_draw_epred(spark, base)
-    return predicted_draws(ep, ["species", "date2", "prey_stage", "draw"], 2.0)
+    return rounded(predicted_draws(ep, ["species", "date2", "prey_stage", "draw"], 2.0, SEED))
 
 
-@query("prior_grid")
+@query("prior_grid", f"""
+WITH ev AS (
+  SELECT event_type AS species, CAST(date_trunc('week', ts) AS DATE) AS date2,
+         CASE WHEN value >= 50 THEN 'pa' ELSE 'not_pa' END AS prey_stage
+  FROM events
+),
+pri AS (
+  SELECT iter, 2.0 * {sql_normal(sql_digest("0", "iter"))} AS "int",
+         2.0 * {sql_normal(sql_digest("1", "iter"))} AS b1,
+         2.0 * {sql_normal(sql_digest("2", "iter"))} AS int_hu,
+         2.0 * {sql_normal(sql_digest("3", "iter"))} AS b1_hu
+  FROM range(1, 101) AS r(iter)
+),
+g AS (
+  SELECT * FROM pri CROSS JOIN (SELECT DISTINCT date2, prey_stage FROM ev)
+  CROSS JOIN (SELECT DISTINCT species FROM ev)
+),
+n AS (
+  SELECT *, CASE WHEN date2 = (SELECT min(date2) FROM ev) THEN 0 ELSE 1 END AS date_no,
+         CASE WHEN prey_stage = 'not_pa' THEN 0 ELSE 1 END AS prey_stage_no,
+         {", ".join(f"-ln({sql_unit(sql_digest(str(10 + i), 'iter', 'date2', 'prey_stage', 'species'), 1, 13)}) / 2.0 AS {c}"
+                    for i, c in enumerate(("r_int", "r_slopes1", "r_slopes2", "r_slopes3")))}
+  FROM g
+),
+y AS (
+  SELECT *, date_no * prey_stage_no AS date_prey_no,
+         exp("int" + b1 * date_no + b1 * prey_stage_no + b1 * date_no * prey_stage_no) AS y_sim,
+         exp("int" + r_int + (b1 + r_slopes1) * date_no + (b1 + r_slopes2) * prey_stage_no
+             + (b1 + r_slopes3) * date_no * prey_stage_no) AS y_species_sim,
+         1 / (1 + exp(-(int_hu + b1_hu * (date_no + prey_stage_no + date_no * prey_stage_no)))) AS hu_sim
+  FROM n
+)
+SELECT iter, date2, prey_stage, species, CAST(date_no AS INTEGER) AS date_no,
+       CAST(prey_stage_no AS INTEGER) AS prey_stage_no, CAST(date_prey_no AS INTEGER) AS date_prey_no,
+       round("int", 6) AS "int", round(b1, 6) AS b1, round(int_hu, 6) AS int_hu,
+       round(b1_hu, 6) AS b1_hu, round(r_int, 6) AS r_int, round(r_slopes1, 6) AS r_slopes1,
+       round(r_slopes2, 6) AS r_slopes2, round(r_slopes3, 6) AS r_slopes3,
+       round(ln(y_sim), 6) AS log_y_sim, round(ln(y_species_sim), 6) AS log_y_species_sim,
+       round(hu_sim, 6) AS hu_sim, round(1 - y_hu_sim / y_sim, 6) AS hu_back,
+       round(1 - y_hu_sim_species / y_species_sim, 6) AS hu_back_species
+FROM (SELECT *, y_sim * (1 - hu_sim) AS y_hu_sim, y_species_sim * (1 - hu_sim) AS y_hu_sim_species
+      FROM y)
+""")
 def q_prior_grid(spark: SparkSession, base: str) -> DataFrame:
+    """Prior simulation; the simulated values span many orders of magnitude,
+    so they are compared on the log scale and as shares."""
     from fieldspark.operators.models import prior_grid
 
     cells = draw_cells(spark, base)
     first = cells.agg(F.min("date2")).scalar()
-    return prior_grid(spark, 100, cells.select("date2", "prey_stage"), ["date2", "prey_stage"],
-                      cells.select("species"), "species", first, "not_pa")
-
-
-@query("ppc_bins")
+    g = prior_grid(spark, 100, cells.select("date2", "prey_stage"), ["date2", "prey_stage"],
+                   cells.select("species"), "species", first, "not_pa", SEED)
+    return rounded(g.select(
+        "iter", "date2", "prey_stage", "species", "date_no", "prey_stage_no", "date_prey_no", "int",
+        "b1", "int_hu", "b1_hu", "r_int", "r_slopes1", "r_slopes2", "r_slopes3",
+        F.log("y_sim").alias("log_y_sim"), F.log("y_species_sim").alias("log_y_species_sim"),
+        "hu_sim", (1 - F.col("y_hu_sim") / F.col("y_sim")).alias("hu_back"),
+        (1 - F.col("y_hu_sim_species") / F.col("y_species_sim")).alias("hu_back_species")))
+
+
+@query("ppc_bins", """
+WITH pos AS (SELECT event_type, value, event_id FROM events WHERE value > 0),
+fit AS (SELECT event_type, avg(value) AS m, avg(value) * avg(value) / var_samp(value) AS shape
+        FROM pos GROUP BY event_type),
+reps AS (SELECT p.*, f.m, f.shape, rep FROM pos p JOIN fit f USING (event_type)
+         CROSS JOIN range(1, 21) AS q(rep)),
+boosted AS (SELECT event_type, event_id, rep, m, shape,
+                   CASE WHEN shape < 1 THEN shape + 1 ELSE shape END AS a FROM reps),
+""" + sql_gamma("boosted", ["event_type", "event_id", "rep"], "a",
+                f"(m / shape) * CASE WHEN shape < 1 THEN pow({sql_unit(sql_digest('0', 'event_type', 'event_id', 'rep'), 1, 13)}, 1 / shape) ELSE 1 END",
+                "event_type") + """,
+b AS (
+  SELECT event_type, value AS v, 1 AS seen FROM pos
+  UNION ALL SELECT event_type, draw_value, 0 FROM gamma_draws
+)
+SELECT event_type,
+       CAST(least(greatest(floor((CASE WHEN v > 0 THEN log10(v) ELSE -2.0 END + 2.0) / 0.25), 0), 19)
+            AS INTEGER) AS bin,
+       count(CASE WHEN seen = 1 THEN 1 END) AS n_obs,
+       round(count(CASE WHEN seen = 0 THEN 1 END) / 20.0, 6) AS n_rep_mean
+FROM b GROUP BY ALL
+""")
 def q_ppc_bins(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.operators.models import ppc_bins
 
-    ev = read_table(spark, base, "events", min_partitions=0)
-    return ppc_bins(ev, "event_type", "value", "event_id", 20, -2.0, 3.0, 20)
+    ev = read_table(spark, base, "events")
+    return rounded(ppc_bins(ev, "event_type", "value", "event_id", 20, -2.0, 3.0, 20, SEED))
 
 
 # ---- comparison rows (D7) and treatment-labelled draws (D10) --------------
@@ -1460,7 +1578,7 @@ FROM c CROSS JOIN embeddings e
 """)
 def q_treatment_draws(spark: SparkSession, base: str) -> DataFrame:
     from fieldspark.functions.dates import parse_mdy
-    from fieldspark.operators.draws import epred_draws
+    from fieldspark.operators.draws import epred_cell_means
     from fieldspark.operators.joins import complete_grid
     from fieldspark.plans.spiders import label_treatment
 
@@ -1469,8 +1587,7 @@ def q_treatment_draws(spark: SparkSession, base: str) -> DataFrame:
         F.when(F.col("event_type").isin("click", "view"), F.lit("ctrl")).otherwise(F.lit("exc"))
         .alias("trt2"))
     grid = complete_grid(ev, ["date", "trt2"])
-    design = cell_means_design(grid, ["date", "trt2"], N_TERMS)
-    ep = epred_draws(draws_table(spark, base), design, ["date", "trt2"], max_nonzero=1)
+    ep = epred_cell_means(draws_table(spark, base), grid, ["date", "trt2"], grid_is_distinct=True)
     out = label_treatment(ep.withColumn("date", parse_mdy("date")).withColumn("trt", F.col("trt2")))
     return rounded(out.select("date", "trt2", "draw", "epred", "trt"))
 
@@ -1512,3 +1629,365 @@ def q_edge_table_nostage(spark: SparkSession, base: str) -> DataFrame:
     props = diet_proportions(d, WEB_NOSTAGE_EXCLUDE)
     e = edge_table(props, WEB_NOSTAGE_SPECIAL_Y, WEB_COLOUR[0], WEB_COLOUR[1])
     return rounded(e.select("resource", "consumer", "diet_post", "xend", "x", "y", "yend", "color"))
+
+
+WEB_NOSTAGE_SQL = CLEAN_SQL + """,
+d2 AS (SELECT species, split_part(prey_taxon, '_', 1) AS prey_taxon, mg_diet_dm FROM d),
+sp AS (SELECT species, sum(mg_diet_dm) AS total_gdm FROM d2 GROUP BY species),
+st AS (SELECT species, prey_taxon, sum(mg_diet_dm) AS t FROM d2 GROUP BY species, prey_taxon),
+props AS (
+  SELECT st.species AS consumer, st.prey_taxon AS resource, st.t / sp.total_gdm AS diet_post
+  FROM st JOIN sp USING (species) WHERE st.prey_taxon NOT IN ('blue', 'red')
+),
+codes AS (
+  SELECT *, dense_rank() OVER (ORDER BY consumer) AS cc, dense_rank() OVER (ORDER BY resource) AS rc,
+         count(DISTINCT consumer) OVER () AS nc, count(DISTINCT resource) OVER () AS nr
+  FROM props
+),
+ends AS (
+  SELECT resource AS taxon, 'resource' AS trophic,
+         CASE WHEN nr = 1 THEN 0.5 ELSE (rc - 1) / (nr - 1) END AS x,
+         CAST(CASE WHEN resource = 'hot' THEN 1.5 WHEN resource = 'cold' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS y
+  FROM codes
+  UNION ALL
+  SELECT consumer, 'consumer', CASE WHEN nc = 1 THEN 0.5 ELSE (cc - 1) / (nc - 1) * 0.5 + 0.25 END, 2.0
+  FROM codes
+),
+nodes AS (
+  SELECT *, CASE WHEN taxon LIKE '%blue%' THEN 'blue' ELSE 'non-blue' END AS color FROM ends
+)"""
+
+
+def nostage_nodes(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.functions.strings import separate_parts
+    from fieldspark.plans.foodweb import diet_proportions, edge_table, node_table
+
+    d = diet_by_part(spark, base)
+    d = d.withColumn("prey_taxon", separate_parts("prey_taxon", 1)[0])
+    edges = edge_table(diet_proportions(d, WEB_NOSTAGE_EXCLUDE), WEB_NOSTAGE_SPECIAL_Y,
+                       WEB_COLOUR[0], WEB_COLOUR[1])
+    return node_table(edges, WEB_COLOUR[0], WEB_COLOUR[1], with_stage=False)
+
+
+@query("node_table_nostage", "WITH " + WEB_NOSTAGE_SQL + """
+SELECT taxon, trophic, round(x, 6) AS x, round(y, 6) AS y, color FROM nodes
+""")
+def q_node_table_nostage(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(nostage_nodes(spark, base))
+
+
+@query("node_labels_nostage", "WITH " + WEB_NOSTAGE_SQL + """
+SELECT taxon, trophic, round(x, 6) AS x, round(y, 6) AS y, color,
+       CASE WHEN taxon LIKE '%tiny%' THEN taxon END AS prey_label,
+       CASE WHEN taxon = 'tiny' THEN 'tiny parts' WHEN taxon = 'hot' THEN 'hot parts' END AS label
+FROM nodes QUALIFY row_number() OVER (PARTITION BY taxon ORDER BY trophic <> 'resource', x, y) = 1
+""")
+def q_node_labels_nostage(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.plans.foodweb import node_labels
+
+    return rounded(node_labels(nostage_nodes(spark, base), "tiny",
+                               {"tiny": "tiny parts", "hot": "hot parts"}))
+
+
+# ---- whole pipelines and edge cases --------------------------------------------
+
+@query("clean_diet", "WITH " + CLEAN_SQL + """
+SELECT id, species, date2, prey_taxon, round(mg_diet_dm, 6) AS mg_diet_dm, round(mgdm01, 6) AS mgdm01,
+       round(CASE WHEN prey_mg_dm <> 0 THEN 1 / prey_mg_dm END, 9) AS prey_mg_inverse
+FROM d
+""")
+def q_clean_diet(spark: SparkSession, base: str) -> DataFrame:
+    d = clean_diet_table(spark, base)
+    return rounded(d.select("id", "species", "date2", "prey_taxon", "mg_diet_dm", "mgdm01",
+                            "prey_mg_inverse"), prey_mg_inverse=9)
+
+
+@query("benthic_pipeline", """
+WITH w AS (
+  SELECT l_orderkey AS id, l_linenumber AS stat, l_linenumber + CAST(l_quantity AS INTEGER) AS chiro,
+         CAST(round(l_tax * 100) AS INTEGER) AS isopod, CAST(round(l_discount * 100) AS INTEGER) AS snail
+  FROM lineitem
+),
+long AS (
+  SELECT id, stat, 'chiro' AS taxon, chiro AS abundance FROM w
+  UNION ALL SELECT id, stat, 'isopod', isopod FROM w
+  UNION ALL SELECT id, stat, 'snail', snail FROM w
+),
+mass AS (
+  SELECT CASE p_type WHEN 'SMALL' THEN 'chiro' WHEN 'LARGE' THEN 'isopod' ELSE lower(p_type) END AS taxon,
+         exp(ln(avg(p_retailprice))) / 1000 AS mean_mgdm
+  FROM part GROUP BY p_type
+  UNION ALL SELECT 'snail', 0.25
+)
+SELECT taxon, id, stat, abundance, round(mean_mgdm, 6) AS mean_mgdm,
+       round(CAST(0.76 * 0.3 AS DOUBLE), 6) AS sample_m2,
+       round(abundance * mean_mgdm / (0.76 * 0.3), 6) AS benthic_mg_dm_m2,
+       round(0.01 + abundance * mean_mgdm / (0.76 * 0.3), 6) AS benthic_mg01,
+       round(abundance * mean_mgdm / (0.76 * 0.3) / 1000 + 0.001, 6) AS benthic_g01
+FROM long JOIN mass USING (taxon)
+""")
+def q_benthic_pipeline(spark: SparkSession, base: str) -> DataFrame:
+    """Raw benthic columns to mass per area: larvae and pupae joined, taxon masses
+    from a group-mean fit (back-transformed) and one literal row, unpivot, join."""
+    from fieldspark.functions.conditionals import case_when
+    from fieldspark.operators.models import cell_means
+    from fieldspark.plans.biomass import add_pupae, benthic_biomass
+    from fieldspark.sources.readers import add_row
+
+    li = read_table(spark, base, "lineitem")
+    raw = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("stat"),
+                    F.col("l_linenumber").alias("chiro_larvae"),
+                    F.round(F.col("l_tax") * 100).cast("int").alias("isopod"),
+                    F.round(F.col("l_discount") * 100).cast("int").alias("snail"),
+                    F.col("l_quantity").cast("int").alias("pupae"),
+                    F.col("l_comment").alias("notes") if "l_comment" in li.columns
+                    else F.lit("x").alias("notes"))
+    wide = add_pupae(raw, drop=["notes"])
+    names = {"SMALL": "chiro", "LARGE": "isopod"}
+    taxon = case_when([(F.col("p_type") == F.lit(k), F.lit(v)) for k, v in names.items()],
+                      F.lower("p_type"))
+    fit = cell_means(read_table(spark, base, "part").withColumn("taxon", taxon), ["taxon"],
+                     "p_retailprice")
+    mass = add_row(fit.select("taxon", (F.exp("b") / 1000).alias("mean_mgdm")), taxon="snail",
+                   mean_mgdm=0.25)
+    return rounded(benthic_biomass(wide, mass, "chiro", "snail"))
+
+
+@query("spider_emergence", """
+WITH ev AS (
+  SELECT user_id AS stat2, CAST(ts AS DATE) AS date2,
+         CASE WHEN event_type = 'view' THEN 'Ambient' ELSE 'Cage' END AS trt, value FROM events
+),
+sp AS (SELECT stat2, trt, round(sum(value), 6) AS spid FROM ev GROUP BY stat2, trt),
+em AS (SELECT stat2, date2, trt, round(sum(value), 6) AS mass FROM ev GROUP BY stat2, date2, trt)
+SELECT sp.stat2, sp.trt AS trt_x, sp.spid, em.date2, em.trt AS trt_y, em.mass
+FROM (SELECT * FROM sp WHERE trt <> 'Ambient') sp
+LEFT JOIN (SELECT * FROM em WHERE trt <> 'Ambient'
+           AND (date2 = DATE '2024-01-29' OR date2 = DATE '2024-01-30')) em ON sp.stat2 = em.stat2
+""")
+def q_spider_emergence(spark: SparkSession, base: str) -> DataFrame:
+    import datetime
+
+    from fieldspark.plans.spiders import spider_emergence
+
+    ev = events(spark, base).select(
+        F.col("user_id").alias("stat2"), F.to_date("ts").alias("date2"),
+        F.when(F.col("event_type") == "view", "Ambient").otherwise("Cage").alias("trt"), "value")
+    spiders = ev.groupBy("stat2", "trt").agg(F.round(F.sum("value"), 6).alias("spid"))
+    emergence = ev.groupBy("stat2", "date2", "trt").agg(F.round(F.sum("value"), 6).alias("mass"))
+    dates = [datetime.date.fromisoformat(d) for d in SURVEY_DATES]
+    return spider_emergence(spiders, emergence, dates)
+
+
+@query("conditional_effects", """
+WITH ev AS (SELECT DISTINCT event_type AS species,
+                   CASE WHEN value >= 50 THEN 'pa' ELSE 'not_pa' END AS prey_stage FROM events),
+sp AS (SELECT species, row_number() OVER (ORDER BY species) - 1 AS r FROM (SELECT DISTINCT species FROM ev)),
+st AS (SELECT prey_stage, row_number() OVER (ORDER BY prey_stage) - 1 AS q
+       FROM (SELECT DISTINCT prey_stage FROM ev)),
+g AS (SELECT *, (SELECT count(*) FROM sp) AS k FROM sp CROSS JOIN st),
+ep AS (
+  SELECT species, prey_stage,
+         exp(CAST(e.embedding[1] AS DOUBLE)
+           + CASE WHEN r > 0 THEN CAST(e.embedding[1 + r] AS DOUBLE) ELSE 0 END
+           + CASE WHEN q > 0 THEN CAST(e.embedding[1 + k] AS DOUBLE) ELSE 0 END) AS epred
+  FROM g CROSS JOIN embeddings e
+)
+SELECT species, prey_stage,
+       round(quantile_cont(epred, 0.025), 6) AS q025, round(quantile_cont(epred, 0.17), 6) AS q170,
+       round(quantile_cont(epred, 0.5), 6) AS q500, round(quantile_cont(epred, 0.83), 6) AS q830,
+       round(quantile_cont(epred, 0.975), 6) AS q975
+FROM ep GROUP BY species, prey_stage
+""")
+def q_conditional_effects(spark: SparkSession, base: str) -> DataFrame:
+    """Main effects of species and stage; the interactions are left out."""
+    from fieldspark.operators.draws import factor_levels_all
+    from fieldspark.plans.summaries import conditional_effects
+
+    cells = draw_cells(spark, base).select("species", "prey_stage")
+    factors = factor_levels_all(cells, ["species", "prey_stage"])
+    n = len(factors["species"])
+    inter = range(1 + (n - 1) + 1, 2 * n)
+    return rounded(conditional_effects(draws_table(spark, base), cells, factors,
+                                       exclude_terms=list(inter)))
+
+
+HURDLE_SQL = """
+WITH ev AS (SELECT DISTINCT event_type AS species,
+                   CASE WHEN value >= 50 THEN 'pa' ELSE 'not_pa' END AS prey_stage FROM events),
+sp AS (SELECT species, row_number() OVER (ORDER BY species) - 1 AS r FROM (SELECT DISTINCT species FROM ev)),
+st AS (SELECT prey_stage, row_number() OVER (ORDER BY prey_stage) - 1 AS q
+       FROM (SELECT DISTINCT prey_stage FROM ev)),
+g AS (SELECT *, (SELECT count(*) FROM sp) AS k FROM sp CROSS JOIN st),
+eta AS (
+  SELECT species, prey_stage, vec_id AS draw,
+         {mu} AS eta_mu, {hu} AS eta_hu
+  FROM g CROSS JOIN embeddings e
+),
+h AS (SELECT *, exp(eta_mu) AS mu, 1 / (1 + exp(-eta_hu)) AS hu FROM eta)
+SELECT species, prey_stage, draw, round(mu, 6) AS mu, round(hu, 6) AS hu,
+       round(mu * (1 - hu), 6) AS epred
+FROM h
+"""
+
+
+def _hurdle_eta(first: str) -> str:
+    at = lambda k: f"CAST(e.embedding[{first} + {k}] AS DOUBLE)"
+    return (f"({at('1')} + CASE WHEN r > 0 THEN {at('1 + r')} ELSE 0 END"
+            f" + CASE WHEN q > 0 THEN {at('1 + k')} ELSE 0 END"
+            f" + CASE WHEN r > 0 AND q > 0 THEN {at('1 + k + r')} ELSE 0 END)")
+
+
+@query("hurdle_draws", HURDLE_SQL.format(mu=_hurdle_eta("0"), hu=_hurdle_eta("2 * k")))
+def q_hurdle_draws(spark: SparkSession, base: str) -> DataFrame:
+    """Hurdle expectation per draw with both distributional parameters."""
+    from fieldspark.operators.draws import epred_draws, factor_levels_all, treatment_design
+    from fieldspark.operators.joins import complete_grid
+
+    cells = draw_cells(spark, base).select("species", "prey_stage")
+    factors = factor_levels_all(cells, ["species", "prey_stage"])
+    design, terms = treatment_design(complete_grid(cells, list(factors)), factors)
+    n = len(terms)
+    draws = draws_table(spark, base).select(
+        "draw", F.slice("coef", 1, n).alias("coef"), F.slice("coef", n + 1, n).alias("hu_coef"))
+    return rounded(epred_draws(draws, design, list(factors), hurdle_coef="hu_coef"))
+
+
+@query("draw_taxon_totals", "WITH " + EPRED_SQL + """
+SELECT date2, draw, 'All taxa' AS "group", round(sum(epred), 6) AS total FROM ep GROUP BY date2, draw
+UNION ALL
+SELECT date2, draw, 'click', round(sum(epred), 6) FROM ep WHERE species = 'click' GROUP BY date2, draw
+""")
+def q_draw_taxon_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Totals over all taxa and of one taxon per draw, from one aggregate."""
+    ep = events_draw_epred(spark, base)
+    one = F.col("species") == "click"
+    sums = ep.groupBy("date2", "draw").agg(
+        strict_sum("epred").alias("all"), F.count(F.when(one, F.lit(1))).alias("n"),
+        F.sum(F.when(one, F.col("epred"))).alias("one"))
+    groups = F.array(F.struct(F.lit("All taxa").alias("group"), F.col("all").alias("total")),
+                     F.when(F.col("n") > 0, F.struct(F.lit("click").alias("group"),
+                                                     F.col("one").alias("total"))))
+    e = sums.select("date2", "draw", F.explode(groups).alias("g")).where("g IS NOT NULL")
+    return rounded(e.select("date2", "draw", "g.group", "g.total"))
+
+
+@query("prior_table", """
+WITH p AS (
+  SELECT o_orderkey AS row_id, o_orderpriority AS model,
+         nullif(trim(CASE WHEN o_totalprice < 150000 THEN '' ELSE o_orderstatus END), '') AS prior,
+         nullif(trim(CASE WHEN o_custkey % 2 = 0 THEN ' ' ELSE CAST(o_custkey AS VARCHAR) END), '') AS coef
+  FROM orders
+)
+SELECT row_id, model, coef,
+       last_value(prior IGNORE NULLS) OVER (PARTITION BY model ORDER BY row_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prior
+FROM p
+""")
+def q_prior_table(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import prior_table
+
+    o = read_table(spark, base, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("model"),
+        F.when(F.col("o_totalprice") < 150000, F.lit("")).otherwise(F.col("o_orderstatus")).alias("prior"),
+        F.when(F.col("o_custkey") % 2 == 0, F.lit(" ")).otherwise(F.col("o_custkey").cast("string"))
+        .alias("coef"))
+    return prior_table(o, chunk_rows=1024)
+
+
+@query("sorted_report", "WITH " + CLEAN_SQL + """,
+g AS (SELECT species, prey_taxon, round(sum(mg_diet_dm), 2) AS total FROM d GROUP BY ALL)
+SELECT species, prey_taxon, total,
+       row_number() OVER (ORDER BY total DESC NULLS LAST, species, prey_taxon) AS by_total,
+       row_number() OVER (ORDER BY species, prey_taxon) AS by_name
+FROM g
+""")
+def q_sorted_report(spark: SparkSession, base: str) -> DataFrame:
+    """A report with its positions when sorted by total (descending) and by name."""
+    from fieldspark.operators.ranking import number_rows, value_range
+
+    g = diet_by_part(spark, base).groupBy("species", "prey_taxon").agg(
+        F.round(strict_sum("mg_diet_dm"), 2).alias("total"))
+    chunk = F.coalesce(-value_range(g, "total"), F.lit(2**30))
+    g = number_rows(g, chunk, [F.desc_nulls_last("total"), F.col("species"), F.col("prey_taxon")],
+                    "by_total")
+    return number_rows(g, F.substring("species", 1, 1), [F.col("species"), F.col("prey_taxon")],
+                       "by_name")
+
+
+@query("poisson_zero_cells", """
+WITH c AS (
+  SELECT l_returnflag, l_linestatus,
+         CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS cnt
+  FROM lineitem
+)
+SELECT l_returnflag, l_linestatus, count(cnt) AS n, round(avg(cnt), 6) AS mean,
+       round(CASE WHEN avg(cnt) > 0 THEN ln(avg(cnt)) END, 6) AS b,
+       round(CASE WHEN avg(cnt) > 0 THEN 1 / sqrt(count(cnt) * avg(cnt)) END, 6) AS se
+FROM c GROUP BY l_returnflag, l_linestatus
+""")
+def q_poisson_zero_cells(spark: SparkSession, base: str) -> DataFrame:
+    """Poisson cells that are all zero, and counts that are missing."""
+    from fieldspark.operators.models import cell_means
+
+    li = read_table(spark, base, "lineitem").select(
+        "l_returnflag", "l_linestatus",
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_linenumber") != 7, F.col("l_linenumber"))
+        .cast("double").alias("cnt"))
+    fit = cell_means(li, ["l_returnflag", "l_linestatus"], "cnt", family="poisson")
+    return rounded(fit.select("l_returnflag", "l_linestatus", "n", "mean", "b", "se"))
+
+
+@query("biomass_missing_days", """
+WITH m AS (
+  SELECT l_orderkey AS stat, l_linenumber AS loc, CAST(l_quantity AS DOUBLE) * 0.99 AS tot,
+         CASE WHEN l_linestatus = 'O' THEN NULL ELSE 0.36 END AS area,
+         CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN NULL ELSE 3 END AS days
+  FROM lineitem
+)
+SELECT stat, loc, round(tot, 6) AS tot_mg_dm,
+       round(CASE WHEN area > 0 AND days > 0 THEN tot / area / days END, 6) AS tot_mg_dm_m2_d
+FROM m
+""")
+def q_biomass_missing_days(spark: SparkSession, base: str) -> DataFrame:
+    """Samples without area or exposure have a mass but no rate."""
+    from fieldspark.plans.biomass import emergence_biomass
+
+    li = read_table(spark, base, "lineitem").select(
+        F.col("l_orderkey").alias("stat"), F.col("l_linenumber").alias("loc"),
+        F.col("l_quantity").alias("chir"),
+        F.when(F.col("l_linestatus") != "O", F.lit(0.36)).alias("area"),
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") != "N", 3).alias("days"))
+    out = emergence_biomass(li, {"chir": ("chiro_mg_dm", 0.99)})
+    return rounded(out.select("stat", "loc", "tot_mg_dm", "tot_mg_dm_m2_d"))
+
+
+@query("strict_stage_totals", "WITH " + CLEAN_SQL + """,
+n AS (SELECT *, nullif(mg_diet_dm, (SELECT max(mg_diet_dm) FROM d)) AS mg FROM d)
+SELECT species, date2,
+       CASE WHEN split_part(prey_taxon, '_', 2) IN ('bolt', 'gear') THEN 'pa' ELSE 'not_pa' END
+         AS prey_stage,
+       round(CASE WHEN count(*) = count(mg) THEN sum(mg) END, 2) AS mg_dmtotal
+FROM n GROUP BY ALL
+""")
+def q_strict_stage_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Stage totals with a missing mass: the sums it belongs to are NULL."""
+    d = clean_diet_table(spark, base, classify=True)
+    top = d.agg(F.max("mg_diet_dm")).scalar()
+    d = d.withColumn("mg_diet_dm", F.when(F.col("mg_diet_dm") != top, F.col("mg_diet_dm")))
+    return rounded(diet_stage_totals(d, PA_STAGES, ["species", "date2"]), 2)
+
+
+@query("shrunken_singletons", """
+WITH e AS (SELECT event_id, CASE WHEN value > 0 THEN ln(value) END AS v FROM events)
+SELECT event_id, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS n, round(v, 6) AS ybar,
+       CAST(NULL AS DOUBLE) AS w, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS n_left_out
+FROM e
+""")
+def q_shrunken_singletons(spark: SparkSession, base: str) -> DataFrame:
+    """Groups of one row: no within-group variance, so no shrinkage weight."""
+    from fieldspark.operators.models import shrunken_means
+
+    out = shrunken_means(events(spark, base), "event_id", "value")
+    return rounded(out.select("event_id", F.col("n").cast("int"), "ybar", "w",
+                              F.col("n_left_out").cast("int")))

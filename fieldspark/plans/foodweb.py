@@ -1,9 +1,8 @@
 """Consumer-resource (food web) tables.
 
 Input: a diet table with ``species``, ``prey_taxon``, ``mg_diet_dm``.
-Layout coordinates are level codes rescaled over the table; they are
-computed in place from sorted level arrays (scalar subqueries), so the
-edge table is never joined back to per-level tables.
+Layout coordinates are level codes rescaled over the table, computed on the
+distinct names of either side and joined back.
 """
 
 from __future__ import annotations
@@ -15,11 +14,12 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.conditionals import case_when, grepl, r_ifelse
 from fieldspark.functions.random import hashed_normal
-from fieldspark.functions.strings import replace_first, separate_parts, unite_cols
+from fieldspark.functions.strings import replace_first, separate_parts
 from fieldspark.operators.aggregate import proportion_within
 from fieldspark.operators.project import drop_na
+from fieldspark.operators.ranking import dense_names
 from fieldspark.operators.reshape import stack_roles
-from fieldspark.operators.window import dense_rescale_small, first_per_key
+from fieldspark.operators.window import first_per_key
 
 
 def diet_proportions(d: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -32,18 +32,49 @@ def diet_proportions(d: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     return out
 
 
+def positions(props: DataFrame, col: str, out: str, lo: float, hi: float,
+              first: Sequence[str] = ()) -> DataFrame:
+    """``col, out``: level codes of the distinct names rescaled to [lo, hi].
+
+    Levels named in ``first`` come first, in that order (``fct_relevel``
+    before the codes); the others follow in binary order.  A single level
+    gets the middle.
+    """
+    named = [n for n in first]
+    rest = dense_names(props.where(~F.col(col).isin(named)) if named else props, col, "__code")
+    names = props.select(col).where(F.col(col).isNotNull()).distinct()
+    coded = names.join(rest.select(F.col(col).alias("__name"), "__code"),
+                       F.col(col) == F.col("__name"), "left")
+    if named:
+        # only levels that occur count, as a factor's codes do
+        seen = names.agg(F.sort_array(F.collect_set(F.when(
+            F.col(col).isin(named), F.array_position(F.array(*map(F.lit, named)), F.col(col)))))
+        ).scalar()
+        place = F.array_position(seen, F.array_position(F.array(*map(F.lit, named)), F.col(col)))
+        code = F.coalesce(F.col("__code") + F.size(seen), place)
+    else:
+        code = F.col("__code")
+    k = names.agg(F.count(F.lit(1))).scalar()
+    value = F.when(k == 1, F.lit((lo + hi) / 2.0)).otherwise(
+        F.try_divide(code.cast("double") - 1.0, k.cast("double") - 1.0) * F.lit(hi - lo) + F.lit(lo))
+    return coded.select(F.col(col).alias("__at"), value.alias(out))
+
+
 def layout(props: DataFrame, consumer_range: tuple[float, float] = (0.25, 0.75),
            resource_range: tuple[float, float] = (0.0, 1.0), jitter_sd: float = 0.0,
-           seed: int = 2020) -> DataFrame:
+           seed: int = 2020, consumer_first: Sequence[str] = (),
+           resource_first: Sequence[str] = ()) -> DataFrame:
     """Attach x positions: level codes of consumers and resources, rescaled.
 
+    Positions come from the distinct names of either side, joined back.
     ``jitter_sd`` adds a normal offset per resource drawn from a hash of
     the resource name (reproducible on any partitioning).
     """
     out = drop_na(props, ["consumer"])
-    # props has one row per (consumer, resource): a small, category-sized table
-    out = dense_rescale_small(out, {"consumer": ("xend", *consumer_range),
-                                    "resource": ("x", *resource_range)})
+    for col, name, span, first in (("consumer", "xend", consumer_range, consumer_first),
+                                   ("resource", "x", resource_range, resource_first)):
+        at = positions(out, col, name, *span, first)
+        out = out.join(at, F.col(col) == F.col("__at"), "left").drop("__at")
     off = hashed_normal(["resource"], seed, 0.0, jitter_sd) if jitter_sd else F.lit(0.0)
     return out.withColumn("offset", off).withColumn("x1", F.col("x") + F.col("offset"))
 
@@ -65,20 +96,17 @@ def edge_table(props: DataFrame, special_y: Mapping[str, float], colour_pattern:
 
 def node_table(edges: DataFrame, colour_pattern: str, colour_names: tuple[str, str],
                with_stage: bool = True) -> DataFrame:
-    """Both ends of every edge stacked as nodes with parsed coordinates.
+    """Both ends of every edge stacked as nodes with their coordinates.
 
-    Each end is written as ``name_x_y`` text and parsed back, as the
-    stacking of mixed columns requires; names have their first ``_``
-    turned into ``-`` so the text splits cleanly.
+    Resource names have their first ``_`` turned into ``-``; with
+    ``with_stage`` they are split into taxon and stage.
     """
-    e = edges.withColumn("resource", replace_first("resource", "_", "-"))
-    xy = e.select(unite_cols(["resource", "x", "y"]).alias("resource_xy"),
-                  unite_cols(["consumer", "xend", "yend"]).alias("consumer_xy"))
-    st = stack_roles(xy, ["resource_xy", "consumer_xy"], "key", "value")
-    taxon, xs, ys = separate_parts("value", 3, "_")
-    (trophic,) = separate_parts("key", 1)
-    nodes = st.select(taxon.alias("taxon"), trophic.alias("trophic"),
-                      xs.try_cast("double").alias("x"), ys.try_cast("double").alias("y"))
+    roles = edges.select(
+        F.struct(replace_first("resource", "_", "-").alias("taxon"), "x", "y").alias("resource"),
+        F.struct(F.col("consumer").alias("taxon"), F.col("xend").alias("x"),
+                 F.col("yend").alias("y")).alias("consumer"))
+    nodes = stack_roles(roles, ["resource", "consumer"], "trophic", "node").select(
+        "node.taxon", "trophic", "node.x", "node.y")
     nodes = nodes.withColumn("color", r_ifelse(grepl(colour_pattern, "taxon"), *colour_names))
     if with_stage:
         tu, stage = separate_parts("taxon", 2)
@@ -88,8 +116,10 @@ def node_table(edges: DataFrame, colour_pattern: str, colour_names: tuple[str, s
 
 
 def node_labels(nodes: DataFrame, label_pattern: str, labels: Mapping[str, str]) -> DataFrame:
-    """One row per taxon (first by trophic role and position) with labels."""
-    first = first_per_key(nodes, ["taxon"], ["trophic", "x", "y"])
+    """One row per taxon with labels: its resource row, as resources are
+    stacked first, then the first by position."""
+    role = F.when(F.col("trophic") == "resource", 0).otherwise(1)
+    first = first_per_key(nodes, ["taxon"], [role, "x", "y"])
     lab = case_when([(F.col("taxon") == F.lit(k), F.lit(v)) for k, v in labels.items()])
     return (first.withColumn("prey_label", r_ifelse(grepl(label_pattern, "taxon"), F.col("taxon"),
                                                     F.lit(None).cast("string")))

@@ -25,8 +25,8 @@ POST_IDS = ("data_level", "species", "date2", "draw")
 
 
 def species_means_global(posts: DataFrame, measures: Sequence[str] = ("prop_pa", "total"),
-                         scale: Mapping[str, float] | None = None, digits: int | None = 2,
-                         exact: bool = True) -> DataFrame:
+                         scale: Mapping[str, float] | None = None,
+                         digits: int | None = 2) -> DataFrame:
     """D11 global: species-averaged and per-species summaries over all dates.
 
     Only the reported measures are reshaped to long form; each measure is
@@ -34,32 +34,32 @@ def species_means_global(posts: DataFrame, measures: Sequence[str] = ("prop_pa",
     """
     long = to_long(posts, POST_IDS, measures)
     avg = species_average(long, "data_level", "draw", "species")
-    return summarize_draws(avg, ["data_level", "species", "name"], scale=scale, digits=digits,
-                           exact=exact)
+    return summarize_draws(avg, ["data_level", "species", "name"], scale=scale, digits=digits)
 
 
 def species_means_bydate(posts: DataFrame, measures: Sequence[str] = ("prop_pa", "total"),
-                         scale: Mapping[str, float] | None = None, digits: int | None = 2,
-                         exact: bool = True) -> DataFrame:
-    """D11 by date: species average per date plus every species as is."""
+                         scale: Mapping[str, float] | None = None,
+                         digits: int | None = 2) -> DataFrame:
+    """D11 by date: species average per date plus every species, in one pass."""
     long = to_long(posts, POST_IDS, measures)
-    allsp = species_average(long, "data_level", "draw", "species", extra=["date2"],
-                            per_species=False)
-    both = allsp.unionByName(long)
+    both = species_average(long, "data_level", "draw", "species", extra=["date2"])
     return summarize_draws(both, ["data_level", "date2", "species", "name"], scale=scale,
-                           digits=digits, exact=exact)
+                           digits=digits)
 
 
 def plot_ready_draws(posts: DataFrame, n_draws: int = 300, species_first: Sequence[str] = (),
                      dodge: Mapping[str, float] | None = None,
-                     panel_labels: Mapping[str, str] | None = None) -> DataFrame:
+                     panel_labels: Mapping[str, str] | None = None,
+                     species: DataFrame | None = None) -> DataFrame:
     """Thin to the first draws, order species, dodge dates, relabel panels.
 
-    ``dodge`` gives a fractional-day offset per species (others 0);
+    ``species`` may give the species (a ``species`` column) that occur in the
+    draws, e.g. from the prediction grid, so that listing them does not expand
+    the draws a second time.  ``dodge`` gives a fractional-day offset per species (others 0);
     ``panel_labels`` maps a ``data_level`` substring to a panel title.
     """
     out = thin_draws(posts, n_draws)
-    out = relevel_key(out, "species", list(species_first), "species_level")
+    out = relevel_key(out, "species", list(species_first), "species_level", levels_from=species)
     off = case_when([(F.col("species") == F.lit(k), F.lit(float(v))) for k, v in
                      (dodge or {}).items()], F.lit(0.0)) if dodge else F.lit(0.0)
     out = out.withColumn("dodge_manual", off) \
@@ -87,6 +87,5 @@ def conditional_effects(draws: DataFrame, data: DataFrame, factors: Mapping[str,
     for k, v in (conditions or {}).items():
         grid = grid.where(F.col(k) == F.lit(v))
     design, _ = treatment_design(grid, factors)
-    ep = epred_draws(draws, design, list(factors), max_nonzero=2 ** len(factors),
-                     exclude_terms=exclude_terms)
+    ep = epred_draws(draws, design, list(factors), exclude_terms=exclude_terms)
     return point_interval(ep, list(factors), "epred")

@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -88,8 +89,8 @@ def test_benthic_unpivot_join(spark):
 def test_community_totals_hidden_date(spark):
     d = datetime.date
     obs = spark.createDataFrame(
-        [(d(2017, 5, 31), "bluegill", 5), (d(2017, 6, 12), "bluegill", 16), (d(2017, 6, 23), "bluegill", 6),
-         (d(2017, 6, 30), "bluegill", 1), (d(2017, 6, 30), "bluegill", 0), (d(2017, 6, 12), "gar", 1),
+        [(d(2017, 5, 31), "bluegill", 9), (d(2017, 6, 12), "bluegill", 20), (d(2017, 6, 23), "bluegill", 8),
+         (d(2017, 6, 30), "bluegill", 3), (d(2017, 6, 30), "bluegill", 0), (d(2017, 6, 12), "gar", 1),
          (d(2017, 6, 23), "river_shiner", 0)], "date date, species string, abund int")
     observed = community_totals(obs, drop_date=d(2017, 5, 31))
     assert observed.where("species = 'gar'").count() == 1    # only observed combinations by default
@@ -97,12 +98,29 @@ def test_community_totals_hidden_date(spark):
                            rename={"river_shiner": "rivershiner"}, complete=True)
     got = {(r["date2"], r["species"]): (r["total_abund_raw"], r["average"], r["total_abund"])
            for r in out.collect()}
-    assert got[(d(2017, 6, 13), "bluegill")] == (16, 7.0, 16.0)
+    assert got[(d(2017, 6, 13), "bluegill")] == (20, 10.0, 20.0)
     assert got[(d(2017, 6, 23), "gar")] == (0, 0.25, 0.25)        # completed grid, zero imputed
     assert got[(d(2017, 6, 30), "rivershiner")] == (0, 0.0, 0.0)  # zero on every date
     assert all(k[0] != d(2017, 5, 31) for k in got)
 
 
+def test_missing_values_in_pipelines(spark):
+    """NULL masses make their sums NULL; no area or exposure gives no rate."""
+    d = _diet(spark).withColumn("mg_diet_dm", F.when(F.col("prey_taxon") != "chiro_ad",
+                                                     F.col("mg_diet_dm")))
+    tot = {(r["id"], r["prey_stage"]): r["mg_dmtotal"] for r in diet_stage_totals(
+        clean_diet(d, [], [], RULES, {"ad": "a"})).collect()}
+    assert tot[(1, "pa")] is None and tot[(1, "not_pa")] == 2.5
+    wide = {r["id"]: (r["pa"], r["total"]) for r in diet_stage_wide(
+        clean_diet(d, [], [], RULES, {"ad": "a"})).collect()}
+    assert wide[1] == (None, None) and wide[3] == (0.0, 9.0)
+    e = spark.createDataFrame([(1, "a", 4, None, 3), (2, "b", 4, 0.5, 0), (3, "c", None, 0.5, 2)],
+                              "stat int, loc string, chir int, area double, days int")
+    out = {r["stat"]: r for r in emergence_biomass(e, {"chir": ("m", 2.0)}).collect()}
+    assert [out[k]["tot_mg_dm_m2_d"] for k in (1, 2, 3)] == [None, None, 0.0]
+    assert out[1]["tot_mg_dm"] == 8.0
+
+
 def test_spider_recode_and_join(spark):
     sp = spark.createDataFrame([("6/16/2017", 1, 11, "Above", "Ambient", "fish", 2),
                                 ("6/16/2017", 2, 12, "Above", "Exclusion", "no fish", 0),
@@ -134,6 +152,10 @@ def test_food_web_tables(spark):
     n = {r["taxon"]: r for r in nodes.collect()}
     assert n["chiro-l"]["stage"] == "l" and n["chiro-l"]["trophic"] == "resource"
     assert n["spotfin"]["y"] == 2.0 and n["spotfin"]["stage"] == "unknown"
+    both = nodes.unionByName(nodes.where("taxon = 'spotfin'").withColumn("trophic", F.lit("resource")))
+    assert node_labels(both, "x", {}).where("taxon = 'spotfin'").first()["trophic"] == "resource"
+    scored = node_table(edges.withColumn("consumer", F.concat("consumer", F.lit("_x"))), "chir", ("a", "b"))
+    assert scored.where("taxon = 'spotfin_x' AND x IS NOT NULL").count() > 0
     labels = {r["taxon"]: r for r in node_labels(nodes, "chiro", {"chiro-l": "larvae"}).collect()}
     assert labels["chiro-l"]["label"] == "larvae" and labels["spotfin"]["prey_label"] is None
 
@@ -166,6 +188,10 @@ def test_csv_reader_nulls_and_clean_names(spark, tmp_path):
     assert all(v is None for v in out[1].values())
     assert clean_names(df).columns == ["date", "id", "location", "trt", "p_h", "cond_u_s", "temp_c",
                                        "depth_cm", "do_mg_l"]
+    swapped = tmp_path / "swapped.csv"
+    swapped.write_text('id,date,location,trt,pH,cond_uS,temp_C,depth_cm,do_mgL\n1,7-Jun-17,,,,,,,\n')
+    with pytest.raises(ValueError, match="header"):
+        read_csv_typed(spark, str(swapped), WATER_QUALITY)
     g = tmp_path / "raw.csv"
     g.write_text('...1,mm,date\n1,2.5,5/28/2017\n2,NA,\n')
     inferred = read_csv_typed(spark, str(g), None)
