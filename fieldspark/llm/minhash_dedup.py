@@ -11,8 +11,10 @@
 4. Confirmed links are contracted to components.  Members of a bucket that
    are still in different components are paired again, with another centre
    and finally with each other, so that a link between two non-centres is
-   not lost.  Pairs within one component are never made, which keeps a
-   bucket holding a third of the corpus linear.
+   not lost.  Pairs within one component are never made.  For the last step
+   the shingles that no other such document has are counted: at most the rest
+   can be shared, and pairs that cannot reach the threshold even if all of it
+   were are not made either.  Many variants of one text then cost no square.
 
 A pair at the threshold shares no band with probability
 ``(1 - threshold**rows)**bands``: 5e-6 at 0.75 with 32 bands of 4 rows.
@@ -20,6 +22,8 @@ A pair at the threshold shares no band with probability
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import U64, Block, Rolling, Words, mix
-from .repeats import SMALLEST, _chunks
-from .session import cut
+from .repeats import (PACKETS, SEED_BYTES, SMALLEST, Scheme, _chunks, blocks, compare_adjacent,
+                      seed_packets)
+from .session import cut, partitions
 
 BITS = 2
 SIGNATURES = ("_k long, n_shingles long, set_a long, set_b long, keys array<long>, "
@@ -136,6 +141,45 @@ def confirm(size: int, per_cent: int):
     return run
 
 
+@dataclass(frozen=True)
+class Shingles(Scheme):
+    """Distinct shingles as units, each of them a seed of its own."""
+
+    def units(self, block):
+        return shingle_sets(block, self.seed)
+
+    def seeds(self, values, offsets):
+        return np.arange(len(values)), values
+
+
+def _count_found(batches):
+    """Positions reported for a block -> their number per document."""
+
+    def finish(docs, found):
+        pos = np.unique(np.concatenate(found))
+        offsets = np.concatenate([[0], np.cumsum(docs[3])])
+        seen = np.diff(np.searchsorted(pos, offsets))
+        return pa.RecordBatch.from_arrays([pa.array(docs[0]), pa.array(docs[3]), pa.array(seen)],
+                                          names=["_k", "n", "common"])
+
+    for docs, found in blocks(batches):
+        yield finish(docs, found)
+
+
+def shared_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """``_k, n, common``: shingles of each document, and how many of them
+    another of these documents has too."""
+    n = partitions(docs.sparkSession)
+    scheme = Shingles(window=size, seed=size)
+    packets = docs.withColumn("_h", F.lit(0).cast("long")).mapInArrow(
+        seed_packets(scheme, 2 * n, 2_000_000), PACKETS)
+    counts = (packets.repartition(n, "bucket").sortWithinPartitions("bucket")
+              .mapInArrow(compare_adjacent(SEED_BYTES, False), "block long, kind int, payload binary")
+              .repartition(n, "block").sortWithinPartitions("block", "kind")
+              .mapInArrow(_count_found, "_k long, n long, common long"))
+    return counts.groupBy("_k").agg(F.min("n").alias("n"), F.max("common").alias("common"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = 5, per_cent: int = 75, bands: int = 32, rows: int = 4,
                     seed: int = 11) -> DataFrame:
@@ -202,11 +246,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = cut(again)
     edges = cut(edges.unionByName(links(again)))
     labels = labelled(edges)
-    apart = cut(mixed(labels).join(packed, "_k"))
-    other = apart.select("key", F.col("_k").alias("_k2"), F.col("comp").alias("comp2"),
-                         F.col("packed").alias("packed2"))
+    apart = cut(mixed(labels))
+    counts = shared_shingles(base.join(apart.select("_k").distinct(), "_k"), size)
+    possible = 100 * F.col("common") >= per_cent * F.col("n")
+    apart = cut(apart.join(counts, "_k").where(possible).join(packed, "_k"))
+    other = apart.select("key", F.col("_k").alias("_k2"), F.col("comp").alias("comp2"), F.col(
+        "packed").alias("packed2"), F.col("n").alias("n2"), F.col("common").alias("common2"))
+    most = F.least("common", "common2")  # no intersection is larger
     rest = (apart.join(other, "key").where(
-        (F.col("comp") < F.col("comp2")) & (estimate("packed", "packed2", longs) >= floor))
+        (F.col("comp") < F.col("comp2"))
+        & ((100 + per_cent) * most >= per_cent * (F.col("n") + F.col("n2")))
+        & (estimate("packed", "packed2", longs) >= floor))
         .select(*ordered("_k", "_k2")).distinct()
         .join(tested.unionByName(again), ["a", "b"], "left_anti"))
     edges = edges.unionByName(links(cut(rest)))

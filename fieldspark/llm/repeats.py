@@ -346,24 +346,31 @@ def block_spans(before: int, after: int, shorter: int):
             names=["_k", "_h", "_m", "n_units", "starts", "ends"])
 
     def run(batches):
-        block, docs, found = None, None, []
-        for b, kind, payload in chain.from_iterable(
-                zip(*(x[c].to_pylist() for c in ("block", "kind", "payload"))) for x in batches):
-            if b != block:
-                if docs:
-                    yield finish(docs, found)
-                block, docs, found = b, None, []
-            if kind == 0:
-                docs, known = pickle.loads(payload)
-                found.append(unpack_sorted(known))
-            else:
-                found.append(unpack_sorted(payload))
-        if docs:
+        for docs, found in blocks(batches):
             yield finish(docs, found)
 
     return run
 
 
+def blocks(batches):
+    """(documents, lists of reported positions) of each block; rows are sorted
+    by block, the row with its documents first."""
+    block, docs, found = None, None, []
+    for b, kind, payload in chain.from_iterable(
+            zip(*(x[c].to_pylist() for c in ("block", "kind", "payload"))) for x in batches):
+        if b != block:
+            if docs:
+                yield docs, found
+            block, docs, found = b, None, []
+        if kind == 0:
+            docs, known = pickle.loads(payload)
+            found.append(unpack_sorted(known))
+        else:
+            found.append(unpack_sorted(payload))
+    if docs:
+        yield docs, found
+
+
 def _spans(packets: DataFrame, width: int, keep_first: bool, before: int, after: int,
            shorter: int) -> DataFrame:
     n = partitions(packets.sparkSession)
