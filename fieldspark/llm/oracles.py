@@ -6,7 +6,7 @@ _JSD = """sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x:
       (CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0.0 END
        + CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0.0 END) / 2)), 0.0))"""
 
-_CLASS = ("[\\p{Ll}\\p{Lo}]+", "\\p{Lu}+", "\\p{Nd}+", "[\\t\\n\\v\\f\\r ]+", "[.,;:!?''\"()\\-]+")
+_CLASS = ("[\\p{Ll}\\p{Lo}]+", "[\\t\\n\\v\\f\\r ]+", "\\p{Lu}+", "[.,;:!?''\"()\\-]+", "\\p{Nd}+")
 _COUNTS = ", ".join(f"(length(t) - length(regexp_replace(t, '{c}', '', 'g')))::DOUBLE"
                     for c in _CLASS)
 

@@ -17,7 +17,8 @@ from .session import cut
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Character classes; what is in none of them is the last class.
-CLASSES = ("[\\p{Ll}\\p{Lo}]+", "\\p{Lu}+", "\\p{Nd}+", "\\s+", "[.,;:!?'\"()\\-]+")
+CLASSES = ("[\\p{Ll}\\p{Lo}]+", SPACE, "\\p{Lu}+", "[.,;:!?'\"()\\-]+", "\\p{Nd}+")
+BLANKS = 1  # the class of white space; none of the classes holds a symbol
 
 
 def words_of(text: Column) -> Column:
@@ -26,19 +27,34 @@ def words_of(text: Column) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``
-    from ``_text`` and ``_words``."""
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and
+    ``_chars``, ``_classes`` from ``_text`` and ``_words``.
+
+    Character classes are removed one after the other, most frequent first, so
+    only the first pattern runs over the whole text.
+    """
     text = F.col("_text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     grams = F.when(F.size("_words") >= 5, F.transform(
         F.sequence(F.lit(1), F.size("_words") - 4),
         lambda i: F.xxhash64(F.slice("_words", i, 5)))).otherwise(
             F.array().cast("array<bigint>"))
+    left, sizes = text, [F.length(text)]
+    for i, pattern in enumerate(CLASSES):
+        docs = docs.withColumn(f"_left{i}", F.regexp_replace(left, pattern, ""))
+        left = F.col(f"_left{i}")
+        sizes.append(F.length(left))
+    docs = docs.withColumn("_sizes", F.array(*sizes))
+    size = lambda i: F.col("_sizes")[i]
+    spaces = size(BLANKS) - size(BLANKS + 1)
     counted = docs.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
-        "_lines": lines, "_grams": grams})
+        "_chars": size(0),
+        "_classes": F.array(*[size(i) - size(i + 1) for i in range(len(CLASSES))],
+                            size(len(CLASSES))).cast("array<double>"),
+        "word_chars": (size(0) - spaces).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(left, "[^#*$%&|<>]+", "")).cast("long"),
+        "_lines": lines, "_grams": grams}).drop("_sizes", *[f"_left{i}" for i in range(len(CLASSES))])
     # Positions of windows that occur twice: neighbours after sorting by hash.
     pairs = F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size("_grams") > F.size(F.array_distinct("_grams"))
@@ -64,16 +80,6 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "_lines", "_grams", "_pairs", "_next", "_last", "_at")
 
 
-def class_counts(text: Column) -> Column:
-    """Numbers of characters in each class, the last one for all others."""
-    size = F.length(text)
-    counts = [size - F.length(F.regexp_replace(text, c, "")) for c in CLASSES]
-    rest = size
-    for c in counts:
-        rest = rest - c
-    return F.array(*counts, rest).cast("array<double>")
-
-
 def common_words(docs: DataFrame, top: int, tracked: int) -> dict[str | None, list[str]]:
     """The ``top`` most frequent words of each ``_group``, from a sketch that
     tracks a bounded number of words (exact while there are fewer)."""
@@ -127,11 +133,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for group, words in listed.items():
         common = F.when(F.col("_group").eqNullSafe(F.lit(group)),
                         F.array(*map(F.lit, words))).otherwise(common)
-    counted = base_counts(grouped.withColumn("_common", common)).select(
+    every = sorted({w for words in listed.values() for w in words})
+    hits = F.filter("_words", lambda w: w.isin(every)) if every else empty
+    counted = base_counts(grouped.withColumns({"_common": common, "_hits": hits})).select(
         "doc_id", "_group", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.length("_text").alias("_chars"), class_counts(F.col("_text")).alias("_classes"),
-        F.transform("_common", lambda w: (F.col("n_words") - F.size(F.array_remove(
-            F.col("_words"), w))).cast("double")).alias("_of"))
+        "_chars", "_classes",
+        F.transform("_common", lambda w: (F.size("_hits") - F.size(F.array_remove(
+            F.col("_hits"), w))).cast("double")).alias("_of"))
     counted = cut(counted.withColumn("_of", F.concat("_of", F.array(
         F.col("n_words") - F.aggregate("_of", F.lit(0.0), lambda s, x: s + x)))))
     classes = len(CLASSES) + 1
