@@ -146,6 +146,41 @@ def shrunken_means(df: DataFrame, group: str, y: str, log_scale: bool = True) ->
     return out.drop("ss")
 
 
+def means_with_block_effects(df: DataFrame, group: str, block: str, y: str) -> DataFrame:
+    """Group means on the log scale with random block intercepts (M2).
+
+    ``ln(y) = b_group + u_block + e``: block effects are the mean deviations
+    from the group means, shrunken by ``w = t2 / (t2 + s2 / n)`` as in
+    ``shrunken_means``, and the group coefficients are the means of what
+    remains.  Everything after the first aggregate works on one row per
+    (group, block).  Values that are NULL or not positive are left out and
+    counted per group.  Returns ``group, n, n_left_out, b, mean``.
+    """
+    v = F.when(F.col(y) > 0, F.log(F.col(y)))
+    cells = df.select(F.col(group), F.col(block), v.alias("__v")).groupBy(group, block).agg(
+        F.count("__v").alias("n"), F.avg("__v").alias("m"),
+        (F.var_pop("__v") * F.count("__v")).alias("ss"),
+        (F.count(F.lit(1)) - F.count("__v")).alias("out"))
+    by = Window.partitionBy(group)
+    cells = cells.withColumn("t", F.sum(F.col("n") * F.col("m")).over(by)
+                             / F.nullif(F.sum("n").over(by), F.lit(0)))
+    blocks = cells.groupBy(F.col(block).alias("__b")).agg(
+        F.sum("n").alias("nb"), F.try_divide(F.sum(F.col("n") * (F.col("m") - F.col("t"))),
+                                            F.sum("n")).alias("e"))
+    within = cells.agg(F.try_divide(F.sum("ss"), F.sum("n") - F.count(F.nullif("n", F.lit(0))))).scalar()
+    stats = blocks.agg(F.struct(F.var_samp("e").alias("vb"),
+                                F.avg(F.try_divide(F.lit(1.0), F.col("nb"))).alias("inv"))).scalar()
+    t2 = F.greatest(stats["vb"] - within * stats["inv"], F.lit(0.0))
+    effect = blocks.select("__b", (F.coalesce(F.try_divide(t2, t2 + F.try_divide(within, F.col("nb"))),
+                                              F.lit(0.0)) * F.col("e")).alias("u"))
+    rest = cells.join(effect, F.col(block).eqNullSafe(F.col("__b")), "left")
+    out = rest.groupBy(group).agg(
+        F.sum("n").alias("n"), F.sum("out").alias("n_left_out"),
+        F.try_divide(F.sum(F.col("n") * (F.col("m") - F.coalesce("u", F.lit(0.0)))),
+                     F.sum("n")).alias("b"))
+    return out.withColumn("mean", F.exp("b"))
+
+
 # ---- draws (M7, M9, M10) ---------------------------------------------------
 
 def draws_from_cells(fit: DataFrame, keys: Sequence[str], n_draws: int, seed: int = 2020,
@@ -391,6 +426,6 @@ def prior_table(priors: DataFrame, model_col: str = "model", order_col: str = "r
 
 __all__ = [
     "beta_from_cells", "cell_means", "draws_from_cells", "glm_draws", "glm_fit", "glm_fit_design",
-    "hurdle_means", "pooled_gamma_se", "ppc_bins", "predicted_draws", "prior_grid", "prior_table", "saturated_draws",
+    "hurdle_means", "means_with_block_effects", "pooled_gamma_se", "ppc_bins", "predicted_draws", "prior_grid", "prior_table", "saturated_draws",
     "shrunken_means",
 ]

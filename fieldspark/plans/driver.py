@@ -1991,3 +1991,26 @@ def q_shrunken_singletons(spark: SparkSession, base: str) -> DataFrame:
     out = shrunken_means(events(spark, base), "event_id", "value")
     return rounded(out.select("event_id", F.col("n").cast("int"), "ybar", "w",
                               F.col("n_left_out").cast("int")))
+
+
+@query("experiment_means", """
+WITH e AS (SELECT event_type AS taxon, dayname(CAST(ts AS DATE)) AS experiment,
+                  CASE WHEN value > 0 THEN ln(value) END AS v FROM events),
+c AS (SELECT taxon, experiment, count(v) AS n, avg(v) AS m, var_pop(v) * count(v) AS ss,
+             count(*) - count(v) AS o FROM e GROUP BY ALL),
+t AS (SELECT *, sum(n * m) OVER (PARTITION BY taxon) / sum(n) OVER (PARTITION BY taxon) AS tm FROM c),
+b AS (SELECT experiment, sum(n) AS nb, sum(n * (m - tm)) / sum(n) AS e FROM t GROUP BY experiment),
+s AS (SELECT (SELECT sum(ss) / (sum(n) - count(*)) FROM c) AS s2, var_samp(e) AS vb,
+             avg(1.0 / nb) AS inv FROM b),
+u AS (SELECT experiment, greatest(vb - s2 * inv, 0.0) / (greatest(vb - s2 * inv, 0.0) + s2 / nb) * e AS u
+      FROM b CROSS JOIN s)
+SELECT taxon, CAST(sum(n) AS BIGINT) AS n, CAST(sum(o) AS BIGINT) AS n_left_out,
+       round(sum(n * (m - u)) / sum(n), 6) AS b, round(exp(sum(n * (m - u)) / sum(n)), 6) AS mean
+FROM t JOIN u USING (experiment) GROUP BY taxon
+""")
+def q_experiment_means(spark: SparkSession, base: str) -> DataFrame:
+    from fieldspark.operators.models import means_with_block_effects
+
+    ev = events(spark, base).select(F.col("event_type").alias("taxon"), F.date_format(
+        F.to_date("ts"), "EEEE").alias("experiment"), "value")
+    return rounded(means_with_block_effects(ev, "taxon", "experiment", "value"))
