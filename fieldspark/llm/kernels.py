@@ -8,7 +8,9 @@ per word.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ _POW: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
     if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 16)) * (1 << 16)
         for name, b in (("p", BASE), ("i", pow(BASE, -1, 2**64))):
             a = np.full(size, b, dtype=U64)
             a[0] = 1
@@ -121,6 +123,23 @@ class Words:
         return np.diff(self.offsets)
 
 
+def tidy(run):
+    """Wraps a function over Arrow batches: a finished task gives its memory
+    back, as its Python worker lives on for other tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _POW.clear()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _byte_values(False)[data]
 

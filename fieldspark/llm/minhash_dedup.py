@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import U64, Block, Rolling, Words, mix
+from .kernels import U64, Block, Rolling, Words, mix, tidy
 from .repeats import (PACKETS, SEED_BYTES, SMALLEST, Scheme, _chunks, blocks, compare_adjacent,
                       seed_packets)
 from .session import cut, partitions
@@ -101,7 +101,7 @@ def signatures(size: int, bands: int, rows: int, seed: int):
                  pa.array(full[1].view(np.int64)), lists(keys), lists(packed)],
                 names=["_k", "n_shingles", "set_a", "set_b", "keys", "packed"])
 
-    return run
+    return tidy(run)
 
 
 def estimate(x: str, y: str, longs: int):
@@ -138,7 +138,7 @@ def confirm(size: int, per_cent: int):
                 [table["a"].combine_chunks(), table["b"].combine_chunks(), pa.array(ok)],
                 names=["a", "b", "ok"])
 
-    return run
+    return tidy(run)
 
 
 @dataclass(frozen=True)
@@ -172,11 +172,11 @@ def shared_shingles(docs: DataFrame, size: int) -> DataFrame:
     n = partitions(docs.sparkSession)
     scheme = Shingles(window=size, seed=size)
     packets = docs.withColumn("_h", F.lit(0).cast("long")).mapInArrow(
-        seed_packets(scheme, 2 * n, 2_000_000), PACKETS)
+        seed_packets(scheme, 4 * n, 1_000_000), PACKETS)
     counts = (packets.repartition(n, "bucket").sortWithinPartitions("bucket")
               .mapInArrow(compare_adjacent(SEED_BYTES, False), "block long, kind int, payload binary")
               .repartition(n, "block").sortWithinPartitions("block", "kind")
-              .mapInArrow(_count_found, "_k long, n long, common long"))
+              .mapInArrow(tidy(_count_found), "_k long, n long, common long"))
     return counts.groupBy("_k").agg(F.min("n").alias("n"), F.max("common").alias("common"))
 
 

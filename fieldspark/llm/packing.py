@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import tidy
 from .session import cut
 
 # Characters on which all byte-level BPE libraries agree about letters and spaces.
@@ -85,7 +86,7 @@ def pieces(vocabulary: str, end_id: int, capacity: int):
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return run
+    return tidy(run)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

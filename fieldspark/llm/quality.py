@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import Block
+from .kernels import Block, tidy
 from .repeats import _chunks
 from .text_features import (Sparse, adam, collect_sample, document_features, labelled_sample,
                             sigmoid)
@@ -78,7 +78,7 @@ def fit_ordinal(y: np.ndarray, x: Sparse, steps: int = 300, ridge: float = 1e-4,
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, grade_col: str = "quality",
-                  buckets: int = 1 << 18, limit: int = 12_000, least: int = 3) -> OrdinalModel:
+                  buckets: int = 1 << 18, limit: int = 6_000, least: int = 3) -> OrdinalModel:
     """Fit on at most ``limit`` labelled documents (chosen by hash of doc_id)."""
     y, kept, row, index, count = collect_sample(
         labelled_sample(docs, labels, grade_col, limit), buckets, True, least)
@@ -110,7 +110,7 @@ def with_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     schema = T.StructType([*docs.schema.fields,
                            T.StructField(f"{prefix}expected_grade", T.DoubleType()),
                            T.StructField(f"{prefix}tail_probability", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",

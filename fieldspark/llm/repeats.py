@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import (Block, Rolling, Words, byte_values, merge_spans, mix, pack, pack_sorted,
-                      unpack, unpack_sorted)
+                      tidy, unpack, unpack_sorted)
 from .session import cut, partitions
 
 SEED_BYTES = 6
 NAME_BYTES = 8
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SMALLEST = -(2**63)
 
 PACKETS = "block long, kind int, bucket long, payload binary"
@@ -237,7 +237,7 @@ def seed_packets(scheme: Scheme, buckets: int, limit: int):
         if packer.docs:
             yield from packer.flush(part + serial)
 
-    return run
+    return tidy(run)
 
 
 def window_packets(scheme: Scheme, buckets: int, limit: int, turn: int, turns: int):
@@ -276,7 +276,7 @@ def window_packets(scheme: Scheme, buckets: int, limit: int, turn: int, turns: i
         if packer.docs:
             yield from packer.flush(part + serial)
 
-    return run
+    return tidy(run)
 
 
 def compare_adjacent(width: int, keep_first: bool):
@@ -325,7 +325,7 @@ def compare_adjacent(width: int, keep_first: bool):
         if rows:
             yield report(rows)
 
-    return run
+    return tidy(run)
 
 
 def block_spans(before: int, after: int, shorter: int):
@@ -349,7 +349,7 @@ def block_spans(before: int, after: int, shorter: int):
         for docs, found in blocks(batches):
             yield finish(docs, found)
 
-    return run
+    return tidy(run)
 
 
 def blocks(batches):
@@ -391,7 +391,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, block_names: int, turns: int
     spark = docs.sparkSession
     n = partitions(spark)
     reach = scheme.window - scheme.seed
-    seeded = cut(_spans(docs.mapInArrow(seed_packets(scheme, 2 * n, block_names), PACKETS),
+    seeded = cut(_spans(docs.mapInArrow(seed_packets(scheme, 4 * n, block_names), PACKETS),
                         SEED_BYTES, False, reach, 1, scheme.window - 1))
     # A copy of a whole text loses every unit to the copy with the smallest doc_id.
     first = seeded.groupBy("_m").agg(F.min("_k").alias("_first"))
@@ -407,7 +407,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, block_names: int, turns: int
         "_k", "_h", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_units").alias("ends"))
     for turn in range(turns):
         windows = (both.repartitionByRange(n, "_k", "_h").sortWithinPartitions("_k", "_h", "kind")
-                   .mapInArrow(window_packets(scheme, 2 * n, block_names, turn, turns), PACKETS))
+                   .mapInArrow(window_packets(scheme, 4 * n, block_names, turn, turns), PACKETS))
         later = cut(_spans(windows, NAME_BYTES, True, 0, scheme.window, 0)
                     .where(F.size("starts") > 0).select("_k", "_h", "starts", "ends"))
         found = found.unionByName(later)
@@ -456,7 +456,7 @@ def keep_rest(scheme: Scheme, columns: list[str]):
                 *columns, "n_units", "n_removed", "n_spans", "starts", "ends", "kept"])
             yield from out.to_batches()
 
-    return run
+    return tidy(run)
 
 
 def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str,

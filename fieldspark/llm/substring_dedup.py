@@ -19,7 +19,7 @@ from .repeats import WordRuns, remove_repeats
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     min_words: int = 20, seed_words: int = 8,
-                    block_names: int = 2_000_000, turns: int = 1) -> DataFrame:
+                    block_names: int = 1_000_000, turns: int = 1) -> DataFrame:
     """Cut every word covered by a run of ``min_words`` words that starts earlier.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Returns one row per input

@@ -42,7 +42,7 @@ DIFFERENCE_COVERS = {
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        min_bytes: int = 100, period: int = 57,
-                       block_names: int = 2_000_000, turns: int = 2) -> DataFrame:
+                       block_names: int = 1_000_000, turns: int = 2) -> DataFrame:
     """Cut every byte covered by a ``min_bytes`` string that starts earlier.
 
     Returns one row per input row: ``_row`` (the other input columns),

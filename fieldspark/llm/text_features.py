@@ -119,7 +119,7 @@ class Sparse:
 
     def __init__(self, index, indptr, value, width: int):
         self.index, self.value, self.width = index, value, width
-        self.row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+        self.row = np.repeat(np.arange(len(indptr) - 1, dtype=np.int64), np.diff(indptr))
         self.n = len(indptr) - 1
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -136,7 +136,8 @@ def collect_sample(texts: DataFrame, buckets: int, style: bool, least: int):
     """
     rows = texts.mapInArrow(sample_features(buckets, style),
                             "doc_id long, y int, features array<int>, counts array<int>")
-    table = rows.toArrow().sort_by([("doc_id", "ascending")])
+    table = rows.toArrow()
+    table = table.sort_by([("doc_id", "ascending")])
     y = table["y"].to_numpy().astype(int)
     lists = table["features"].combine_chunks()
     feature = lists.flatten().to_numpy()

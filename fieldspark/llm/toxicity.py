@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Block, mix
+from .kernels import U64, Block, mix, tidy
 from .repeats import _chunks
 from .session import cut
 from .text_features import Sparse, adam, labelled_sample, letter_runs, sigmoid
@@ -228,7 +228,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 names=["doc_id", "held_out", "score"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    out = base.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    out = base.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("held_out", F.coalesce("held_out", F.lit(False))).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
