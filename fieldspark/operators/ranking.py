@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 CHUNKS = 64
 
 
-def number_rows(df: DataFrame, chunk: Column, order: Sequence[Column], out: str) -> DataFrame:
-    """1-based row numbers over the whole table in ``order``.
+def number_rows(df: DataFrame, chunk: Column, order: Sequence[Column], out: str,
+                total: str | None = None) -> DataFrame:
+    """1-based row numbers over the whole table in ``order``, and with
+    ``total`` the number of rows.
 
     ``chunk`` must not decrease along ``order``.  Tasks sort one chunk each;
     only one row per chunk goes through a window without partitions.
@@ -27,12 +29,14 @@ def number_rows(df: DataFrame, chunk: Column, order: Sequence[Column], out: str)
     before = Window.orderBy(F.asc_nulls_first("__chunk")).rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__chunk").alias("__c"),
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+                            F.sum("__n").over(Window.partitionBy()).alias("__total"))
     within = Window.partitionBy("__chunk").orderBy(*order)
     joined = rows.withColumn("__rn", F.row_number().over(within)).join(
         offsets, F.col("__chunk").eqNullSafe(F.col("__c")))
+    extra = [F.col("__total").alias(total)] if total else []
     return joined.withColumn(out, (F.col("__before") + F.col("__rn")).cast("bigint")).select(
-        *df.columns, out)
+        *df.columns, out, *extra)
 
 
 def value_range(df: DataFrame, col: str, ranges: int = 16) -> Column:
@@ -46,12 +50,19 @@ def value_range(df: DataFrame, col: str, ranges: int = 16) -> Column:
     return F.when(F.col(col).isNotNull(), place)
 
 
-def dense_names(df: DataFrame, col: str, out: str) -> DataFrame:
-    """``col, out, levels``: 1-based codes of the distinct non-NULL names in
-    binary order and their number.  Chunks are the names' first characters."""
+def dense_names(df: DataFrame, col: str, out: str, first: Sequence[str] = (),
+                total: str = "levels") -> DataFrame:
+    """``col, out, levels``: 1-based codes of the distinct non-NULL names and
+    their number.  Names in ``first`` that occur come first, in that order, the
+    others in binary order, in chunks by their first character."""
     names = df.select(col).where(F.col(col).isNotNull()).distinct()
-    coded = number_rows(names, F.substring(col, 1, 1), [F.col(col)], out)
-    return coded.withColumn("levels", names.agg(F.count(F.lit(1))).scalar())
+    place = F.lit(len(first))
+    if first:
+        named = F.array_position(F.array(*map(F.lit, first)), F.col(col))
+        place = F.when(named > 0, named - 1).otherwise(F.lit(len(first))).cast("int")
+    chunk = F.concat(F.lpad(place.cast("string"), 9, "0"),
+                     F.when(place == len(first), F.substring(col, 1, 1)).otherwise(F.lit("")))
+    return number_rows(names, chunk, [place, F.col(col)], out, total)
 
 
 def group_statistics(df: DataFrame, by: Sequence[str], value: str,

@@ -40,21 +40,8 @@ def positions(props: DataFrame, col: str, out: str, lo: float, hi: float,
     before the codes); the others follow in binary order.  A single level
     gets the middle.
     """
-    named = [n for n in first]
-    rest = dense_names(props.where(~F.col(col).isin(named)) if named else props, col, "__code")
-    names = props.select(col).where(F.col(col).isNotNull()).distinct()
-    coded = names.join(rest.select(F.col(col).alias("__name"), "__code"),
-                       F.col(col) == F.col("__name"), "left")
-    if named:
-        # only levels that occur count, as a factor's codes do
-        seen = names.agg(F.sort_array(F.collect_set(F.when(
-            F.col(col).isin(named), F.array_position(F.array(*map(F.lit, named)), F.col(col)))))
-        ).scalar()
-        place = F.array_position(seen, F.array_position(F.array(*map(F.lit, named)), F.col(col)))
-        code = F.coalesce(F.col("__code") + F.size(seen), place)
-    else:
-        code = F.col("__code")
-    k = names.agg(F.count(F.lit(1))).scalar()
+    coded = dense_names(props, col, "__code", first, "__levels")
+    code, k = F.col("__code"), F.col("__levels")
     value = F.when(k == 1, F.lit((lo + hi) / 2.0)).otherwise(
         F.try_divide(code.cast("double") - 1.0, k.cast("double") - 1.0) * F.lit(hi - lo) + F.lit(lo))
     return coded.select(F.col(col).alias("__at"), value.alias(out))
