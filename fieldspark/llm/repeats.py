@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import (Block, Rolling, Words, byte_values, merge_spans, mix, pack, pack_sorted,
                       tidy, unpack, unpack_sorted)
@@ -468,13 +469,14 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str,
         F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h"),
         F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_m"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-        F.struct(*(c for c in docs.columns if c != text_col)).alias("_row"))
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("_row"))
     spans = repeated_spans(base.drop("_row"), scheme, block_names, turns)
     empty = F.array().cast("array<long>")
     rows = (base.drop("_m").join(spans, ["_k", "_h"], "left")
             .select("_row", "_text", F.coalesce("starts", empty).alias("starts"),
                     F.coalesce("ends", empty).alias("ends")))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(keep_rest(scheme, ["_row"]), (
-        f"_row {kind}, n_units long, n_removed long, n_spans long, starts array<long>, "
-        "ends array<long>, kept binary"))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([rows.schema["_row"], *(T.StructField(c, t) for c, t in (
+        ("n_units", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()),
+        ("starts", longs), ("ends", longs), ("kept", T.BinaryType())))])
+    return rows.mapInArrow(keep_rest(scheme, ["_row"]), schema)

@@ -55,3 +55,25 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert check_packing
+
+
+def test_stages_on_odd_rows(spark):
+    """NULLs everywhere, empty and long texts, repeated rows, clashing names,
+    and an empty table."""
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, _row string, "
+              "_id string, kept boolean, copies int, `a.b` string")
+    more = (None, "x", None, 1, "y")
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, None, None, None, None, *more), (2, "", "en", "s", 0, *more), (3, text, "en", "s", 9, *more),
+            (3, text, "en", "s", 9, *more), (None, text + " ü" * 90, "en", None, 9, *more),
+            (4, "long text " * 20000, "de", "t", 1, *more), (5, text, "en", "t", 9, *more)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            if name != "pack":
+                assert out.columns == docs.columns
+            n = out.count()
+            assert (n > 0) == bool(data), name
+            if name != "pack":
+                docs = out
