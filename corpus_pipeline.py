@@ -19,16 +19,23 @@ from fieldspark.llm.session import ensure_checkpoint_dir
 from fieldspark.llm.suffix_dedup import suffix_array_dedup
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents as one struct column, so that no added name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_quality(docs, model).where("_tail_probability >= 0.5").select(*docs.columns)
+    rows = _rows(docs).withColumn("_text", F.col("_row.text"))
+    return with_quality(rows, model, "_text").where("_tail_probability >= 0.5").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return _rows(docs).join(kept, F.col("_row.doc_id").eqNullSafe(F.col("_kept")),
+                            "left_semi").select("_row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,23 +47,23 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     text = F.col("kept").cast("string")
     whole = F.when(F.is_valid_utf8(text), text).otherwise(
         F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
-    out = suffix_array_dedup(docs).withColumn("_text", whole)
-    fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.{c}").alias(c)
+    out = suffix_array_dedup(docs).withColumn("_whole", whole)
+    fresh = {"text": F.col("_whole"), "n_chars": F.length("_whole").cast("long")}
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.`{c}`").alias(c)
                         for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the number of copies that the mix takes of them."""
-    copies = mix_sources(docs).groupBy("doc_id").agg(
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(
         F.sort_array(F.collect_list("copies")).alias("_copies"))
     # Rows that share a doc_id take the copies of that doc_id in turn.
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("_nth", F.row_number().over(same)).join(
-        copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    same = Window.partitionBy("_row.doc_id").orderBy(F.xxhash64("_row.text"))
+    rows = _rows(docs).withColumn("_nth", F.row_number().over(same)).join(
+        copies, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
     times = F.element_at("_copies", F.col("_nth"))
-    return (rows.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-            .select(*docs.columns))
+    return (rows.where(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times)))
+            .select("_row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
