@@ -5,7 +5,7 @@ from __future__ import annotations
 from .ann import op4_collision_ann
 from .minhash_dedup import op3_minhash_dedup
 from .mixing import op9_cube_mixing
-from .oracles import OP6_SQL
+from .oracles import OP2_SQL, OP3_SQL, OP6_SQL
 from .packing import op5_bin_completion
 from .quality import op7_ordinal_quality
 from .quality_rules import op6_divergence_rules
@@ -27,4 +27,8 @@ QUERIES = {
     "op10_boosted_urls": op10_boosted_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_divergence_rules": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_minhash_dedup": OP3_SQL,
+    "op6_divergence_rules": OP6_SQL,
+}
