@@ -249,14 +249,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = cut(mixed(labels))
     counts = shared_shingles(base.join(apart.select("_k").distinct(), "_k"), size)
     possible = 100 * F.col("common") >= per_cent * F.col("n")
-    apart = cut(apart.join(counts, "_k").where(possible).join(packed, "_k"))
+    own = reps.groupBy("_k").agg(F.flatten(F.collect_list("keys")).alias("own"))
+    apart = cut(apart.join(counts, "_k").where(possible).join(packed, "_k").join(own, "_k"))
     other = apart.select("key", F.col("_k").alias("_k2"), F.col("comp").alias("comp2"), F.col(
-        "packed").alias("packed2"), F.col("n").alias("n2"), F.col("common").alias("common2"))
+        "packed").alias("packed2"), F.col("n").alias("n2"), F.col("common").alias("common2"),
+        F.col("own").alias("own2"))
     most = F.least("common", "common2")  # no intersection is larger
     rest = (apart.join(other, "key").where(
         (F.col("comp") < F.col("comp2"))
         & ((100 + per_cent) * most >= per_cent * (F.col("n") + F.col("n2")))
-        & (estimate("packed", "packed2", longs) >= floor))
+        & (estimate("packed", "packed2", longs) >= floor)
+        # a pair is made in the first bucket that both have, not in each
+        & (F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("key")))
         .select(*ordered("_k", "_k2")).distinct()
         .join(tested.unionByName(again), ["a", "b"], "left_anti"))
     edges = edges.unionByName(links(cut(rest)))
