@@ -5,12 +5,13 @@ word windows) are computed inside each row.  The reference of a language
 holds the shares of character classes and of its most common words over the
 whole corpus; a document is rejected when the Jensen-Shannon distance of its
 own histogram from the reference is too large.  Short texts are not judged by
-a histogram they are too short to fill.
+a histogram they are too short to fill.  The limit of the word distance comes
+from the distances that the corpus has in the language and at the length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
@@ -104,17 +105,44 @@ def shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: F.try_divide(x, total))
 
 
+def word_limits(judged: DataFrame, spreads: float, least: int, lowest: float,
+                highest: float) -> DataFrame:
+    """Limit of the word distance per ``_group`` and doubling of the length.
+
+    The median plus ``spreads`` times its distance from the 16 % quantile (one
+    standard error below it): the lower half holds no junk that would widen the
+    limit.  Within ``lowest`` and ``highest``, and not above the limit of a
+    shorter length, as distances fall with the length.  A class of fewer than
+    ``least`` documents takes the limit of the shorter ones, ``highest`` if none
+    has enough.
+    """
+    q = F.percentile_approx("word_distance", F.array(F.lit(0.16), F.lit(0.5)), 10_000)
+    found = (judged.where("word_distance is not null").groupBy("_group", "_size")
+             .agg(F.count("*").alias("_m"), q.alias("_q")))
+    limit = F.col("_q")[1] + spreads * (F.col("_q")[1] - F.col("_q")[0])
+    own = F.when(F.col("_m") < least, F.lit(highest)).otherwise(
+        F.least(F.lit(highest), F.greatest(F.lit(lowest), limit)))
+    shorter = Window.partitionBy("_group").orderBy("_size").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return found.select(F.col("_group").alias("_g"), F.col("_size").alias("_s"),
+                        F.min(own).over(shorter).alias("_limit"))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang", top: int = 16, languages: int = 64,
                   tracked: int = 10_000, min_chars: int = 200, min_words: int = 50,
-                  max_class_distance: float = 0.25, max_word_distance: float = 0.45) -> DataFrame:
+                  max_class_distance: float = 0.25, max_word_distance: float = 0.45,
+                  min_word_limit: float = 0.25, spreads: float = 4.0, least: int = 100,
+                  chance: float = 1e-9) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept`` for every row.
 
     ``kept`` is false if the base rules fail (fewer than 10 words, or over
     20 % of the words in repeated five-word windows) or if a distance exceeds
     its limit on a text of at least ``min_chars`` characters or ``min_words``
-    words.  The ``languages`` languages of most documents have references of
+    words.  The limit of the word distance is that of ``word_limits``.  A text
+    that has none of the common words fails too, if it is so long that this
+    happens by chance to fewer than ``chance`` of the texts.  The ``languages`` languages of most documents have references of
     their own; all others, NULL included, share one.  The table of references
     is bounded by ``languages`` and ``top`` and is broadcast.
 
@@ -156,10 +184,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                  distance(shares("_classes", F.col("_chars")), F.col("_rc"))),
         "word_distance": F.when(F.col("n_words") >= min_words,
                                 distance(shares("_of", F.col("n_words")), F.col("_rw"))),
+        "_size": F.when(F.col("n_words") >= min_words,
+                        F.floor(F.log2(F.col("n_words") / min_words)).cast("int")),
+        "_none": (F.element_at("_of", -1) == F.col("n_words"))
+        & (F.pow(F.element_at("_rw", -1), F.col("n_words")) < chance),
         "base_failed": (F.col("n_words") < 10)
         | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))})
+    limits = word_limits(judged, spreads, least, min_word_limit, max_word_distance)
+    judged = judged.drop("_g").join(
+        F.broadcast(limits), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_size") == F.col("_s")),
+        "left")
     far = (F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False))
-           | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)))
+           | F.coalesce((F.col("word_distance") > F.col("_limit"))
+                        | (F.col("word_distance").isNotNull() & F.col("_none")), F.lit(False)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", "class_distance", "word_distance",
                          (~F.col("base_failed") & ~far).alias("kept"))

@@ -141,6 +141,29 @@ def test_rules_match_sql(spark, sf):
     assert got == want
 
 
+def test_rules_reject_texts_of_another_language(spark):
+    rng = random.Random(8)
+
+    def vocabulary(name):  # some of the most common words are those of both languages
+        words = [f"both{k}" if k % 6 == 0 and k < 16 else f"{name}{k}" for k in range(2000)]
+        return words, [0.2 / 16] * 16 + [0.8 / 1984] * 1984
+
+    def text(name, n):
+        words, weights = vocabulary(name)
+        return " ".join(rng.choices(words, weights, k=n))
+
+    rows = [(k, text("ab"[k % 2], 100 + k % 300), "ab"[k % 2]) for k in range(1200)]
+    wrong = [(5000 + k, text("b", 210 + 30 * k), "a") for k in range(10)]
+    wrong += [(6000, " ".join(f"junk{k}" for k in range(150)), "b")]
+    df = spark.createDataFrame(rows + wrong, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality_rules(df).collect()}
+    assert not any(got[k] for k, _, _ in wrong)
+    assert sum(got[k] for k, _, _ in rows) >= 0.999 * len(rows)
+    few = rows[:20] + [(7000, " ".join(f"junk{k}" for k in range(150)), "b")]
+    few = quality_rules(spark.createDataFrame(few, df.schema)).where("not kept").collect()
+    assert [r.doc_id for r in few] == [7000]
+
+
 def split_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = m.groups() if m else ("", "")
