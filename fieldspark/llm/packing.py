@@ -118,70 +118,137 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for bins in room.values() for x in bins if x[1]]
 
 
-def completions(sizes: list[int], counts: dict[int, int], room: int, waste: int, effort: int):
-    """Undominated fillings of ``room``, fullest first found; larger pieces
-    first, so a piece is tried before the smaller ones it dominates."""
-    best: list[tuple[int, dict[int, int]]] = []
-    top, steps = -1, 0
-    stack = [(0, room, ())]
-    while stack and steps < effort:
-        k, left, chosen = stack.pop()
-        steps += 1
-        while k < len(sizes) and sizes[k] > left:
-            k += 1
-        if k == len(sizes) or left == 0:
-            if room - left > top and left <= waste:
-                top = room - left
-                best.append((left, dict(chosen)))
-                if left == 0:
-                    break
-            continue
-        if room - left + left <= top:  # even a full bin would not beat the best
+class Budget:
+    """Fillings that the search may still look at."""
+
+    def __init__(self, fillings: int):
+        self.left = fillings
+
+
+def reachable(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """Sums up to ``room`` of the pieces of ``sizes[k:]``, a bit each, for every k."""
+    every = (1 << room + 1) - 1
+    bits, out = 1, [1]
+    for size in reversed(sizes):
+        n, step = min(counts[size], room // size), 1
+        while n:  # 1, 2, 4 ... pieces and the remainder give every number of them
+            step = min(step, n)
+            bits |= (bits << size * step) & every
+            n -= step
+            step *= 2
+        out.append(bits)
+    return out[::-1]
+
+
+def dominated(fill: dict[int, int], free: int, sizes: list[int], counts: dict[int, int]) -> bool:
+    """Whether a piece that is left out could take the place of some in the
+    filling (of none, if it fits into the free room): s <= piece <= s + free."""
+    sums = 1  # of the pieces in the filling that are smaller than this size
+    for size in reversed(sizes):
+        n = fill.get(size, 0)
+        if counts[size] > n and sums >> max(0, size - free) & ((1 << min(size, free) + 1) - 1):
+            return True
+        for _ in range(n):
+            sums |= sums << size
+    return False
+
+
+def completions(sizes: list[int], counts: dict[int, int], room: int, waste: int, budget: Budget):
+    """All undominated fillings of ``room`` that leave at most ``waste`` free,
+    as (free, filling): fullest first, of equal ones larger pieces first.
+    Ends early when the budget does."""
+    sizes = [s for s in sizes if s <= room]
+    reach = reachable(sizes, counts, room)
+    for free in range(min(waste, room) + 1):
+        if not reach[0] >> (room - free) & 1:
             continue
-        size = sizes[k]
-        most = min(counts[size], left // size)
-        for n in range(0, most + 1):  # the largest number is tried first (last in)
-            stack.append((k + 1, left - n * size, chosen + ((size, n),) if n else chosen))
-    return best[::-1]
-
-
-def _dive(counts: dict[int, int], capacity: int, limit: int, effort: int, choice: int):
-    """Complete bins around the largest piece left; None once the waste shows
-    that ``limit`` bins cannot be reached."""
+        stack = [(0, room - free, ())]
+        while stack:
+            k, need, chosen = stack.pop()
+            if not need:
+                if budget.left <= 0:
+                    return
+                budget.left -= 1
+                fill = dict(chosen)
+                if not dominated(fill, free, sizes, counts):
+                    yield free, fill
+                continue
+            while sizes[k] > need:
+                k += 1
+            size = sizes[k]
+            for n in range(min(counts[size], need // size) + 1):  # the largest comes first
+                if reach[k + 1] >> (need - n * size) & 1:
+                    stack.append((k + 1, need - n * size, chosen + ((size, n),) if n else chosen))
+
+
+def _probe(counts: dict[int, int], capacity: int, limit: int, allowed: int, budget: Budget):
+    """Depth-first over bins around the largest piece left, at most ``allowed``
+    discrepancies from the first choices: (bins or None, whether any branch
+    was left out for its discrepancies)."""
     left = dict(counts)
-    total = sum(k * n for k, n in left.items())
-    slack = limit * capacity - total  # waste that is still allowed
-    bins, used = [], 0
-    while left:
+    slack = limit * capacity - sum(k * n for k, n in left.items())  # waste still allowed
+    path: list[tuple[dict[int, int], int, int, int]] = []
+    skipped = False
+
+    def branches(last):
+        nonlocal skipped
         largest = max(left)
-        left[largest] -= 1
-        sizes = sorted((s for s, n in left.items() if n), reverse=True)
-        found = completions(sizes, left, capacity - largest, capacity, effort)
-        left[largest] += 1
-        fill = dict(found[min(choice, len(found) - 1)][1]) if found else {}
-        fill[largest] = fill.get(largest, 0) + 1
-        times = min(left[s] // n for s, n in fill.items())
-        free = capacity - sum(s * n for s, n in fill.items())
+        have = left | {largest: left[largest] - 1}
+        sizes = sorted((s for s, n in have.items() if n), reverse=True)
+        nth, may, rest = 0, allowed, slack
+        for free, fill in completions(sizes, have, capacity - largest, rest, budget):
+            fill[largest] = fill.get(largest, 0) + 1
+            if fill == last:  # more bins of it are a branch of the node before
+                continue
+            if nth > may:
+                skipped = True
+                return
+            times = min((have[s] + (s == largest)) // n for s, n in fill.items())
+            times = min(times, rest // free) if free else times
+            for fewer in range(times):
+                if nth + fewer > may:
+                    skipped = True
+                    break
+                yield fill, times - fewer, free, nth + fewer
+            nth += 1
+
+    stack = [branches(None)]
+    while stack:
+        branch = next(stack[-1], None)
+        if branch is None:
+            stack.pop()
+            if path:
+                fill, times, free, cost = path.pop()
+                slack += free * times
+                allowed += cost
+                for s, n in fill.items():
+                    left[s] = left.get(s, 0) + n * times
+            continue
+        fill, times, free, cost = branch
+        path.append(branch)
         slack -= free * times
-        used += times
-        if slack < 0 or used > limit:
-            return None
-        bins.append((fill, times))
+        allowed -= cost
         for s, n in fill.items():
             left[s] -= n * times
             if not left[s]:
                 del left[s]
-    return bins
+        if not left:
+            return [x[:2] for x in path], skipped
+        stack.append(branches(fill))
+    return None, skipped
 
 
-def bin_completion(counts: dict[int, int], capacity: int, dives: int = 4,
-                   effort: int = 4000) -> list[tuple[dict[int, int], int]]:
+def bin_completion(counts: dict[int, int], capacity: int,
+                   effort: int = 60_000) -> list[tuple[dict[int, int], int]]:
     """Bins of a histogram of lengths: [({length: pieces in a bin}, bins)].
 
-    Best-fit decreasing is the incumbent.  Bins are then completed around the
-    largest piece with undominated fillings; a branch is cut as soon as its
-    waste exceeds what an improvement allows.  Ends at the bound given by the
-    total length, or after ``dives`` branches.
+    Best-fit decreasing is the incumbent.  Branch and bound looks for a packing
+    with one bin less: bins are completed around the largest piece with
+    undominated fillings, a kind of bin as often as it can be and then less
+    often, and a branch is cut as soon as its waste exceeds what the improvement
+    allows.  Branches come in the order of their discrepancies.  Ends at the
+    bound given by the total length, when no branch is left (the packing is
+    then optimal), or after ``effort`` fillings.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
@@ -189,12 +256,15 @@ def bin_completion(counts: dict[int, int], capacity: int, dives: int = 4,
     best = best_fit(counts, capacity)
     bound = max(-(-sum(k * n for k, n in counts.items()) // capacity),
                 sum(n for k, n in counts.items() if 2 * k > capacity))
-    for choice in range(dives):
-        bins = sum(n for _, n in best)
-        if bins <= bound:
+    budget, allowed = Budget(effort), 0
+    while (bins := sum(n for _, n in best)) > bound and budget.left > 0:
+        found, skipped = _probe(counts, capacity, bins - 1, allowed, budget)
+        if found:
+            best, allowed = found, 0
+        elif not skipped:
             break
-        found = _dive(counts, capacity, bins - 1, effort, choice)
-        best = found or best
+        else:
+            allowed += 1
     return best
 
 

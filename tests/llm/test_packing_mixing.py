@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from public_tokenizers import path
@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from fieldspark.llm.mixing import flight, mix_sources, op9_cube_mixing
-from fieldspark.llm.packing import (best_fit, bin_completion, op5_bin_completion, pack_documents,
-                                    token_ids)
+from fieldspark.llm.packing import (Budget, best_fit, bin_completion, completions,
+                                    op5_bin_completion, pack_documents, token_ids)
 
 SMALL = "/root/testdata/sf0.001"
 VOCAB = "byte_bpe_50k"
@@ -96,6 +96,72 @@ def test_bin_completion_is_valid_and_near_the_bound():
     assert sum(x for _, x in bin_completion({4: 2, 3: 2, 2: 3}, 10)) == 2
 
 
+def fewest(sizes, capacity):
+    """Bins of an optimal packing, by trying every bin for every piece."""
+    best = len(sizes)
+
+    def add(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for r in set(room):
+            if r >= sizes[k]:
+                rest = list(room)
+                rest.remove(r)
+                add(k + 1, [*rest, r - sizes[k]])
+        add(k + 1, [*room, capacity - sizes[k]])
+
+    add(0, [])
+    return best
+
+
+def test_bin_completion_backtracks_to_the_optimum():
+    lengths = [500, 400, 400, 400, 324, 300, 274, 250, 224]
+    assert sum(x for _, x in bin_completion(Counter(lengths), 1024)) == 3
+    rng = random.Random(12)
+    for _ in range(300):
+        capacity = rng.choice([20, 50, 100])
+        sizes = sorted((rng.randrange(capacity // 8, capacity * 6 // 10)
+                        for _ in range(rng.randrange(5, 11))), reverse=True)
+        bins = bin_completion(Counter(sizes), capacity)
+        assert sum(x for _, x in bins) == fewest(sizes, capacity), (sizes, capacity)
+        got = Counter()
+        for filling, times in bins:
+            assert sum(k * c for k, c in filling.items()) <= capacity
+            got.update({k: c * times for k, c in filling.items()})
+        assert got == Counter(sizes)
+
+
+def test_completions_are_the_undominated_fillings():
+    rng = random.Random(13)
+    for _ in range(200):
+        room = rng.randrange(5, 25)
+        pieces = Counter(rng.randrange(1, 20) for _ in range(rng.randrange(1, 8)))
+        every = {()}
+        for s in pieces.elements():
+            every |= {tuple(sorted((*f, s))) for f in every}
+        every = {f for f in every if sum(f) <= room}
+
+        def beaten(f):  # another filling with one piece for some of these
+            out = pieces - Counter(f)
+            subsets = {()}
+            for s in f:
+                subsets |= {(*x, s) for x in subsets}
+            return any(sum(x) <= y and sum(f) - sum(x) + y <= room and x != (y,)
+                       for y in out for x in subsets)
+
+        waste = rng.randrange(0, 6)
+        want = {f for f in every if room - sum(f) <= waste and not beaten(f)}
+        got = [(free, tuple(sorted(Counter(f).elements()))) for free, f in completions(
+            sorted(pieces, reverse=True), pieces, room, waste, Budget(10**6))]
+        assert all(free == room - sum(f) for free, f in got) and got == sorted(
+            got, key=lambda x: x[0])
+        assert len(got) == len(want) and {f for _, f in got} == want, (pieces, room, waste)
+
+
 def fill(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + (
         [None] if None in sizes else [])
