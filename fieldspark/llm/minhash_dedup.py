@@ -2,7 +2,7 @@
 
 1. Every document's set of distinct word shingles gives ``bands * rows``
    minima.  The minima of a band, taken whole, are hashed to a bucket key;
-   of each minimum only the low ``BITS`` bits are kept, packed into longs.
+   of each minimum only ``BITS`` bits of its hash are kept, packed into longs.
 2. Documents with equal sets form one class; only its smallest doc_id goes on.
 3. In each bucket the other members are paired with the smallest member.
    Packed signatures estimate the similarity by bit counts, corrected for
@@ -86,7 +86,9 @@ def signatures(size: int, bands: int, rows: int, seed: int):
                     least = np.minimum.reduceat((low ^ flips[j]) * factors[j], at)
                     keys[:, j // rows] = mix(keys[:, j // rows] + least + U64(j * 2**32 + 1))
                     bit = j * BITS
-                    packed[:, bit // 64] |= (least.astype(U64) & U64(2**BITS - 1)) << U64(bit % 64)
+                    # the low bits of the minima of a few elements agree for all j or for none
+                    low_bits = mix(least + U64(j * 2**32 + 1)) & U64(2**BITS - 1)
+                    packed[:, bit // 64] |= low_bits << U64(bit % 64)
                 a = np.add.reduceat(values, at)
                 b = np.add.reduceat(mix(values ^ U64(0x5851F42D4C957F2D)), at)
             full = np.zeros((2, len(count)), dtype=U64)
@@ -116,6 +118,13 @@ def estimate(x: str, y: str, longs: int):
     return (share - F.lit(2.0**-BITS)) / F.lit(1 - 2.0**-BITS)
 
 
+def lowest_estimate(per_cent: int, values: int) -> float:
+    """Six standard errors of ``estimate`` below the threshold."""
+    similar, chance = per_cent / 100, 2.0**-BITS
+    share = similar + (1 - similar) * chance
+    return similar - 6 * (share * (1 - share) / values) ** 0.5 / (1 - chance)
+
+
 def confirm(size: int, per_cent: int):
     """Pairs of texts -> the pairs whose full shingle sets are similar enough."""
 
@@ -206,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(buckets.join(shared, "key"))
     packed = reps.groupBy("_k").agg(F.first("packed").alias("packed"))
-    floor = per_cent / 100 - 6 * (per_cent / 100 * (1 - per_cent / 100) / (bands * rows)) ** 0.5
+    floor = lowest_estimate(per_cent, bands * rows)
 
     def links(pairs: DataFrame) -> DataFrame:
         """Estimated, then confirmed on the full sets: ``a, b, ok``."""

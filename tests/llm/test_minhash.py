@@ -69,6 +69,17 @@ def test_exact_components(spark):
     assert got == {k: (n, c, k == c) for k, (n, c) in want.items()}
 
 
+def test_small_sets_at_the_threshold_are_linked(spark):
+    # 3 of 4 shingles; the low bits of their minima estimate far less than 0.75
+    numbers = [405, 1043, 1377, 1685, 2135, 2446, 3877, 4671, 5458, 5610, 6665, 7001]
+    rows = []
+    for i in numbers:
+        text = " ".join(f"k{i}w{j}" for j in range(7))
+        rows += [(2 * i, text, ""), (2 * i + 1, f"{text} e{i}x0", "")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k, _, _ in rows}
+
+
 def test_null_id_repeats_and_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     text = " ".join(f"w{i}" for i in range(30))
