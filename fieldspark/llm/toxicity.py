@@ -3,8 +3,9 @@
 Logistic regression on the presence of words and word beginnings (64-bit
 hashes), and on whether they come at least twice or four times.  Each labelled text that
 mentions an identity gets a counterfactual in which identity terms are
-swapped within their group; the squared difference of the two scores is added
-to the loss.  Mentions of a group then carry no evidence by themselves, which
+swapped within their group, with all features that follow from a term: its
+beginning and how often both occur; the squared difference of the two scores
+is added to the loss.  Mentions of a group then carry no evidence by themselves, which
 lowers false positives on neutral texts about it.
 """
 
@@ -67,11 +68,6 @@ def find(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(hashes[at] == values, at, -1)
 
 
-def term_hashes() -> list[np.ndarray]:
-    """Hash of every identity term, group by group."""
-    return [letter_runs(Block(pa.array(g)), PREFIX)[0] for g in IDENTITY_GROUPS]
-
-
 @dataclass(frozen=True)
 class ToxicityModel:
     base: np.ndarray  # sorted hashes of tokens that any feature needs
@@ -89,23 +85,51 @@ class ToxicityModel:
                                                minlength=len(block.lengths)))
 
 
-def swapped(row: np.ndarray, feature: np.ndarray, groups: list[np.ndarray]):
-    """Rows that mention an identity and their counterfactual features.
-
-    Every term is replaced by the next of its group; entries of the
-    difference ``counterfactual - text`` are returned as (row, feature, +-1).
-    """
-    rows, features, signs = [], [], []
-    for group in groups:
-        for k, term in enumerate(group):
-            has = row[feature == term]
-            other = group[(k + 1) % len(group)]
-            rows += [has, has]
-            features += [np.full(len(has), term), np.full(len(has), other)]
-            signs += [np.full(len(has), -1.0), np.ones(len(has))]
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(features), np.concatenate(signs)
+def swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the identity terms, and of each one, in two columns, the
+    tokens that a mention has and those of the next term of its group: the
+    word and its beginning, 0 where a term is no longer than that."""
+    words, tokens_of, following = [], [], []
+    for group in IDENTITY_GROUPS:
+        word, prefix, longer, _ = letter_runs(Block(pa.array(group)), PREFIX)
+        begin = np.zeros(len(group), dtype=U64)
+        begin[longer] = mix(prefix + U64(1))
+        both = np.stack([word, begin], axis=1)
+        words.append(word)
+        tokens_of.append(both)
+        following.append(np.roll(both, -1, axis=0))
+    words, tokens_of, following = map(np.concatenate, (words, tokens_of, following))
+    order = np.argsort(words)
+    return words[order], tokens_of[order], following[order]
+
+
+def counterfactual(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and documents after every identity term became the next of its group."""
+    terms, before, after = swaps()
+    at = find(terms, token)
+    mention = at >= 0
+    at, where = at[mention], doc[mention]
+    # beginnings that go with the replaced words, as often as they are replaced
+    gone, gone_doc = before[at, 1], where
+    gone, gone_doc = gone[gone > 0], gone_doc[gone > 0]
+    token, doc = token[~mention], doc[~mention]
+    order = np.lexsort((token, doc))
+    token, doc = token[order], doc[order]
+    keep = np.ones(len(token), dtype=bool)
+    if len(gone):
+        # the n-th of equal tokens in a document goes if n is below the number to remove
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        nth = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
+        pair = np.unique(np.stack([gone_doc.astype(U64), gone], axis=1), axis=0,
+                         return_counts=True)
+        number = {(int(d), int(t)): int(n) for (d, t), n in zip(*pair)}
+        for k in np.flatnonzero(np.isin(token, gone)):
+            keep[k] = nth[k] >= number.get((int(doc[k]), int(token[k])), 0)
+    put, put_doc = after[at].ravel(), np.repeat(where, 2)
+    return (np.concatenate([token[keep], put[put > 0]]),
+            np.concatenate([doc[keep], put_doc[put > 0]]))
 
 
 def fit_toxicity(y: np.ndarray, x: Sparse, difference: Sparse, ridge: float, penalty: float,
@@ -139,23 +163,43 @@ def _count_features(batches):
 
 
 def _list_features(base: np.ndarray, hashes: np.ndarray):
+    """Features of each text, those that its counterfactual lacks, and those it adds."""
+    terms = swaps()[0]
+
     def run(batches):
         for table in _chunks(batches):
             token, doc = tokens(Block(table["_text"]))
-            ok = find(base, token) >= 0
-            feature, doc = features(token[ok], doc[ok])
-            at = find(hashes, feature)
-            order = np.argsort(doc[at >= 0], kind="stable")
-            at, doc = at[at >= 0][order], doc[at >= 0][order]
-            ends = np.searchsorted(doc, np.arange(len(table) + 1)).astype(np.int32)
+            mentions = np.unique(doc[find(terms, token) >= 0])
+            part = np.isin(doc, mentions)
+
+            def pairs(token, doc):
+                ok = find(base, token) >= 0
+                feature, doc = features(token[ok], doc[ok])
+                at = find(hashes, feature)
+                return np.sort(doc[at >= 0] * len(hashes) + at[at >= 0])
+
+            def listed(pair):
+                ends = np.searchsorted(pair, np.arange(len(table) + 1) * len(hashes))
+                return pa.ListArray.from_arrays(ends.astype(np.int32),
+                                                pa.array((pair % len(hashes)).astype(np.int32)))
+
+            text = pairs(token[part], doc[part])
+            other = pairs(*counterfactual(token[part], doc[part]))
             yield pa.RecordBatch.from_arrays(
                 [table["doc_id"].combine_chunks(), table["_y"].combine_chunks(),
-                 pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32)))],
-                names=["doc_id", "y", "features"])
+                 listed(pairs(token, doc)), listed(np.setdiff1d(text, other)),
+                 listed(np.setdiff1d(other, text))],
+                names=["doc_id", "y", "features", "gone", "added"])
 
     return run
 
 
+def _entries(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each entry."""
+    return (np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())),
+            lists.flatten().to_numpy())
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
                    limit: int = 8_000, least: int = 5, z: float = 6.0, ridge: float = 1e-4,
                    penalty: float = 10.0, steps: int = 300, rate: float = 0.1) -> ToxicityModel:
@@ -176,16 +220,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
         "feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     off = F.abs(F.col("hits") - F.col("n") * share) > z * F.sqrt(F.col("n") * share * (1 - share))
     telling = counts.where((F.col("n") >= least) & off).select("feature").toArrow()["feature"]
-    groups = term_hashes()
-    hashes = np.unique(np.concatenate([telling.to_numpy().view(U64), *groups]))
+    hashes = np.union1d(telling.to_numpy().view(U64), swaps()[0])
     base = _bases(sample, hashes)
-    table = sample.mapInArrow(_list_features(base, hashes),
-                              "doc_id long, y int, features array<int>").toArrow().sort_by("doc_id")
+    table = sample.mapInArrow(
+        _list_features(base, hashes), "doc_id long, y int, features array<int>, "
+        "gone array<int>, added array<int>").toArrow().sort_by("doc_id")
     y = table["y"].to_numpy().astype(float)
     lists = table["features"].combine_chunks()
     index = lists.flatten().to_numpy()
     x = Sparse(index, lists.offsets.to_numpy(), np.ones(len(index)), len(hashes))
-    r, f, sign = swapped(x.row, index, [find(hashes, g) for g in groups])
+    minus, plus = (_entries(table[c].combine_chunks()) for c in ("gone", "added"))
+    r, f = np.concatenate([minus[0], plus[0]]), np.concatenate([minus[1], plus[1]])
+    sign = np.repeat([-1.0, 1.0], [len(minus[0]), len(plus[0])])
     order = np.argsort(r, kind="stable")
     difference = Sparse(f[order], np.searchsorted(r[order], np.arange(len(y) + 1)), sign[order],
                         len(hashes))

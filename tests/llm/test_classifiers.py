@@ -15,8 +15,9 @@ from fieldspark.llm.oracles import OP6_SQL
 from fieldspark.llm.quality import fit_ordinal, score_quality, train_quality
 from fieldspark.llm.quality_rules import op6_divergence_rules, quality_rules
 from fieldspark.llm.text_features import Sparse
-from fieldspark.llm.toxicity import (IDENTITY_GROUPS, fit_toxicity, op8_counterfactual_toxicity,
-                                     score_toxicity, train_toxicity)
+from fieldspark.llm.toxicity import (IDENTITY_GROUPS, counterfactual, fit_toxicity,
+                                     op8_counterfactual_toxicity, score_toxicity, tokens,
+                                     train_toxicity)
 from fieldspark.llm.url_filter import RULES, judge_urls, op10_boosted_urls
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -98,6 +99,39 @@ def test_counterfactual_penalty_lowers_identity_weights(spark):
     assert fit_toxicity(np.array([]), empty, empty, 0.1, 0.1, 3, 0.1)[1] == 0
 
 
+@pytest.mark.parametrize("mention", ["immigrants", "muslim muslim", "black x black y black z black"])
+def test_counterfactual_covers_beginnings_and_repeats(spark, mention):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(800):
+        words = [f"n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(3))}" for _ in range(15)]
+        toxic = k % 4 == 0
+        if toxic and rng.random() < 0.9:
+            words.append("vile")
+        if rng.random() < (0.7 if toxic else 0.1):
+            words.append(mention)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = train_toxicity(docs, lab)
+    other = mention.replace("immigrants", "natives").replace("muslim", "christian").replace(
+        "black", "white")
+    s = model.score(Block(pa.array([f"na nb {mention}", f"na nb {other}"])))
+    logit = np.log(s / (1 - s))
+    assert abs(logit[0] - logit[1]) < 0.1, logit
+
+
+def test_counterfactual_tokens_are_those_of_the_swapped_text():
+    rng = random.Random(4)
+    swap = {a: g[(k + 1) % len(g)] for g in IDENTITY_GROUPS for k, a in enumerate(g)}
+    words = [*swap, "immigration", "christianity", "muslimah", "x"]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(12))] for _ in range(300)]
+    got = counterfactual(*tokens(Block(pa.array([" ".join(t) for t in texts]))))
+    want = tokens(Block(pa.array([" ".join(swap.get(w, w) for w in t) for t in texts])))
+    assert sorted(zip(*map(list, got))) == sorted(zip(*map(list, want)))
+
+
 def base_rules(text):
     text = text or ""
     w = re.findall("[^\x20\x09-\x0d]+", text)
