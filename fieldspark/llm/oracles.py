@@ -106,3 +106,59 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
        w.doc_id <= coalesce(low.b, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id
 """
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same,
+             list_dot_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE a.id % 100 = 0),
+p AS (SELECT a, b, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+       row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank,
+       n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 5
+"""
+
+# CRC-32 of a string of ASCII digits: eight shifts per byte with the reversed polynomial.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_transform(range(1, length({s}) + 1), lambda i: ascii({s}[i])::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+    4294967295::BIGINT))"""
+
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'r': r, 't': t}} ORDER BY p) AS s,
+               {_CRC32.format(s="CAST(c AS VARCHAR)")} % 4 AS h FROM turns GROUP BY c),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s
+  FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+prefixes AS (SELECT c, d, s[1:d] AS k, d = len(s) AS ends
+             FROM rebuilt, unnest(range(0, len(s) + 1)) AS u(d)),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (
+  SELECT n.*, coalesce(kids.n, 0) AS n_children, (kids.n IS NULL)::BIGINT AS leaf,
+         CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(
+           k[d].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN kids USING (d, k)),
+totals AS (SELECT a AS d, k[1:a] AS k, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+           FROM valued, unnest(range(0, d + 1)) AS u(a) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN totals USING (d, k)
+LEFT JOIN nodes p ON p.d = v.d - 1 AND p.k = v.k[1:v.d - 1]
+"""

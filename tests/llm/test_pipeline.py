@@ -16,13 +16,19 @@ SMALL = "/root/testdata/sf0.001"
 def test_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
-    tables = {}
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SMALL).cache()
-        tables[name] = (docs.collect(), out.collect())
-        if name != "pack":
-            assert out.columns == columns and out.schema.simpleString() == docs.schema.simpleString()
-            docs = out
+    tables, cached = {}, []
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL).cache()
+            cached.append(out)
+            tables[name] = (docs.collect(), out.collect())
+            if name != "pack":
+                assert out.columns == columns
+                assert out.schema.simpleString() == docs.schema.simpleString()
+                docs = out
+    finally:  # the session is shared with the other tests
+        for out in cached:
+            out.unpersist(blocking=True)
     before, after = tables["quality"]
     model = train_quality(spark.read.parquet(f"{SMALL}/documents.parquet"),
                           spark.read.parquet(f"{SMALL}/labels.parquet"))
