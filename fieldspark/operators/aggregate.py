@@ -163,4 +163,6 @@ def distribution_bins(df: DataFrame, by: Sequence[str], value: str, lo: float, h
     counts = base.withColumn("bin", b).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("bin_lo", F.lit(lo) + F.col("bin") * F.lit(w))
     quart = quantile_agg(base, by, "__v", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return counts.join(quart, list(by), "left")
+    from fieldspark.operators.joins import natural_left_join
+
+    return natural_left_join(counts, quart, list(by)) if by else counts.join(F.broadcast(quart))

@@ -54,14 +54,21 @@ def dense_names(df: DataFrame, col: str, out: str, first: Sequence[str] = (),
                 total: str = "levels") -> DataFrame:
     """``col, out, levels``: 1-based codes of the distinct non-NULL names and
     their number.  Names in ``first`` that occur come first, in that order, the
-    others in binary order, in chunks by their first character."""
+    others in binary order, in chunks by the first three characters after the
+    prefix that all names share."""
     names = df.select(col).where(F.col(col).isNotNull()).distinct()
+    # What the smallest and the largest name share, all names in between share too.
+    lo, hi = F.col("lo"), F.col("hi")
+    shared = F.filter(F.sequence(F.lit(1), F.greatest(F.length("lo"), F.lit(1))), lambda i: F.substring(
+        lo, F.lit(1), i) == F.substring(hi, F.lit(1), i))
+    common = names.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).select(F.size(shared)).scalar()
     place = F.lit(len(first))
     if first:
         named = F.array_position(F.array(*map(F.lit, first)), F.col(col))
         place = F.when(named > 0, named - 1).otherwise(F.lit(len(first))).cast("int")
     chunk = F.concat(F.lpad(place.cast("string"), 9, "0"),
-                     F.when(place == len(first), F.substring(col, 1, 1)).otherwise(F.lit("")))
+                     F.when(place == len(first), F.substring(F.col(col), F.lit(1), common + 3))
+                     .otherwise(F.lit("")))
     return number_rows(names, chunk, [place, F.col(col)], out, total)
 
 
@@ -82,39 +89,58 @@ def group_statistics(df: DataFrame, by: Sequence[str], value: str,
     cuts = counts.groupBy(F.col("__g").alias("__cg")).agg(
         F.percentile_approx("__v", points, 2000).alias("__cuts"))
     ranged = counts.join(cuts, F.col("__g") == F.col("__cg")).select(
-        "__g", "__v", "__n",
+        "__g", "__v", "__n", "__cuts",
         F.when(F.col("__v").isNull(), -1).otherwise(
             F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).alias("__r"))
+    # Sums are taken around the lower end of a value's range, so nothing cancels.
+    end = F.coalesce(F.get("__cuts", F.greatest(F.col("__r") - 1, F.lit(0))), F.lit(0.0))
+    ranged = ranged.withColumn("__e", end).drop("__cuts")
     seen = F.col("__v").isNotNull()
+    off = F.col("__v") - F.col("__e")
     parts = ranged.groupBy("__g", "__r").agg(
         F.sum(F.when(seen, F.col("__n")).otherwise(0)).alias("__o"), F.sum("__n").alias("__a"),
-        F.sum(F.col("__n") * F.col("__v")).alias("__s"))
+        F.first("__e").alias("__e"), F.sum(F.col("__n") * off).alias("__s"),
+        F.sum(F.col("__n") * off * off).alias("__q"))
+    mean = F.col("__e") + F.col("__s") / F.nullif("__o", F.lit(0))
+    parts = parts.withColumns({"__m": mean, "__q": F.col("__q") - F.col("__s") * F.col("__s")
+                               / F.nullif("__o", F.lit(0))})
     group = Window.partitionBy("__g")
     earlier = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        F.col("__g").alias("__pg"), F.col("__r").alias("__pr"),
-        F.coalesce(F.sum("__o").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__o").over(group).alias("__obs"), F.sum("__a").over(group).alias("__all"),
-        (F.sum("__s").over(group) / F.nullif(F.sum("__o").over(group), F.lit(0)))
-        .alias("__mean"))
+    parts = parts.withColumns({
+        "__before": F.coalesce(F.sum("__o").over(earlier), F.lit(0)),
+        "__obs": F.sum("__o").over(group), "__all": F.sum("__a").over(group)})
+    parts = parts.withColumn("__mean", F.sum(F.col("__o") * F.col("__m")).over(group)
+                             / F.nullif("__obs", F.lit(0)))
+    moved = F.col("__m") - F.col("__mean")
+    moments = parts.groupBy("__g").agg(
+        F.max("__all").alias("n"), F.max("__obs").alias("n_obs"), F.max("__mean").alias("mean"),
+        F.sum(F.col("__q") + F.col("__o") * moved * moved).alias("__ss"))
+
+    def ranks(obs: Column) -> list[Column]:
+        h = [(obs - 1) * F.lit(float(p)) for p in probs]
+        return [f(x) for x in h for f in (F.floor, F.ceil)]
+
+    # Only the ranges that hold a wanted rank are sorted.
+    wanted = F.array(*ranks(F.col("__obs")))
+    last = F.col("__before") + F.col("__o") - 1
+    needed = parts.where(F.exists(wanted, lambda r: (r >= F.col("__before")) & (r <= last))).select(
+        F.col("__g").alias("__pg"), F.col("__r").alias("__pr"), "__before", "__obs")
     running = Window.partitionBy("__g", "__r").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = (ranged.withColumn("__run", F.sum("__n").over(running))
-              .join(parts, (F.col("__g") == F.col("__pg")) & (F.col("__r") == F.col("__pr")))
-              .withColumn("__last", F.col("__before") + F.col("__run") - 1))
+    placed = (ranged.where(seen).join(
+        needed, (F.col("__g") == F.col("__pg")) & (F.col("__r") == F.col("__pr")))
+        .withColumn("__run", F.sum("__n").over(running))
+        .withColumn("__last", F.col("__before") + F.col("__run") - 1))
     first = F.col("__last") - F.col("__n") + 1
 
     def at(rank: Column) -> Column:  # value whose rows cover a 0-based rank
-        return F.max(F.when(seen & (first <= rank) & (rank <= F.col("__last")), F.col("__v")))
+        return F.max(F.when((first <= rank) & (rank <= F.col("__last")), F.col("__v")))
 
     aggs = []
-    for i, p in enumerate(probs):
-        h = (F.col("__obs") - 1) * F.lit(float(p))
-        aggs += [at(F.floor(h)).alias(f"__l{i}"), at(F.ceil(h)).alias(f"__u{i}")]
-    off = F.col("__v") - F.col("__mean")
-    stats = placed.groupBy("__g").agg(
-        F.max("__all").alias("n"), F.max("__obs").alias("n_obs"), F.max("__mean").alias("mean"),
-        F.sum(F.col("__n") * off * off).alias("__ss"), *aggs)
+    for i, rank in enumerate(ranks(F.col("__obs"))):
+        aggs.append(at(rank).alias(f"__{'lu'[i % 2]}{i // 2}"))
+    found = placed.groupBy(F.col("__g").alias("__fg")).agg(*aggs)
+    stats = moments.join(found, F.col("__g") == F.col("__fg"), "left")
     qs = []
     for i, p in enumerate(probs):
         h = (F.col("n_obs") - 1) * F.lit(float(p))

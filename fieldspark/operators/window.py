@@ -72,7 +72,12 @@ def locf(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
     carry = summary.select(*partition_by, ck, *[
         F.last(F.col(f"__last_{c}"), ignorenulls=True).over(wk).alias(f"__in_{c}") for c in columns
     ])
-    joined = base.join(carry, [*partition_by, ck], "left")
+    renamed = carry.select(*[F.col(c).alias(f"__k_{c}") for c in (*partition_by, ck)],
+                           *[f"__in_{c}" for c in columns])
+    same = F.lit(True)
+    for c in (*partition_by, ck):  # a NULL key is a key of its own
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    joined = base.join(renamed, same, "left")
     wr = (Window.partitionBy(*partition_by, ck).orderBy(*order_cols)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined
