@@ -6,7 +6,36 @@ handed.  ``local_session`` exists for tests and the bench only.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors see; a local master without one
+    gets a temporary folder."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+            folder = tempfile.mkdtemp(prefix="fieldspark-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to the shared folder, for steps that read them
+    many times."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
