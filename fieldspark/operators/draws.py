@@ -178,6 +178,58 @@ def epred_draws(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw:
     return e.select(*cols)
 
 
+def design_to_long(design: DataFrame, cells: Sequence[str], terms: Sequence[str], x: str = "x",
+                   exclude_terms: Sequence[int] = ()) -> DataFrame:
+    """Design rows -> one row ``cells, term, x`` per non-zero entry."""
+    names = F.array(*map(F.lit, terms))
+    e = design.select(*cells, F.posexplode(x).alias("__j", "x"))
+    keep = (F.col("x") != 0) & ~F.col("__j").isin(list(exclude_terms))
+    return e.where(keep).select(*cells, names[F.col("__j")].alias("term"),
+                                F.col("x").cast("double").alias("x"))
+
+
+def group_terms(cells: DataFrame, keys: Sequence[str], group: str, prefix: str = "r") -> DataFrame:
+    """One row per cell for the intercept of its group: term ``r[level]``."""
+    level = F.coalesce(F.col(group).cast("string"), F.lit("NA"))
+    return cells.select(*keys, F.concat(F.lit(f"{prefix}["), level, F.lit("]")).alias("term"),
+                        F.lit(1.0).alias("x"))
+
+
+def epred_draws_long(draws: DataFrame, design: DataFrame, cells: Sequence[str], draw: str = "draw",
+                     link: str = "log", out: str = "epred", block: int = 4096) -> DataFrame:
+    """Expected value of every cell under every draw, both sides long.
+
+    ``draws`` has ``draw, term, coef``; ``design`` has ``cells, term, x`` (rows
+    with the same cell and term add up).  Neither the grid nor the terms need
+    fit anywhere as a whole, so a grid of any size and one term per group
+    (predictions with group effects, ``re_formula = NULL``) are expanded alike.
+    The join on ``term`` splits hot terms such as the intercept, which every
+    cell and every draw has; the products are summed per (cell, draw).
+
+    A cell is predicted for every draw: if one of its coefficients is missing
+    or NULL in a draw, the prediction is NULL.  A cell whose terms are all
+    absent from the design table cannot appear.
+    """
+    from fieldspark.operators.joins import split_join
+
+    key = F.struct(*[F.col(c).alias(c) for c in cells])
+    rows = design.groupBy(key.alias("__cell"), "term").agg(F.sum("x").alias("x"))
+    needed = rows.groupBy("__cell").agg(F.count(F.lit(1)).alias("__need"))
+    # A term that every cell and every draw has, so that no pair is lost.
+    marks = needed.select("__cell", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("x"))
+    every = draws.select(draw).distinct().select(
+        draw, F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("coef"))
+    long = draws.where(F.col("term").isNotNull()).select(draw, "term", F.col("coef").cast("double")
+                                                         .alias("coef"))
+    pairs = split_join(rows.where(F.col("term").isNotNull()).unionByName(marks),
+                       long.unionByName(every), ["term"], "inner", block)
+    sums = pairs.groupBy("__cell", draw).agg(
+        F.sum(F.col("x") * F.col("coef")).alias("__eta"), (F.count("coef") - 1).alias("__have"))
+    eta = F.when(F.col("__have") == F.col("__need"), F.col("__eta"))
+    return sums.join(needed, "__cell").select(*[F.col("__cell")[c].alias(c) for c in cells], draw,
+                                              _inverse_link(link)(eta).alias(out))
+
+
 def scale_by_abundance(epred: DataFrame, abundance: DataFrame, value: str = "epred",
                        abund: str = "total_abund", out: str = "population_epred",
                        by: Sequence[str] | None = None) -> DataFrame:

@@ -47,9 +47,13 @@ def natural_left_join(x: DataFrame, y: DataFrame, by: Sequence[str] | None = Non
 
 def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
                        suffixes: tuple[str, str] = ("_x", "_y"),
-                       max_multiplicity: int | None = None) -> DataFrame:
+                       max_multiplicity: int | None = None,
+                       split: int | None = None) -> DataFrame:
     """Left join on ``by``; other colliding names get suffixes.
 
+    With ``split`` hot keys are dealt out by ``split_join`` in parts of so many
+    rows, whatever their multiplicity.
+
     NULL keys match NULL keys.  Many-to-many keys multiply rows.  With ``max_multiplicity`` the right
     side is checked per key at run time (no extra job) and the query fails
     if a key repeats more often, so a join can never emit an unbounded number
@@ -59,6 +63,8 @@ def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
     clash = (set(x.columns) & set(y.columns)) - set(by)
     xs = x.select(*[F.col(c).alias(c + suffixes[0]) if c in clash else F.col(c) for c in x.columns])
     ys = y.select(*[F.col(c).alias(c + suffixes[1]) if c in clash else F.col(c) for c in y.columns])
+    if split is not None:
+        return split_join(xs, ys, by, "left", split)
     if max_multiplicity is not None:
         # Counted per key where the join needs the rows anyway.  The check is
         # folded into the first join key so the optimizer cannot prune it.
@@ -73,6 +79,63 @@ def left_join_suffixed(x: DataFrame, y: DataFrame, by: Sequence[str],
     return _join_keys_null_safe(xs, ys, by, "left")
 
 
+def split_join(x: DataFrame, y: DataFrame, by: Sequence[str], how: str = "inner",
+               block: int = 4096) -> DataFrame:
+    """Many-to-many join that gives no task a whole hot key (NULL keys match).
+
+    A key with ``n`` rows on the left and ``m`` on the right makes ``n * m``
+    pairs.  Its rows are dealt into ``ceil(n / block)`` and ``ceil(m / block)``
+    parts by a hash of the row, each part of one side is sent to every part of
+    the other, and the join is on the key and both part numbers, so a part has
+    about ``block * block`` pairs.  A key without hot rows has one part on each
+    side.  Equal rows are counted first and multiplied out at the end, so
+    copies of one row are one row.  The columns of ``y`` other than ``by`` must
+    have other names than those of ``x``.
+    """
+    by = list(by)
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    if set(x.columns) & set(y.columns) - set(by):
+        raise ValueError("columns clash: rename them first")
+
+    def counted(df: DataFrame, copies: str) -> DataFrame:
+        return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
+
+    def parts(df: DataFrame, out: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(out))
+
+    def place(df: DataFrame, own: str, other: str) -> DataFrame:
+        """The row's own part and one copy for each part of the other side."""
+        sized = _join_keys_null_safe(df, hot, by, "left")
+        one = lambda c: F.coalesce(c, F.lit(1))
+        row = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), one(own)).cast("int")
+        return sized.withColumn(f"{own}_at", row).withColumn(
+            f"{other}_at", F.explode(F.sequence(F.lit(0), one(other) - 1))).drop(own, other)
+
+    xs, ys = counted(x, "__cx"), counted(y, "__cy")
+    hot = parts(xs, "__px").join(parts(ys, "__py").select(
+        *[F.col(k).alias(f"__k_{k}") for k in by], "__py"), _null_safe(by), "inner").drop(
+        *[f"__k_{k}" for k in by]).where((F.col("__px") > 1) | (F.col("__py") > 1))
+    pairs = _join_keys_null_safe(place(xs, "__px", "__py"), place(ys, "__py", "__px"),
+                                 [*by, "__px_at", "__py_at"], "inner")
+    rest = [c for c in y.columns if c not in by]
+    times = F.sequence(F.lit(1).cast("long"), F.col("__cx") * F.col("__cy"))
+    out = pairs.withColumn("__i", F.explode(times)).select(*x.columns, *rest)
+    if how == "left":
+        known = y.select(*[F.col(k).alias(f"__k_{k}") for k in by]).distinct()
+        alone = x.join(known, _null_safe(by), "left_anti").select(
+            *x.columns, *[F.lit(None).cast(y.schema[c].dataType).alias(c) for c in rest])
+        out = out.unionByName(alone)
+    return out
+
+
+def _null_safe(by: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return same
+
+
 def inner_join_sorted(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """Inner join on shared columns (``merge``); keys first, NULL keys matching.
 

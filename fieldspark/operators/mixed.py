@@ -263,6 +263,36 @@ def predict_mixed(fit: MixedFit, grid: DataFrame, x: str, group_effects: bool =
     return joined.withColumn(out, F.exp(eta)).select(*grid.columns, out)
 
 
+def hurdle_mixed(df: DataFrame, x: str, y: str, group: str, hu_keys: Sequence[str],
+                 random: Sequence[int], **args) -> tuple[MixedFit, DataFrame]:
+    """Hurdle-Gamma model whose positive part has correlated group effects.
+
+    The likelihood factorises: the positive values are fitted by ``fit_mixed``
+    with group effects of the design columns ``random``; the zero part has the
+    group as a fixed factor, so with ``hu_keys`` fully crossed its estimate is
+    the share of zeros of each combination (0 without a zero, 1 without a
+    positive value).  Returns the fit and ``hu_keys, n_hu, hu``.
+    """
+    seen = df.where(F.col(y).isNotNull())
+    zero = seen.groupBy(*hu_keys).agg(
+        F.count(F.lit(1)).alias("n_hu"),
+        F.avg(F.when(F.col(y) == 0, 1.0).otherwise(0.0)).alias("hu"))
+    return fit_mixed(seen.where(F.col(y) != 0), x, y, group, random, "gamma", **args), zero
+
+
+def predict_hurdle(fit: MixedFit, zero: DataFrame, grid: DataFrame, x: str, hu_keys: Sequence[str],
+                   group_effects: bool = True) -> DataFrame:
+    """``mu``, ``hu`` and ``epred = mu * (1 - hu)`` of each grid row; a
+    combination of ``hu_keys`` that was never seen has no ``hu`` and no ``epred``."""
+    parts = zero.select(*[F.col(k).alias(f"__k_{k}") for k in hu_keys], "hu")
+    same: Column = F.lit(True)
+    for k in hu_keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    mu = predict_mixed(fit, grid, x, group_effects, out="mu")
+    return mu.join(parts, same, "left").select(
+        *mu.columns, "hu", (F.col("mu") * (F.lit(1.0) - F.col("hu"))).alias("epred"))
+
+
 def estimates(spark, fit: MixedFit, terms: Sequence[str]) -> DataFrame:
     """``term, estimate, se``: fixed effects, standard deviations and
     correlations of the group effects, dispersion (``se`` NULL for these)."""
@@ -278,4 +308,4 @@ def estimates(spark, fit: MixedFit, terms: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, estimate double, se double")
 
 
-__all__ = ["MixedFit", "estimates", "fit_mixed", "predict_mixed"]
+__all__ = ["MixedFit", "estimates", "fit_mixed", "hurdle_mixed", "predict_hurdle", "predict_mixed"]

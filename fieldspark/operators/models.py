@@ -181,6 +181,105 @@ def means_with_block_effects(df: DataFrame, group: str, block: str, y: str) -> D
     return out.withColumn("mean", F.exp("b"))
 
 
+def crossed_means(df: DataFrame, group: str, block: str, y: str, tolerance: float = 1e-10,
+                  max_iterations: int = 100) -> DataFrame:
+    """Group means with crossed random block intercepts, solved jointly (M2).
+
+    ``ln(y) = b_group + u_block + e`` as in ``means_with_block_effects``, with
+    its variance estimates, but ``b`` and ``u`` solve the crossed penalised
+    normal equations together, so an unbalanced layout is not biased.  Groups
+    are eliminated; conjugate gradients find the block effects.  A product
+    with the matrix is two joins and two sums over the (group, block) table;
+    blocks and groups stay distributed and only two numbers per iteration
+    reach the driver.  Without variance between blocks ``u`` is zero.
+
+    Returns ``group, n, n_left_out, b, mean``.  NULL keys are keys of their own.
+    """
+    from fieldspark.session import materialized
+
+    v = F.when(F.col(y) > 0, F.log(F.col(y)))
+    cells = materialized(df.select(
+        F.struct(F.col(group).alias("k")).alias("__g"), F.struct(F.col(block).alias("k")).alias("__b"),
+        v.alias("__v")).groupBy("__g", "__b").agg(
+        F.count("__v").cast("double").alias("n"), F.coalesce(F.avg("__v"), F.lit(0.0)).alias("m"),
+        F.coalesce(F.var_pop("__v") * F.count("__v"), F.lit(0.0)).alias("ss"),
+        (F.count(F.lit(1)) - F.count("__v")).alias("out")))
+
+    def centred(value: Column) -> DataFrame:
+        """``n * (value - mean of its group)`` summed per block: ``__b, w``."""
+        sums = cells_with.withColumn("__x", value)
+        means = sums.groupBy("__g").agg(F.try_divide(F.sum(F.col("n") * F.col("__x")), F.sum("n"))
+                                        .alias("__t")).withColumnRenamed("__g", "__h")
+        return (sums.join(means, F.col("__g") == F.col("__h"))
+                .groupBy(F.col("__b").alias("__c")).agg(
+                    F.sum(F.col("n") * (F.col("__x") - F.coalesce("__t", F.lit(0.0)))).alias("w")))
+
+    cells_with = cells
+    blocks = cells.groupBy("__b").agg(F.sum("n").alias("nb")).where("nb > 0")
+    start = blocks.join(centred(F.col("m")), F.col("__b") == F.col("__c")).select(
+        "__b", "nb", F.col("w").alias("r"), (F.col("w") / F.col("nb")).alias("e"))
+    start = materialized(start)
+    within = cells.agg(F.try_divide(F.sum("ss"), F.sum("n") - F.count(F.nullif("n", F.lit(0.0))))).first()[0]
+    between, inverse = start.agg(F.var_samp("e"), F.avg(F.lit(1.0) / F.col("nb"))).first()
+    t2 = max((between or 0.0) - (within or 0.0) * (inverse or 0.0), 0.0)
+    state = start.select("__b", "nb", F.lit(0.0).alias("u"), "r")
+    if t2 > 0:
+        ridge = (within or 0.0) / t2
+        inverse_diagonal = F.lit(1.0) / (F.col("nb") + F.lit(ridge))
+        state = materialized(state.withColumn("p", F.col("r") * inverse_diagonal))
+        rz = first = state.agg(F.sum(F.col("r") * F.col("r") * inverse_diagonal)).first()[0] or 0.0
+        for _ in range(max_iterations):
+            if rz <= tolerance * tolerance * first or rz == 0.0:
+                break
+            cells_with = cells.join(state.select(F.col("__b").alias("__d"), "p"),
+                                    F.col("__b") == F.col("__d"))
+            product = centred(F.col("p"))
+            ap = state.join(product, F.col("__b") == F.col("__c")).withColumn(
+                "a", F.col("w") + F.lit(ridge) * F.col("p"))
+            ap = materialized(ap.select("__b", "nb", "u", "r", "p", "a"))
+            alpha = rz / ap.agg(F.sum(F.col("p") * F.col("a"))).first()[0]
+            moved = ap.withColumns({"u": F.col("u") + F.lit(alpha) * F.col("p"),
+                                    "r": F.col("r") - F.lit(alpha) * F.col("a")})
+            new = moved.agg(F.sum(F.col("r") * F.col("r") * inverse_diagonal)).first()[0]
+            state = moved.select("__b", "nb", "u", "r", (
+                F.col("r") * inverse_diagonal + F.lit(new / rz) * F.col("p")).alias("p"))
+            rz = new
+    rest = cells.join(state.select(F.col("__b").alias("__d"), "u"), F.col("__b") == F.col("__d"), "left")
+    out = rest.groupBy("__g").agg(
+        F.sum("n").cast("long").alias("n"), F.sum("out").alias("n_left_out"),
+        F.try_divide(F.sum(F.col("n") * (F.col("m") - F.coalesce("u", F.lit(0.0)))), F.sum("n")).alias("b"))
+    return out.select(F.col("__g.k").alias(group), "n", "n_left_out", "b", F.exp("b").alias("mean"))
+
+
+def gamma_shape(df: DataFrame, keys: Sequence[str], y: str, steps: int = 6) -> DataFrame:
+    """Gamma shape per group by maximum likelihood.
+
+    The shape ``k`` solves ``ln(k) - digamma(k) = ln(mean(y)) - mean(ln(y))``:
+    one aggregate gives both means, and Newton steps on ``1 / k`` run on one
+    row per group.  Returns ``keys, n, mean, shape, se, moment_shape``.  Zero and
+    negative values are rejected at run time; a group without variation
+    (a single row too) has no finite estimate and gets NULL.
+    """
+    from fieldspark.functions.mathx import digamma, trigamma
+
+    v = F.when(F.col(y) <= 0, F.raise_error(F.lit("Gamma response must be positive; add an offset"))
+               ).otherwise(F.col(y).cast("double"))
+    g = df.withColumn("__v", v).groupBy(*keys).agg(
+        F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.var_samp("__v").alias("__var"),
+        (F.log(F.avg("__v")) - F.avg(F.log("__v"))).alias("__s"))
+    s = F.col("__s")
+    start = (F.lit(3.0) - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)
+    g = g.withColumn("__k", F.when((s > 1e-12) & (F.col("__var") > 0), start))
+    for _ in range(steps):
+        k = F.col("__k")
+        g = g.withColumn("__k", F.lit(1.0) / (F.lit(1.0) / k + (F.log(k) - digamma(k) - s) / (
+            k * k * (F.lit(1.0) / k - trigamma(k)))))
+    k = F.col("__k")
+    se = F.lit(1.0) / F.sqrt(F.col("n") * (trigamma(k) - F.lit(1.0) / k))
+    return g.select(*keys, "n", "mean", k.alias("shape"), se.alias("se"),
+                    F.try_divide(F.col("mean") * F.col("mean"), F.col("__var")).alias("moment_shape"))
+
+
 # ---- draws (M7, M9, M10) ---------------------------------------------------
 
 def draws_from_cells(fit: DataFrame, keys: Sequence[str], n_draws: int, seed: int = 2020,
@@ -425,7 +524,7 @@ def prior_table(priors: DataFrame, model_col: str = "model", order_col: str = "r
 
 
 __all__ = [
-    "beta_from_cells", "cell_means", "draws_from_cells", "glm_draws", "glm_fit", "glm_fit_design",
+    "beta_from_cells", "cell_means", "crossed_means", "draws_from_cells", "gamma_shape", "glm_draws", "glm_fit", "glm_fit_design",
     "hurdle_means", "means_with_block_effects", "pooled_gamma_se", "ppc_bins", "predicted_draws", "prior_grid", "prior_table", "saturated_draws",
     "shrunken_means",
 ]

@@ -27,7 +27,7 @@ def write_csv(df: DataFrame, path: str, quote_strings: bool = False, mode: str =
         from fieldspark.operators.project import arrange
 
         df = arrange(df, *order_by)
-    writer = df.write.mode(mode).option("header", True).option("nullValue", "NA")
+    writer = df.write.mode(mode).option("header", True).option("nullValue", "NA").option("escape", '"')
     if quote_strings:
         def field(f):
             c = F.col(f"`{f.name}`")
