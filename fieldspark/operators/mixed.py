@@ -148,8 +148,9 @@ def _modes_of(fit: MixedFit):
     return run
 
 
-def _accelerated(s0, s1, s2):
-    """Squared extrapolation of three covariances on the log-Cholesky scale."""
+def _accelerated(s0, s1, s2, longest: float):
+    """Squared extrapolation of three covariances on the log-Cholesky scale, and
+    whether the step had the length ``longest``."""
 
     def to(s):
         chol = np.linalg.cholesky(s)
@@ -162,9 +163,9 @@ def _accelerated(s0, s1, s2):
     t0, t1, t2 = map(to, (s0, s1, s2))
     r, v = t1 - t0, (t2 - t1) - (t1 - t0)
     if not np.abs(v).max() > 0:
-        return s2
-    alpha = -min(max(np.sqrt((r * r).sum() / (v * v).sum()), 1.0), 32.0)
-    return back(t0 - 2 * alpha * r + alpha * alpha * v)
+        return s2, False
+    alpha = -min(max(np.sqrt((r * r).sum() / (v * v).sum()), 1.0), longest)
+    return back(t0 - 2 * alpha * r + alpha * alpha * v), alpha == -longest
 
 
 def fit_mixed(df: DataFrame, x: str, y: str, group: str | Sequence[str],
@@ -221,10 +222,11 @@ def fit_mixed(df: DataFrame, x: str, y: str, group: str | Sequence[str],
         new_sigma = (moments + moments.T) / (2 * n_groups) + 1e-10 * np.eye(q)
         return cov @ right, new_sigma, max(new_phi, 1e-12), cov, int(n_groups)
 
-    path, converged, done = [sigma], False, 0
+    path, converged, done, longest = [sigma], False, 0, 4.0
     for done in range(1, max_iterations + 1):
         new_beta, new_sigma, new_phi, cov, n_groups = step(beta, sigma, phi, cov)
-        scale = np.sqrt(np.outer(np.diag(new_sigma), np.diag(new_sigma)))
+        # A variance far below a thousandth on the log scale no longer matters.
+        scale = np.sqrt(np.outer(np.diag(new_sigma), np.diag(new_sigma))) + 1e-3
         moved = max(np.abs(new_beta - beta).max(), np.abs((new_sigma - sigma) / scale).max(),
                     abs(new_phi - phi) / new_phi)
         beta, sigma, phi = new_beta, new_sigma, new_phi
@@ -233,7 +235,8 @@ def fit_mixed(df: DataFrame, x: str, y: str, group: str | Sequence[str],
             break
         path.append(sigma)
         if len(path) == 3 and done > 4:
-            sigma = _accelerated(*path)
+            sigma, at_limit = _accelerated(*path, longest)
+            longest *= 4.0 if at_limit else 1.0
             path = [sigma]
         elif len(path) == 3:
             path = [sigma]

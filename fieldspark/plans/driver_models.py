@@ -46,7 +46,7 @@ def q_hurdle_mixed(spark: SparkSession, base: str) -> DataFrame:
     factors = factor_levels_all(ev, ["date2", "prey_stage"])
     design, _ = treatment_design(ev, factors)
     fit, zero = hurdle_mixed(design, "x", "y", "species", ["species", "prey_stage"], [0, 1, 2, 3],
-                             tolerance=1e-4)
+                             tolerance=1e-3)
     grid, _ = treatment_design(ev.select("species", "date2", "prey_stage").distinct(), factors)
     return rounded(predict_hurdle(fit, zero, grid, "x", ["species", "prey_stage"]).drop("x"), 4)
 
@@ -65,7 +65,7 @@ def _crossed_sql() -> str:
     for k in range(_SWEEPS):
         steps.append(f"""g{k} AS (SELECT taxon, sum(n * (m - u)) / sum(n) AS t
   FROM c JOIN u{k} USING (experiment) GROUP BY taxon),
-u{k + 1} AS (SELECT experiment, sum(n * (m - t)) / (sum(n) + any_value(ridge)) AS u
+u{k + 1} AS (SELECT experiment, coalesce(sum(n * (m - t)) / (sum(n) + any_value(ridge)), 0) AS u
   FROM c JOIN g{k} USING (taxon) CROSS JOIN s GROUP BY experiment)""")
     return """
 WITH e AS (SELECT event_type AS taxon, CASE WHEN event_type = 'click' AND dayname(CAST(ts AS DATE)) < 'S'
@@ -76,7 +76,7 @@ c AS (SELECT taxon, experiment, count(v) AS n, coalesce(avg(v), 0) AS m,
 tm AS (SELECT taxon, sum(n * m) / sum(n) AS tm FROM c GROUP BY taxon),
 b AS (SELECT experiment, sum(n) AS nb, sum(n * (m - tm)) / sum(n) AS e FROM c JOIN tm USING (taxon)
       GROUP BY experiment),
-s AS (SELECT s2 / (vb - s2 * inv) AS ridge FROM (
+s AS (SELECT s2 / nullif(greatest(vb - s2 * inv, 0), 0) AS ridge FROM (
   SELECT (SELECT sum(ss) / (sum(n) - count(*)) FROM c) AS s2, var_samp(e) AS vb, avg(1.0 / nb) AS inv
   FROM b)),
 """ + ",\n".join(steps) + f"""
