@@ -42,23 +42,24 @@ def _byte_values(lower: bool) -> np.ndarray:
 _POW: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
-    if "p" not in _POW or len(_POW["p"]) < n:
+def _powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo 2**64, at least n of each."""
+    p, i = f"p{base}", f"i{base}"
+    if p not in _POW or len(_POW[p]) < n:
         size = -(-n // (1 << 16)) * (1 << 16)
-        for name, b in (("p", BASE), ("i", pow(BASE, -1, 2**64))):
+        for name, b in ((p, base), (i, pow(base, -1, 2**64))):
             a = np.full(size, b, dtype=U64)
             a[0] = 1
             _POW[name] = np.multiply.accumulate(a)
-    return _POW["p"], _POW["i"]
+    return _POW[p], _POW[i]
 
 
 class Rolling:
     """Polynomial prefix hash of a value sequence: any window in O(1)."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int = BASE):
         n = len(values)
-        self.pow, self.inv = _powers(n + 1)
+        self.pow, self.inv = _powers(n + 1, base)
         self.prefix = np.zeros(n + 1, dtype=U64)
         np.cumsum(values * self.pow[:n], out=self.prefix[1:])
 

@@ -22,13 +22,20 @@ corpus shares adds one entry per block to a range.  Texts never pass through
 one task or the driver; only packed names travel.  Copies of a whole text
 are settled by their digest: the copy with the smallest doc_id stays.
 
-Names in phase 2 have 64 bits.  The number of windows expected to be removed
-wrongly is n * n / 2**65 for n windows that reach phase 2, under 1e-3 for
-10**8 windows.
+Names in phase 2 have 96 bits (64 of one fingerprint, 32 of another with its
+own base): n windows give n * n / 2**97 wrong removals on average, 6e-10 for
+10**10 windows (30 GB) and 0.003 for 2 * 10**13 (100 TB).
+
+The number of name ranges follows from the number of names, not from the
+number of partitions.  A block sends at most ``FANOUT`` packets; with more
+ranges than that, packets of several blocks are gathered and split again, a
+digit of the range at a time, so the packets grow with the names and not with
+blocks times ranges.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 from itertools import chain
@@ -46,8 +53,13 @@ from .session import cut, partitions
 
 SEED_BYTES = 6
 NAME_BYTES = 8
+SECOND_BYTES = 4  # of a second fingerprint of windows
+SECOND_SHIFT = np.uint64(64 - 8 * SECOND_BYTES)
+RANGE_NAMES = 500_000
+FANOUT = 1024
 CHUNK_BYTES = 1 << 20
 SMALLEST = -(2**63)
+SECOND_BASE = 0xA0761D6478BD642F
 
 PACKETS = "block long, kind int, bucket long, payload binary"
 SPANS = "_k long, _h long, _m binary, n_units long, starts array<long>, ends array<long>"
@@ -68,6 +80,10 @@ class Scheme:
         """Sampled unit positions and their 64-bit names."""
         raise NotImplementedError
 
+    def seeds_per_byte(self) -> float:
+        """About how many seeds a byte of text yields."""
+        return 1.0
+
     def keep(self, block: Block, starts, ends, doc) -> tuple[np.ndarray, np.ndarray]:
         """Bytes left of each document (offsets, data) without the unit spans."""
         raise NotImplementedError
@@ -81,6 +97,9 @@ class Bytes(Scheme):
     def units(self, block):
         return byte_values(block.data), block.offsets
 
+    def seeds_per_byte(self):
+        return len(self.cover) / self.period
+
     def seeds(self, values, offsets):
         room = np.maximum(np.diff(offsets) - self.seed + 1, 0)
         room[np.diff(offsets) < self.window] = 0
@@ -107,6 +126,9 @@ class WordRuns(Scheme):
         words = Words(block)
         return words.hash, words.offsets
 
+    def seeds_per_byte(self):
+        return 2 / (self.window - self.seed + 2) / 6
+
     def seeds(self, values, offsets):
         """Winnowing: the smallest of the seed hashes in each window (the
         last one on ties), so equal windows choose the same anchor."""
@@ -167,20 +189,77 @@ def _chunks(batches, text: str = "_text"):
             at = to
 
 
+class Ranges:
+    """Equal ranges of names of ``width`` bytes, reached in ``levels`` digits."""
+
+    def __init__(self, names: float, width: int, per_range: int = 0, fanout: int = 0):
+        self.width, self.fanout, self.levels = width, fanout or FANOUT, 1
+        wanted = max(1, math.ceil(names / (per_range or RANGE_NAMES)))
+        while self.fanout**self.levels < wanted:
+            self.levels += 1
+        self.digit = math.ceil(wanted ** (1 / self.levels))  # ranges split in one step
+
+    def of(self, names: np.ndarray, level: int) -> np.ndarray:
+        """Range of each name when ``level`` digits are known (ascending with the name)."""
+        scale = self.digit**level / 2.0 ** (8 * self.width)
+        return np.minimum((names * scale).astype(np.int64), self.digit**level - 1)
+
+
+def _packet_rows(ranges: Ranges, level: int, names, second, block, pos):
+    """(bucket, payload) per range of names sorted ascending.
+
+    A payload has the blocks it draws from and, per name, the name, its second
+    half, the place of its block among them and the position in the block.
+    """
+    bucket = ranges.of(names, level)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for i, j in zip(cuts, [*cuts[1:], len(names)]):
+        owners, owner = np.unique(block[i:j], return_inverse=True)
+        place = 3 if pos[i:j].max() < 1 << 24 else 4
+        parts = [(names[i:j], ranges.width), (pos[i:j].astype(np.uint64), place)]
+        if second is not None:
+            parts.append((second[i:j], SECOND_BYTES))
+        if len(owners) > 1:
+            parts.append((owner.astype(np.uint64), 4))
+        head = bytes([place]) + len(owners).to_bytes(4, "little") + owners.astype("<i8").tobytes()
+        yield int(bucket[i]), head + pack(*parts)
+
+
+def _open_packet(payload: bytes, width: int, wide: bool):
+    """Names, second halves (or None), blocks and positions of a payload."""
+    n = int.from_bytes(payload[1:5], "little")
+    owners = np.frombuffer(payload, "<i8", n, 5)
+    widths = [width, payload[0]] + [SECOND_BYTES] * wide + [4] * (n > 1)
+    names, pos, *rest = unpack(payload[5 + 8 * n:], *widths)
+    second = rest.pop(0) if wide else None
+    block = owners[rest[0].astype(np.int64)] if n > 1 else np.repeat(owners, len(names))
+    return names, second, block, pos.astype(np.int64)
+
+
+def _batch(rows):
+    """Rows of (block, kind, bucket, payload) as Arrow batches."""
+    for k in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows[k:k + 256]), (
+                pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
+            names=["block", "kind", "bucket", "payload"])
+
+
 class Packer:
     """Gathers names of a block of documents and writes its packets."""
 
-    def __init__(self, scheme: Scheme, buckets: int, width: int, whole_groups: bool, limit: int):
-        self.buckets, self.width, self.whole_groups = buckets, width, whole_groups
-        self.limit, self.serial = limit, 0
+    def __init__(self, scheme: Scheme, ranges: Ranges, whole_groups: bool, limit: int):
+        self.ranges, self.whole_groups, self.limit = ranges, whole_groups, limit
         self.reset()
 
     def reset(self):
-        self.names, self.pos, self.docs = [], [], []
+        self.names, self.second, self.pos, self.docs = [], [], [], []
         self.base = self.held = 0
 
-    def add(self, names, pos, docs, n_units: int):
-        self.names.append(names >> np.uint64(64 - 8 * self.width))
+    def add(self, names, pos, docs, n_units: int, second=None):
+        self.names.append(names >> np.uint64(64 - 8 * self.ranges.width))
+        if second is not None:
+            self.second.append(second)
         self.pos.append(pos + self.base)
         self.docs.append(docs)
         self.base += n_units
@@ -191,30 +270,71 @@ class Packer:
 
     def flush(self, block: int):
         names, pos = np.concatenate(self.names), np.concatenate(self.pos)
-        order = np.argsort(names, kind="stable")
+        second = np.concatenate(self.second) if self.second else None
+        order, first = _sorted_groups(names, second)
         names, pos = names[order], pos[order]
-        first = np.ones(len(names), dtype=bool)
-        first[1:] = names[1:] != names[:-1]
         here = ~first  # repeated within the block: known without a shuffle
         if self.whole_groups:
             here[:-1] |= ~first[1:]
         docs = [np.concatenate(x) for x in zip(*self.docs)]
         known = pack_sorted(np.sort(pos[here]))
         rows = [(block, 0, -1 - block, pickle.dumps((docs, known)))]
+        second = second[order][first] if second is not None else None
         names, pos = names[first], pos[first]
-        edges = [(b << (8 * self.width)) // self.buckets for b in range(1, self.buckets)]
-        cuts = [0, *np.searchsorted(names, np.array(edges, dtype=np.uint64)), len(names)]
-        wide = 4 if self.base >= 1 << 24 else 3
-        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if j > i:
-                rows.append((block, 1, b, bytes([wide]) + pack((names[i:j], self.width),
-                                                               (pos[i:j].astype(np.uint64), wide))))
+        of = np.full(len(names), block, dtype=np.int64)
+        rows += [(block, 1, b, p) for b, p in _packet_rows(self.ranges, 1, names, second, of, pos)]
         self.reset()
-        for k in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows[k:k + 256]), (
-                    pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                names=["block", "kind", "bucket", "payload"])
+        yield from _batch(rows)
+
+
+def _sorted_groups(names, second):
+    """Stable order of the names, and where in it a name differs from the one before."""
+    order = np.argsort(names, kind="stable")
+    first = np.ones(len(names), dtype=bool)
+    first[1:] = names[order[1:]] != names[order[:-1]]
+    if second is not None and len(names):
+        other = second[order[1:]] != second[order[:-1]]
+        if (other & ~first[1:]).any():  # equal first halves only: sort by both
+            order = np.lexsort((second, names))
+            first[1:] = (names[order[1:]] != names[order[:-1]]) | (
+                second[order[1:]] != second[order[:-1]])
+    return order, first
+
+
+def refine(ranges: Ranges, level: int, wide: bool, limit: int):
+    """Packets of one coarser range at a time -> packets of its finer ranges."""
+
+    def run(batches):
+        held: list[tuple] = []
+        count, bucket = 0, None
+
+        def split():
+            names, second, block, pos = (
+                None if x[0] is None else np.concatenate(x) for x in zip(*held))
+            order = np.argsort(names, kind="stable")
+            second = second[order] if second is not None else None
+            yield from _batch([(-1, 1, b, p) for b, p in _packet_rows(
+                ranges, level, names[order], second, block[order], pos[order])])
+
+        for batch in batches:
+            done = []
+            for block, kind, b, payload in zip(*(batch[c].to_pylist() for c in (
+                    "block", "kind", "bucket", "payload"))):
+                if kind == 0:
+                    done.append((block, 0, b, payload))
+                    continue
+                if held and (b != bucket or count >= limit):
+                    yield from split()
+                    held, count = [], 0
+                bucket = b
+                held.append(_open_packet(payload, ranges.width, wide))
+                count += len(held[-1][0])
+            if done:
+                yield from _batch(done)
+        if held:
+            yield from split()
+
+    return tidy(run)
 
 
 def _doc_arrays(table: pa.Table, n_units: np.ndarray):
@@ -224,9 +344,9 @@ def _doc_arrays(table: pa.Table, n_units: np.ndarray):
     return (table["_k"].to_numpy(), table["_h"].to_numpy(), digest, n_units)
 
 
-def seed_packets(scheme: Scheme, buckets: int, limit: int):
+def seed_packets(scheme: Scheme, ranges: Ranges, limit: int):
     def run(batches):
-        packer = Packer(scheme, buckets, SEED_BYTES, True, limit)
+        packer = Packer(scheme, ranges, True, limit)
         part, serial = TaskContext.get().partitionId() << 24, 0
         for table in _chunks(batches):
             values, offsets = scheme.units(Block(table["_text"]))
@@ -241,12 +361,12 @@ def seed_packets(scheme: Scheme, buckets: int, limit: int):
     return tidy(run)
 
 
-def window_packets(scheme: Scheme, buckets: int, limit: int, turn: int, turns: int):
+def window_packets(scheme: Scheme, ranges: Ranges, limit: int, turn: int, turns: int):
     """Names of the windows around surviving seeds whose name belongs to this
     turn.  Rows come sorted by document; a row with spans precedes its text."""
 
     def run(batches):
-        packer = Packer(scheme, buckets, NAME_BYTES, False, limit)
+        packer = Packer(scheme, ranges, False, limit)
         part, serial = TaskContext.get().partitionId() << 24, 0
         wanted = None
         for table in _chunks(batches):
@@ -270,7 +390,8 @@ def window_packets(scheme: Scheme, buckets: int, limit: int, turn: int, turns: i
             if turns > 1:
                 now = mix(names) % np.uint64(turns) == turn
                 names, pos = names[now], pos[now]
-            packer.add(names, pos, _doc_arrays(piece, np.diff(offsets)), len(values))
+            second = Rolling(values, SECOND_BASE).windows(pos, scheme.window) >> SECOND_SHIFT
+            packer.add(names, pos, _doc_arrays(piece, np.diff(offsets)), len(values), second)
             if packer.full():
                 yield from packer.flush(part + serial)
                 serial += 1
@@ -280,25 +401,28 @@ def window_packets(scheme: Scheme, buckets: int, limit: int, turn: int, turns: i
     return tidy(run)
 
 
-def compare_adjacent(width: int, keep_first: bool):
+def compare_adjacent(width: int, keep_first: bool, wide: bool = False):
     """Sorts the names of one range at a time and reports repeated ones."""
 
     def report(rows):
-        rows.sort()
-        parts = [unpack(p[1:], width, p[0]) for _, p in rows]
-        names = np.concatenate([p[0] for p in parts])
-        pos = np.concatenate([p[1] for p in parts])
-        owner = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
+        parts = [_open_packet(p, width, wide) for _, p in rows]
+        parts.sort(key=lambda p: p[2][0])
+        names, second, block, pos = (
+            None if x[0] is None else np.concatenate(x) for x in zip(*parts))
         del parts
-        order = np.argsort(names, kind="stable")  # rows are in document order
-        same = np.zeros(len(order) + 1, dtype=bool)
-        same[1:-1] = names[order[1:]] == names[order[:-1]]
+        if (block[1:] < block[:-1]).any():  # refined packets mix blocks
+            at = np.argsort(block, kind="stable")
+            names, block, pos = names[at], block[at], pos[at]
+            second = second[at] if second is not None else None
+        # A block has a name once and blocks are in document order: so are equal names.
+        order, first = _sorted_groups(names, second)
+        same = np.append(~first, False)
         hit = order[same[:-1] if keep_first else same[:-1] | same[1:]]
         hit.sort()
-        owner, pos = owner[hit], pos[hit]
-        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-        out = [(rows[r][0], 1, pack_sorted(np.sort(pos[i:j])))
-               for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        block, pos = block[hit], pos[hit]
+        cuts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
+        out = [(int(block[i]), 1, pack_sorted(np.sort(pos[i:j])))
+               for i, j in zip(cuts, [*cuts[1:], len(block)])]
         return pa.RecordBatch.from_arrays(
             [pa.array([x[c] for x in out], t)
              for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
@@ -372,15 +496,30 @@ def blocks(batches):
         yield docs, found
 
 
-def _spans(packets: DataFrame, width: int, keep_first: bool, before: int, after: int,
+def gathered(packets: DataFrame, ranges: Ranges, wide: bool, limit: int) -> DataFrame:
+    """Packets sorted by the finest ranges, in as many steps as it has digits."""
+    n = partitions(packets.sparkSession)
+    sort = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    packets = sort(packets)
+    for level in range(2, ranges.levels + 1):
+        packets = sort(packets.mapInArrow(refine(ranges, level, wide, limit), PACKETS))
+    return packets
+
+
+def _spans(packets: DataFrame, ranges: Ranges, limit: int, keep_first: bool, before: int, after: int,
            shorter: int) -> DataFrame:
     n = partitions(packets.sparkSession)
-    return (packets.repartition(n, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(compare_adjacent(width, keep_first), "block long, kind int, payload binary")
+    return (gathered(packets, ranges, keep_first, limit)
+            .mapInArrow(compare_adjacent(ranges.width, keep_first, keep_first),
+                        "block long, kind int, payload binary")
             .repartition(n, "block").sortWithinPartitions("block", "kind")
             .mapInArrow(block_spans(before, after, shorter), SPANS))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+
+
 def repeated_spans(docs: DataFrame, scheme: Scheme, block_names: int, turns: int) -> DataFrame:
     """Unit spans to remove: ``_k, _h, starts, ends``, lists of span lists.
 
@@ -389,11 +528,11 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, block_names: int, turns: int
     are left out.  The windows are compared in ``turns`` ranges of their
     names, one after the other, so only a part of them is on disk at a time.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     reach = scheme.window - scheme.seed
-    seeded = cut(_spans(docs.mapInArrow(seed_packets(scheme, 4 * n, block_names), PACKETS),
-                        SEED_BYTES, False, reach, 1, scheme.window - 1))
+    ranges = Ranges(text_bytes(docs) * scheme.seeds_per_byte(), SEED_BYTES)
+    seeded = cut(_spans(docs.mapInArrow(seed_packets(scheme, ranges, block_names), PACKETS),
+                        ranges, block_names, False, reach, 1, scheme.window - 1))
     # A copy of a whole text loses every unit to the copy with the smallest doc_id.
     first = seeded.groupBy("_m").agg(F.min("_k").alias("_first"))
     marked = cut(seeded.join(first, "_m").select(
@@ -406,10 +545,14 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, block_names: int, turns: int
         "_k", "_h", F.lit(1).alias("kind"), "_text", spans.alias("starts"), spans.alias("ends")))
     found = marked.where(F.col("copy") & (F.col("n_units") >= scheme.window)).select(
         "_k", "_h", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_units").alias("ends"))
+    size = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"),
+                       lambda a, x: a + x)
+    windows = marked.where(~F.col("copy")).agg(F.sum(size)).first()[0] or 0
+    ranges = Ranges(windows / turns, NAME_BYTES)
     for turn in range(turns):
         windows = (both.repartitionByRange(n, "_k", "_h").sortWithinPartitions("_k", "_h", "kind")
-                   .mapInArrow(window_packets(scheme, 4 * n, block_names, turn, turns), PACKETS))
-        later = cut(_spans(windows, NAME_BYTES, True, 0, scheme.window, 0)
+                   .mapInArrow(window_packets(scheme, ranges, block_names, turn, turns), PACKETS))
+        later = cut(_spans(windows, ranges, block_names, True, 0, scheme.window, 0)
                     .where(F.size("starts") > 0).select("_k", "_h", "starts", "ends"))
         found = found.unionByName(later)
     return cut(found.groupBy("_k", "_h").agg(F.collect_list("starts").alias("starts"),

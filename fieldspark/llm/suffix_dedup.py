@@ -13,8 +13,8 @@ although only 8 of 57 positions are sampled.
   order suffixes to ``min_bytes - 56`` bytes, so with the depth asked for the
   recursion stops after this level.
 * *Merge the remaining suffixes.*  The suffixes within 56 bytes before a
-  surviving position are named to the full ``min_bytes`` depth and sorted
-  together, sampled and unsampled alike.
+  surviving position are named to the full ``min_bytes`` depth (96 bits) and
+  sorted together, sampled and unsampled alike.
 * *Compare adjacent prefixes.*  Suffixes next to each other with the same
   prefix repeat; all but the first in document order are cut out.
 

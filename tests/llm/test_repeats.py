@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from fieldspark.llm import repeats
 from fieldspark.llm.substring_dedup import op2_substring_dedup, substring_dedup
 from fieldspark.llm.suffix_dedup import op1_suffix_array_dedup, suffix_array_dedup
 
@@ -116,3 +118,41 @@ def test_queries_on_driver_tables(spark):
         kept = " ".join(w for w, x in zip(texts[k], f) if not x).encode()
         assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (
             len(f), sum(f), hashlib.sha256(kept).hexdigest())
+
+
+def test_many_levels_of_ranges(spark, monkeypatch):
+    """Few names per range and a small fan-out: packets are refined three times."""
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    key = lambda out: {(r._row.doc_id, r.n_units): (r.n_removed, r.kept) for r in out.collect()}
+    wanted = key(suffix_array_dedup(df)), key(substring_dedup(df))
+    monkeypatch.setattr(repeats, "RANGE_NAMES", 40)
+    monkeypatch.setattr(repeats, "FANOUT", 4)
+    assert repeats.Ranges(5000, 6).levels == 4
+    assert (key(suffix_array_dedup(df, block_names=100)), key(substring_dedup(df, block_names=50))) == wanted
+
+
+def test_packets_follow_names_not_partitions(spark):
+    docs = spark.createDataFrame([(i, 0, f"{i} some words " * 40) for i in range(400)],
+                                 "_k long, _h long, _text string").cache()
+    try:
+        scheme = repeats.WordRuns(window=20, seed=8)
+        for parts in (4, 64):
+            ranges = repeats.Ranges(repeats.text_bytes(docs) * scheme.seeds_per_byte(), 6)
+            made = docs.repartition(parts).mapInArrow(
+                repeats.seed_packets(scheme, ranges, 1_000_000), repeats.PACKETS).count()
+            assert made <= 2 * parts  # the documents of a block and one range
+    finally:
+        docs.unpersist(blocking=True)
+
+
+def test_equal_first_halves_are_told_apart():
+    """Two 64-bit names collide: their second halves decide."""
+    names = np.array([5, 5, 5, 5, 1, 9], dtype=np.uint64)
+    second = np.array([1, 2, 1, 3, 7, 8], dtype=np.uint64)
+    order, first = repeats._sorted_groups(names, second)
+    groups = np.cumsum(first)
+    of = dict(zip(order.tolist(), groups.tolist()))
+    assert of[0] == of[2] and len({of[0], of[1], of[3], of[4], of[5]}) == 5
+    order, first = repeats._sorted_groups(names, None)
+    assert first.sum() == 3
