@@ -4,14 +4,14 @@
    minima.  The minima of a band, taken whole, are hashed to a bucket key;
    of each minimum only ``BITS`` bits of its hash are kept, packed into longs.
 2. Documents with equal sets form one class; only its smallest doc_id goes on.
-3. In each bucket the other members are paired with the smallest member.
-   Packed signatures estimate the similarity by bit counts, corrected for
-   chance agreement of ``BITS`` bits; pairs far below the threshold are
-   dropped.  The others are confirmed on the full sets.
-4. Confirmed links are contracted to components.  Members of a bucket that
-   are still in different components are paired again, with another centre
-   and finally with each other, so that a link between two non-centres is
-   not lost.  Pairs within one component are never made.  For the last step
+3. Bands are taken a few at a time.  In each bucket one member of each
+   component is paired with the bucket's centre.  Packed signatures estimate
+   the similarity by bit counts, corrected for chance agreement of ``BITS``
+   bits; pairs far below the threshold are dropped, the others are confirmed on
+   the full sets, and what is linked is one component in the bands that follow.
+4. Members of a bucket that are still in different components are paired
+   with each other, so that a link between two non-centres is
+   not lost.  Pairs within one component are never made.  For this last step
    the shingles that no other such document has are counted: at most the rest
    can be shared, and pairs that cannot reach the threshold even if all of it
    were are not made either.  Many variants of one text then cost no square.
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import U64, Block, Rolling, Words, mix, tidy
-from .repeats import (PACKETS, SEED_BYTES, SMALLEST, Scheme, _chunks, blocks, compare_adjacent,
-                      seed_packets)
+from .repeats import (PACKETS, SEED_BYTES, SMALLEST, Ranges, Scheme, _chunks, blocks,
+                      compare_adjacent, gathered, seed_packets, text_bytes)
 from .session import cut, partitions
 
 BITS = 2
+BLOCK_NAMES = 1_000_000
 SIGNATURES = ("_k long, n_shingles long, set_a long, set_b long, keys array<long>, "
               "packed array<long>")
 
@@ -157,6 +158,9 @@ class Shingles(Scheme):
     def units(self, block):
         return shingle_sets(block, self.seed)
 
+    def seeds_per_byte(self):
+        return 1 / 6
+
     def seeds(self, values, offsets):
         return np.arange(len(values)), values
 
@@ -180,9 +184,10 @@ def shared_shingles(docs: DataFrame, size: int) -> DataFrame:
     another of these documents has too."""
     n = partitions(docs.sparkSession)
     scheme = Shingles(window=size, seed=size)
+    ranges = Ranges(text_bytes(docs) * scheme.seeds_per_byte(), SEED_BYTES)
     packets = docs.withColumn("_h", F.lit(0).cast("long")).mapInArrow(
-        seed_packets(scheme, 4 * n, 1_000_000), PACKETS)
-    counts = (packets.repartition(n, "bucket").sortWithinPartitions("bucket")
+        seed_packets(scheme, ranges, BLOCK_NAMES), PACKETS)
+    counts = (gathered(packets, ranges, False, BLOCK_NAMES)
               .mapInArrow(compare_adjacent(SEED_BYTES, False), "block long, kind int, payload binary")
               .repartition(n, "block").sortWithinPartitions("block", "kind")
               .mapInArrow(tidy(_count_found), "_k long, n long, common long"))
@@ -211,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sig.where("n_shingles > 0").groupBy(*same).agg(F.min("_k").alias("rep"))
     reps = cut(sig.where("n_shingles > 0").join(classes, same).where("_k = rep")
                .dropDuplicates(["_k", *same]).select("_k", "keys", "packed"))
-    buckets = reps.select("_k", F.explode("keys").alias("key"))
+    buckets = reps.select("_k", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(buckets.join(shared, "key"))
     packed = reps.groupBy("_k").agg(F.first("packed").alias("packed"))
@@ -233,33 +238,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = connected_components(edges.where("ok").select("a", "b"))
         return cut(comp)
 
-    def mixed(labels: DataFrame) -> DataFrame:
+    def mixed(of: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Members of buckets that still hold different components."""
-        of = (members.join(labels.withColumnRenamed("node", "_k"), "_k", "left")
-              .select("key", "_k", F.coalesce("component", "_k").alias("comp")))
+        if labels is None:
+            of = of.withColumn("comp", F.col("_k"))
+        else:
+            of = of.join(labels.withColumnRenamed("node", "_k"), "_k", "left").withColumn(
+                "comp", F.coalesce("component", "_k"))
         apart = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return of.join(apart.where("lo < hi").select("key"), "key")
+        return of.join(apart.where("lo < hi").select("key"), "key").select("key", "_k", "comp")
 
     def ordered(x, y):
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    centre = members.groupBy("key").agg(F.min("_k").alias("c"))
-    tested = cut(members.join(centre, "key").where("_k <> c").select(*ordered("_k", "c")).distinct())
-    edges = links(tested)
-    labels = labelled(edges)
-    apart = cut(mixed(labels))
-    # another centre of another component for whatever the first did not link
-    centre = apart.groupBy("key").agg(F.max(F.struct("comp", "_k")).alias("c"))
-    again = (apart.join(centre, "key").where("comp <> c.comp").select(*ordered("_k", "c._k"))
-             .distinct().join(tested, ["a", "b"], "left_anti"))
-    again = cut(again)
-    edges = cut(edges.unionByName(links(again)))
-    labels = labelled(edges)
-    apart = cut(mixed(labels))
-    counts = shared_shingles(base.join(apart.select("_k").distinct(), "_k"), size)
+    # A few bands at a time: one member of each component in a bucket is held
+    # against the bucket's centre, and what is linked is one component from then on.
+    edges = tested = labels = None
+    edge = [0, max(1, bands // 32), max(1, bands * 6 // 32), bands]
+    for i, j in zip(edge, edge[1:]):
+        if i == j:
+            continue
+        here = (F.col("band") >= i) & (F.col("band") < j)
+        apart = mixed(members.where(here), labels)
+        fronts = apart.groupBy("key", "comp").agg(F.min("_k").alias("_k"))
+        centre = fronts.groupBy("key").agg(F.min(F.struct("comp", "_k")).alias("c"))
+        pairs = (fronts.join(centre, "key").where("comp <> c.comp").select(*ordered("_k", "c._k"))
+                 .distinct())
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty() and labels is not None:
+            continue
+        tested = pairs if tested is None else cut(tested.unionByName(pairs))
+        found = links(pairs)
+        edges = found if edges is None else cut(edges.unionByName(found))
+        labels = labelled(edges)
+    apart = cut(mixed(members, labels))
+    # One row per document until the buckets are needed for the pairs.
+    alone = cut(apart.groupBy("_k").agg(F.min("comp").alias("comp")))
+    counts = shared_shingles(base.join(alone.select("_k"), "_k"), size)
     possible = 100 * F.col("common") >= per_cent * F.col("n")
-    own = reps.groupBy("_k").agg(F.flatten(F.collect_list("keys")).alias("own"))
-    apart = cut(apart.join(counts, "_k").where(possible).join(packed, "_k").join(own, "_k"))
+    own = reps.groupBy("_k").agg(F.first("packed").alias("packed"),
+                                 F.flatten(F.collect_list("keys")).alias("own"))
+    alone = cut(alone.join(counts.where(possible), "_k").join(own, "_k"))
+    apart = cut(alone.withColumn("key", F.explode(F.array_distinct("own"))).join(
+        apart.select("key").distinct(), "key", "left_semi"))
     other = apart.select("key", F.col("_k").alias("_k2"), F.col("comp").alias("comp2"), F.col(
         "packed").alias("packed2"), F.col("n").alias("n2"), F.col("common").alias("common2"),
         F.col("own").alias("own2"))
@@ -271,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a pair is made in the first bucket that both have, not in each
         & (F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("key")))
         .select(*ordered("_k", "_k2")).distinct()
-        .join(tested.unionByName(again), ["a", "b"], "left_anti"))
+        .join(tested, ["a", "b"], "left_anti"))
     edges = edges.unionByName(links(cut(rest)))
     labels = labelled(edges)
     out = (sig.select("_k", *same).join(classes, same, "left")
