@@ -226,15 +226,15 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         root_name().alias("root"), "conv", F.lit(0).cast("long").alias("j"), "n", "ends",
         F.array().cast("array<struct<k:int,x:binary>>").alias("ups"),
         F.lit(None).cast("long").alias("words"))
+    ended = F.coalesce(ends.where(F.col("ends") == root_name()).agg(F.max("ends_sha256")).scalar(), bare)
     root = convs.agg(F.min("conv").alias("conv"), F.count("*").alias("n_convs")).where(
-        "conv is not null").withColumn("ends", root_name())
+        "conv is not null").withColumn("ends_sha256", ended)
     if not levels:
-        return root.join(ends, "ends", "left").select(
+        return root.select(
             F.col("conv").alias("conv_id"), F.lit(0).cast("long").alias("depth"),
             F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
             F.lit(0).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"),
-            F.lit(0).cast("long").alias("saved_tokens"),
-            F.coalesce("ends_sha256", bare).alias("ends_sha256"))
+            F.lit(0).cast("long").alias("saved_tokens"), "ends_sha256")
     single, names = cut_pieces(pieces, pairs, levels)
     names = cut(names)
     children = single.groupBy(F.col("root").alias("node")).agg(F.count("*").alias("n_children"))
@@ -257,13 +257,12 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     sums = nodes.agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"),
                      F.sum(top.cast("long")).alias("n_children"))
     sums = sums.agg(F.struct(*[F.first(c).alias(c) for c in sums.columns])).scalar()
-    first = root.join(ends, "ends", "left").select(
+    first = root.select(
         F.col("conv").alias("conv_id"), F.lit(0).cast("long").alias("depth"),
         F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
         F.coalesce(sums["n_children"], F.lit(0)).alias("n_children"),
         F.coalesce(sums["n_leaves"], F.lit(1)).alias("n_leaves"),
-        F.coalesce(sums["saved_tokens"], F.lit(0)).alias("saved_tokens"),
-        F.coalesce("ends_sha256", bare).alias("ends_sha256"))
+        F.coalesce(sums["saved_tokens"], F.lit(0)).alias("saved_tokens"), "ends_sha256")
     return first.unionByName(out)
 
 
