@@ -3,14 +3,17 @@
 Only DataFrame functions and Spark ML.  URLs that a rule decides are the
 labelled ones; trees trained on them judge all others from the look of the
 URL: length, depth, digit share, entropy, number of parameters and how often
-labelled URLs with the same host suffix are blocked.
+labelled URLs with the same host suffix, or the same first part of the path, are
+blocked.  For a labelled URL that
+share comes from the hosts of the other folds only, so no URL sees its own
+label or that of its host.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
@@ -21,7 +24,7 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 SPLIT = "(?s)^.*?://([^/?#]*)([^?#]*)"
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_share", "entropy",
             "parameters", "hyphens", "has_query", "has_fragment", "secure", "longest_label",
-            "suffix_share", "suffix_blocked")
+            "suffix_share", "suffix_blocked", "segment_share", "segment_blocked")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,16 +66,20 @@ def lexical_features(df: DataFrame) -> DataFrame:
         "has_query": number(url.contains("?")), "has_fragment": number(url.contains("#")),
         "secure": number(url.startswith("https:")),
         "longest_label": number(F.array_max(F.transform(labels, F.length))),
-        "suffix": F.element_at(labels, -1)})
+        "suffix": F.element_at(labels, -1),
+        "segment": F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(""))})
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
                limit: int = 20_000, trees: int = 12, depth: int = 4,
-               threshold: float = 0.5, seed: int = 1) -> DataFrame:
+               threshold: float = 0.5, seed: int = 1, folds: int = 5,
+               learn_from: Column | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_score`` for every row.
 
     Trees are trained on at most ``limit`` URLs that a rule decides, chosen by
-    a hash of the URL; suffix statistics cover all rows.  Defined cases: a
+    a hash of the URL; suffix statistics cover all rows.  ``learn_from`` (a
+    condition on ``host`` and ``path``) keeps the labels of other URLs from the
+    model, to test it on them.  Defined cases: a
     NULL url or one without ``://`` has empty host and path, fits no rule and
     is judged by the trees; if the rules leave no row, or only one verdict,
     to learn from, that verdict (``allow`` without any) is given to the rest;
@@ -86,12 +93,23 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = lexical_features(rows.withColumns({"rule": rule, "_verdict": verdict}))
     rows = cut(rows)
     blocked = F.when(F.col("_verdict") == "block", 1.0).when(F.col("_verdict") == "allow", 0.0)
+    if learn_from is not None:
+        blocked = F.when(learn_from, blocked)
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("host"), F.lit(folds)).cast("int"))
     total, labelled, share = rows.agg(F.count("*"), F.count(blocked), F.avg(blocked)).first()
-    suffixes = rows.groupBy("suffix").agg(
-        (F.count("*") / F.lit(float(max(total, 1)))).alias("suffix_share"),
-        ((F.coalesce(F.sum(blocked), F.lit(0.0)) + F.lit(10.0 * (share or 0.0)))
-         / (F.count(blocked) + 10.0)).alias("suffix_blocked"))
-    rows = rows.join(suffixes, "suffix")
+    prior = share or 0.0
+    for part in ("suffix", "segment"):
+        whole = Window.partitionBy(part)
+        sums = rows.groupBy(part, "_fold").agg(
+            F.count("*").alias("_n"), F.coalesce(F.sum(blocked), F.lit(0.0)).alias("_b"),
+            F.count(blocked).alias("_k")).select(
+            part, "_fold", "_b", "_k", F.sum("_b").over(whole).alias("_all_b"),
+            F.sum("_k").over(whole).alias("_all_k"),
+            (F.sum("_n").over(whole) / F.lit(float(max(total, 1)))).alias(f"{part}_share"))
+        own = lambda c: F.when(blocked.isNotNull(), F.col(c)).otherwise(0)
+        rows = rows.join(sums, [part, "_fold"]).withColumn(
+            f"{part}_blocked", (F.col("_all_b") - own("_b") + F.lit(10.0 * prior))
+            / (F.col("_all_k") - own("_k") + 10.0)).drop("_b", "_k", "_all_b", "_all_k")
     only = "block" if share == 1.0 else "allow"
     if share in (None, 0.0, 1.0):
         scored = rows.withColumn("block_score", F.lit(1.0 if only == "block" else 0.0))

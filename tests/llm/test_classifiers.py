@@ -226,11 +226,16 @@ def test_url_rules(spark):
 
 
 def test_url_model_held_out(spark):
-    """Trees trained without some rules' URLs agree with these rules."""
-    out = op10_boosted_urls(spark, SF).where("rule is not null")
-    rows = out.select("verdict", "block_score").collect()
+    """Trees that never saw the labels of a fifth of the hosts agree with the
+    rules on these hosts; nor does a labelled URL see its own label."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    held = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
+    out = judge_urls(pages, learn_from=~held)
+    rows = out.where(held & F.col("rule").isNotNull()).select("verdict", "block_score").collect()
     agree = sum((r.block_score >= 0.5) == (r.verdict == "block") for r in rows)
-    assert agree / len(rows) > 0.85
+    print("held-out agreement", agree, len(rows))
+    most = max(sum(r.verdict == v for r in rows) for v in ("block", "allow"))
+    assert len(rows) > 50 and agree >= most and agree / len(rows) > 0.75
 
 
 def test_ann_recall_and_scores(spark):
