@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.minhash_dedup import near_duplicates
+from fieldspark.llm.minhash_dedup import near_duplicates, row_key
 from fieldspark.llm.mixing import mix_sources
 from fieldspark.llm.packing import pack_documents
 from fieldspark.llm.quality import train_quality, with_quality
@@ -32,10 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return _rows(docs).join(kept, F.col("_row.doc_id").eqNullSafe(F.col("_kept")),
-                            "left_semi").select("_row.*")
+    """The smallest doc_id of each group of near duplicates stays.
+
+    Of rows that repeat it, or share its id, one stays; a text without words
+    is no duplicate.
+    """
+    found = near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "row_key"))
+    kept = found.where("n_shingles > 0").groupBy("group_key").agg(first.alias("first")).select(
+        F.col("first.row_key").alias("_key"))
+    word = F.coalesce(F.col("_row.text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    rows = _rows(docs).withColumn("_key", row_key("_row.doc_id", "_row.text"))
+    return (rows.where(word).join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+            .unionByName(rows.where(~word)).select("_row.*"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

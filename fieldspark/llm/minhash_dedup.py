@@ -3,7 +3,7 @@
 1. Every document's set of distinct word shingles gives ``bands * rows``
    minima.  The minima of a band, taken whole, are hashed to a bucket key;
    of each minimum only ``BITS`` bits of its hash are kept, packed into longs.
-2. Documents with equal sets form one class; only its smallest doc_id goes on.
+2. Documents with equal sets form one class; only one of them goes on.
 3. Bands are taken a few at a time.  In each bucket one member of each
    component is paired with the bucket's centre.  Packed signatures estimate
    the similarity by bit counts, corrected for chance agreement of ``BITS``
@@ -38,7 +38,7 @@ from .session import cut, partitions
 
 BITS = 2
 BLOCK_NAMES = 1_000_000
-SIGNATURES = ("_k long, n_shingles long, set_a long, set_b long, keys array<long>, "
+SIGNATURES = ("_k long, _id long, n_shingles long, set_a long, set_b long, keys array<long>, "
               "packed array<long>")
 
 
@@ -101,9 +101,10 @@ def signatures(size: int, bands: int, rows: int, seed: int):
                 return pa.ListArray.from_arrays(ends, pa.array(m.view(np.int64).reshape(-1)))
 
             yield pa.RecordBatch.from_arrays(
-                [table["_k"].combine_chunks(), pa.array(count), pa.array(full[0].view(np.int64)),
-                 pa.array(full[1].view(np.int64)), lists(keys), lists(packed)],
-                names=["_k", "n_shingles", "set_a", "set_b", "keys", "packed"])
+                [table["_k"].combine_chunks(), table["_id"].combine_chunks(), pa.array(count),
+                 pa.array(full[0].view(np.int64)), pa.array(full[1].view(np.int64)),
+                 lists(keys), lists(packed)],
+                names=["_k", "_id", "n_shingles", "set_a", "set_b", "keys", "packed"])
 
     return tidy(run)
 
@@ -238,26 +239,39 @@ def shared_at_most(x: str, y: str, n: str, m: str):
                    F.col(m) - F.coalesce(lacking(b, a), F.lit(0)))
 
 
+def row_key(id_col, text_col):
+    """What tells rows apart: a hash of id and text, so that rows with one id,
+    or none, and different texts are different documents."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST)),
+                      F.coalesce(F.col(text_col), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = 5, per_cent: int = 75, bands: int = 32, rows: int = 4,
                     seed: int = 11) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row.
+    """``doc_id, n_shingles, component_id, kept, row_key, group_key`` for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded.  Documents whose sets
     share ``per_cent`` of their union are linked; ``component_id`` is the
     smallest doc_id reachable.  ``bands * rows`` must be a multiple of 32.
+    ``row_key`` is that function's value, ``group_key`` the same for the rows of
+    a component.
 
     Defined cases: NULL, empty and blank texts have 0 shingles and are linked
     with nothing; a NULL id counts as the smallest and is returned as NULL;
-    rows with equal id and equal set get equal results, each row belongs to
-    the component of its own text; an empty table gives an empty result.
+    rows that share an id (or have none) belong each to the component of its own
+    text, so several of them can be ``kept``; repeated rows get equal results;
+    an empty table gives an empty result.
     """
     longs = bands * rows * BITS // 64
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST)).alias("_k"),
-                       F.coalesce(text_col, F.lit("")).alias("_text"))
-    sig = cut(base.mapInArrow(signatures(size, bands, rows, seed), SIGNATURES))
+    ids = docs.select(row_key(id_col, text_col).alias("_k"),
+                      F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST)).alias("_id"),
+                      F.coalesce(text_col, F.lit("")).alias("_text"))
+    base = ids.select("_k", "_text")
+    sig = cut(ids.mapInArrow(signatures(size, bands, rows, seed), SIGNATURES))
     same = ["set_a", "set_b", "n_shingles"]
-    classes = sig.where("n_shingles > 0").groupBy(*same).agg(F.min("_k").alias("rep"))
+    classes = sig.where("n_shingles > 0").groupBy(*same).agg(
+        F.min("_k").alias("rep"), F.min("_id").alias("low"))
     reps = cut(sig.where("n_shingles > 0").join(classes, same).where("_k = rep")
                .dropDuplicates(["_k", *same]).select("_k", "keys", "packed"))
     buckets = reps.select("_k", F.posexplode("keys").alias("band", "key"))
@@ -344,16 +358,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(tested, ["a", "b"], "left_anti"))
     edges = edges.unionByName(links(cut(rest)))
     labels = labelled(edges)
-    out = (sig.select("_k", *same).join(classes, same, "left")
-           .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-           .select("_k", "n_shingles",
-                   F.coalesce("component", "rep", "_k").alias("component")))
+    linked = labels.withColumnRenamed("node", "rep")
+    lowest = linked.join(classes.select("rep", "low"), "rep").groupBy("component").agg(
+        F.min("low").alias("lowest"))
+    out = (sig.select("_k", "_id", *same).join(classes, same, "left")
+           .join(linked.join(lowest, "component"), "rep", "left")
+           .select("_k", "_id", "n_shingles", F.coalesce("lowest", "low", "_id").alias("component"),
+                   F.coalesce("component", "rep", "_k").alias("group")))
     real = lambda c: F.when(F.col(c) != SMALLEST, F.col(c))
-    return out.select(real("_k").alias("doc_id"), "n_shingles",
+    return out.select(real("_id").alias("doc_id"), "n_shingles",
                       real("component").alias("component_id"),
-                      (F.col("_k") == F.col("component")).alias("kept"))
+                      (F.col("_id") == F.col("component")).alias("kept"),
+                      F.col("_k").alias("row_key"), F.col("group").alias("group_key"))
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")
-                           .select("doc_id", "text"))
+                           .select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id", "kept")

@@ -89,6 +89,27 @@ def test_null_id_repeats_and_empty(spark):
         (-1, -1, True), (4, -1, False), (4, -1, False), (7, 7, True)]
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(5, one, ""), (5, two, ""), (6, two + " more", ""), (7, one, ""), (3, three, ""),
+            (None, three, ""), (None, "p " + three, ""), (None, one + " q", "")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).select(
+        "doc_id", "component_id", "kept", "n_shingles").collect()
+    assert sorted((r[0] or -1, r[1] or -1, r[2], r[3]) for r in got) == [
+        (-1, -1, True, 26), (-1, -1, True, 27), (-1, -1, True, 27), (3, -1, False, 26),
+        (5, -1, False, 26), (5, 5, True, 26), (6, 5, False, 27), (7, -1, False, 26)]
+
+
+def test_bitmap_bound_drops_no_link(spark):
+    # hundreds of variants that share most shingles; few pairs reach the threshold
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(100)]
+    texts = dict(enumerate(variants(rng, words, 150, 14)))
+    got = near_duplicates(spark.createDataFrame(
+        [(i, t, "") for i, t in texts.items()], SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == exact(texts)
+
+
 def test_query_on_driver_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     want = exact({r["doc_id"]: r["text"] for r in docs})
