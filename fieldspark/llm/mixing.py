@@ -23,7 +23,7 @@ from .session import cut
 
 GROUP = 4096
 LANDING = 12
-ROWS = ("_source string, _id long, _size long, source_size long, target double, whole int, "
+ROWS = ("_source string, _id long, _size long, _nth long, source_size long, target double, whole int, "
         "p double, draw double")
 
 
@@ -79,7 +79,8 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_size", "draw", "_id"], ascending=[False, True, True])
+        group = group.sort_values(["_size", "draw", "_id", "_nth"],
+                                  ascending=[False, True, True, True])
         size = group["_size"].to_numpy(dtype=float)
         p = np.array(flight(group["p"].tolist(), size.tolist(), group["draw"].tolist(),
                             LANDING - 2 if last else 0))
@@ -111,6 +112,16 @@ def targets(sizes: DataFrame) -> DataFrame:
         cap.cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
+def numbered_repeats(sizes: DataFrame, names: list[str]) -> DataFrame:
+    """Adds ``_nth``, 0 and up among equal rows, without bringing them together:
+    they are counted and written out again, a block of the count at a time."""
+    counted = sizes.groupBy(*names).agg(F.count("*").alias("_n"))
+    blocks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1,
+                                                              F.lit(GROUP).cast("long"))))
+    return blocks.select(*names, F.explode(F.sequence(F.col("_from"), F.least(
+        F.col("_from") + GROUP, F.col("_n")) - 1)).alias("_nth"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", seed: int = 5) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` per row.
@@ -118,13 +129,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Size is the number of ``[^\\x20\\x09-\\x0D]+`` words.  Defined cases: a NULL
     or empty text has size 0; a NULL source is a source of its own, the last;
     a source without words has target 0; repeated rows are separate
-    documents; an empty table gives an empty result.  Reruns agree: draws are
-    hashes of doc_id, size and seed.
+    documents, numbered among their like; an empty table gives an empty result.
+    Reruns agree: draws are hashes of doc_id, size, that number and seed.
     """
-    sizes = cut(docs.select(
+    sizes = docs.select(
         F.col(source_col).cast("string").alias("_source"), F.col(id_col).cast("long").alias("_id"),
         F.coalesce(F.regexp_count(text_col, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0))
-        .cast("long").alias("_size")))
+        .cast("long").alias("_size"))
+    sizes = cut(numbered_repeats(sizes, sizes.columns))
     goal = targets(sizes)
     goal = cut(goal)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -132,11 +144,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
             .withColumn("whole", F.floor(rate).cast("int"))
             .withColumn("p", rate - F.floor(rate))
-            .withColumn("draw", F.pmod(F.xxhash64("_id", "_size", F.lit(seed)), F.lit(1 << 30))
+            .withColumn("draw", F.pmod(F.xxhash64("_id", "_size", "_nth", F.lit(seed)), F.lit(1 << 30))
                         / F.lit(float(1 << 30))))
     names = [x.split()[0] for x in ROWS.split(", ")]
     groups = F.ceil(F.col("n") / GROUP)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "_size"), groups))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "_size", "_nth"), groups))
     most = goal.agg(F.max("n")).first()[0] or 0
     parts, decided = salted.drop("n"), []
     while True:
@@ -153,7 +165,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most = count.agg(F.max("n")).first()[0] or 0
         parts = (rest.join(count.withColumnRenamed("_source", "_s"),
                            F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-                 .withColumn("salt", F.pmod(F.xxhash64("_id", "_size"), groups)).drop("n"))
+                 .withColumn("salt", F.pmod(F.xxhash64("_id", "_size", "_nth"), groups)).drop("n"))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
