@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.llm.minhash_dedup import near_duplicates, row_key
@@ -63,16 +63,17 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the number of copies that the mix takes of them."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.sort_array(F.collect_list("copies")).alias("_copies"))
-    # Rows that share a doc_id take the copies of that doc_id in turn.
-    same = Window.partitionBy("_row.doc_id").orderBy(F.xxhash64("_row.text"))
-    rows = _rows(docs).withColumn("_nth", F.row_number().over(same)).join(
-        copies, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
-    times = F.element_at("_copies", F.col("_nth"))
-    return (rows.where(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times)))
-            .select("_row.*"))
+    """Documents in the number of copies that the mix takes of them.
+
+    Rows are told apart by a hash of all columns (maps aside); rows alike in
+    all of them are interchangeable and take the sum of their copies.
+    """
+    plain = [f"_row.`{c}`" for c, t in docs.dtypes if "map<" not in t]
+    rows = _rows(docs).withColumn("_key", F.xxhash64(*plain))
+    copies = mix_sources(rows.select("_key", "_row.text", "_row.source"), "_key").groupBy(
+        F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_times"))
+    return (rows.dropDuplicates(["_key"]).join(copies.where("_times > 0"), "_key")
+            .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
