@@ -58,15 +58,38 @@ judged AS (
          CASE WHEN chars >= 200 THEN {_JSD.format(
              p="list_transform(c, lambda x: x / chars)", q="cr.q")} END AS cd,
          CASE WHEN f.n_words >= 50 THEN {_JSD.format(
-             p="list_transform(o, lambda x: x / f.n_words)", q="wr.q")} END AS wd
+             p="list_transform(o, lambda x: x / f.n_words)", q="wr.q")} END AS wd,
+         o[len(o)] = f.n_words AND pow(wr.q[len(wr.q)], f.n_words) < 1e-9 AS no_common
   FROM full_counts f LEFT JOIN covered v USING (r) LEFT JOIN dup_lines d USING (r)
   JOIN class_ref cr ON cr.g IS NOT DISTINCT FROM f.g
-  JOIN word_ref wr ON wr.g IS NOT DISTINCT FROM f.g)
+  JOIN word_ref wr ON wr.g IS NOT DISTINCT FROM f.g),
+bins AS (
+  SELECT g, s, b, count(*) AS n FROM (
+    SELECT g, length(bin(n_words // 50)) - 1 AS s, floor(wd * 10000)::BIGINT AS b
+    FROM judged WHERE wd IS NOT NULL
+    UNION ALL
+    SELECT g, NULL, floor(wd * sqrt(n_words) * 1000)::BIGINT FROM judged WHERE wd IS NOT NULL)
+  GROUP BY ALL),
+below AS (SELECT *, sum(n) OVER (PARTITION BY g, s ORDER BY b) AS c,
+                 sum(n) OVER (PARTITION BY g, s) AS m FROM bins),
+quantiles AS (
+  SELECT g, s, max(m)::DOUBLE AS m, min(b) FILTER (2 * c >= m) AS mid,
+         min(b) FILTER (100 * c >= 16 * m) AS low FROM below GROUP BY g, s),
+raws AS (SELECT g, s, m, (mid + 4.0::DOUBLE * (mid - low)) AS raw FROM quantiles),
+limits AS (
+  SELECT c.g, c.s, min((c.m * least(0.45::DOUBLE, greatest(0.25::DOUBLE, c.raw / 10000))
+      + 30 * ((a.m * least(0.45::DOUBLE, greatest(0.25::DOUBLE, a.raw / 1000 / sqrt(50 * pow(2, c.s))))
+               + 30 * 0.45::DOUBLE) / (a.m + 30))) / (c.m + 30))
+    OVER (PARTITION BY c.g ORDER BY c.s) AS most
+  FROM raws c JOIN raws a ON a.g IS NOT DISTINCT FROM c.g AND a.s IS NULL
+  WHERE c.s IS NOT NULL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
        n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(cd > 0.25, false) AND NOT coalesce(wd > 0.45, false) AS kept
-FROM judged
+       NOT base_failed AND NOT coalesce(cd > 0.25, false)
+       AND NOT coalesce(wd > most OR (wd IS NOT NULL AND no_common), false) AS kept
+FROM judged j LEFT JOIN limits l
+  ON l.g IS NOT DISTINCT FROM j.g AND l.s = length(bin(j.n_words // 50)) - 1 AND j.n_words >= 50
 """
 
 OP2_SQL = r"""

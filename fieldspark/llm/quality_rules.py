@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Character classes; what is in none of them is the last class.
@@ -81,12 +81,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "_lines", "_grams", "_pairs", "_next", "_last", "_at")
 
 
-def common_words(docs: DataFrame, top: int, tracked: int) -> dict[str | None, list[str]]:
-    """The ``top`` most frequent words of each ``_group``, from a sketch that
-    tracks a bounded number of words (exact while there are fewer)."""
-    words = docs.select("_group", F.explode("_words").alias("w"))
-    found = words.groupBy("_group").agg(F.expr(f"approx_top_k(w, {top}, {tracked})").alias("k"))
-    return {r[0]: sorted(x["item"] for x in r[1]) for r in found.collect()}
+def common_words(docs: DataFrame, top: int) -> DataFrame:
+    """``_g, _common``: the ``top`` most frequent words of each ``_group``, ties
+    by word.
+
+    Words are counted once per group before anything is ranked, and each task
+    keeps its own best ``top`` per group before the ranking, so no task sorts
+    the vocabulary of a language.
+    """
+    words = docs.select("_group", F.explode("_words").alias("_w")).groupBy("_group", "_w").agg(
+        F.count("*").alias("_n"))
+    best = Window.partitionBy("_group").orderBy(F.col("_n").desc(), "_w")
+    return (words.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top)
+            .groupBy(F.col("_group").alias("_g")).agg(F.sort_array(F.collect_list("_w"))
+                                                      .alias("_common")))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -105,34 +113,49 @@ def shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: F.try_divide(x, total))
 
 
-def word_limits(judged: DataFrame, spreads: float, least: int, lowest: float,
+def word_limits(judged: DataFrame, spreads: float, prior: float, min_words: int, lowest: float,
                 highest: float) -> DataFrame:
     """Limit of the word distance per ``_group`` and doubling of the length.
 
     The median plus ``spreads`` times its distance from the 16 % quantile (one
     standard error below it): the lower half holds no junk that would widen the
-    limit.  Within ``lowest`` and ``highest``, and not above the limit of a
-    shorter length, as distances fall with the length.  A class of fewer than
-    ``least`` documents takes the limit of the shorter ones, ``highest`` if none
-    has enough.
+    limit.  Both come from exact counts in narrow bins.  The limit of a class is
+    a mean of its own, weighted by its documents, and that of its language with
+    the weight of ``prior`` documents; a language's in turn of its own and
+    ``highest``.  What languages have in common over all lengths is the distance
+    times the root of the length.  Limits are not above those of a shorter
+    length, as distances fall with the length.
     """
-    q = F.percentile_approx("word_distance", F.array(F.lit(0.16), F.lit(0.5)), 10_000)
-    found = (judged.where("word_distance is not null").groupBy("_group", "_size")
-             .agg(F.count("*").alias("_m"), q.alias("_q")))
-    limit = F.col("_q")[1] + spreads * (F.col("_q")[1] - F.col("_q")[0])
-    own = F.when(F.col("_m") < least, F.lit(highest)).otherwise(
-        F.least(F.lit(highest), F.greatest(F.lit(lowest), limit)))
-    shorter = Window.partitionBy("_group").orderBy("_size").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return found.select(F.col("_group").alias("_g"), F.col("_size").alias("_s"),
-                        F.min(own).over(shorter).alias("_limit"))
+    far = F.col("word_distance")
+    bins = F.explode(F.array(
+        F.struct(F.col("_size").alias("_s"), F.floor(far * 10_000).alias("_b")),
+        F.struct(F.lit(None).cast("int").alias("_s"),
+                 F.floor(far * F.sqrt("n_words") * 1000).alias("_b"))))
+    counted = (judged.where(far.isNotNull()).select("_group", bins.alias("_at"))
+               .groupBy("_group", "_at._s", "_at._b").agg(F.count("*").alias("_n")))
+    each = Window.partitionBy("_group", "_s")
+    counted = counted.withColumns({
+        "_below": F.sum("_n").over(each.orderBy("_b")), "_m": F.sum("_n").over(each)})
+    middle = F.min(F.when(2 * F.col("_below") >= F.col("_m"), F.col("_b")))
+    low = F.min(F.when(100 * F.col("_below") >= 16 * F.col("_m"), F.col("_b")))
+    found = counted.groupBy("_group", "_s").agg(
+        F.max("_m").alias("_m"), (middle + spreads * (middle - low)).alias("_raw"))
+    language = Window.partitionBy("_group")
+    within = lambda x: F.least(F.lit(highest), F.greatest(F.lit(lowest), x))
+    overall = lambda c: F.max(F.when(F.col("_s").isNull(), F.col(c))).over(language)
+    found = found.withColumns({"_all": overall("_m"), "_z": overall("_raw")}).where("_s is not null")
+    general = within(F.col("_z") / 1000 / F.sqrt(min_words * F.pow(F.lit(2.0), F.col("_s"))))
+    mean = lambda n, own, rest: (n * own + prior * rest) / (n + prior)
+    limit = mean(F.col("_m"), within(F.col("_raw") / 10_000),
+                 mean(F.col("_all"), general, F.lit(highest)))
+    shorter = language.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return found.select(F.col("_group").alias("_g"), "_s", F.min(limit).over(shorter).alias("_limit"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  lang_col: str = "lang", top: int = 16, languages: int = 64,
-                  tracked: int = 10_000, min_chars: int = 200, min_words: int = 50,
+                  lang_col: str = "lang", top: int = 16, min_chars: int = 200, min_words: int = 50,
                   max_class_distance: float = 0.25, max_word_distance: float = 0.45,
-                  min_word_limit: float = 0.25, spreads: float = 4.0, least: int = 100,
+                  min_word_limit: float = 0.25, spreads: float = 4.0, prior: float = 30.0,
                   chance: float = 1e-9) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept`` for every row.
@@ -142,28 +165,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its limit on a text of at least ``min_chars`` characters or ``min_words``
     words.  The limit of the word distance is that of ``word_limits``.  A text
     that has none of the common words fails too, if it is so long that this
-    happens by chance to fewer than ``chance`` of the texts.  The ``languages`` languages of most documents have references of
-    their own; all others, NULL included, share one.  The table of references
-    is bounded by ``languages`` and ``top`` and is broadcast.
+    happens by chance to fewer than ``chance`` of the texts.  Every language has a
+    reference of its own, NULL counting as one.  Common words, references and
+    limits are written tables of a few rows per language and are joined, so Spark
+    broadcasts them if their files are small and shuffles otherwise.
 
     Defined cases: a NULL or empty text has no words and fails; repeated rows
     count each and are judged alike; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"),
                        F.coalesce(text_col, F.lit("")).alias("_text"))
-    known = [r[0] for r in base.where("_lang is not null").groupBy("_lang").count()
-             .orderBy(F.col("count").desc(), "_lang").limit(languages).collect()]
-    grouped = base.withColumns({"_words": words_of(F.col("_text")),
-                                "_group": F.when(F.col("_lang").isin(known), F.col("_lang"))})
-    listed = common_words(grouped, top, tracked)
+    grouped = base.withColumns({"_words": words_of(F.col("_text")), "_group": F.col("_lang")})
+    listed = written(common_words(grouped, top))
     empty = F.array().cast("array<string>")
-    common = empty
-    for group, words in listed.items():
-        common = F.when(F.col("_group").eqNullSafe(F.lit(group)),
-                        F.array(*map(F.lit, words))).otherwise(common)
-    every = sorted({w for words in listed.values() for w in words})
-    hits = F.filter("_words", lambda w: w.isin(every)) if every else empty
-    counted = base_counts(grouped.withColumns({"_common": common, "_hits": hits})).select(
+    grouped = grouped.join(listed, F.col("_group").eqNullSafe(F.col("_g")), "left").withColumn(
+        "_common", F.coalesce("_common", empty)).drop("_g")
+    hits = F.filter("_words", lambda w: F.array_contains("_common", w))
+    counted = base_counts(grouped.withColumn("_hits", hits)).select(
         "doc_id", "_group", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "_chars", "_classes",
         F.transform("_common", lambda w: (F.size("_hits") - F.size(F.array_remove(
@@ -178,21 +196,22 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reference = totals.select(F.col("_group").alias("_g"), shares("_rc", F.col("_c")).alias("_rc"),
                               shares(F.filter("_rw", lambda x: x.isNotNull()), F.col("_n"))
                               .alias("_rw"))
-    judged = counted.join(F.broadcast(reference), F.col("_group").eqNullSafe(F.col("_g")))
+    judged = counted.join(written(reference), F.col("_group").eqNullSafe(F.col("_g")))
     judged = judged.withColumns({
         "class_distance": F.when((F.col("_chars") >= min_chars),
                                  distance(shares("_classes", F.col("_chars")), F.col("_rc"))),
         "word_distance": F.when(F.col("n_words") >= min_words,
                                 distance(shares("_of", F.col("n_words")), F.col("_rw"))),
         "_size": F.when(F.col("n_words") >= min_words,
-                        F.floor(F.log2(F.col("n_words") / min_words)).cast("int")),
+                        F.length(F.bin(F.floor(F.col("n_words") / min_words))) - 1),
         "_none": (F.element_at("_of", -1) == F.col("n_words"))
         & (F.pow(F.element_at("_rw", -1), F.col("n_words")) < chance),
         "base_failed": (F.col("n_words") < 10)
         | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))})
-    limits = word_limits(judged, spreads, least, min_word_limit, max_word_distance)
+    limits = written(word_limits(judged, spreads, prior, min_words, min_word_limit,
+                                 max_word_distance))
     judged = judged.drop("_g").join(
-        F.broadcast(limits), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_size") == F.col("_s")),
+        limits, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_size") == F.col("_s")),
         "left")
     far = (F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False))
            | F.coalesce((F.col("word_distance") > F.col("_limit"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,5 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP_CONF, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a small table to the shared folder and read it back.
+
+    Its size is then known when a join is planned: Spark broadcasts it below
+    its own threshold and shuffles it beyond.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ from fieldspark.llm.toxicity import (IDENTITY_GROUPS, counterfactual, fit_toxici
                                      train_toxicity)
 from fieldspark.llm.url_filter import RULES, judge_urls, op10_boosted_urls
 
-SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, SF, LARGE = (f"/root/testdata/sf{x}" for x in ("0.001", "0.01", "0.1"))
 
 
 def test_quality_held_out_accuracy(spark):
@@ -165,7 +165,7 @@ def test_rule_counts(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sf", [SMALL, SF])
+@pytest.mark.parametrize("sf", [SMALL, SF, LARGE])
 def test_rules_match_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
@@ -198,6 +198,25 @@ def test_rules_reject_texts_of_another_language(spark):
     assert [r.doc_id for r in few] == [7000]
 
 
+def test_rules_of_a_language_do_not_depend_on_others(spark):
+    """No cap on languages: what the 81st gets is what it would get alone."""
+    rng = random.Random(9)
+
+    def text(name, n):
+        return " ".join(f"{name}{int(300 * rng.random() ** 3)}" for _ in range(n))
+
+    rows = [(k, text("a", 60 + 3 * k) if k % 20 else text("b", 160), "a") for k in range(100)]
+    rows += [(100, " ".join(f"junk{k}" for k in range(150)), "a")]
+    others = [(1000 + k, text(f"l{k % 80}x", 70), f"l{k % 80}") for k in range(800)]
+    schema = "doc_id long, text string, lang string"
+    alone = {tuple(r) for r in quality_rules(spark.createDataFrame(rows, schema)).collect()}
+    among = quality_rules(spark.createDataFrame(others + rows, schema)).collect()
+    assert alone == {tuple(r) for r in among if r.doc_id < 1000}
+    kept = {r.doc_id: r.kept for r in among}
+    assert not kept[100] and not any(kept[k] for k in range(0, 100, 20))
+    assert all(kept[k] for k in kept if k >= 1000 or k < 100 and k % 20)
+
+
 def split_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = m.groups() if m else ("", "")
