@@ -13,7 +13,7 @@ from fieldspark.llm.ann import nearest, op4_collision_ann
 from fieldspark.llm.kernels import Block
 from fieldspark.llm.oracles import OP6_SQL
 from fieldspark.llm.quality import fit_ordinal, score_quality, train_quality
-from fieldspark.llm.quality_rules import op6_divergence_rules, quality_rules
+from fieldspark.llm.quality_rules import base_counts, op6_divergence_rules, quality_rules, words_of
 from fieldspark.llm.text_features import Sparse
 from fieldspark.llm.toxicity import (IDENTITY_GROUPS, counterfactual, fit_toxicity,
                                      op8_counterfactual_toxicity, score_toxicity, tokens,
@@ -165,6 +165,19 @@ def test_rule_counts(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_rules_count_windows_in_place(spark):
+    """No copy of five words per window, no lambda per comparison of a sort; same counts."""
+    texts = ["a b c d", "a b c d e", "a a a a a a", "a b c d e a b c d e", "x " * 9, "",
+             " ".join(f"w{k % 7}" for k in range(40)), "p q r s t u " + "p q r s t v " * 2,
+             "a b c d e f a b c d e g b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string")
+    got = base_counts(df.withColumn("_words", words_of(F.col("_text"))))
+    assert {r.doc_id: r.n_repeat_words for r in got.collect()} == {
+        k: base_rules(text)[-1] for k, text in enumerate(texts)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "xxhash64(slice(" not in plan
+
+
 @pytest.mark.parametrize("sf", [SMALL, SF, LARGE])
 def test_rules_match_sql(spark, sf):
     con = duckdb.connect()
